@@ -1,39 +1,167 @@
-"""The operators applied to the given tables, as registered queries with their SQL."""
+"""The operators applied to whole tables, as registered queries with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from townmeter.llm import bpe, licenses, mixing, near_duplicates, neighbours, pii, quality, sharding, spans, url_filter
 from townmeter.llm.common import table
 
 
-def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from townmeter.llm.sharding import assign
+def vocabulary() -> str:
+    """Path of the public byte-level vocabulary."""
+    import public_tokenizers
 
-    return assign(table(spark, sf_dir, "documents"), [1.0] * 24, grown=1.0)
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from townmeter.llm.quality import quality_report
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows to every twentieth row of embeddings."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=20)
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents over 24 equal shards, and over one more."""
+    return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 24, grown=1.0)
+
 
-    return quality_report(table(spark, sf_dir, "documents"))
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each document."""
+    return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from townmeter.llm.mixing import mix
+    """Words that the mix takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose repeated sentence spans."""
+    return spans.cut_repeats(table(spark, sf_dir, "documents"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from townmeter.llm.licenses import licenses
+    """License rules that each document meets."""
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of what they decode to."""
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
 
-    return licenses(table(spark, sf_dir, "documents"))
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 % of their 4-word shingles."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_quality, op4_mixing, op6_licenses)}
+    return {f.__name__: f for f in (op1_neighbours, op2_sharding, op3_quality, op4_mixing, op5_spans, op6_licenses, op7_urls, op8_bpe, op9_pii, op10_near_duplicates)}
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _quality_cells(value: str) -> str:
+    return f"case when {value} < 64 then {value} else ({value} >> (length(bin({value})) - 6)) << (length(bin({value})) - 6) end"
+
+
+def quality_sql(docs: str = "documents") -> str:
+    """A WITH list that ends in `quality`: docs with counts, base_failed and kept."""
+    values = " union all ".join(f"select lang, source, '{k}' as measure, {k} as v from measured where not base_failed" for k, _, _ in quality.MEASURES)
+    least = " ".join(f"when '{k}' then {v}" for k, v in quality.LEAST_SPREAD.items())
+    pick = lambda k: f"case when g.docs >= {quality.MIN_DOCS} then g.{k} when l.docs >= {quality.MIN_DOCS} then l.{k} else o.{k} end"
+    over = " or ".join(f"coalesce(m.{k} > t.{k}, false)" for k, _, _ in quality.MEASURES)
+    ratios = ", ".join(f"case when {b} > 0 then 1000 * {a} // {b} else 0 end as {k}" for k, a, b in quality.MEASURES)
+    sums = ", ".join(f"max(q75 + {quality.FENCE} * greatest(q75 - q25, case measure {least} end)) filter (where measure = '{k}') as {k}" for k, _, _ in quality.MEASURES)
+    return rf"""
+texts as (select row_number() over () as rid, *, {_WORDS.format(text='text')} as w from {docs}),
+windows as (select rid, pos, w[pos] || ' ' || w[pos + 1] || ' ' || w[pos + 2] as win
+            from (select rid, w, unnest(range(1, len(w) - 1)) as pos from texts where len(w) >= 3)),
+twice as (select rid, pos from (select rid, pos, count(*) over (partition by rid, win) as n from windows) where n > 1),
+repeats as (select rid, count(distinct p) as n from (select rid, unnest([pos, pos + 1, pos + 2]) as p from twice) group by rid),
+counted as (
+  select t.rid, doc_id, text, lang, source, n_chars, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+         length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) as n_symbols,
+         len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words
+  from (select *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from texts) t
+  left join repeats r on r.rid = t.rid),
+measured as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, {ratios} from counted),
+vals as (select lang, source, measure, {_quality_cells('v')} as cell from ({values})),
+levels as (select 0 as level, lang, source, measure, cell from vals union all select 1, lang, null, measure, cell from vals union all select 2, null, null, measure, cell from vals),
+hist as (select level, lang, source, measure, cell, count(*) as n from levels group by all),
+running as (select *, sum(n) over (partition by level, lang, source, measure order by cell) as upto, sum(n) over (partition by level, lang, source, measure) as docs from hist),
+quartiles as (select level, lang, source, measure, min(cell) filter (where 100 * upto >= 25 * docs) as q25, min(cell) filter (where 100 * upto >= 75 * docs) as q75, max(docs) as docs
+              from running group by all),
+limits as (select level, lang, source, max(docs) as docs, {sums} from quartiles group by all),
+thresholds as (select g.lang, g.source, {', '.join(f'{pick(k)} as {k}' for k, _, _ in quality.MEASURES)}
+               from (from limits where level = 0) g join (from limits where level = 1) l on g.lang is not distinct from l.lang cross join (from limits where level = 2) o),
+quality as (select m.*, not base_failed and not ({over}) as kept
+            from measured m left join thresholds t on m.lang is not distinct from t.lang and m.source is not distinct from t.source)"""
+
+
+def mixing_sql(docs: str = "documents") -> str:
+    """SQL of the mix over docs with doc_id, text, source."""
+    return rf"""
+sized as (select doc_id, source, len(w) as size, case when len(w) = 0 then 1.0::double else greatest(0.05::double, len(list_distinct(w))::double / len(w)::double) end as weight
+          from (select doc_id, source, {_WORDS.format(text='text')} as w from {docs})),
+sources as (select source, sum(size)::bigint as source_size from sized group by source),
+weighted as (select *, [3.0::double, 1.0::double, 2.0::double][1 + (row_number() over (order by source nulls last) - 1) % 3] as sw, 2.0::double * source_size as cap from sources),
+levels as (select *, cap / sw as full_at,
+             (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / sw, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
+             / sum(sw) over (order by cap / sw, source nulls last rows between current row and unbounded following) as level from weighted),
+fixed as (select *, first_value(case when full_at > level then level end ignore nulls) over (order by full_at, source nulls last rows between unbounded preceding and current row) as f from levels),
+plan as (select source, source_size, case when f is null then cap else f * sw end as target from fixed),
+whole as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from plan),
+drawn as (select s.doc_id, s.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size as rest,
+            sum(s.size) over (partition by s.source order by -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double) / s.weight, doc_id, s.size rows unbounded preceding) as upto
+          from sized s join whole p on s.source is not distinct from p.source)
+select doc_id, size, source_size, target, (size * (epochs + case when upto - size / 2 <= rest then 1 else 0 end))::bigint as taken from drawn"""
+
+
+def licenses_sql() -> str:
+    known = ", ".join(f"('{i}', '{s}')" for i, s in licenses.SENTENCES.items())
+    rules = " union all ".join(
+        f"select doc_id, '{rule}' as rule, '{name}' as license, n_sentences, list_min(list_transform(list_filter(found, lambda x: x.sentence_id = '{seq[0]}'), lambda x: x.place)) as first_place from lines where regexp_matches(line, '{'.*'.join(f',{s},' for s in seq)}')"
+        for rule, name, seq in licenses.RULES
+    )
+    return rf"""
+with known(sentence_id, sentence) as (values {known}),
+cut as (select doc_id, regexp_split_to_array(text, '\n|[.!?]+[\x20\x09-\x0D]+') as parts from documents where text is not null),
+sentences as (select doc_id, unnest(parts) as raw, unnest(range(len(parts))) as place from cut),
+hits as (select distinct doc_id, place, sentence_id from sentences join known on trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) = sentence),
+lines as (select doc_id, count(*) as n_sentences, ',' || string_agg(sentence_id, ',,' order by place) || ',' as line, list({{'place': place, 'sentence_id': sentence_id}}) as found from hits group by doc_id)
+select doc_id, rule, license, n_sentences, first_place::bigint as first_place from ({rules})"""
+
+
+def urls_sql() -> str:
+    host = " ".join(
+        f"when regexp_matches(site, '{r.pattern}') then '{r.name}'" for r in sorted((r for r in url_filter.RULES if r.length), key=lambda r: -r.length)
+    )
+    verdict = " ".join(f"when '{r.name}' then '{r.verdict}'" for r in url_filter.RULES if r.length)
+    patterns = " ".join(f"when regexp_matches(site, '{r.pattern}') then '{r.name}'" for r in url_filter.RULES if not r.length)
+    return rf"""
+with rests as (select page_id, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+sites as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rests),
+ruled as (select *, case {host} end as rule, case {patterns} end as any_pattern from (select *, host || path as site from sites))
+select page_id, host, path, rule, case when rule is not null then case rule {verdict} end when any_pattern is not null then 'block' else 'allow' end as verdict,
+       case when rule is null then any_pattern end as pattern from ruled"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_quality": f"with {quality_sql()} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from quality",
+        "op4_mixing": f"with {mixing_sql()}",
+        "op6_licenses": licenses_sql(),
+        "op7_urls": urls_sql(),
+    }
