@@ -45,41 +45,74 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per row of docs: key, size, source_size, target, taken, epochs.
+def _drawn(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows of id, source, size, weight with their source's plan, sampling key and range of keys."""
+    return (
+        rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("draw", -F.log(uniform(F.col("id"))) / F.col("weight"))
+        .withColumn("range", F.least(F.lit(RANGES - 1), F.floor(F.lit(RANGES) * (1 - F.exp(-F.col("draw") * F.col("wbar"))))).cast("int"))
+    )
 
-    size: words of the text, 0 for a null text. A source whose target is e.g. 1.4 times its size
-    gives every document once (complete epochs come first), then documents in the order of
-    -ln(u) / quality weight until their sizes reach the remaining 0.4; the document at the end is
-    taken if over half of it fits. u depends on the key alone, so reruns agree; documents with
-    equal keys are ordered by size. Repeated rows are rows of their own. Null sources are one
-    source. An empty table gives an empty one; other columns are ignored.
 
-    Keys are dealt to ranges, whose sizes are summed first; the rows of a range that the budget
-    cuts are sorted, and ranges split a hot source over many tasks.
+def plan_mix(rows: DataFrame, weights: Sequence[float], share: float, most: float, scratch: Scratch) -> DataFrame:
+    """One row per source: of, source_size, target, wbar, epochs, and where its sampling ends: cut_range and last.
+
+    rows: id, source, size, weight. The sizes of the ranges of sampling keys, a bounded number per
+    source, tell in which range the budget ends; only that range's rows are sorted.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    rows = scratch.put(
-        docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("w"))
-        .select("id", "source", F.size("w").cast("long").alias("size"), quality_weight(F.col("w")).alias("weight"))
-    )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("weight").alias("wbar"))
-    plan = scratch.put(targets(sizes, weights, share, most))
+    dealt = scratch.put(targets(sizes, weights, share, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.select(F.col("source").alias("of"), "source_size", "target", "wbar", whole.alias("epochs"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
-    keyed = (
-        rows.join(checked(plan), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("draw", -F.log(uniform(F.col("id"))) / F.col("weight"))
-        .withColumn("range", F.least(F.lit(RANGES - 1), F.floor(F.lit(RANGES) * (1 - F.exp(-F.col("draw") * F.col("wbar"))))).cast("int"))
-    )
-    ranges = keyed.groupBy("of", "range", "rest").agg(F.sum("size").alias("held"))
+    dealt = dealt.select(F.col("source").alias("of"), "source_size", "target", "wbar", whole.alias("epochs"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
+    keyed = _drawn(rows, checked(dealt))
     before = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    cut = ranges.select(F.col("of").alias("r_of"), F.col("range").alias("r_range"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
-    ordered = Window.partitionBy("of", "range").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("start") + F.sum("size").over(ordered)
-    return (
-        keyed.join(cut, F.col("of").eqNullSafe(F.col("r_of")) & (F.col("range") == F.col("r_range")))
-        .withColumn("taken", F.col("size") * (F.col("epochs") + F.when(end - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)))
-        .select(F.col("id").alias(key), "size", "source_size", "target", "taken", "epochs")
+    ranges = keyed.groupBy("of", "range", "rest").agg(F.sum("size").alias("held")).withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    cut = scratch.put(ranges.filter("start <= rest and rest < start + held").select(F.col("of").alias("cut_of"), F.col("range").alias("cut_range"), "start"))
+    ordered = Window.partitionBy("of").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    last = (
+        keyed.join(checked(cut), F.col("of").eqNullSafe(F.col("cut_of")) & (F.col("range") == F.col("cut_range")))
+        .withColumn("end", F.col("start") + F.sum("size").over(ordered)).filter(F.col("end") - F.col("size") / 2 <= F.col("rest"))
+        .groupBy(F.col("of").alias("last_of")).agg(F.max(F.struct("draw", "id", "size")).alias("last"))
+    )
+    return scratch.put(
+        dealt.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left").join(last, F.col("of").eqNullSafe(F.col("last_of")), "left")
+        .select("of", "source_size", "target", "wbar", "epochs", "cut_range", "last")
     )
+
+
+def _times() -> Column:
+    """How often a drawn row is taken."""
+    here = (F.col("range") == F.col("cut_range")) & (F.struct("draw", "id", "size") <= F.col("last"))
+    return F.col("epochs") + F.when((F.col("range") < F.col("cut_range")) | here, 1).otherwise(0)
+
+
+def _sized(docs: DataFrame, key: str, text: str, source: str, *also: Column) -> DataFrame:
+    w = words(F.col(text))
+    return docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), w.alias("w"), *also).select(
+        "id", "source", F.size("w").cast("long").alias("size"), quality_weight(F.col("w")).alias("weight"), *[F.col("__row")] * bool(also)
+    )
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per row of docs: key, size, source_size, target, taken, times.
+
+    size: words of the text, 0 for a null text. A source whose target is e.g. 1.4 times its size
+    gives every document once (complete epochs come first), then documents in the order of
+    -ln(u) / quality weight until their sizes reach the remaining 0.4; the document at the end is
+    taken if over half of it fits. u depends on the key alone, so reruns agree; documents with
+    equal keys are ordered by size, rows equal in both go together. Null sources are one source.
+    An empty table gives an empty one; other columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(_sized(docs, key, text, source))
+    plan = plan_mix(rows, weights, share, most, scratch)
+    return _drawn(rows, checked(plan)).withColumn("times", _times()).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with all its columns. Texts are not shuffled."""
+    scratch = Scratch(docs.sparkSession)
+    plan = plan_mix(scratch.put(_sized(docs, key, text, source)), weights, share, most, scratch)
+    whole = _sized(docs, key, text, source, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    rows = _drawn(whole, checked(plan)).withColumn("times", _times()).filter("times > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("__row.*")
