@@ -153,10 +153,11 @@ def build_lexicon(words: list[str], bpe: Bpe) -> bytes:
 def _ship(spark: SparkSession, content: bytes, name: str) -> str:
     """Send a file to all executors, present and future; its name holds its hash, so that it is the same file wherever it is found."""
     name = f"{name}-{hashlib.sha256(content).hexdigest()[:24]}"
-    folder = tempfile.mkdtemp(prefix="spark-ship-")
-    path = os.path.join(folder, name)
-    with open(path, "wb") as f:
-        f.write(content)
+    path = os.path.join(tempfile.gettempdir(), name)  # the same path each time, as Spark takes a name from one path only
+    if not os.path.exists(path):
+        with open(f"{path}.{os.getpid()}", "wb") as f:
+            f.write(content)
+        os.replace(f.name, path)
     spark.sparkContext.addFile(path)
     return name
 
