@@ -16,6 +16,8 @@ from townmeter.llm.components import components
 
 #: Bands and rows of the sketch: two sets of similarity 0.8 share no band with probability 3e-6.
 BANDS, ROWS = 32, 5
+#: Documents of a cluster that a task compares with as many others at a time.
+BLOCK = 256
 #: Words whose hashes a Python worker keeps.
 KEPT_WORDS = 300_000
 
@@ -96,7 +98,8 @@ def _sign(k: int, bands: int, rows: int):
         for batch in batches:
             sets = [shingle_set(t, k, hashes) for t in batch.column(1).to_pylist()]
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys = band_keys(sketches([sets[i] for i in some], bands * rows), bands, rows).view(np.int64) if some else np.zeros((0, bands), np.int64)
+            sketch = sketches([sets[i] for i in some], bands * rows)
+            keys = band_keys(sketch, bands, rows).view(np.int64)
             held = np.array([len(s) > 0 for s in sets])
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held * bands)]).astype(np.int32)), pa.array(keys.reshape(-1)))
@@ -135,9 +138,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     1. One scan makes a sketch per text; equal shingle sets become one class (its least key).
     2. Classes that share a band key meet in a bucket. Each member is verified against the
        bucket's first one: as many pairs as members, however large the bucket.
-    3. Buckets whose members are then one component are done. In the others, members of
-       different components are paired unless their sizes exclude 80 %, and verified: no link
-       between candidates is lost.
+    3. Buckets whose members are then one component are done. Of the others, documents whose own
+       shingles, which no other of them has, exclude a link are done too. Those left are
+       clustered through their buckets and compared within clusters, block by block, on full
+       sets, but for the members of a cluster's largest component among themselves; only links
+       leave a task.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -160,15 +165,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     part = F.coalesce("component", "rep")
     placed = met.select("bucket", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", part.alias("part"))
-    still = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
-    placed = scratch.put(placed.join(still, "bucket", "left_semi"))
-    left = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-    right = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    rest = (
-        left.join(right, "bucket").filter("a < b and part_a != part_b").filter(fits(F.col("n_a"), F.col("n_b")))
-        .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    )
-    more = scratch.put(_verified(scratch.put(rest), texts, k, percent))
+    placed = scratch.put(_open(placed))
+    alone = _own_shingles(texts.join(placed.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi"), k)
+    # Of n shingles, those of the document alone are in no other's set: with too many, it is linked with none.
+    live = placed.join(alone, F.col("rep") == F.col("owner"), "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
+    live = scratch.put(_open(live.select("bucket", "rep", "part")))
+    more = scratch.put(_compared(live, texts, scratch, k, percent))
     found = components(links.unionByName(more), scratch)
     return (
         signed.select("id", "n", "digest").join(classes.select(F.col("digest").alias("of"), "rep"), F.col("digest") == F.col("of"), "left")
@@ -178,6 +180,79 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     )
 
 
+def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(owner, own): how many of a document's shingles no other of these documents has; without a row, none."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for a in range(0, len(batch), 200):
+                sets = [shingle_set(t, k, hashes) for t in batch.column(1).slice(a, 200).to_pylist()]
+                ids = np.repeat(np.asarray(batch.column(0).slice(a, 200)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+
+    each = texts.select("id", "text").mapInArrow(explode, "id long, shingle long")
+    single = each.groupBy("shingle").agg(F.min("id").alias("owner"), F.max("id").alias("other")).filter("owner = other")
+    return single.groupBy("owner").agg(F.count("*").alias("own"))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several parts."""
+    several = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
+    return placed.join(several, "bucket", "left_semi")
+
+
+def _block_links(k: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between documents of different parts, from counts of shared shingles."""
+        hashes = _Hashes()
+        ids, parts = np.asarray(table["rep"]), np.asarray(table["part"])
+        sets = [shingle_set(t, k, hashes) for t in table["text"].to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(sets)), sizes), counts[where] > 1
+        column = (np.cumsum(counts > 1) - 1)[where][shared]
+        row = row[shared]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):  # so many shingles at a time
+            lo, hi = np.searchsorted(column, (a, a + 4096))
+            held = np.zeros((len(sets), 4096), np.float32)
+            held[row[lo:hi], column[lo:hi] - a] = 1
+            both += held @ held.T
+        linked = (100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (parts[:, None] != parts[None]) & (ids[:, None] < ids[None])
+        a, b = np.nonzero(linked)
+        return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _compared(live: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """(a, b) of the links between different parts within clusters of documents that buckets connect.
+
+    live: bucket, rep, part. A cluster's largest part is cut into blocks, and so is the rest; each
+    block of the rest meets every block in a task of its own.
+    """
+    lead = live.groupBy("bucket").agg(F.min("rep").alias("a"))
+    clusters = components(live.join(lead, "bucket").select("a", F.col("rep").alias("b")), scratch)
+    docs = live.select("rep", "part").distinct().join(clusters, F.col("rep") == F.col("node"), "left").select("rep", "part", F.coalesce("component", "rep").alias("cluster"))
+    docs = scratch.put(docs)
+    sizes = docs.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    plan = sizes.groupBy(F.col("cluster").alias("of")).agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).select(
+        "of", F.col("top.part").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks")
+    )
+    spot = F.when(F.col("part") == F.col("largest"), F.col("rest_blocks") + F.pmod(F.xxhash64("rep"), F.col("top_blocks"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest_blocks"))).cast("int")
+    dealt = docs.join(plan, F.col("cluster") == F.col("of")).filter("rest_blocks > 0").withColumn("block", spot)
+    # Tasks are pairs of blocks i <= j with i in the rest.
+    i = F.sequence(F.lit(0), F.least(F.col("block"), F.col("rest_blocks") - 1))
+    first = F.transform(i, lambda x: F.struct(x.alias("i"), F.col("block").alias("j")))
+    j = F.filter(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("top_blocks") - 1), lambda x: (x > F.col("block")) & (F.col("block") < F.col("rest_blocks")))
+    second = F.transform(j, lambda x: F.struct(F.col("block").alias("i"), x.alias("j")))
+    sent = dealt.join(texts, F.col("rep") == F.col("id")).select("cluster", "rep", "part", "text", F.explode(F.concat(first, second)).alias("t"))
+    return sent.select("cluster", "t.i", "t.j", "rep", "part", "text").groupBy("cluster", "i", "j").applyInArrow(_block_links(k, percent), "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
