@@ -1,0 +1,475 @@
+"""Operators of the llm subpackage against brute force on small fixtures, with odd rows in each."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from townmeter.llm import bpe, licenses, mixing, near_duplicates, neighbours, pii, quality, sharding, spans, url_filter
+from townmeter.llm.common import Scratch
+from townmeter.llm.components import components
+from townmeter.llm.queries import vocabulary
+
+random.seed(3)
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(n, rng=random):
+    out = []
+    for i in range(n):
+        w = rng.choice(WORDS)
+        out.append(w + ". " if i % 9 == 8 else w + " ")
+    return "".join(out).strip()
+
+
+ODD = [None, "", " \n\t ", "one", "One two three", "a b c d e", "é ß 日本 \x1c \x85 x", "x" * 3000, "a " * 400]
+
+
+def documents(spark, texts, more=()):
+    """Rows with clashing names besides the usual columns: one null key, one repeated row."""
+    rows = [(i, t, ["en", "de", None][i % 3], f"s{i % 4}" if i % 7 else None, len(t or ""), i, "kept?", 0) for i, t in enumerate(texts)]
+    rows += [rows[-1], (None, "no key " + texts[-1] if texts[-1] else None, "en", "s1", 3, 0, "", 0), *more]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, kept string, shard int")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = [*ODD, *[prose(random.randint(1, 120)) for _ in range(60)]]
+    base = prose(80).split(" ")
+    for i in range(12):
+        w = list(base)
+        w[i * 5] = f"changed{i}"
+        texts.append(" ".join(w))
+    texts += [texts[20]] * 4
+    return documents(spark, texts).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def split(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+# --- sharding ---------------------------------------------------------------------------------
+
+
+def bids(key, n):
+    def u(s):
+        first = xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        return (xxhash.xxh64(struct.pack("<q", s), seed=first).intdigest() >> 11) + 0.5
+
+    return [(-np.log(u(s) / 2**53), s) for s in range(n)]
+
+
+def test_shards_equal_brute_force(docs):
+    got = sharding.assign(docs, [1.0] * 24, grown=1.0).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == docs.count()
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "key")
+        if r.doc_id is not None:
+            assert (r.shard, r.grown_shard) == (min(bids(r.doc_id, 24))[1], min(bids(r.doc_id, 25))[1])
+        assert r.grown_shard in (r.shard, 24)
+    for s in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_shard_weights_and_growth(spark):
+    ids = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    n = {r.shard: r["count"] for r in sharding.assign(ids, [1.0, 2.0, 1.0]).groupBy("shard").count().collect()}
+    assert abs(n[1] / 20000 - 0.5) < 0.02 and abs(n[0] / 20000 - 0.25) < 0.02
+    moved = sharding.assign(ids, [1.0] * 9, grown=1.0).filter("shard != grown_shard").count()
+    assert abs(moved / 20000 - 0.1) < 0.01
+    with pytest.raises(ValueError):
+        sharding.assign(ids, [1.0, 0.0])
+
+
+def test_sharding_of_nothing(empty):
+    assert sharding.assign(empty, [1.0]).count() == 0
+
+
+# --- quality ----------------------------------------------------------------------------------
+
+
+def counts(text):
+    w = split(text)
+    at = {}
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i : i + 3]), []).append(i)
+    repeat = {p + d for v in at.values() if len(v) > 1 for p in v for d in range(3)}
+    lines = [x for x in (text or "").split("\n") if split(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeat)
+
+
+def test_quality_counts_equal_brute_force(spark, docs):
+    extra = ["a b c a b c", "#x $ <|>\n#x $ <|>\n\n \n#x $ <|>", "q r s t q r s", "\t a\x0bb\x0cc "]
+    more = documents(spark, extra)
+    for df in (docs, more):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        got = quality.quality_report(df).collect()
+        assert len(got) == df.count()
+        for r in got:
+            want = counts(texts[r.doc_id])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+            assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+            assert not (r.kept and r.base_failed)
+
+
+def test_quality_rejects_outliers_of_their_group(spark):
+    rng = random.Random(5)
+    clean = [prose(rng.randint(60, 120), rng) for _ in range(400)]
+    junk = [" ".join(f"{w}&&&&" for w in rng.choices(WORDS, k=80)) for _ in range(8)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.quality_report(df).filter("kept").collect()}
+    assert kept == set(range(400))
+    assert quality.quality_filter(df).columns == df.columns and quality.quality_filter(df).count() == 400
+
+
+def test_quality_of_nothing(empty):
+    assert quality.quality_report(empty).count() == 0 and quality.quality_filter(empty).count() == 0
+
+
+# --- mixing -----------------------------------------------------------------------------------
+
+
+def want_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    target, full, rest = {}, set(), share * sum(sizes.values())
+    while True:
+        unit = rest / (sum(w[s] for s in order if s not in full) or 1)
+        over = {s for s in order if s not in full and unit * w[s] > most * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = most * sizes[s]
+            rest -= target[s]
+        full |= over
+    return target | {s: unit * w[s] for s in order if s not in full}
+
+
+def test_mix_meets_targets(docs):
+    got = mixing.mix(docs).collect()
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    source = {r.doc_id: r.source for r in rows}
+    size = {r.doc_id: len(split(r.text)) for r in rows}
+    sizes, taken = {}, {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + len(split(r.text))
+    target = want_targets(sizes)
+    for r in got:
+        s = source[r.doc_id]
+        assert r["size"] == size[r.doc_id] and r.source_size == sizes[s] and r.target == pytest.approx(target[s])
+        assert r.taken <= 2 * r["size"] and r.taken % (r["size"] or 1) == 0 and r.taken >= r["size"] * int(r.target // (r.source_size or 1) if r.source_size else 0)
+        taken[s] = taken.get(s, 0) + r.taken
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= max(size[r.doc_id] for r in rows if r.source == s)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+
+
+def test_mixed_rows_are_as_many_as_taken(docs):
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.times
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_mix_of_nothing(empty, docs):
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    assert {r.taken for r in mixing.mix(docs.filter("text = ''")).collect()} == {0}
+
+
+# --- spans ------------------------------------------------------------------------------------
+
+
+def test_repeated_passages_are_cut(spark):
+    rng = random.Random(8)
+    sentence = lambda: " ".join(rng.choices(WORDS, k=10)).capitalize() + "."
+    passage = " ".join(sentence() for _ in range(6))
+    texts = [" ".join(sentence() for _ in range(8)) for _ in range(20)]
+    texts[3] += " " + passage + " " + sentence()
+    texts[7] = passage + "\n" + texts[7]
+    texts[9] = texts[9] + "\n" + passage.replace(" ", "  ")
+    texts[11] += " " + passage + " " + sentence() + " " + passage
+    df = documents(spark, [*texts, None, "", "a b"])
+    got = {r.doc_id: r for r in spans.cut_repeats(df).collect()}
+    assert set(got) == {7, 9, 11}
+    for k, n in ((7, 6), (9, 6), (11, 12)):
+        assert got[k].n_removed == n and got[k].words_removed == 10 * n and got[k].first_doc_ids[0] == 3
+    assert split(got[7].text) == split(texts[7].split("\n")[1])
+    assert spans.cut_repeats(df.limit(0)).count() == 0
+
+
+def brute_spans(docs):
+    seen, gone = {}, {}
+    for k in sorted(docs):
+        text = docs[k].encode()
+        found = spans.sentences(text)
+        for i in range(len(found)):
+            j, n = i, 0
+            while j < len(found) and (n < spans.WORDS or j - i < spans.SENTENCES):
+                n += found[j][2]
+                j += 1
+            if n < spans.WORDS or j - i < spans.SENTENCES:
+                break
+            run = tuple(b" ".join(text[a:b].split()) for a, b, _ in found[i:j])
+            if run in seen:
+                gone.setdefault(k, set()).update(range(i, j))
+            else:
+                seen[run] = k
+    return {k: len(v) for k, v in gone.items()}
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(2)
+    pool = [" ".join(rng.choices(WORDS, k=rng.randint(1, 40))) + rng.choice([". ", "! ", "\n", " "]) for _ in range(30)]
+    texts = {i: "".join(rng.choices(pool, k=rng.randint(0, 12))) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in spans.cut_repeats(df).collect()} == brute_spans(texts)
+
+
+# --- licenses ---------------------------------------------------------------------------------
+
+
+def test_license_rules_need_their_order(spark):
+    s = licenses.SENTENCES
+    line = lambda *names: ".\n".join(s[n].capitalize() for n in names)
+    texts = ["Intro. Released under the MIT License.\nMore.", line("mit-grant", "mit-condition", "mit-warranty"), line("mit-warranty", "mit-condition", "mit-grant"), "x\n" + line("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), None, "", "This isn't released under the MIT license at all"]
+    got = sorted((r.doc_id, r.rule, r.n_sentences, r.first_place) for r in licenses.licenses(documents(spark, texts)).collect())
+    assert got == [(0, "mit-short", 1, 1), (1, "mit-full", 3, 0), (3, "bsd2", 4, 1), (3, "bsd3", 4, 1)]
+    assert licenses.licenses(documents(spark, texts).limit(0)).count() == 0
+
+
+# --- URLs -------------------------------------------------------------------------------------
+
+
+def test_url_rules(spark):
+    urls = ["http://a.net/x", "http://net/x", "http://fonet/x", "http://A.Example.NET/en/1", "http://example.net/EN/1", "https://example.com/de/", "https://example.com/de", "http://x.org/fr/?q", "http://net", "a.net/x", None, "", "http://b.com/x://net/", "https://win.casino-x.com/", "https://mycasinox.com/", "http://h.com/free-pills", "http://h.com/pills-free", "http://h.net/casino", "http:///p", "x://U:p@h.Net:80/"]
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(0, urls[0], "h", "r"), (None, urls[0], "h", "r")], "page_id long, url string, host string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()}
+    want = [
+        ("a.net", "/x", "net/", "block"), ("net", "/x", "net/", "block"), ("fonet", "/x", None, "allow"), ("a.example.net", "/en/1", "example.net/en/", "allow"), ("example.net", "/EN/1", "net/", "block"),
+        ("example.com", "/de/", "example.com/de/", "block"), ("example.com", "/de", None, "allow"), ("x.org", "/fr/", "org/fr/", "allow"), ("net", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
+        ("b.com", "/x://net/", None, "allow"), ("win.casino-x.com", "/", None, "block"), ("mycasinox.com", "/", None, "allow"), ("h.com", "/free-pills", None, "block"), ("h.com", "/pills-free", None, "allow"), ("h.net", "/casino", "net/", "block"), ("", "/p", None, "allow"), ("u:p@h.net:80", "/", None, "allow"),
+    ]
+    assert [got[i] for i in range(len(urls))] == want
+    assert url_filter.judge(df).count() == len(urls) + 2 and url_filter.judge(df.limit(0)).count() == 0
+
+
+def test_rules_are_indexed_by_their_rarest_token():
+    r = url_filter.host_rule("block", "example.net/en/")
+    assert url_filter.index_rules([r], {"example": 5, "net": 9, "en": 2}) == {"en": [r]}
+    assert url_filter.host_rule("block", "example.net/english").tokens == ("example", "net")
+
+
+# --- BPE --------------------------------------------------------------------------------------
+
+
+def test_encoding_equals_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    extra = ["<|endoftext|>a<|endoftext|>", "don't  stop\n\n x", "½ Ⅷ ١٢", "a" * 5000, "\x00\u3000\ufeff", "word " * 300, "e\u0301 \u200b"]
+    df = documents(spark, extra).unionByName(docs)
+    texts = {}
+    for r in df.collect():
+        texts.setdefault(r.doc_id, set()).add(r.text or "")
+    got = bpe.encode(df, vocabulary(), give_ids=True, most=100).collect()
+    assert len(got) == df.count()
+    for r in got:
+        found = set()
+        for text in texts[r.doc_id]:
+            ids = t.encode(text, add_special_tokens=False).ids
+            back = t.decode(ids, skip_special_tokens=False)
+            found.add((len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), tuple(ids)))
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) in found
+
+
+def test_lexicon_finds_its_words_only(tmp_path):
+    from townmeter.llm.lexicon import Lexicon, compile_lexicon
+
+    rng = random.Random(4)
+    words = {bytes(rng.choices(b"abc", k=rng.randint(0, 6))) for _ in range(300)}
+    table = {w: tuple(rng.choices(range(9), k=len(w))) for w in words}
+    (tmp_path / "l").write_bytes(compile_lexicon(table.items()))
+    lexicon = Lexicon(str(tmp_path / "l"))
+    for w in {bytes(rng.choices(b"abcd", k=rng.randint(0, 7))) for _ in range(2000)} | words:
+        assert lexicon.get(w) == (struct.pack(f"<{len(table[w])}I", *table[w]) if w in table else None)
+    (tmp_path / "none").write_bytes(compile_lexicon([]))
+    assert Lexicon(str(tmp_path / "none")).get(b"a") is None
+
+
+def test_encoding_of_nothing(empty):
+    assert bpe.encode(empty, vocabulary()).count() == 0
+
+
+# --- PII --------------------------------------------------------------------------------------
+
+
+def brute_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(6)
+    pool = list("0123456789") + ["4111 1111 1111 1111", "4111-1111-1111-1111", "1.2.3.4", "255.255.255.256", ".", " ", "-", "+", "@", "a", "b.c", "@x.y", "+1 (555) 123-4567", "é", "\u0663", "(", ")", "\n", "_", "%"]
+    for _ in range(20000):
+        t = "".join(rng.choices(pool, k=rng.randint(0, 14)))
+        assert pii.base_spans(t) == brute_pii(t), t
+
+
+def test_long_runs_are_linear():
+    for t in ("1" * 200000, "1." * 100000, "a" * 200000 + "@", "@" * 100000, "+1" * 100000, "1 " * 100000, "a@b." * 50000):
+        pii.spans(t)
+
+
+def test_checksums_and_context():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
+    kinds = lambda t: [k for k, _, _ in pii.added_spans(t)]
+    assert kinds("x GB82 WEST 1234 5698 7654 32 y") == ["iban"] and kinds("x GB83 WEST 1234 5698 7654 32 y") == []
+    assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == ["secret"] and kinds('hash "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == []
+    assert kinds("SSN 123-45-6789") == ["national_id"] and kinds("part 123-45-6789") == []
+
+
+def test_reports_and_masks(spark, docs, empty):
+    df = documents(spark, ["mail é a@b.co, 10.0.0.1", None, "", "clean", "4111 1111 1111 1111 +1 (555) 123-4567"])
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert got[0].spans == "email:7:13,ip:15:23" and got[0].base_sha256 == hashlib.sha256(b"email:7:13,ip:15:23").hexdigest()
+    assert (got[4].n_card, got[4].n_phone, got[1].spans) == (1, 1, "") and pii.find_pii(df).count() == df.count()
+    masked = pii.mask_pii(df)
+    assert masked.columns == df.columns
+    m = {r.doc_id: r for r in masked.collect()}
+    assert m[0].text == "mail é <EMAIL>, <IP>" and m[0].n_chars == 20 and m[1].text is None and m[3].text == "clean"
+    assert pii.find_pii(empty).count() == 0 and pii.mask_pii(empty).count() == 0
+
+
+# --- near-duplicates --------------------------------------------------------------------------
+
+
+def brute_components(docs, k, percent):
+    sets = {}
+    for i, t in docs:
+        w = split((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for i in keys:
+        for j in keys:
+            if i < j and sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: (len(sets[i]), find(i)) for i in keys}
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_components_equal_brute_force(docs, k):
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    want = brute_components(dict(rows).items(), k, 80)
+    got = near_duplicates.near_duplicates(docs, k=k).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+        else:
+            assert not r.kept
+
+
+def test_chains_and_blocks_of_near_copies(spark, monkeypatch):
+    """A group of copies with random edits, of which some are linked with few others: nothing is lost, whatever the blocks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    rng = random.Random(9)
+    base = rng.choices(WORDS, k=120)
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for p in rng.sample(range(120), rng.randint(0, 9)):
+            w[p] = f"{w[p]}x"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(enumerate(texts), 4, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df, k=4).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 120
+
+
+def test_sketches_fill_and_estimate():
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
+    for part in (x[:1], x[:5], x[:300]):
+        assert (near_duplicates.sketches([part], 160) != np.uint64(2**64 - 1)).all()
+    pool = [(np.sort(x[:600]), np.sort(x[200:800]))]  # 400 of 800 shared
+    a, b = near_duplicates.sketches(list(pool[0]), 2000)
+    assert abs((a == b).mean() - 0.5) < 0.04
+
+
+def test_one_of_each_stays(docs, empty):
+    out = near_duplicates.drop_near_duplicates(docs, k=4)
+    verdict = near_duplicates.near_duplicates(docs, k=4).filter("kept").select("doc_id").distinct()
+    ids = [r.doc_id for r in out.collect()]
+    assert out.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted(r.doc_id for r in verdict.collect()) and ids.count(None) == 1
+    assert near_duplicates.near_duplicates(empty).count() == 0 and near_duplicates.drop_near_duplicates(empty).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 199), (199, 200), (7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {**{i: 0 for i in range(1, 51)}, **{100 + i: 100 for i in range(1, 40)}, 200: 199}
+
+
+# --- neighbours -------------------------------------------------------------------------------
+
+
+def test_neighbours_meet_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1200, 24)) + 3 * rng.standard_normal((12, 24))[np.arange(1200) % 12]
+    x[100:400] = x[99]  # a hot vector
+    rows = [(i, [float(v) for v in r], 1.0) for i, r in enumerate(x)]
+    odd = [(2000, None, 0.0), (2020, [0.0] * 24, 0.0), (2040, [float("nan")] * 24, 0.0), (2060, [1.0, None] * 12, 0.0), (2080, [1.0], 0.0), (None, rows[0][1], 0.0), rows[5], rows[40]]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score double")
+    got = {}
+    for r in neighbours.search(df, every=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 1200, 20))
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        order = sorted((i for i in range(1200) if i != q), key=lambda i: (-round(score[i], 9), i))[:20]
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in [v for _, v, _ in found]
+        assert all(abs(s - score[v]) < 1e-9 for _, v, s in found)
+        hits += len(set(order) & {v for _, v, _ in found})
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_few_or_no_vectors(spark):
+    few = spark.createDataFrame([(20, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search(few, every=20).orderBy("rank").collect()] == [(20, 1, 2, 5.0), (20, 2, 1, 4.0)]
+    assert neighbours.search(few.limit(0), every=20).count() == 0
