@@ -1,2 +1,663 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries: every operator on the given tables, with the SQL that has the same result."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from townmeter.functions import climate, geo, labels, scores
+from townmeter.jobs.tables import AXES, DAILY, DECREES, NODES, PLACES, STATIONS, daily, decrees, nodes, places, stations, table
+from townmeter.operators import dataset, explore, extras, grid, hazards, incremental, indices, livability, near, normalise, referential, validate
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _up1(x: str) -> str:
+    return f"floor(({x}) * 10.0::double + 0.5::double) / 10.0::double"
+
+
+def _km(a: str, b: str, c: str, d: str) -> str:
+    """Haversine in SQL between (a, b) and (c, d)."""
+    return f"2 * 6371.0088::double * asin(least(1.0::double, sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2))))"
+
+
+# --- indices ---------------------------------------------------------------------------------
+
+LAYERS = {"early": ("1996-01-01", "1998-12-31"), "late": ("1997-01-01", "2000-12-31")}
+LAYER_YEARS = {"early": (1996, 1998), "late": (1997, 2000)}
+_LAYERS = "layers(layer, a, b) as (values ('early', date '1996-01-01', date '1998-12-31'), ('late', date '1997-01-01', date '2000-12-31'))"
+
+
+@register(f"with {DAILY}, {_LAYERS} select layer, count(*) as n, strftime(min(day), '%Y-%m-%d') as first_day, strftime(max(day), '%Y-%m-%d') as last_day, round(sum(tmin), 3) as total from daily join layers on day between a and b group by layer")
+def layer_slice(spark, sf_dir):
+    rows = indices.slice_layers(daily(spark, sf_dir), LAYERS)
+    return rows.groupBy("layer").agg(F.count("*").alias("n"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.round(F.sum("tmin"), 3).alias("total"))
+
+
+def _rate_sql(value: str, threshold: float, min_days: int) -> str:
+    return f"""with {DAILY}, y as (select series, year(day) as yr, count({value}) as valid, count(*) filter (where {value} >= {threshold}) as hits from daily group by all)
+select series, avg(hits::double) filter (where valid >= {min_days}) as value, count(*) filter (where valid >= {min_days}) as years from y group by series"""
+
+
+@register(_rate_sql("tmax", 45, 350))
+def hot_days(spark, sf_dir):
+    return indices.day_rate(daily(spark, sf_dir), ["series"], "tmax", 45)
+
+
+@register(_rate_sql("tmin", 20, 358))
+def tropical_nights(spark, sf_dir):
+    return indices.day_rate(daily(spark, sf_dir), ["series"], "tmin", 20, min_days=358)
+
+
+@register(_rate_sql("precip", 60000, 350))
+def heavy_rain_days(spark, sf_dir):
+    return indices.day_rate(daily(spark, sf_dir), ["series"], "precip", 60000)
+
+
+_INDEX_SQL = f"""with {DAILY},
+y as (select series, year(day) as yr, count(tmax) as n_tmax, count(tmin) as n_tmin, count(precip) as n_precip, count(tmax + tmin) as n_mean,
+  count(*) filter (where tmax >= 30) as hot30, count(*) filter (where tmax >= 35) as hot35, count(*) filter (where tmin >= 20) as tropical, count(*) filter (where precip >= 40) as wet40,
+  sum(greatest(0.0::double, (tmax + tmin) / 2 - 18.0::double)) filter (where tmax is not null and tmin is not null) as cdd,
+  count(tmax) filter (where month(day) between 6 and 8) as n_summer, avg(tmax) filter (where month(day) between 6 and 8) as summer,
+  max(precip) as wettest from daily group by all),
+l(layer, a, b) as (values ('early', 1996, 1998), ('late', 1997, 2000)),
+g as (select series, layer, {_up1('avg(hot30::double) filter (where n_tmax >= 350)')} as days30, {_up1('avg(hot35::double) filter (where n_tmax >= 350)')} as days35,
+  {_up1('avg(tropical::double) filter (where n_tmin >= 350)')} as tropical_nights, {_up1('avg(wet40::double) filter (where n_precip >= 350)')} as rain40,
+  {_up1('avg(cdd) filter (where n_mean >= 350)')} as cdd18, {_up1('avg(summer) filter (where n_summer >= 85)')} as summer_tmax,
+  count(*) filter (where n_summer >= 85) as summers, max(wettest) as wettest from y join l on yr between a and b group by all),
+w as (select g.series, g.layer, min(day) as rx1day_date from g join l on g.layer = l.layer join daily d on d.series = g.series and year(d.day) between l.a and l.b and d.precip = g.wettest group by all)"""
+
+
+@register(f"""{_INDEX_SQL} select g.series, g.layer, days30, days35, tropical_nights, rain40, null::double as gust100, cdd18, summer_tmax, summers, {_up1('wettest')} as rx1day, strftime(rx1day_date, '%Y-%m-%d') as rx1day_date
+from g join w on g.series = w.series and g.layer = w.layer""")
+def layer_indices(spark, sf_dir):
+    rows = indices.layer_indices(indices.yearly(daily(spark, sf_dir), ["series"]), ["series"], LAYER_YEARS)
+    return rows.withColumn("rx1day_date", F.col("rx1day_date").cast("string"))
+
+
+@register(f"""{_INDEX_SQL} select series, layer, case when layer <> 'early' or summers >= 4 then cdd18 end as cdd18, case when layer <> 'early' or summers >= 4 then summer_tmax end as summer_tmax, summers from g""")
+def gated_layers(spark, sf_dir):
+    rows = layer_indices(spark, sf_dir)
+    return indices.gate_layer(rows, "early", ["cdd18", "summer_tmax"], least=4).select("series", "layer", "cdd18", "summer_tmax", "summers")
+
+
+def _spell_sql(place: str, threshold: int) -> str:
+    return f"""with {DAILY}, r as (select *, year(day) as yr, {place} as place from daily),
+a as (select series, yr, day, place - row_number() over (partition by series order by day) as run, place - row_number() over (partition by series, yr order by day) as yrun from r where tmax >= {threshold}),
+v as (select series, yr, count(tmax) as valid from r group by all),
+py as (select series, yr, max(n) as longest from (select series, yr, yrun, count(*) as n from a group by all) group by all),
+ab as (select series, max(n) as longest from (select series, run, count(*) as n from a group by all) group by all),
+m as (select v.series, avg(coalesce(py.longest, 0)::double) as mean_longest, count(*) as years from v left join py on v.series = py.series and v.yr = py.yr where valid >= 350 group by all)
+select m.series, coalesce(ab.longest, 0) as longest, round(mean_longest, 9) as mean_longest, years from m left join ab on m.series = ab.series"""
+
+
+@register(_spell_sql("row_number() over (partition by series order by day)", 48))
+def longest_spells(spark, sf_dir):
+    return indices.longest_spells(daily(spark, sf_dir), ["series"], "tmax", 48).withColumn("mean_longest", F.round("mean_longest", 9))
+
+
+@register(_spell_sql("date_diff('day', date '1970-01-01', day)", 45))
+def longest_calendar_spells(spark, sf_dir):
+    return indices.longest_spells(daily(spark, sf_dir), ["series"], "tmax", 45, calendar=True).withColumn("mean_longest", F.round("mean_longest", 9))
+
+
+@register("""with r as (select l_suppkey % 5 as series, l_orderkey as pos, min(cast(l_shipdate as date)) as day from lineitem group by 1, 2),
+b as (select *, lag(day) over (partition by series order by pos) as before from r)
+select series, case when before = day then 'duplicate day' else 'not ascending' end as problem, count(*) as n from b where before >= day group by all""")
+def series_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("series"), F.col("l_orderkey").alias("pos")).agg(F.min(F.col("l_shipdate").cast("date")).alias("day"))
+    return indices.row_violations(rows, "series", "day", "pos").groupBy("series", "problem").agg(F.count("*").alias("n"))
+
+
+# --- grid -------------------------------------------------------------------------------------
+
+
+@register("""with h as (select user_id % 4 as node, cast(ts + interval 1 hour as date) as day, case when isnan(value::double) then null else value::double end as v from events)
+select node, strftime(day, '%Y-%m-%d') as day, max(v) as tmax, min(v) as tmin from h group by all""")
+def hourly_to_daily(spark, sf_dir):
+    hours = table(spark, sf_dir, "events").withColumn("node", F.col("user_id") % 4).withColumn("value", F.col("value").cast("double"))
+    return grid.hourly_to_daily(hours, value="value").withColumn("day", F.col("day").cast("string"))
+
+
+@register("""select yr as year from (select distinct year(o_orderdate) as yr, month(o_orderdate) as m from orders) group by yr having count(*) = 12""")
+def complete_years(spark, sf_dir):
+    return grid.complete_years(table(spark, sf_dir, "orders"), ts="o_orderdate")
+
+
+_CORNERS = f"""{PLACES}, {NODES},
+ij as (select insee, elevation_m, greatest(0, least(89, floor((lat - 51.0::double) / -0.1::double))) as i, greatest(0, least(79, floor((lon - -1.0::double) / 0.1::double))) as j,
+  (lat - 51.0::double) / -0.1::double as y, (lon - -1.0::double) / 0.1::double as x from places),
+f as (select *, greatest(0.0::double, least(1.0::double, y - i)) as fi, greatest(0.0::double, least(1.0::double, x - j)) as fj from ij),
+c as (select insee, elevation_m, ((i + a) * 81 + j + b)::bigint as node, (case when a = 1 then fi else 1 - fi end) * (case when b = 1 then fj else 1 - fj end) as w from f, (values (0, 0), (0, 1), (1, 0), (1, 1)) t(a, b)),
+cn as (select c.*, is_land, elev, value from c join nodes using (node)),
+tot as (select insee, sum(w) filter (where is_land) as total, not bool_and(is_land) as coastal from cn group by insee),
+wt as (select cn.insee, cn.elevation_m, node, w / total as w, elev, value, coastal from cn join tot using (insee) where is_land and total > 0)"""
+
+
+def _weights(spark, sf_dir):
+    return grid.corner_weights(places(spark, sf_dir), nodes(spark, sf_dir), AXES, "insee")
+
+
+@register(f"""with {_CORNERS}, g as (select insee, elevation_m, sum(w * elev) as grid_m, bool_or(coastal) as coastal, count(*) as corners from wt group by all)
+select insee, round(grid_m, 6) as grid_m, round(coalesce(elevation_m, grid_m) - grid_m, 6) as difference_m, coastal, abs(coalesce(elevation_m, grid_m) - grid_m) <= 200 as confident from g""")
+def grid_elevations(spark, sf_dir):
+    rows = grid.place_elevations(_weights(spark, sf_dir), places(spark, sf_dir), "insee", "elevation_m")
+    return rows.select("insee", F.round("grid_m", 6).alias("grid_m"), F.round("difference_m", 6).alias("difference_m"), "coastal", climate.elevation_confident(F.col("place_m"), F.col("grid_m")).alias("confident"))
+
+
+@register(f"""with {_CORNERS}, d(day, k) as (values (date '2020-07-01', 0), (date '2020-07-02', 1), (date '2020-07-03', 2)),
+m as (select insee, elevation_m, day, sum(w * (250 + (value + k * 7) / 50)) as hot, sum(w * (245 + (value + k * 7) / 60)) as cold, sum(w * elev) as grid_m from wt, d where w > 0 group by all),
+r as (select insee, strftime(day, '%Y-%m-%d') as day, round(((hot - 273.15::double)::float::double) + (elevation_m - grid_m) * -0.0065::double, 2) as x, round(((cold - 273.15::double)::float::double) + (elevation_m - grid_m) * -0.003::double, 2) as y from m)
+select insee, day, case when x = 0 then 0.0::double else x end as tmax, case when y = 0 then 0.0::double else y end as tmin from r""")
+def downscaled_days(spark, sf_dir):
+    days = nodes(spark, sf_dir).select("node", "value", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    at = F.date_add(F.lit("2020-07-01").cast("date"), F.col("k"))
+    daily_grid = days.select("node", at.alias("day"), (250 + (F.col("value") + F.col("k") * 7) / 50).alias("tmax"), (245 + (F.col("value") + F.col("k") * 7) / 60).alias("tmin"))
+    weights = _weights(spark, sf_dir)
+    rows = grid.downscale(daily_grid, weights, grid.place_elevations(weights, places(spark, sf_dir), "insee", "elevation_m"), "insee")
+    return rows.select("insee", F.col("day").cast("string").alias("day"), *[F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c) for c in ("tmax", "tmin")])  # -0.0 is 0.0
+
+
+@register(f"""with {NODES}, m as (select node % 3 as file, avg(270 + value / 100 - 273.15::double) as mean_c from nodes where is_land group by 1) select file, round(mean_c, 6) as mean_c, case when mean_c > 12 then 'tmax' else 'tmin' end as kind from m""")
+def grid_qc(spark, sf_dir):
+    rows = nodes(spark, sf_dir).select((F.col("node") % 3).alias("file"), F.lit("2020-07-15").cast("date").alias("day"), (270 + F.col("value") / 100).alias("v"), "is_land")
+    return grid.grid_qc(rows, "file", "day", "v", F.col("is_land"), limit_c=12.0).withColumn("mean_c", F.round("mean_c", 6))
+
+
+@register(f"""with {PLACES}, {NODES}, n as (select insee, (floor((lat - 51.0::double) / -0.1::double + 0.5::double) * 81 + floor((lon + 1.0::double) / 0.1::double + 0.5::double))::bigint as node from places)
+select insee, node, value from n join nodes using (node)""")
+def nearest_nodes(spark, sf_dir):
+    at = places(spark, sf_dir).select("insee", grid.nearest_node(F.col("lat"), F.col("lon"), AXES).cast("long").alias("node"))
+    return at.join(nodes(spark, sf_dir).select("node", "value"), "node").select("insee", "node", "value")
+
+
+@register("""select o_custkey as place, round((a + (b - a) * fx) + ((c + (d - c) * fx) - (a + (b - a) * fx)) * fy, 6) as v from
+(select o_custkey, min(o_totalprice)::double as a, max(o_totalprice)::double as b, avg(o_totalprice)::double as c, sum(o_totalprice)::double as d, (o_custkey % 11)::double / 10.0::double as fx, (o_custkey % 6)::double / 5.0::double as fy from orders group by o_custkey)""")
+def bilinear_means(spark, sf_dir):
+    p = F.col("o_totalprice").cast("double")
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(p).alias("a"), F.max(p).alias("b"), F.avg(p).alias("c"), F.sum(p).alias("d"))
+    fx, fy = (F.col("o_custkey") % 11).cast("double") / 10.0, (F.col("o_custkey") % 6).cast("double") / 5.0
+    return rows.select(F.col("o_custkey").alias("place"), F.round(climate.bilinear(F.col("a"), F.col("b"), F.col("c"), F.col("d"), fx, fy), 6).alias("v"))
+
+
+# --- ranks and scores -------------------------------------------------------------------------
+
+
+def _pct_sql(value: str, source: str) -> str:
+    return f"""case when {value} is null then null when count({value}) over () <= 1 then 50.0::double
+      else ((rank() over (order by {value}) - 1 + (count(*) over (partition by {value}) - 1) / 2.0::double) / (count({value}) over () - 1)) * 100 end"""
+
+
+_RANKED = f"""ranked as (select p_partkey, {_pct_sql('price', 'b')} as price_pct, {_pct_sql('size', 'b')} as size_pct from (select p_partkey, p_retailprice::double as price, p_size::double as size from part)),
+nulled as (select p_partkey, nullif(p_size, 7)::double as v from part), filled as (select p_partkey, {_pct_sql('v', 'n')} as v_pct from nulled where v is not null)"""
+
+
+@register(f"with {_RANKED} select r.p_partkey, round(price_pct, 9) as price_pct, round(size_pct, 9) as size_pct, round(v_pct, 9) as v_pct from ranked r left join filled s on r.p_partkey = s.p_partkey")
+def percentile_ranks(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), F.expr("nullif(p_size, 7)").alias("v"))
+    ranks = normalise.rank_columns(part, "p_partkey", ["price", "size", "v"])
+    return ranks.select("p_partkey", *[F.round(f"{c}_pct", 9).alias(f"{c}_pct") for c in ("price", "size", "v")])
+
+
+@register("select p_size, quantile_cont(p_retailprice::double, 0.01::double) as q0, quantile_cont(p_retailprice::double, 0.5::double) as q1, quantile_cont(p_retailprice::double, 0.99::double) as q2 from part group by p_size")
+def quantiles(spark, sf_dir):
+    return normalise.quantiles(table(spark, sf_dir, "part"), "p_retailprice", (0.01, 0.5, 0.99), ["p_size"])
+
+
+@register("""select c_custkey, round(least(hi, greatest(lo, c_acctbal::double)), 6) as winsorised from customer, (select quantile_cont(c_acctbal::double, 0.05::double) as lo, quantile_cont(c_acctbal::double, 0.95::double) as hi from customer)""")
+def winsorised(spark, sf_dir):
+    return normalise.winsorise(table(spark, sf_dir, "customer"), "c_acctbal", 0.05, 0.95).select("c_custkey", F.round("winsorised", 6).alias("winsorised"))
+
+
+@register(f"""with {_RANKED}, b as (select r.p_partkey, price_pct as b1, size_pct as b2, v_pct as b3 from ranked r left join filled s on r.p_partkey = s.p_partkey),
+u as (select p_partkey, b1, b2, b3, case when b1 is not null then 3.0::double else 0 end + case when b2 is not null then 1.0::double else 0 end + case when b3 is not null then 4.0::double else 0 end as used,
+  coalesce(b1 * 3, 0) + coalesce(b2 * 1, 0) + coalesce(b3 * 4, 0) as s from b)
+select p_partkey, case when used / 8 >= 0.6::double and used > 0 then round(100 - s / used, 6) end as score, round(used / 8, 9) as coverage, coalesce(b3 > 95, false) or b1 > 98 as gated, floor((b1 + b3) / 2 + 0.5::double) as heat from u""")
+def composite_scores(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), F.expr("nullif(p_size, 7)").alias("v"))
+    r = normalise.rank_columns(part, "p_partkey", ["price", "size", "v"])
+    subs = F.array(*[F.struct(F.col(f"{c}_pct").alias("burden"), F.lit(w).alias("weight")) for c, w in (("price", 3.0), ("size", 1.0), ("v", 4.0))])
+    out = r.withColumn("s", scores.composite_score(subs))
+    return out.select(
+        "p_partkey", F.round("s.score", 6).alias("score"), F.round("s.coverage", 9).alias("coverage"),
+        scores.gated(F.col("v_pct") > 95, F.col("price_pct") > 98).alias("gated"), scores.heat_index(F.col("price_pct"), F.col("v_pct")).alias("heat"),
+    )
+
+
+@register(f"""with {PLACES}, o as (select dept, max_by(insee, (summer_tmax, insee)) as okey, max(summer_tmax) as osum from places group by dept)
+select insee, round(summer_tmax - osum, 6) as delta, case when summer_tmax - osum >= 0 then '+' else '-' end || printf('%.1f', abs(summer_tmax - osum)) as delta_text,
+  case when insee = okey then null when abs(summer_tmax - osum) < 0.5 then 'similar' when summer_tmax - osum <= -2 then 'clearly cooler' when summer_tmax - osum < 0 then 'cooler' when summer_tmax - osum >= 2 then 'clearly warmer' else 'warmer' end as band,
+  (case when summer_tmax >= 21 then 1 else 0 end + case when summer_tmax >= 24 then 1 else 0 end + case when summer_tmax >= 26.5 then 1 else 0 end + case when summer_tmax >= 29 then 1 else 0 end + case when summer_tmax >= 32 then 1 else 0 end) as heat_class
+from places join o using (dept)""")
+def tie_bands(spark, sf_dir):
+    p = places(spark, sf_dir)
+    o = p.groupBy("dept").agg(F.max(F.struct("summer_tmax", "insee")).alias("o"))
+    s = F.col("summer_tmax")
+    rows = p.join(o, "dept").select("insee", s, F.col("o.summer_tmax").alias("osum"), F.col("o.insee").alias("okey"))
+    return rows.select(
+        "insee", F.round(s - F.col("osum"), 6).alias("delta"), explore.delta_text(s, F.col("osum")).alias("delta_text"),
+        labels.tie_band(s, F.col("osum"), F.col("insee") == F.col("okey")).alias("band"), labels.heat_class(s).alias("heat_class"),
+    )
+
+
+@register("""with b as (select p_partkey, p_size::double as x, p_retailprice::double as y from part),
+w(variant, wx, wy) as (values (0, 2.0::double, 1.0::double), (1, 2.0::double * 0.8::double, 1.0::double), (2, 2.0::double * 1.2::double, 1.0::double), (3, 2.0::double, 0.8::double), (4, 2.0::double, 1.2::double)),
+s as (select p_partkey, variant, round(x * (wx / (wx + wy)) + y * (wy / (wx + wy)), 6) as score from b, w), r as (select *, rank() over (partition by variant order by score) as rk from s)
+select p_partkey, max(rk) filter (where variant = 0) as rank, min(rk) as best, max(rk) as worst, min(rk) <> max(rk) as flips from r group by p_partkey""")
+def weight_sensitivity(spark, sf_dir):
+    return extras.weight_sensitivity(table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"], [2.0, 1.0])
+
+
+# --- hazards and services ---------------------------------------------------------------------
+
+_FLOOD = ("1-URGENT", "2-HIGH")
+_COUNTS = f"""{DECREES}, u as (select distinct id, place, label, date from decrees),
+counts as (select place, count(*) filter (where label in ('1-URGENT', '2-HIGH')) as floods, count(*) filter (where label in ('1-URGENT', '2-HIGH') and date >= '2000-01-01') as floods_2000,
+  max(date) filter (where label in ('1-URGENT', '2-HIGH')) as last_flood, count(*) filter (where label = '3-MEDIUM') as waves, count(*) filter (where label = '5-LOW') as droughts from u group by place)"""
+
+
+def _counts(spark, sf_dir):
+    return hazards.decree_counts(decrees(spark, sf_dir), "id", "place", "label", "date", _FLOOD, "3-MEDIUM", "5-LOW")
+
+
+@register(f"with {_COUNTS} select * from counts")
+def decree_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+_REGISTER = f"""{_COUNTS}, plans as (select o_custkey as place, case max(case o_orderstatus when 'F' then 2 when 'P' then 1 end) when 2 then 'approved' when 1 then 'prescribed' end as plan
+  from orders where o_orderpriority <> '5-LOW' group by 1),
+flags as (select o_custkey as place, bool_or(o_orderpriority = '1-URGENT') as wildfire, bool_or(o_totalprice > 300000) as clay from orders group by 1 having bool_or(o_orderpriority = '1-URGENT') or bool_or(o_totalprice > 300000)),
+ids as (select place from counts union select place from plans union select place from flags),
+register as (select place, coalesce(floods, 0) as floods, coalesce(floods_2000, 0) as floods_2000, last_flood, coalesce(waves, 0) as waves, coalesce(droughts, 0) as droughts, plan, coalesce(wildfire, false) as wildfire, coalesce(clay, false) as clay
+  from ids left join counts using (place) left join plans using (place) left join flags using (place))"""
+
+
+def _register(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "Approuvé").when(F.col("o_orderstatus") == "P", "Prescrit").otherwise("Autre")
+    risk = F.when(F.col("o_orderpriority") != "5-LOW", "Inondation").otherwise("Séisme")
+    plans = hazards.plan_states(orders.select("o_custkey", risk.alias("r1"), F.lit(None).cast("string").alias("r2"), F.lit("").alias("r3"), state.alias("state")), "o_custkey", ["r1", "r2", "r3"], "state")
+    flags = hazards.presence(orders, "o_custkey", wildfire=F.col("o_orderpriority") == "1-URGENT", clay=F.col("o_totalprice") > 300000)
+    return hazards.merge_registers(_counts(spark, sf_dir), plans, flags)
+
+
+@register(f"with {_REGISTER} select * from register")
+def hazard_register(spark, sf_dir):
+    return _register(spark, sf_dir)
+
+
+@register(f"with {_COUNTS}, c as (select lpad(place::varchar, 5, '0') as insee, floods from counts), d as (select case when insee like '97%' then substr(insee, 1, 3) else substr(insee, 1, 2) end as dept, sum(floods)::bigint as floods, count(*) as places from c group by 1 having count(*) >= 10) select *, floods / places::double as rate from d order by rate desc, dept limit 5")
+def flood_rates(spark, sf_dir):
+    rows = _counts(spark, sf_dir).select(F.lpad(F.col("place").cast("string"), 5, "0").alias("place"), "floods")
+    return hazards.flood_rates(rows, least=10)
+
+
+@register(f"with {_COUNTS} select place, round(floods / 44.0::double, 9) as floods_per_year from counts")
+def yearly_flood_rate(spark, sf_dir):
+    return hazards.yearly_flood_rate(_counts(spark, sf_dir), 2025).select("place", F.round("floods_per_year", 9).alias("floods_per_year"))
+
+
+@register(f"""with {_REGISTER} select place, coalesce(nullif(concat_ws(', ', case plan when 'approved' then 'plan approved' when 'prescribed' then 'plan prescribed' end, case when wildfire then 'wildfire' end, case when clay then 'clay' end), ''), 'none') as badges from register""")
+def hazard_badges(spark, sf_dir):
+    plan = F.col("plan")
+    return _register(spark, sf_dir).select("place", labels.label_list((plan == "approved", "plan approved"), (plan == "prescribed", "plan prescribed"), (F.col("wildfire"), "wildfire"), (F.col("clay"), "clay")).alias("badges"))
+
+
+def _codes(spark, sf_dir):
+    types = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").limit(6).collect()]
+    return {"hospital": types[0:2], "gp": types[2:4], "station": types[4:5]}
+
+
+_FACILITIES = """t as (select p_type, row_number() over (order by p_type) as i from (select distinct p_type from part)), k as (select p_type, case when i <= 2 then 'hospital' when i <= 4 then 'gp' when i = 5 then 'station' end as service from t),
+f as (select l_suppkey as place, service from lineitem join part on p_partkey = l_partkey join k using (p_type) where service is not null),
+services as (select place, nullif(count(*) filter (where service = 'hospital'), 0) as hospital, nullif(count(*) filter (where service = 'gp'), 0) as gp, nullif(count(*) filter (where service = 'station'), 0) as station from f group by place)"""
+
+
+def _services(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    return livability.facility_counts(rows, "l_suppkey", "p_type", _codes(spark, sf_dir))
+
+
+@register(f"with {_FACILITIES} select * from services")
+def facility_counts(spark, sf_dir):
+    return _services(spark, sf_dir)
+
+
+@register(f"with {_FACILITIES} select count(*) as places, count(*) filter (where hospital > 0) as with_hospital, count(*) filter (where station > 0) as with_station from services")
+def service_coverage(spark, sf_dir):
+    return livability.service_coverage(_services(spark, sf_dir))
+
+
+@register(f"""with {_FACILITIES} select place, coalesce(nullif(concat_ws(', ', case when hospital > 0 then 'hospital' end, case when gp > 1 then gp || ' doctors' when gp > 0 then gp || ' doctor' end, case when station > 0 then 'station' end), ''), 'none') as services from services""")
+def service_lists(spark, sf_dir):
+    gp = F.col("gp")
+    doctors = F.concat(gp.cast("string"), F.when(gp > 1, " doctors").otherwise(" doctor"))
+    return _services(spark, sf_dir).select("place", labels.label_list((F.col("hospital") > 0, "hospital"), (gp > 0, doctors), (F.col("station") > 0, "station")).alias("services"))
+
+
+@register("""with n as (select o_custkey as place, year(o_orderdate) as y, count(*) as n from orders where year(o_orderdate) in (1996, 2000) group by all)
+select a.place, round((pow(b.n::double / a.n, 0.25::double) - 1) * 100, 2) as trend_pct from n a join n b on a.place = b.place and a.y = 1996 and b.y = 2000""")
+def population_trend(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("codgeo"), F.year("o_orderdate").cast("string").alias("annee_rp")).agg(F.count("*").alias("pmun"))
+    return livability.population_trend(counts, first="1996", last="2000")
+
+
+# --- referential ------------------------------------------------------------------------------
+
+
+def _raw_places(spark, sf_dir):
+    k = F.col("c_custkey")
+    point = lambda lat, lon: F.struct(F.lit("Point").alias("type"), F.array(lon.cast("double"), lat.cast("double")).alias("coordinates"))
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("nom"), F.lpad(k.cast("string"), 6, "0").alias("code"), F.col("c_nationkey").cast("string").alias("codeDepartement"),
+        F.when(k % 4 != 0, F.col("c_mktsegment")).alias("codeEpci"), F.floor(F.abs("c_acctbal")).alias("population"),
+        F.when(k % 11 != 0, point(k % 90, k % 80)).alias("centre"), F.when(k % 3 != 0, point(k % 90 + 0.5, k % 80 + 0.25)).alias("mairie"),
+    )
+
+
+_RAW = """raw as (select c_name as name, lpad(c_custkey::varchar, 6, '0') as insee, c_nationkey::varchar as dept, case when c_custkey % 4 <> 0 then c_mktsegment end as epci, floor(abs(c_acctbal))::bigint as population,
+  case when c_custkey % 3 <> 0 then (c_custkey % 90 + 0.5)::double when c_custkey % 11 <> 0 then (c_custkey % 90)::double end as lat,
+  case when c_custkey % 3 <> 0 then (c_custkey % 80 + 0.25)::double when c_custkey % 11 <> 0 then (c_custkey % 80)::double end as lon,
+  case when c_custkey % 3 <> 0 then 'mairie' when c_custkey % 11 <> 0 then 'centre' end as coord_source from customer),
+heights as (select (s_suppkey % 90 + 0.5)::double as lat, (s_suppkey % 80 + 0.25)::double as lon, min(s_suppkey)::double as height from supplier group by 1, 2)"""
+
+
+def _heights(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").groupBy((k % 90 + 0.5).cast("double").alias("lat"), (k % 80 + 0.25).cast("double").alias("lon")).agg(F.min(k).cast("double").alias("height"))
+
+
+@register(f"with {_RAW} select r.*, h.height as elevation_m from raw r left join heights h on r.lat = h.lat and r.lon = h.lon where coord_source is not null")
+def referential_ingest(spark, sf_dir):
+    return referential.attach_elevation(referential.ingest(_raw_places(spark, sf_dir)), _heights(spark, sf_dir))
+
+
+@register(f"with {_RAW}, j as (select r.*, h.height from raw r left join heights h on r.lat = h.lat and r.lon = h.lon) select count(*) filter (where coord_source is not null) as places, count(*) filter (where coord_source = 'centre') as centre_fallbacks, count(*) filter (where coord_source is null) as without_point, count(*) filter (where coord_source is not null and height is null) as without_elevation from j")
+def ingest_counts(spark, sf_dir):
+    return referential.ingest_counts(referential.attach_elevation(referential.to_places(_raw_places(spark, sf_dir)), _heights(spark, sf_dir)))
+
+
+@register(f"with {PLACES}, m as (select 'pilot' as mode, insee from places where dept in (3, 5, 8) union all select 'dept' as mode, insee from places where dept = 7 union all select 'all', insee from places) select mode, count(*) as n, min(insee) as first from m group by mode")
+def target_modes(spark, sf_dir):
+    p = places(spark, sf_dir).withColumn("dept", F.col("dept").cast("string"))
+    out = None
+    for mode in ("pilot", "dept:7", "all"):
+        rows = referential.select_targets(p, mode, ["3", "5", "8"]).select(F.lit(mode.split(":")[0]).alias("mode"), "insee")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("mode").agg(F.count("*").alias("n"), F.min("insee").alias("first"))
+
+
+@register(f"with {PLACES}, n as (select *, 'name ' || (insee::bigint % 97) as nm from places) select nm as name, insee from n qualify row_number() over (partition by nm order by case when dept in (3, 5, 8) then 0 else 1 end, coalesce(population, 0) desc, insee) = 1")
+def best_per_name(spark, sf_dir):
+    named = places(spark, sf_dir).withColumn("name", F.concat(F.lit("name "), (F.col("insee").cast("long") % 97).cast("string")))
+    return referential.best_per_name(named, [3, 5, 8]).select("name", "insee")
+
+
+# --- dataset ----------------------------------------------------------------------------------
+
+_METRICS = """metrics as (select lpad(o_custkey::varchar, 6, '0') as insee, count(distinct year(o_orderdate)) as summers, floor(avg(o_totalprice::double) / 1000 * 10 + 0.5) / 10 as summer_tmax,
+  (o_custkey % 900)::double as cdd18, case when o_custkey % 13 <> 0 then (o_custkey % 50)::double end as tropical_nights from orders group by o_custkey)"""
+
+
+def _metrics(spark, sf_dir):
+    k = F.col("o_custkey")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_distinct(F.year("o_orderdate")).alias("summers"), labels.round_up(F.avg(F.col("o_totalprice").cast("double")) / 1000, 1).alias("summer_tmax")).select(
+        F.lpad(k.cast("string"), 6, "0").alias("insee"), "summers", "summer_tmax", (k % 900).cast("double").alias("cdd18"), F.when(k % 13 != 0, (k % 50).cast("double")).alias("tropical_nights")
+    )
+
+
+@register(f"with {PLACES}, {_METRICS} select insee, summers, p.known is not null and summers >= 3 and summer_tmax is not null as kept from metrics left join (select insee, 1 as known from places where dept <> 4) p using (insee)")
+def coverage_gate(spark, sf_dir):
+    return dataset.gate_places(_metrics(spark, sf_dir), places(spark, sf_dir).filter("dept != 4"), least=3).select("insee", "summers", "kept")
+
+
+_SET = f"""{PLACES}, {_METRICS}, {_COUNTS}, {_FACILITIES},
+hz as (select lpad(place::varchar, 6, '0') as insee, floods, floods_2000, last_flood from counts), sv as (select lpad(place::varchar, 6, '0') as insee, hospital, gp, station from services),
+kept as (select m.insee, summers, summer_tmax, cdd18, tropical_nights, p.dept, p.population, coalesce(floods, 0) as floods, coalesce(floods_2000, 0) as floods_2000, last_flood,
+  coalesce(hospital, 0) > 0 as hosp, coalesce(sv.station, 0) > 0 as station, coalesce(gp, 0) as gp
+  from metrics m join (select insee, dept, population from places where dept <> 4) p using (insee) left join hz using (insee) left join sv using (insee) where summers >= 3 and summer_tmax is not null),
+c as (select insee, {_pct_sql('cdd18', 'k')} as a, {_pct_sql('floods', 'k')} as f from kept), tn as (select insee, {_pct_sql('tropical_nights', 'k')} as b from kept where tropical_nights is not null),
+dataset as (select kept.*, floor((a + b) / 2 + 0.5::double) as heat_pct, floor(f + 0.5::double) as flood_pct from kept join c using (insee) left join tn using (insee))"""
+
+
+def _dataset(spark, sf_dir):
+    base = places(spark, sf_dir).filter("dept != 4").select("insee", "dept", "population")
+    kept = dataset.gate_places(_metrics(spark, sf_dir), base, least=3).filter("kept").drop("kept")
+    pad = lambda df: df.withColumn("place", F.lpad(F.col("place").cast("string"), 6, "0"))
+    hz = pad(_counts(spark, sf_dir)).select("place", "floods", "floods_2000", "last_flood")
+    return dataset.with_percentiles(dataset.assemble(kept, base, hz, pad(_services(spark, sf_dir))))
+
+
+@register(f"with {_SET} select * from dataset")
+def ranked_dataset(spark, sf_dir):
+    return _dataset(spark, sf_dir)
+
+
+@register(f"with {_SET} select '2026-01-01' as generated_at, 'grid' as model, 'registers' as source, count(*) as places from dataset")
+def dataset_meta(spark, sf_dir):
+    return dataset.dataset_meta(_dataset(spark, sf_dir), "2026-01-01", "grid", "registers")
+
+
+# --- explore ----------------------------------------------------------------------------------
+
+
+@register(f"with {PLACES}, b(least) as (values (0), (1000), (5000), (-1)) select least, count(*) as n, min(insee) as first from places, b where case when least = -1 then hosp and station else coalesce(population, 0) >= least end group by least")
+def presets(spark, sf_dir):
+    rows = places(spark, sf_dir).withColumn("least", F.explode(F.array(*[F.lit(x) for x in (0, 1000, 5000, -1)])))
+    return rows.filter(explore.passes_preset(F.col("population"), F.col("hosp"), F.col("station"), F.col("least"))).groupBy("least").agg(F.count("*").alias("n"), F.min("insee").alias("first"))
+
+
+@register(f"with {PLACES}, b(band, min_zoom, max_zoom, least) as (values ('z0', 0.0::double, 7.0::double, 5000), ('z1', 7.0::double, 8.5::double, 1000), ('z2', 8.5::double, 24.0::double, 0)) select insee, band, min_zoom, max_zoom from places, b where coalesce(population, 0) >= least")
+def zoom_bands(spark, sf_dir):
+    return explore.zoom_rows(places(spark, sf_dir)).select("insee", "band", "min_zoom", "max_zoom")
+
+
+@register(f"with {PLACES} select insee, round({_km('lat', 'lon', '45.5::double', '3.25::double')}, 6) as km from places where {_km('lat', 'lon', '45.5::double', '3.25::double')} <= 150")
+def radius_filter(spark, sf_dir):
+    return near.places_in_radius(places(spark, sf_dir), 45.5, 3.25, 150.0).select("insee", F.round("km", 6).alias("km"))
+
+
+@register(f"with {PLACES} select insee from places where lat between 45.5::double - 100 / 111.32::double and 45.5::double + 100 / 111.32::double and lon between 3.25::double - 100 / 111.32::double / greatest(cos(radians(45.5::double)), 1e-9::double) and 3.25::double + 100 / 111.32::double / greatest(cos(radians(45.5::double)), 1e-9::double)")
+def bbox_filter(spark, sf_dir):
+    return places(spark, sf_dir).filter(geo.in_bbox(F.col("lat"), F.col("lon"), F.lit(45.5), F.lit(3.25), F.lit(100.0))).select("insee")
+
+
+@register(f"with {PLACES} select insee, name, population from places where starts_with(lower(strip_accents(name)), 'customer#000000') order by coalesce(population, 0) desc, insee limit 8")
+def name_search(spark, sf_dir):
+    return explore.find_names(places(spark, sf_dir), " Customer#000000 ").select("insee", "name", "population")
+
+
+@register("select doc_id, translate(lower(substr(text, 1, 200)), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') as plain from documents where lang in ('fr', 'de', 'es')")
+def plain_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de", "es")).select("doc_id", labels.plain(F.substring("text", 1, 200)).alias("plain"))
+
+
+_LINKS = """links as (select page_id, 'https://x.example/?o=' || lpad((page_id % 1500)::varchar, 6, '0') || '&r=' || case page_id % 5 when 0 then '10' when 1 then '' when 2 then 'NaN' when 3 then '80' else '300.5' end || '&p=' || case page_id % 4 when 0 then '-1' when 1 then '-7' when 2 then '5000' else 'x' end as url from pages),
+parsed as (select page_id, lpad((page_id % 1500)::varchar, 6, '0') as origin, case page_id % 5 when 3 then 80.0::double when 4 then 300.5::double else 150.0::double end as km, case page_id % 4 when 0 then -1.0::double when 2 then 5000.0::double else 1000.0::double end as people from links)"""
+
+
+def _links(spark, sf_dir):
+    k = F.col("page_id")
+    r = F.when(k % 5 == 0, "10").when(k % 5 == 1, "").when(k % 5 == 2, "NaN").when(k % 5 == 3, "80").otherwise("300.5")
+    p = F.when(k % 4 == 0, "-1").when(k % 4 == 1, "-7").when(k % 4 == 2, "5000").otherwise("x")
+    url = F.concat(F.lit("https://x.example/?o="), F.lpad((k % 1500).cast("string"), 6, "0"), F.lit("&r="), r, F.lit("&p="), p)
+    return explore.parse_permalinks(table(spark, sf_dir, "pages").select("page_id", url.alias("url")))
+
+
+@register(f"with {_LINKS} select page_id, origin, km, people from parsed")
+def permalinks(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "origin", "km", "people")
+
+
+@register(f"""with {PLACES}, {_LINKS}, s as (select page_id, case page_id % 3 when 0 then 20.0::double else km / 3 end as km, people, origin from parsed where page_id % 8 < 7),
+first as (select insee as k, lat as la, lon as lo, summer_tmax as su from places order by summer_tmax desc nulls last, insee limit 1),
+o as (select page_id, km, people, coalesce(p.insee, k) as okey, coalesce(p.lat, la) as olat, coalesce(p.lon, lo) as olon, coalesce(p.summer_tmax, su) as osum from s left join places p on p.insee = s.origin cross join first),
+j as (select page_id, okey, insee, {_km('olat', 'olon', 'lat', 'lon')} as km, summer_tmax, summer_tmax - osum as delta from o join places on abs(lat - olat) < 2 and {_km('olat', 'olon', 'lat', 'lon')} <= o.km
+  and case when people = -1 then hosp and station else coalesce(population, 0) >= people end),
+r as (select *, row_number() over (partition by page_id order by summer_tmax, insee) as rank from j)
+select page_id as search_id, okey as origin_key, rank::int as rank, insee, round(km, 6) as km, summer_tmax, round(delta, 6) as delta from r where rank <= 15""")
+def coolest_in_radius(spark, sf_dir):
+    links = _links(spark, sf_dir).filter("page_id % 8 < 7").withColumn("km", F.when(F.col("page_id") % 3 == 0, 20.0).otherwise(F.col("km") / 3))
+    p = places(spark, sf_dir)
+    found = explore.coolest(explore.attach_origins(links.withColumnRenamed("page_id", "search_id"), p), p)
+    return found.select("search_id", "origin_key", "rank", "insee", F.round("km", 6).alias("km"), "summer_tmax", F.round("delta", 6).alias("delta"))
+
+
+def cooler_places(spark: SparkSession, sf_dir: str, min_days: int = indices.MIN_DAYS) -> DataFrame:
+    """The thinnest run end to end: daily series to indices, ranks, and the coolest places around each origin."""
+    series = indices.layer_indices(indices.yearly(daily(spark, sf_dir), ["series"]), ["series"], {"recent": (1996, 2000)}, min_days, min_summer=20)
+    p = places(spark, sf_dir).drop("summer_tmax").withColumn("series", F.col("insee").cast("long") % 5).join(F.broadcast(series.select("series", "summer_tmax", "cdd18")), "series")  # a row per series
+    ranks = normalise.rank_columns(p.select("insee", "population", "cdd18"), "insee", ["population", "cdd18"])
+    searches = p.filter("insee like '%00'").select(F.col("insee").alias("search_id"), F.col("insee").alias("origin"), F.lit(150.0).alias("km"), F.lit(0.0).alias("people"))
+    found = explore.coolest(explore.attach_origins(searches, p), p)
+    return found.join(ranks, "insee").select("search_id", "rank", "insee", F.round("km", 3).alias("km"), "summer_tmax", F.round("delta", 3).alias("delta"), F.round("population_pct", 6).alias("population_pct"), F.round("cdd18_pct", 6).alias("cdd18_pct"))
+
+
+register()(cooler_places)
+
+
+@register(f"with {PLACES} select insee, summer_tmax from ((select insee, summer_tmax from places order by summer_tmax desc nulls last, insee limit 15) union all (select insee, summer_tmax from places order by summer_tmax asc, insee desc limit 15))")
+def spot_check(spark, sf_dir):
+    return explore.spot_check(places(spark, sf_dir).select("insee", "summer_tmax"))
+
+
+@register(f"""with {PLACES}, t as (select unnest(range(0, 73)) as i), r as (select insee, i, asin(sin(radians(lat)) * cos(30 / 6371.0088::double) + cos(radians(lat)) * sin(30 / 6371.0088::double) * cos(radians(i * 5.0::double))) as la, radians(lat) as a, radians(lon) as o, radians(i * 5.0::double) as th from places, t where dept = 3)
+select insee, i, round(degrees(la), 6) as ring_lat, round(degrees(o + atan2(sin(th) * sin(30 / 6371.0088::double) * cos(a), cos(30 / 6371.0088::double) - sin(a) * sin(la))), 6) as ring_lon from r""")
+def radius_rings(spark, sf_dir):
+    rows = places(spark, sf_dir).filter("dept = 3").select("insee", "lat", "lon", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(72).cast("long"))).alias("i"))
+    la, lo = geo.destination(F.col("lat"), F.col("lon"), F.lit(30.0), F.col("i") * 5.0)
+    return rows.select("insee", "i", F.round(la, 6).alias("ring_lat"), F.round(lo, 6).alias("ring_lon"))
+
+
+@register(f"with {PLACES} select insee, name, floor({_km('45.5::double', '3.25::double', 'lat', 'lon')} + 0.5)::bigint as distance_km, printf('%.1f', summer_tmax - 24.0::double) as delta, hosp::int as hosp, station::int as station from places where {_km('45.5::double', '3.25::double', 'lat', 'lon')} <= 200")
+def export_rows(spark, sf_dir):
+    none = {c: F.lit(None).cast("double") for c in ("tropical_nights", "days35", "cdd18", "heat_pct", "flood_pct")}
+    more = {"floods": F.lit(0), "last_flood": F.lit(None).cast("string"), "plan": F.lit(None).cast("string"), "wildfire": F.lit(False), "clay": F.lit(False), "coastal": F.lit(False)}
+    found = near.places_in_radius(places(spark, sf_dir), 45.5, 3.25, 200.0).withColumn("delta", F.col("summer_tmax") - 24.0).withColumns(none | more)
+    return explore.export_rows(found).select("insee", "name", "distance_km", "delta", "hosp", "station")
+
+
+@register(f"with {PLACES} select insee, case when {_km('45.5::double', '3.25::double', 'lat', 'lon')} <= 150 then 1 else 0 end as in_radius, lon, lat, population as pop from places")
+def point_features(spark, sf_dir):
+    inside = geo.haversine_km(F.lit(45.5), F.lit(3.25), F.col("lat"), F.col("lon")) <= 150
+    rows = explore.point_features(places(spark, sf_dir), inside)
+    read = F.from_json("feature", "geometry struct<coordinates: array<double>>, properties struct<pop: bigint, inRadius: int>")
+    return rows.select("insee", read.alias("f")).select("insee", F.col("f.properties.inRadius").alias("in_radius"), F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"), F.col("f.properties.pop").alias("pop"))
+
+
+# --- validation -------------------------------------------------------------------------------
+
+
+def _matches(spark, sf_dir, km):
+    cand = places(spark, sf_dir).select("insee", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"), F.col("elevation_m").alias("place_m"), "summer_tmax")
+    return validate.match_stations(stations(spark, sf_dir), cand, "station_id", "insee", km=km)
+
+
+def _match_sql(km: int) -> str:
+    dist = _km("s.lat", "s.lon", "p.lat", "p.lon")
+    return f"""matched as (select station_id, alti, insee, km, summer_tmax from (select s.station_id, s.alti, p.insee, p.summer_tmax, {dist} as km from stations s join places p on abs(s.lat - p.lat) < 0.5 and abs(p.elevation_m - s.alti) <= 150)
+  where km <= {km} qualify row_number() over (partition by station_id order by km, insee) = 1)"""
+
+
+@register(f"with {STATIONS}, {PLACES}, {_match_sql(25)} select station_id, insee, round(km, 6) as km from matched")
+def nearest_places(spark, sf_dir):
+    return _matches(spark, sf_dir, 25.0).select("station_id", "insee", F.round("km", 6).alias("km"))
+
+
+_AGG = """agg as (select l_suppkey as station_id, sum(l_quantity::double) filter (where month(l_shipdate) between 6 and 8) as summer_sum, count(l_quantity) filter (where month(l_shipdate) between 6 and 8) as summer_days,
+  count(*) filter (where l_discount >= 0.05) as tropical, count(l_discount) as nights from lineitem where l_shipdate between date '1996-01-01' and date '2000-12-31' group by 1)"""
+
+
+def _aggregates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("station_id"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").cast("double").alias("tx"), (F.when(F.col("l_discount") >= 0.05, 25.0).otherwise(10.0) + F.col("l_discount") * 0).alias("tn"))
+    about = stations(spark, sf_dir)
+    return validate.station_aggregates(rows.join(about, "station_id"), station="station_id", first="1996-01-01", last="2000-12-31")
+
+
+@register(f"with {STATIONS}, {_AGG} select station_id, round(summer_sum / summer_days, 6) as summer_mean, round(tropical / (nights / 365.25::double), 6) as tropical_per_year from agg where summer_days >= 5")
+def station_indices(spark, sf_dir):
+    return validate.station_indices(_aggregates(spark, sf_dir), least=5).select("station_id", F.round("summer_mean", 6).alias("summer_mean"), F.round("tropical_per_year", 6).alias("tropical_per_year"))
+
+
+_BIAS = f"""{STATIONS}, {PLACES}, {_AGG}, {_match_sql(25)}, bias as (select m.station_id, m.alti, case when m.alti < 200 then 0 when m.alti < 600 then 1 when m.alti < 1000 then 2 else 3 end as band_order,
+  floor((m.summer_tmax - a.summer_sum / a.summer_days) * 100 + 0.5::double) / 100 as bias from matched m join agg a using (station_id) where summer_days >= 5)"""
+
+
+def _biases(spark, sf_dir):
+    observed = validate.station_indices(_aggregates(spark, sf_dir), least=5).select("station_id", "summer_mean")
+    return validate.bias_rows(_matches(spark, sf_dir, 25.0).join(observed, "station_id"), "station_id", "summer_tmax")
+
+
+@register(f"with {_BIAS} select case band_order when 0 then '<200 m' when 1 then '200–600 m' when 2 then '600–1000 m' else '≥1000 m' end as band, band_order, count(*) as n, floor(avg(bias) * 100 + 0.5::double) / 100 as mean_bias, floor(sqrt(avg(bias * bias)) * 100 + 0.5::double) / 100 as rmse from bias group by band_order")
+def band_stats(spark, sf_dir):
+    return validate.band_stats(_biases(spark, sf_dir))
+
+
+@register(f"with {_BIAS}, g as (select 'median bias' as gate, quantile_cont(abs(bias), 0.5::double) as value, 3.0::double as most from bias union all select 'missing indicators', count(*) filter (where summer_tmax is null or population < 100) / count(*)::double, 0.02::double from places) select gate, round(value, 9) as value, most, value <= most as passed from g")
+def release_gates(spark, sf_dir):
+    p = places(spark, sf_dir).withColumn("population", F.when(F.col("population") >= 100, F.col("population")))
+    return validate.release_gates(_biases(spark, sf_dir), p, ["summer_tmax", "population"], 3.0, 0.02).withColumn("value", F.round("value", 9))
+
+
+# --- incremental ------------------------------------------------------------------------------
+
+
+@register("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderdate < date '1997-01-01')")
+def pending_targets(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < "1997-01-01").select(F.col("o_custkey").alias("c_custkey"))
+    return incremental.pending(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
+
+
+@register("""with e as (select y as year, m as month from (select unnest(range(1994, 2004))::int as y), (select unnest(range(1, 13))::int as m)) select e.year, e.month from e where not exists (select 1 from orders where year(o_orderdate) = e.year and month(o_orderdate) = e.month)""")
+def missing_months(spark, sf_dir):
+    have = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    return incremental.missing_targets(have, 1994, 2003, "month", list(range(1, 13)))
+
+
+# --- extras -----------------------------------------------------------------------------------
+
+
+@register(f"""with {DAILY}, v as (select series, year(day) as y, avg(tmax) as m from daily where month(day) between 6 and 8 group by all), ys as (select distinct y from v), o as (select y, row_number() over (order by y) - 1 as a, count(*) over () as n from ys),
+d as (select rep, (('0x' || substr(md5(rep || ':' || a), 1, 8))::bigint) % n as pick from o, (select unnest(range(200)) as rep)), t as (select rep, o.y, count(*) as times from d join o on o.a = d.pick group by all),
+m as (select series, rep, sum(m * times) / sum(times) as mean from v join t using (y) where m is not null group by all)
+select a.series, round(a.mean, 6) as mean, round(b.low, 6) as low, round(b.high, 6) as high from (select series, avg(m) as mean from v group by series) a join (select series, quantile_cont(mean, 0.05::double) as low, quantile_cont(mean, 0.95::double) as high from m group by series) b using (series)""")
+def bootstrap_bands(spark, sf_dir):
+    yearly = daily(spark, sf_dir).filter(F.month("day").between(6, 8)).groupBy("series", F.year("day").alias("y")).agg(F.avg("tmax").alias("m"))
+    return extras.bootstrap_bands(yearly, "series", "y", "m").select("series", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@register("""with p as (select p_partkey, p_size::double as p_size, p_retailprice::double as p_retailprice from part) select * from p where not exists (select 1 from p q where q.p_size <= p.p_size and q.p_retailprice <= p.p_retailprice and (q.p_size < p.p_size or q.p_retailprice < p.p_retailprice))""")
+def pareto_front(spark, sf_dir):
+    return extras.pareto_front(table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"])
+
+
+@register("select 'l_quantity' as a, 'l_extendedprice' as b, round(corr(l_quantity::double, l_extendedprice::double), 6) as corr from lineitem union all select 'l_quantity', 'l_discount', round(corr(l_quantity::double, l_discount::double), 6) from lineitem union all select 'l_extendedprice', 'l_discount', round(corr(l_extendedprice::double, l_discount::double), 6) from lineitem")
+def correlations(spark, sf_dir):
+    return extras.correlations(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("corr", F.round("corr", 6))
+
+
+@register(f"with {PLACES} select floor(lat / 2.0::double)::bigint as cell_y, floor(lon / 2.0::double)::bigint as cell_x, count(*) as places, round(avg(summer_tmax), 6) as mean_summer_tmax from places group by 1, 2")
+def cell_overview(spark, sf_dir):
+    return extras.cell_overview(places(spark, sf_dir), 2.0, ["summer_tmax"]).withColumn("mean_summer_tmax", F.round("mean_summer_tmax", 6))
