@@ -114,8 +114,7 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
     for parts in (["mark", "salt"], ["mark"]):
         small = small.withColumn("at", F.row_number().over(Window.partitionBy(*parts).orderBy("id"))).filter(F.col("at") <= k + 1).drop("at")
     groups = scratch.put(small.groupBy("mark").agg(F.array_sort(F.collect_set("id")).alias("ids")))
-    marked = rows.select("id", "v", mark.alias("mark"))
-    unique = scratch.put(marked.join(groups.select(F.col("mark").alias("m"), F.col("ids")[0].alias("rep")), (F.col("mark") == F.col("m")) & (F.col("id") == F.col("rep"))).select("rep", "mark", "v", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("norm2")))
+    unique = scratch.put(rows.groupBy(mark.alias("mark")).agg(F.min("id").alias("rep"), F.first("v").alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     n, largest = unique.agg(F.count("*"), F.max("norm2")).first()
     lists = int(min(max(n**0.5, LISTS[0]), LISTS[1], n))
     largest = float(np.sqrt(largest))
