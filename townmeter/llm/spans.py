@@ -102,6 +102,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = scratch.put(texts.mapInArrow(_runs, "span long, id long, tag long, start int, stop int"))
     place = F.struct("id", "tag", "start")
     first = spans.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select(F.col("span").alias("of"), "first")
+    first = scratch.put(first)  # as a table, so that the join below is between two exchanges, of which AQE splits a hot span's rows
     return spans.join(first, F.col("span") == F.col("of")).filter(place > F.col("first")).select("id", "tag", "start", "stop", F.col("first.id").alias("first_id"))
 
 
