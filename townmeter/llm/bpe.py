@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from townmeter.llm.common import small_batches
+from townmeter.llm.common import Scratch, small_batches, words
 from townmeter.llm.lexicon import Lexicon, compile_lexicon
 
 #: Frequent words that the lexicon takes, a bound on what the driver compiles.
@@ -27,7 +27,8 @@ LEXICON_BYTES = 40
 KEPT_WORDS = 200_000
 
 # How byte-level vocabularies split text before merging. White space is the Unicode property.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+# Letters come first, as most words are letters and no two alternatives before white space begin alike.
+PIECES = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -37,6 +38,9 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_NO_RANK = 1 << 30
+
+
 class Bpe:
     """The vocabulary of a byte-level tokenizers file: exact encoding of words, bytes of ids."""
 
@@ -65,20 +69,25 @@ class Bpe:
         ids = [self.letter[b] for b in word]
         if len(ids) > 48:
             return self._merge_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            best = min((m for pair in zip(ids, ids[1:]) if (m := get(pair))), default=None)
-            if best is None:
+        if len(ids) < 2:
+            return ids
+        # Ranks of neighbours; a merge changes two of them.
+        none, get = (_NO_RANK, -1), self.merges.get
+        pairs = [get(pair, none) for pair in zip(ids, ids[1:])]
+        ranks = [p[0] for p in pairs]
+        while ranks:
+            least = min(ranks)
+            if least == _NO_RANK:
                 break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(least)
+            ids[i : i + 2] = [pairs[i][1]]
+            del pairs[i], ranks[i]
+            if i:
+                pairs[i - 1] = p = get((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = p[0]
+            if i < len(ranks):
+                pairs[i] = p = get((ids[i], ids[i + 1]), none)
+                ranks[i] = p[0]
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -104,21 +113,24 @@ class Bpe:
 
 
 class _Encoded(dict):
-    """Words to ids as bytes: from the lexicon, else merged; kept up to a bound."""
+    """Words to ids as bytes: from the lexicon, else merged. Words of this and the last generation of KEPT_WORDS are kept."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         super().__init__()
-        self.bpe, self.lexicon = bpe, lexicon
+        self.bpe, self.lexicon, self.last = bpe, lexicon, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.lexicon.get(raw)
+        ids = self.last.get(word)
         if ids is None:
-            found = self.bpe.merge(raw)
-            ids = struct.pack(f"<{len(found)}I", *found)
+            raw = word.encode()
+            ids = self.lexicon.get(raw)
+            if ids is None:
+                found = self.bpe.merge(raw)
+                ids = struct.pack(f"<{len(found)}I", *found)
         if len(self) >= KEPT_WORDS:
+            self.last = dict(self)
             self.clear()
-        if len(raw) <= 256:
+        if len(word) <= 100:
             self[word] = ids
         return ids
 
@@ -138,15 +150,22 @@ def decode_ids(ids: bytes, table: list[bytes]) -> str:
 
 
 def frequent_words(docs: DataFrame, text: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts, ties by code point; counted per task before the shuffle, at most `most` of them leave it."""
-    word = F.explode(F.split(F.col(text), " "))
-    counts = docs.select(word.alias("word")).filter(F.octet_length("word").between(1, LEXICON_BYTES)).groupBy("word").count()
-    return [r.word for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
+    """The words of all texts that occur so often that at most `most` words do; at most that many reach the driver.
+
+    Words are counted per task before the shuffle. How many words have which count tells the
+    least count; there are few different counts.
+    """
+    word = F.explode(words(F.col(text)))
+    counts = docs.select(word.alias("word")).filter(F.octet_length("word") <= LEXICON_BYTES).groupBy("word").count()
+    counts = Scratch(docs.sparkSession).put(counts.filter("count > 1"))
+    upto = F.sum("words").over(Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0))
+    least = counts.groupBy("count").agg(F.count("*").alias("words")).withColumn("upto", upto).filter(F.col("upto") <= most).agg(F.min("count")).first()[0]
+    return [] if least is None else [r.word for r in counts.filter(F.col("count") >= least).select("word").collect()]
 
 
-def build_lexicon(words: list[str], bpe: Bpe) -> bytes:
-    """The compiled lexicon of the pieces of words, as they occur after a space and at a line's start."""
-    pieces = {p for w in words for form in (w, f" {w}") for p in bpe.split.findall(form)}
+def build_lexicon(frequent: list[str], bpe: Bpe) -> bytes:
+    """The compiled lexicon of the pieces of frequent words, as they occur after a space and at a line's start."""
+    pieces = {p for w in frequent for form in (w, f" {w}") for p in bpe.split.findall(form)}
     return compile_lexicon((raw, tuple(bpe.merge(raw))) for p in pieces if len(raw := p.encode()) <= LEXICON_BYTES)
 
 

@@ -36,7 +36,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
-    def put(self, df: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    def put(self, df: DataFrame) -> DataFrame:
+        """Write df and return the written table."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)

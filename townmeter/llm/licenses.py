@@ -58,9 +58,8 @@ def sentence_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     spark = docs.sparkSession
     known = spark.createDataFrame([(i, s) for i, s in SENTENCES.items()], "sentence_id string, sentence string")
-    lengths = sorted({len(s) for s in SENTENCES.values()})
     found = docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.col(text), SENTENCE_END)).alias("place", "raw"))
-    near = F.length("raw") >= lengths[0]
+    near = F.length("raw") >= min(map(len, SENTENCES.values()))  # normalising makes nothing longer
     return (
         found.filter(near).select("id", "place", normalised(F.col("raw")).alias("sentence"))
         .join(F.broadcast(known), "sentence")  # the constant table above

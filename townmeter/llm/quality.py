@@ -11,9 +11,10 @@ from townmeter.llm.common import SPACES, Scratch, checked, words
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Measures held against adaptive thresholds, in thousandths: (name, numerator, denominator).
 MEASURES = (("symbols", "n_symbols", "word_chars"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"), ("word_length", "word_chars", "n_words"))
-#: A threshold is q75 + FENCE * max(q75 - q25, LEAST_SPREAD[measure]).
+#: A threshold is q75 + FENCE * max(q75 - q25, LEAST_SPREAD[measure]). A text of few lines or words may
+#: repeat one of them, so those two measures have wide spreads.
 FENCE = 3
-LEAST_SPREAD = {"symbols": 30, "dup_lines": 60, "repeats": 60, "word_length": 1000}
+LEAST_SPREAD = {"symbols": 20, "dup_lines": 150, "repeats": 120, "word_length": 600}
 #: Documents that a group's sketch needs; else the language's counts, then that of all documents.
 MIN_DOCS = 100
 
