@@ -308,6 +308,11 @@ def hazard_register(spark, sf_dir):
     return _register(spark, sf_dir)
 
 
+@register(f"with {_REGISTER} select count(*) as places, count(*) filter (where clay) as coastal_places from register")
+def register_counts(spark, sf_dir):
+    return hazards.register_counts(_register(spark, sf_dir).withColumnRenamed("clay", "coastal"))
+
+
 @register(f"with {_COUNTS}, c as (select lpad(place::varchar, 5, '0') as insee, floods from counts), d as (select case when insee like '97%' then substr(insee, 1, 3) else substr(insee, 1, 2) end as dept, sum(floods)::bigint as floods, count(*) as places from c group by 1 having count(*) >= 10) select *, floods / places::double as rate from d order by rate desc, dept limit 5")
 def flood_rates(spark, sf_dir):
     rows = _counts(spark, sf_dir).select(F.lpad(F.col("place").cast("string"), 5, "0").alias("place"), "floods")
@@ -610,6 +615,14 @@ def _biases(spark, sf_dir):
     return validate.bias_rows(_matches(spark, sf_dir, 25.0).join(observed, "station_id"), "station_id", "summer_tmax")
 
 
+@register(f"""with {STATIONS}, {PLACES}, {_AGG}, {_match_sql(25)} select m.station_id, m.alti, case when m.alti < 200 then '<200 m' when m.alti < 600 then '200–600 m' when m.alti < 1000 then '600–1000 m' else '≥1000 m' end as band, m.insee,
+  {_up1('m.km')} as distance_km, {_up1('a.summer_sum / a.summer_days')} as observed, m.summer_tmax as model, floor((m.summer_tmax - a.summer_sum / a.summer_days) * 100 + 0.5::double) / 100 as bias, {_up1('a.tropical / (a.nights / 365.25::double)')} as tropical_per_year
+  from matched m join agg a using (station_id) where summer_days >= 5""")
+def station_report(spark, sf_dir):
+    observed = validate.station_indices(_aggregates(spark, sf_dir), least=5).select("station_id", "summer_mean", "tropical_per_year")
+    return validate.station_report(_matches(spark, sf_dir, 25.0).join(observed, "station_id"), "station_id", "insee", "summer_tmax")
+
+
 @register(f"with {_BIAS} select case band_order when 0 then '<200 m' when 1 then '200–600 m' when 2 then '600–1000 m' else '≥1000 m' end as band, band_order, count(*) as n, floor(avg(bias) * 100 + 0.5::double) / 100 as mean_bias, floor(sqrt(avg(bias * bias)) * 100 + 0.5::double) / 100 as rmse from bias group by band_order")
 def band_stats(spark, sf_dir):
     return validate.band_stats(_biases(spark, sf_dir))

@@ -68,6 +68,12 @@ def merge_registers(*parts: DataFrame) -> DataFrame:
     return merged.fillna({c: DEFAULTS[c] for c in have if DEFAULTS[c] is not None})
 
 
+def register_counts(hazards: DataFrame) -> DataFrame:
+    """One row: places with data, and those under a coastal decree if the register has them."""
+    coastal = F.count_if(F.col("coastal")) if "coastal" in hazards.columns else F.lit(0).cast("long")
+    return hazards.agg(F.count("*").alias("places"), coastal.alias("coastal_places"))
+
+
 def flood_rates(hazards: DataFrame, place: str = "place", floods: str = "floods", least: int = LEAST_PLACES, top: int = 5) -> DataFrame:
     """Departments with the most floods per place, of those with enough places; ties by code."""
     rates = hazards.groupBy(department(F.col(place)).alias("dept")).agg(F.sum(floods).alias("floods"), F.count("*").alias("places")).filter(F.col("places") >= least)

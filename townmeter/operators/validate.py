@@ -49,6 +49,15 @@ def bias_rows(matched: DataFrame, station: str, model: str, observed: str = "sum
     return matched.select(station, "alti", elevation_band(F.col("alti")).alias("band"), elevation_order(F.col("alti")).alias("band_order"), bias.alias("bias"))
 
 
+def station_report(matched: DataFrame, station: str, place: str, model: str) -> DataFrame:
+    """The station table of the report, lowest station first: means and distance to one decimal, bias to two."""
+    rows = matched.select(
+        station, "alti", elevation_band(F.col("alti")).alias("band"), place, round_up(F.col("km"), 1).alias("distance_km"), round_up(F.col("summer_mean"), 1).alias("observed"),
+        F.col(model).alias("model"), round_up(F.col(model) - F.col("summer_mean"), 2).alias("bias"), round_up(F.col("tropical_per_year"), 1).alias("tropical_per_year"),
+    )
+    return rows.orderBy("alti", station)
+
+
 def band_stats(biases: DataFrame) -> DataFrame:
     """Mean bias and RMSE per band from the rounded biases, lowest band first."""
     b = F.col("bias")
