@@ -220,9 +220,10 @@ def percentile_ranks(spark, sf_dir):
     return ranks.select("p_partkey", *[F.round(f"{c}_pct", 9).alias(f"{c}_pct") for c in ("price", "size", "v")])
 
 
-@register("select p_size, quantile_cont(p_retailprice::double, 0.01::double) as q0, quantile_cont(p_retailprice::double, 0.5::double) as q1, quantile_cont(p_retailprice::double, 0.99::double) as q2 from part group by p_size")
+@register("select p_size, round(quantile_cont(p_retailprice::double, 0.01::double), 6) as q0, round(quantile_cont(p_retailprice::double, 0.5::double), 6) as q1, round(quantile_cont(p_retailprice::double, 0.99::double), 6) as q2 from part group by p_size")
 def quantiles(spark, sf_dir):
-    return normalise.quantiles(table(spark, sf_dir, "part"), "p_retailprice", (0.01, 0.5, 0.99), ["p_size"])
+    found = normalise.quantiles(table(spark, sf_dir, "part"), "p_retailprice", (0.01, 0.5, 0.99), ["p_size"])
+    return found.select("p_size", *[F.round(c, 6).alias(c) for c in ("q0", "q1", "q2")])
 
 
 @register("""select c_custkey, round(least(hi, greatest(lo, c_acctbal::double)), 6) as winsorised from customer, (select quantile_cont(c_acctbal::double, 0.05::double) as lo, quantile_cont(c_acctbal::double, 0.95::double) as hi from customer)""")
