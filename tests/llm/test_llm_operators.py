@@ -420,6 +420,14 @@ def test_chains_and_blocks_of_near_copies(spark, monkeypatch):
     assert got == want and 1 < len({c for _, c in want.values()}) < 120
 
 
+def test_texts_of_one_key_are_one_document(spark):
+    a, b = prose(60).split(" "), prose(60).split(" ")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (3, near(b)), (4, prose(50))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == [1, 1, 1, 1, 4]
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))

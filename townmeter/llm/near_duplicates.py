@@ -167,11 +167,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     placed = met.select("bucket", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", part.alias("part"))
     placed = scratch.put(_open(placed))
     alone = _own_shingles(texts.join(placed.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi"), k)
+    alone = alone.join(texts.groupBy("id").count().filter("count > 1"), F.col("owner") == F.col("id"), "left_anti")  # a key with several texts isn't judged by one of them
     # Of n shingles, those of the document alone are in no other's set: with too many, it is linked with none.
     live = placed.join(alone, F.col("rep") == F.col("owner"), "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
     live = scratch.put(_open(live.select("bucket", "rep", "part")))
     more = scratch.put(_compared(live, texts, scratch, k, percent))
     found = components(links.unionByName(more), scratch)
+    for used in (met, tried, texts, links, placed, live, more):  # what the result still reads stays
+        scratch.drop(used)
     return (
         signed.select("id", "n", "digest").join(classes.select(F.col("digest").alias("of"), "rep"), F.col("digest") == F.col("of"), "left")
         .join(found, F.col("rep") == F.col("node"), "left")
