@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -24,7 +25,7 @@ LEXICON_WORDS = 60_000
 #: Longest word, in UTF-8 bytes, that the lexicon takes.
 LEXICON_BYTES = 40
 #: Unseen words whose ids a Python worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 # How byte-level vocabularies split text before merging. White space is the Unicode property.
 # Letters come first, as most words are letters and no two alternatives before white space begin alike.
@@ -181,12 +182,17 @@ def _ship(spark: SparkSession, content: bytes, name: str) -> str:
     return name
 
 
+@functools.lru_cache(maxsize=1)
+def _loaded(lexicon_file: str, vocabulary_file: str) -> tuple[Bpe, _Encoded, list[bytes]]:
+    """The vocabulary, the words encoded so far and the bytes of each id; the tasks of a Python worker share them."""
+    with open(SparkFiles.get(vocabulary_file), encoding="utf-8") as f:
+        bpe = Bpe(f.read())
+    return bpe, _Encoded(bpe, Lexicon(SparkFiles.get(lexicon_file))), [bpe.bytes.get(i, b"") for i in range(max(bpe.bytes) + 1)]
+
+
 def _run(lexicon_file: str, vocabulary_file: str, give_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(SparkFiles.get(vocabulary_file), encoding="utf-8") as f:
-            bpe = Bpe(f.read())
-        encoded = _Encoded(bpe, Lexicon(SparkFiles.get(lexicon_file)))
-        table = [bpe.bytes.get(i, b"") for i in range(max(bpe.bytes) + 1)]
+        bpe, encoded, table = _loaded(lexicon_file, vocabulary_file)
         for batch in batches:
             n, id_sha, text_sha, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
