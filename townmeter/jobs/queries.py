@@ -531,6 +531,19 @@ def coolest_in_radius(spark, sf_dir):
     return found.select("search_id", "origin_key", "rank", "insee", F.round("km", 6).alias("km"), "summer_tmax", F.round("delta", 6).alias("delta"))
 
 
+@register(f"""with {PLACES}, {_LINKS}, first as (select insee as k, lat as la, lon as lo, summer_tmax as su from places order by summer_tmax desc nulls last, insee limit 1),
+o as (select page_id, km, people, coalesce(p.insee, k) as okey, coalesce(p.lat, la) as olat, coalesce(p.lon, lo) as olon, coalesce(p.summer_tmax, su) as osum from parsed s left join places p on p.insee = s.origin cross join first),
+j as (select page_id, okey, insee, {_km('olat', 'olon', 'lat', 'lon')} as km, summer_tmax, summer_tmax - osum as delta from o join places on {_km('olat', 'olon', 'lat', 'lon')} <= o.km
+  and case when people = -1 then hosp and station else coalesce(population, 0) >= people end),
+r as (select *, row_number() over (partition by page_id order by summer_tmax, insee) as rank from j)
+select page_id as search_id, okey as origin_key, rank::int as rank, insee, round(km, 6) as km, summer_tmax, round(delta, 6) as delta from r where rank <= 15""")
+def coolest_of_permalinks(spark, sf_dir):
+    """Every permalink with the radius that it parses to."""
+    p = places(spark, sf_dir)
+    found = explore.coolest(explore.attach_origins(_links(spark, sf_dir).withColumnRenamed("page_id", "search_id"), p), p)
+    return found.select("search_id", "origin_key", "rank", "insee", F.round("km", 6).alias("km"), "summer_tmax", F.round("delta", 6).alias("delta"))
+
+
 def cooler_places(spark: SparkSession, sf_dir: str, min_days: int = indices.MIN_DAYS) -> DataFrame:
     """The thinnest run end to end: daily series to indices, ranks, and the coolest places around each origin."""
     series = indices.layer_indices(indices.yearly(daily(spark, sf_dir), ["series"]), ["series"], {"recent": (1996, 2000)}, min_days, min_summer=20)

@@ -65,16 +65,22 @@ def coolest(searches: DataFrame, places: DataFrame, key: str = "insee", summer:
 
     searches: search_id, origin_key, origin_lat, origin_lon, origin_summer, km, people; radii are
     grouped into classes, whose cells fit them, so that a small radius does not meet the cells of
-    a large one. Ties go to the smaller key.
+    a large one. Ties go to the smaller key. Searches that ask the same are answered once.
     """
+    question = ["origin_key", "origin_lat", "origin_lon", "origin_summer", "km", "people"]
+    asked = searches.select(*question).distinct()
     cand = places.select(F.col(key), F.col("lat"), F.col("lon"), F.col(summer), F.col("population"), F.col("hosp"), F.col("station"))
     out = None
     for low, high in ((0.0, LEAST_KM), (LEAST_KM, 100.0), (100.0, MOST_KM)):
-        own = searches.filter((F.col("km") > low) & (F.col("km") <= high)).withColumnRenamed("km", "reach")
+        own = asked.filter((F.col("km") > low) & (F.col("km") <= high)).withColumnRenamed("km", "reach")
         pairs = pairs_within(own, cand, F.col("reach"), high, max_lat, ("origin_lat", "origin_lon"), ("lat", "lon"))
         out = pairs if out is None else out.unionByName(pairs)
     kept = out.filter(passes_preset(F.col("population"), F.col("hosp"), F.col("station"), F.col("people"))).filter(F.col(summer).isNotNull())
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(search).orderBy(summer, key))).filter(F.col("rank") <= top)
+    first = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(summer, key))).filter(F.col("rank") <= top)
+    answers = first(kept, *[c if c != "km" else "reach" for c in question]).select(*[F.col(c if c != "km" else "reach").alias(f"__{c}") for c in question], key, "km", summer)
+    same = [searches[c].eqNullSafe(F.col(f"__{c}")) for c in question]
+    met = searches.join(answers, same).select(searches[search], "origin_key", "origin_summer", key, answers["km"], summer)
+    ranked = first(met, search)
     return ranked.select(search, "origin_key", "rank", key, "km", summer, (F.col(summer) - F.col("origin_summer")).alias("delta"))
 
 
