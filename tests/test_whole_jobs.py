@@ -48,3 +48,11 @@ def test_coolest_equals_brute_force_up_to_the_largest_radius(spark, sf_dir, time
     searches = [(i + 1000 * t, f"{i:06d}", r, n) for t in range(times) for i, (r, n) in enumerate((r, n) for r in (20.0, 25.0, 99.5, 100.0, 300.5, 500.0) for n in (-1.0, 0.0, 5000.0))]
     df = spark.createDataFrame(searches, "search_id long, origin string, km double, people double")
     assert by_search(explore.coolest(explore.attach_origins(df, p), p)) == brute_coolest(searches, p.collect())
+
+
+def test_whole_texts_of_all_documents_are_made_plain(spark, sf_dir):
+    marked = str.maketrans("àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = own.queries()["plain_texts"](spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.plain) for r in got) == sorted((r.doc_id, r.text.lower().translate(marked)) for r in rows)
+    assert max(len(r.plain) for r in got) > 200 and len({r.lang for r in rows}) > 3

@@ -500,6 +500,12 @@ def plain_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de", "es")).select("doc_id", labels.plain(F.substring("text", 1, 200)).alias("plain"))
 
 
+@register("select doc_id, translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') as plain from documents")
+def plain_texts(spark, sf_dir):
+    """Whole texts of all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", labels.plain(F.col("text")).alias("plain"))
+
+
 _LINKS = """links as (select page_id, 'https://x.example/?o=' || lpad((page_id % 1500)::varchar, 6, '0') || '&r=' || case page_id % 5 when 0 then '10' when 1 then '' when 2 then 'NaN' when 3 then '80' else '300.5' end || '&p=' || case page_id % 4 when 0 then '-1' when 1 then '-7' when 2 then '5000' else 'x' end as url from pages),
 parsed as (select page_id, lpad((page_id % 1500)::varchar, 6, '0') as origin, case page_id % 5 when 3 then 80.0::double when 4 then 300.5::double else 150.0::double end as km, case page_id % 4 when 0 then -1.0::double when 2 then 5000.0::double else 1000.0::double end as people from links)"""
 
