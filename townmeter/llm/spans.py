@@ -14,23 +14,31 @@ from townmeter.llm.common import Scratch, small_batches
 
 #: A span is the shortest run of sentences from its start with so many sentences and words at least.
 SENTENCES, WORDS = 2, 20
-#: Longer sentences are cut every so many words.
-LONGEST = 24
+#: Sentences of more words are cut before words whose hash is the least of NEAR words on both sides.
+LONGEST, NEAR = 10, 3
 
 _END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """Words that a piece starts with: whether one does depends on the NEAR words on both sides only, so a passage is cut alike wherever it stands."""
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    inner = range(NEAR, len(h) - NEAR)
+    return [0, *[i for i in inner if h[i - 1] >= h[i] <= h[i + 1] and h[i] == min(h[i - NEAR : i + NEAR + 1])]]
+
+
 def sentences(text: bytes) -> list[tuple[int, int, int]]:
-    """(start, end, words) in bytes of each sentence: it ends after . ! ? before white space, at a line's end, or at LONGEST words."""
+    """(start, end, words) in bytes of each sentence: it ends after . ! ? before white space or at a line's end; those over LONGEST words are cut."""
     out, start = [], 0
     for stop, after in [*(m.span() for m in _END.finditer(text)), (len(text), len(text))]:
         piece = text[start:stop]
-        n = len(piece.split())
+        split = piece.split()
+        n = len(split)
         if n > LONGEST:
             words = [m.span() for m in _WORD.finditer(piece)]
-            for i in range(0, n, LONGEST):
-                out.append((start + words[i][0], start + words[min(i + LONGEST, n) - 1][1], min(LONGEST, n - i)))
+            at = [*cuts(split), n]
+            out += [(start + words[i][0], start + words[j - 1][1], j - i) for i, j in zip(at, at[1:], strict=False)]
         elif n:
             lead = len(piece) - len(piece.lstrip())
             out.append((start + lead, start + len(piece.rstrip()), n))
