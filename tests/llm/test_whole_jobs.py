@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from townmeter.llm import spans
+from townmeter.llm import neighbours, spans
 
 WORDS = [f"w{i}" for i in range(4000)]
 
@@ -60,3 +61,29 @@ def test_one_long_sentence_is_a_run(spark):
 
 def test_a_text_of_one_word_is_cut_in_linear_pieces():
     assert len(spans.sentences(b"a " * 1000)) <= 1000 and spans.sentences(b" a b. ") == [(1, 5, 2)]
+
+
+def recall(spark, x, k=20, **how):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, every=20, **how).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == list(range(0, len(x), 20)) and all(len(set(v)) == k for v in got.values())
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score, kind="stable")[:k].tolist()) & set(found))
+    return hits / (k * len(got))
+
+
+def test_neighbours_come_from_probed_lists(spark, monkeypatch):
+    """The sample's vectors aren't candidates: recall holds with a sample far under the rows, and falls with the lists."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 24)) + 2 * rng.standard_normal((30, 24))[np.arange(3000) % 30]
+    monkeypatch.setattr(neighbours, "SAMPLE", 300)
+    assert recall(spark, x) >= 0.9
+    monkeypatch.setattr(neighbours, "SAMPLE", 8000)
+    assert recall(spark, x) >= 0.9
+    monkeypatch.setattr(neighbours, "LEAST_PROBED", 1)
+    assert recall(spark, x, probed=0.0) < 0.9

@@ -93,9 +93,13 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
     which is all that a result can hold. Rows with equal key and vector are one row. An empty
     table gives an empty one; other columns are ignored.
 
-    Centroids, first bounds and first candidates come from a sample of SAMPLE vectors; every vector is put into its
+    Centroids and first bounds come from a sample of SAMPLE vectors; every vector is put into its
     list, lists are cut into parts of about ROWS rows, and each part is scanned for the queries
-    that probe the list. Part and query block meet in one task, so that no list is too large.
+    that probe the list: a share of the lists, and further ones until they hold k + 1 vectors.
+    All candidates come from these scans. First bounds are taken from those of the sample that lie
+    in the probed lists; queries that are left with too few candidates, as the test abandoned
+    some, scan every list without a bound. Part and query block meet in one task, so that no list
+    is too large.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -118,64 +122,56 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
     n, largest = unique.agg(F.count("*"), F.max("norm2")).first()
     lists = int(min(max(n**0.5, LISTS[0]), LISTS[1], n))
     largest = float(np.sqrt(largest))
-    few = unique.select("rep", "v", F.xxhash64("v").alias("h")).orderBy("h", "rep").limit(SAMPLE).collect()
+    few = unique.select("v", F.xxhash64("v").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE).collect()
     turn = _rotation(width + 1)
-    plain, names = np.array([r.v for r in few], np.float64), np.array([r.rep for r in few], np.int64)
-    sample = _augmented(plain, largest) @ turn
+    sample = _augmented(np.array([r.v for r in few], np.float64), largest) @ turn
     centres = _fit(sample, lists)
     wide = max(LEAST_PROBED, int(np.ceil(probed * lists)))
-    shared = spark.sparkContext.broadcast((centres, sample, turn, plain, names))
+    lists_of = lambda x, centres: ((centres**2).sum(1)[None] - 2 * x @ centres.T)
+    shared = spark.sparkContext.broadcast((centres, sample, lists_of(sample, centres).argmin(1), turn))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, _, turn, _, _ = shared.value
+        centres, _, _, turn = shared.value
         for b in batches:
             x = _augmented(_matrix(b.column(1), width), largest) @ turn
-            near = ((centres**2).sum(1)[None] - 2 * x @ centres.T).argmin(1)
+            near = lists_of(x, centres).argmin(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int32()), b.column(1)], ["rep", "list", "v"])
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, sample, turn, _, _ = shared.value
+        centres, sample, home, turn = shared.value
         for b in batches:
             q = _matrix(b.column(1), width)
             x = np.hstack([q, np.zeros((len(q), 1))]) @ turn
-            near = np.argsort((centres**2).sum(1)[None] - 2 * x @ centres.T, axis=1, kind="stable")[:, :wide]
+            near = np.argsort(lists_of(x, centres), axis=1, kind="stable")
+            # Further lists follow until those probed hold k + 1 vectors.
+            enough = (np.cumsum(sizes[near], axis=1) <= k).sum(1) + 1
+            taken = np.arange(near.shape[1])[None] < np.maximum(enough, wide)[:, None]
+            in_reach = np.zeros(near.shape, bool)
+            np.put_along_axis(in_reach, near, taken, 1)
             far = ((x * x).sum(1)[:, None] + (sample * sample).sum(1)[None] - 2 * x @ sample.T)
+            far = np.where(in_reach[:, home], far, np.inf)
             bound = np.partition(far, k, axis=1)[:, k] if len(sample) > k else np.full(len(x), np.inf)
-            times = near.shape[1]
+            at = np.nonzero(taken)[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.asarray(b.column(0)), times)), pa.array(near.reshape(-1), pa.int32()), pa.array(np.repeat(bound, times)), b.column(1).take(pa.array(np.repeat(np.arange(len(q)), times)))],
+                [pa.array(np.asarray(b.column(0))[at]), pa.array(near[taken], pa.int32()), pa.array(bound[at]), b.column(1).take(pa.array(at))],
                 ["query", "list", "bound", "q"],
             )
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A query's nearest vectors of the sample, so that a result is never short of candidates."""
-        _, _, _, plain, names = shared.value
-        for b in batches:
-            score = _matrix(b.column(1), width) @ plain.T
-            top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.asarray(b.column(0)), top.shape[1])), pa.array(names[top].reshape(-1)), pa.array(np.take_along_axis(score, top, 1).reshape(-1))],
-                ["query", "rep", "score"],
-            )
-
     index = scratch.put(unique.select("rep", "v").mapInArrow(placed, "rep long, list int, v array<double>"))
-    held = index.groupBy("list").count().select("list", F.ceil(F.col("count") / ROWS).cast("int").alias("parts"))  # a row per list, LISTS[1] at most
+    counted = index.groupBy("list").count()  # a row per list, LISTS[1] at most
+    sizes = np.zeros(lists, np.int64)
+    for r in counted.collect():
+        sizes[r.list] = r["count"]
+    held = counted.select("list", F.ceil(F.col("count") / ROWS).cast("int").alias("parts"))
     index = index.join(F.broadcast(held), "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     asked = rows.filter(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), mark.alias("mark"))
     asked = scratch.put(asked.join(groups.select(F.col("mark").alias("m"), F.col("ids")[0].alias("query")), F.col("mark") == F.col("m")).select("query_id", "query").distinct())
     queries = scratch.put(unique.join(asked.select("query").distinct(), F.col("rep") == F.col("query"), "left_semi").select("rep", "v"))
     probes = scratch.put(queries.mapInArrow(probing, "query long, list int, bound double, q array<double>"))
-    blocks = probes.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERIES).cast("int").alias("blocks"))
-    left = index.join(F.broadcast(blocks), "list").select("list", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "v")
-    right = (
-        probes.join(F.broadcast(held), "list").join(F.broadcast(blocks), "list")
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"), "query", "bound", "q")
-    )
-
     def scanned(x: pa.Table, y: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if len(x) and len(y):
-            turn = shared.value[2]
+            turn = shared.value[3]
             base, q = _matrix(x["v"].combine_chunks(), width), _matrix(y["q"].combine_chunks(), width)
             reps, ids = np.asarray(x["rep"]), np.asarray(y["query"])
             turned = _augmented(base, largest) @ turn
@@ -188,8 +184,23 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query", "rep", "score"])
 
     where = ["list", "part", "block"]
-    near = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(scanned, "query long, rep long, score double")
-    near = near.unionByName(queries.mapInArrow(sampled, "query long, rep long, score double")).groupBy("query", "rep").agg(F.max("score").alias("score"))
+
+    def candidates(probes: DataFrame) -> DataFrame:
+        blocks = probes.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERIES).cast("int").alias("blocks"))
+        left = index.join(F.broadcast(blocks), "list").select("list", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "v")
+        right = (
+            probes.join(F.broadcast(held), "list").join(F.broadcast(blocks), "list")
+            .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"), "query", "bound", "q")
+        )
+        return left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(scanned, "query long, rep long, score double")
+
+    near = scratch.put(candidates(probes))
+    enough = near.groupBy("query").count().filter(F.col("count") >= min(k + 1, n)).select("query")
+    short = queries.join(enough, F.col("rep") == F.col("query"), "left_anti")
+    everywhere = short.select(F.col("rep").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"), F.lit(float("inf")).alias("bound"), F.col("v").alias("q"))
+    again = scratch.put(everywhere)
+    if again.limit(1).count():
+        near = near.unionByName(candidates(again)).groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = near.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).filter(F.col("at") <= k + 1)
     # A query's vector stands for all queries that have it; a result's vector for its keys.
     rows = (
