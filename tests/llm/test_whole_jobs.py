@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from townmeter.llm import neighbours, spans
+from townmeter.llm import licenses, neighbours, spans
 
 WORDS = [f"w{i}" for i in range(4000)]
 
@@ -87,3 +87,78 @@ def test_neighbours_come_from_probed_lists(spark, monkeypatch):
     assert recall(spark, x) >= 0.9
     monkeypatch.setattr(neighbours, "LEAST_PROBED", 1)
     assert recall(spark, x, probed=0.0) < 0.9
+
+
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_wrapped_license_headers_are_met(spark):
+    commented = lambda text: "".join(f"# {x}".rstrip() + "\n" for x in text.splitlines())
+    texts = [APACHE, commented(APACHE), MIT, commented(MIT), GPL, commented(GPL), BSD, "Fine text.\nAll rights reserved.", "all rights\n\nreserved"]
+    got = {}
+    for r in licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.rule] = (r.n_sentences, r.first_place)
+    apache = lambda place: {"apache2-licensed": (4, place), "apache2-full": (4, place)}
+    assert got[0] == apache(2) and set(got[1]) == set(apache(2))
+    assert set(got[2]) == set(got[3]) == {"mit-full"} and got[2]["mit-full"] == (3, 4)
+    assert got[4] == {"gpl3-header": (2, 0)} and set(got[5]) == {"gpl3-header"}
+    assert set(got[6]) == {"bsd2", "bsd3", "all-rights-reserved"} and got[6]["all-rights-reserved"] == (5, 1)
+    assert got[7] == {"all-rights-reserved": (1, 1)} and 8 not in got

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentences of common license notices, normalised (lower case, single spaces, no punctuation).
 SENTENCES = {
     "apache2-notice": "licensed under the apache license version 2 0",
+    "apache2-licensed": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache2-you-may-not": "you may not use this file except in compliance with the license",
     "apache2-obtain": "you may obtain a copy of the license at",
     "apache2-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
@@ -26,11 +30,14 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "all-rights-reserved": "all rights reserved",
 }
 # Rules, (rule, license, sentences that must follow one another, other license sentences in between allowed).
 RULES = (
     ("apache2-short", "Apache-2.0", ("apache2-notice",)),
     ("apache2-header", "Apache-2.0", ("apache2-notice", "apache2-you-may-not", "apache2-obtain", "apache2-unless")),
+    ("apache2-licensed", "Apache-2.0", ("apache2-licensed",)),
+    ("apache2-full", "Apache-2.0", ("apache2-licensed", "apache2-obtain", "apache2-unless")),
     ("mit-short", "MIT", ("mit-notice",)),
     ("mit-full", "MIT", ("mit-grant", "mit-condition", "mit-warranty")),
     ("gpl3-short", "GPL-3.0", ("gpl3-notice",)),
@@ -41,17 +48,40 @@ RULES = (
     ("cc0", "CC0-1.0", ("cc0-notice",)),
     ("bsd2", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("bsd3", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("all-rights-reserved", "Proprietary", ("all-rights-reserved",)),
 )
 #: A sentence ends at a line end, or at a mark before white space.
-SENTENCE_END = r"\n|[.!?]+[\x20\x09-\x0D]+"
+MARK_END = r"[.!?]+[\x20\x09-\x0D]+"
+SENTENCE_END = rf"\n|{MARK_END}"
+#: Lines that a wrapped sentence can have: one per word.
+MOST_LINES = max(len(s.split()) for s in SENTENCES.values())
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def wrapped_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, place, sentence id) of each known sentence that fills one line or several that follow one another, without a blank one between.
+
+    place counts as in sentence_ids, from the first of the lines. Only texts that hold the words
+    of a known sentence are cut into lines.
+    """
+    # As an array of one, so that a text is normalised once for all sentences.
+    holds = lambda c: F.exists(F.array(normalised(c)), lambda w: reduce(or_, (w.contains(s) for s in SENTENCES.values())))
+    hits = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("text").contains("\n")).filter(holds(F.col("text")))
+    parts = hits.withColumn("parts", F.split("text", MARK_END)).select("id", "parts", F.posexplode("parts").alias("i", "part"))
+    parts = parts.filter(F.col("part").contains("\n") & holds(F.col("part")))
+    before = F.aggregate(F.slice("parts", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.size(F.split(x, "\n")))
+    lines = parts.select("id", before.alias("before"), F.transform(F.split("part", "\n"), normalised).alias("lines")).select("id", "before", "lines", F.posexplode("lines").alias("j", "line"))
+    rest = F.concat(F.array_join(F.slice("lines", F.col("j") + 1, F.lit(MOST_LINES)), "\n"), F.lit("\n"))
+    starts = lines.filter("line <> ''").select("id", (F.col("before") + F.col("j")).alias("place"), rest.alias("rest"))
+    met = F.array_compact(F.array(*[F.when(F.col("rest").rlike("^" + s.replace(" ", "[ \n]") + "\n"), F.lit(i)) for i, s in SENTENCES.items()]))
+    return starts.select("id", "place", F.explode(met).alias("sentence_id"))
+
+
 def sentence_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, row key, place, sentence id) of each known license sentence; whole texts.
+    """(id, row key, place, sentence id) of each known license sentence, wrapped or not; whole texts.
 
     The sentences of a text are exploded and matched to the dictionary, a constant, in the same
     task; only those that match leave it.
@@ -64,6 +94,7 @@ def sentence_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
         found.filter(near).select("id", "place", normalised(F.col("raw")).alias("sentence"))
         .join(F.broadcast(known), "sentence")  # the constant table above
         .select("id", "place", "sentence_id")
+        .unionByName(wrapped_ids(docs, key, text))
     )
 
 
@@ -72,7 +103,7 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     A document's license sentences in text order form a sequence; a rule is met where its
     sentences occur in that sequence in its order. n_sentences counts the document's license
-    sentences, first_place is the place of the rule's first sentence among all. Documents
+    sentences, each place once, first_place is the place of the rule's first sentence among all. Documents
     without a license, null and empty texts give no row. Rows with equal keys are one document.
     """
     at = sentence_ids(docs, key, text)
