@@ -56,3 +56,20 @@ def test_whole_texts_of_all_documents_are_made_plain(spark, sf_dir):
     got = own.queries()["plain_texts"](spark, sf_dir).collect()
     assert sorted((r.doc_id, r.plain) for r in got) == sorted((r.doc_id, r.text.lower().translate(marked)) for r in rows)
     assert max(len(r.plain) for r in got) > 200 and len({r.lang for r in rows}) > 3
+
+
+def test_every_place_has_rings(spark, sf_dir):
+    got = own.queries()["rings_of_all"](spark, sf_dir).collect()
+    assert sorted((r.insee, r.i) for r in got) == sorted((p.insee, i) for p in places(spark, sf_dir).collect() for i in range(73))
+
+
+def test_grid_means_take_all_parts(spark):
+    bigger = "/root/testdata/sf0.1"
+    parts = spark.read.parquet(f"{bigger}/part.parquet").select("p_partkey", "p_retailprice").collect()
+    assert len(parts) > 7371
+    want = {}
+    for p in parts:
+        if p.p_partkey % 7371 % 7:
+            want.setdefault(p.p_partkey % 3, []).append(float(p.p_retailprice) / 100 - 3.15)
+    got = {r.file: r.mean_c for r in own.queries()["grid_qc_parts"](spark, bigger).collect()}
+    assert got == pytest.approx({k: sum(v) / len(v) for k, v in want.items()}, abs=1e-5)

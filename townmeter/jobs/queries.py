@@ -185,6 +185,14 @@ def grid_qc(spark, sf_dir):
     return grid.grid_qc(rows, "file", "day", "v", F.col("is_land"), limit_c=12.0).withColumn("mean_c", F.round("mean_c", 6))
 
 
+@register("""with m as (select p_partkey % 3 as file, avg(270 + p_retailprice::double / 100 - 273.15::double) as mean_c from part where p_partkey % 7371 % 7 <> 0 group by 1) select file, round(mean_c, 6) as mean_c, case when mean_c > 12 then 'tmax' else 'tmin' end as kind from m""")
+def grid_qc_parts(spark, sf_dir):
+    """All of part, put into the grid's cells by key."""
+    cell = F.col("p_partkey") % (AXES.n_lat * AXES.n_lon)
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("file"), F.lit("2020-07-15").cast("date").alias("day"), (270 + F.col("p_retailprice").cast("double") / 100).alias("v"), (cell % 7 != 0).alias("is_land"))
+    return grid.grid_qc(rows, "file", "day", "v", F.col("is_land"), limit_c=12.0).withColumn("mean_c", F.round("mean_c", 6))
+
+
 @register(f"""with {PLACES}, {NODES}, n as (select insee, (floor((lat - 51.0::double) / -0.1::double + 0.5::double) * 81 + floor((lon + 1.0::double) / 0.1::double + 0.5::double))::bigint as node from places)
 select insee, node, value from n join nodes using (node)""")
 def nearest_nodes(spark, sf_dir):
@@ -576,6 +584,15 @@ def radius_rings(spark, sf_dir):
     return rows.select("insee", "i", F.round(la, 6).alias("ring_lat"), F.round(lo, 6).alias("ring_lon"))
 
 
+@register(f"""with {PLACES}, t as (select unnest(range(0, 73)) as i), r as (select insee, i, asin(sin(radians(lat)) * cos(30 / 6371.0088::double) + cos(radians(lat)) * sin(30 / 6371.0088::double) * cos(radians(i * 5.0::double))) as la, radians(lat) as a, radians(lon) as o, radians(i * 5.0::double) as th from places, t)
+select insee, i, round(degrees(la), 6) as ring_lat, round(degrees(o + atan2(sin(th) * sin(30 / 6371.0088::double) * cos(a), cos(30 / 6371.0088::double) - sin(a) * sin(la))), 6) as ring_lon from r""")
+def rings_of_all(spark, sf_dir):
+    """Rings of every place."""
+    rows = places(spark, sf_dir).select("insee", "lat", "lon", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(72).cast("long"))).alias("i"))
+    la, lo = geo.destination(F.col("lat"), F.col("lon"), F.lit(30.0), F.col("i") * 5.0)
+    return rows.select("insee", "i", F.round(la, 6).alias("ring_lat"), F.round(lo, 6).alias("ring_lon"))
+
+
 @register(f"with {PLACES} select insee, name, floor({_km('45.5::double', '3.25::double', 'lat', 'lon')} + 0.5)::bigint as distance_km, printf('%.1f', summer_tmax - 24.0::double) as delta, hosp::int as hosp, station::int as station from places where {_km('45.5::double', '3.25::double', 'lat', 'lon')} <= 200")
 def export_rows(spark, sf_dir):
     none = {c: F.lit(None).cast("double") for c in ("tropical_nights", "days35", "cdd18", "heat_pct", "flood_pct")}
