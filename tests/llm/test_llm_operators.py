@@ -136,6 +136,54 @@ def test_quality_rejects_outliers_of_their_group(spark):
     assert quality.quality_filter(df).columns == df.columns and quality.quality_filter(df).count() == 400
 
 
+def limits_of(spark, df):
+    scratch = Scratch(spark)
+    scored = scratch.put(quality.measured(df, F.col("text"), lang=F.col("lang"), source=F.col("source")))
+    return {r.g_source: r.limits for r in quality.thresholds(scored, scratch).collect()}
+
+
+def test_each_measure_has_limits_of_its_group(spark, monkeypatch):
+    """Two sources with different texts get different limits on all measures; in a group of which nine tenths have none of a measure, each measure rejects a document."""
+    monkeypatch.setattr(quality, "PRIOR", 5)
+    rng = random.Random(6)
+    plain = lambda n, k=0: " ".join(w + "x" * k for w in rng.choices(WORDS, k=n))
+    lines = lambda n, twice, k=0: "\n".join([plain(8, k) for _ in range(n)] + [f"again {i}" for i in range(twice)] * 2)
+    repeats = lambda n: plain(80) + " " + " ".join([plain(3)] * n)
+    rows = [("clean", lines(12, 0)) for _ in range(300)]
+    rows += [("rough", lines(12, rng.randint(0, 8), 4) + " " + "# " * rng.randint(0, 30) + " " + " ".join([plain(3)] * rng.randint(1, 8))) for _ in range(300)]
+    odd = {1000: lines(10, 9), 1001: lines(10, 0) + " " + "$ " * 40, 1002: repeats(12), 1003: plain(80, 9)}
+    df = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)] + [(i, t, "en", "clean") for i, t in odd.items()], "doc_id long, text string, lang string, source string")
+    limits = {k: v.asDict() for k, v in limits_of(spark, df).items()}
+    assert all(limits["clean"][m] < limits["rough"][m] for m, *_ in quality.MEASURES)
+    got = {r.doc_id: r for r in quality.quality_report(df).collect()}
+    assert not any(got[i].kept or got[i].base_failed for i in odd)
+    assert all(got[i].kept for i in range(300))
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rng = random.Random(7)
+    text = lambda k: " ".join(w + "y" * k for w in rng.choices(WORDS, k=60))
+    rows = [("en", "a", text(0)) for _ in range(600)] + [("en", "b", text(0)) for _ in range(30)] + [("en", "c", text(8)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string")
+    limits = {k: v.word_length for k, v in limits_of(spark, df).items()}
+    assert limits["a"] < limits["b"]  # both have texts alike; the smaller one is moved further to the language
+
+
+def test_quality_filter_with_clashing_names(spark):
+    rows = [(i, prose(70), "en", "s", 1, "x", "y", 2.0, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, limits int, g_lang string, group_source string, m double, `w.x` long")
+    out = quality.quality_filter(df)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    assert quality.quality_report(df.withColumn("good", F.lit(1))).filter("kept").count() == 40
+
+
+def test_a_million_words_are_judged_whole(spark):
+    long = " ".join(f"v{i}" for i in range(1_000_000))
+    df = spark.createDataFrame([(1, long, "en", "s"), (2, long + " v1 v2 v3", "en", "s"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.quality_report(df).collect()}
+    assert got == {1: (1_000_000, 0), 2: (1_000_003, 6), 3: (0, 0)}
+
+
 def test_quality_of_nothing(empty):
     assert quality.quality_report(empty).count() == 0 and quality.quality_filter(empty).count() == 0
 

@@ -5,68 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townmeter.llm.common import SPACES, Scratch, checked, words
+from townmeter.llm.common import Scratch, checked, words
 
 #: Fixed cutoffs of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Measures held against adaptive thresholds, in thousandths: (name, numerator, denominator).
-MEASURES = (("symbols", "n_symbols", "word_chars"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"), ("word_length", "word_chars", "n_words"))
-#: A threshold is q75 + FENCE * max(q75 - q25, LEAST_SPREAD[measure]). A text of few lines or words may
-#: repeat one of them, so those two measures have wide spreads.
-FENCE = 3
-LEAST_SPREAD = {"symbols": 20, "dup_lines": 150, "repeats": 120, "word_length": 600}
-#: Documents that a group's sketch needs; else the language's counts, then that of all documents.
-MIN_DOCS = 100
+#: Measures held against adaptive thresholds, in thousandths: (name, numerator, denominator, whether the numerator counts rare events).
+MEASURES = (("symbols", "n_symbols", "word_chars", False), ("dup_lines", "n_dup_lines", "n_lines", True), ("repeats", "n_repeat_words", "n_words", True), ("word_length", "word_chars", "n_words", False))
+#: A group's own threshold is q90 + FENCE * (q90 - q50) + LEAST; LEAST is about what rounding to thousandths and cells can hide.
+FENCE, LEAST = 5, 10
+#: Weight, in documents, of the language's threshold in a group's, and of the overall one in a language's.
+PRIOR = 500
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window which the text holds twice or more.
-
-    Windows are sorted by a 64-bit hash with their places; those equal to a neighbour repeat.
-    """
-    windows = F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("at")),
-    ))
-    return F.when(F.size(w) < 4, F.array().cast("array<struct<h:bigint,at:int>>")).otherwise(windows)
+def _windows(w: Column) -> Column:
+    """64-bit hashes of the 3-word windows of a text, in order."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) >= 4, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words in a struct `__m`.
+def measured(docs: DataFrame, text: Column, **kept: Column) -> DataFrame:
+    """The kept columns and a struct `m` of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, for each row of docs.
 
     Whole texts; a null text has no words. Sorting windows takes n log n for n words.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    first = docs.withColumn("__w", words(F.col(text)))
-    second = first.withColumn("__windows", _repeat_words(F.col("__w")))
-    s = F.col("__windows")
-    # Places of repeated windows; both neighbours are looked up in the sorted array.
-    third = second.withColumn("__places", F.array_sort(F.transform(
-        F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])), lambda x: x["at"]
-    )))
+    names = list(kept)
+    first = docs.select(*[c.alias(k) for k, c in kept.items()], F.coalesce(text, F.lit("")).alias("t"), words(text).alias("w"))
+    second = first.select("*", _windows(F.col("w")).alias("windows"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    # Only where some windows are equal are they sorted with their places; those equal to a neighbour repeat.
+    placed = F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+    third = second.withColumn("sorted", F.when(F.size("windows") > F.size(F.array_distinct("windows")), placed))
+    s = F.col("sorted")
+    twice = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
+    fourth = third.withColumn("places", F.when(s.isNotNull(), F.sort_array(F.transform(twice, lambda x: x["at"]))))
     covered = F.aggregate(
-        F.col("__places"), F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
+        F.col("places"), F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"],
     )
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("__w").cast("long")
-    fourth = third.withColumn("__lines", lines)
-    return fourth.withColumn("__m", F.struct(
-        n.alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
-    )).drop("__w", "__windows", "__places", "__lines")
+    return fourth.select(*names, F.struct(
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
+    ).alias("m"))
 
 
 def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
-def _thousandths(over: str, under: str) -> Column:
-    return F.when(F.col("__m")[under] > 0, F.expr(f"1000 * __m.{over} div __m.{under}")).otherwise(F.lit(0)).cast("long")
+def _thousandths(over: str, under: str, rare: bool) -> Column:
+    """m's count per thousand of another; of rare events, only those beyond the square root of their number, the noise of a count, are taken."""
+    n = F.col(f"m.{over}")
+    evident = (n - F.ceil(F.sqrt(n.cast("double"))).cast("long")) if rare else n
+    return F.when(F.col(f"m.{under}") > 0, F.call_function("div", 1000 * evident, F.col(f"m.{under}"))).otherwise(F.lit(0)).cast("long")
 
 
 def _cell(v: Column) -> Column:
@@ -75,74 +68,76 @@ def _cell(v: Column) -> Column:
     return F.when(v < 64, v).otherwise(F.call_function("shiftleft", F.call_function("shiftright", v, bits - 6), bits - 6)).cast("long")
 
 
-def thresholds(scored: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per language and source, with the upper limit of each measure.
+def thresholds(scored: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g_lang, g_source, docs, limits): the upper limit of each measure for each language and source of scored (lang, source, m).
 
     Documents that passed the base rules count. A measure's values fall into the cells of a
     sketch, whose counts are summed per group before the shuffle; quantiles are read off running
-    sums. A group under MIN_DOCS documents takes the sketch merged over its language, and a
-    language under MIN_DOCS that of all documents.
+    sums. Half of the documents lie at or under q50 and nine tenths at or under q90, so a tenth of
+    outliers doesn't move a limit. Limits shrink to those of the language, and these to the
+    overall ones: (docs * own + PRIOR * parent) / (docs + PRIOR), in whole numbers.
     """
-    m = F.col("__m")
-    values = F.array(*[F.struct(F.lit(name).alias("measure"), _cell(_thousandths(a, b)).alias("cell")) for name, a, b in MEASURES])
-    sketches = (
-        scored.filter(~base_failed(m)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(values).alias("v"))
+    values = F.array(*[F.struct(F.lit(name).alias("measure"), _cell(_thousandths(a, b, rare)).alias("cell")) for name, a, b, rare in MEASURES])
+    sketches = scratch.put(
+        scored.filter(~base_failed(F.col("m"))).select("lang", "source", F.explode(values).alias("v"))
         .groupBy("lang", "source", "v.measure", "v.cell").agg(F.count("*").alias("n"))
     )
-    own, no = [F.col("lang"), F.col("source")], F.lit(None).cast("string")
-    level = lambda k, a, b: F.struct(F.lit(k).alias("level"), a.cast("string").alias("lang"), b.cast("string").alias("source"))
+    no = F.lit(None).cast("string")
+    level = lambda k, a, b: F.struct(F.lit(k).alias("level"), a.alias("lang"), b.alias("source"))
     merged = (
-        sketches.select(F.explode(F.array(level(0, *own), level(1, own[0], no), level(2, no, no))).alias("g"), "measure", "cell", "n")
+        sketches.select(F.explode(F.array(level(0, F.col("lang"), F.col("source")), level(1, F.col("lang"), no), level(2, no, no))).alias("g"), "measure", "cell", "n")
         .groupBy("g.level", "g.lang", "g.source", "measure", "cell").agg(F.sum("n").alias("n"))
     )
     group = Window.partitionBy("level", "lang", "source", "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))).withColumn("docs", F.sum("n").over(group))
     at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("docs"), F.col("cell")))
-    spread = F.greatest(F.col("q75") - F.col("q25"), F.element_at(F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv]), F.col("measure")))
-    limits = (
-        ranked.groupBy("level", "lang", "source", "measure").agg(at(25).alias("q25"), at(75).alias("q75"), F.max("docs").alias("docs"))
-        .withColumn("limit", F.col("q75") + FENCE * spread)
-        .groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), F.struct(*[F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(k) for k, _, _ in MEASURES]).alias("limits"))
+    limits = scratch.put(
+        ranked.groupBy("level", "lang", "source", "measure").agg(at(50).alias("q50"), at(90).alias("q90"), F.max("docs").alias("docs"))
+        .withColumn("limit", F.col("q90") + FENCE * (F.col("q90") - F.col("q50")) + LEAST)
+        .groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == k[0], F.col("limit"))).alias(k[0]) for k in MEASURES])
     )
-    of = lambda k, name: limits.filter(F.col("level") == k).select(F.col("lang").alias(f"{name}_lang"), F.col("source").alias(f"{name}_source"), F.col("docs").alias(f"{name}_docs"), F.col("limits").alias(name))
-    return (
-        of(0, "group").join(of(1, "by_lang"), F.col("group_lang").eqNullSafe(F.col("by_lang_lang")))
-        .crossJoin(of(2, "overall"))  # one row
-        .select("group_lang", "group_source", F.when(F.col("group_docs") >= MIN_DOCS, F.col("group")).when(F.col("by_lang_docs") >= MIN_DOCS, F.col("by_lang")).otherwise(F.col("overall")).alias("limits"))
+    of = lambda k, name: limits.filter(F.col("level") == k).select(*[F.col(c).alias(f"{name}_{c}") for c in ("lang", "source", "docs", *[m[0] for m in MEASURES])])
+    blend = lambda docs, own, parent: F.call_function("div", docs * own + PRIOR * parent, docs + PRIOR)
+    names = [m[0] for m in MEASURES]
+    langs = of(1, "l").crossJoin(of(2, "o")).select("l_lang", *[blend(F.col("l_docs"), F.col(f"l_{k}"), F.col(f"o_{k}")).alias(f"l_{k}") for k in names])  # one overall row
+    return of(0, "g").join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang"))).select(
+        "g_lang", "g_source", F.col("g_docs").alias("docs"), F.struct(*[blend(F.col("g_docs"), F.col(f"g_{k}"), F.col(f"l_{k}")).alias(k) for k in names]).alias("limits")
     )
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = False) -> DataFrame:
-    """docs with the struct `__m` of counts, base_failed and kept.
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **kept: Column) -> DataFrame:
+    """The kept columns, m (the counts), failed and good of each row of docs.
 
-    kept: the base rules passed and no measure is over its group's limit. A null or empty text
-    fails the base rules. Null languages and sources are groups of their own. Repeated rows get
-    equal verdicts; an empty table gives an empty one. The text is dropped unless keep_text; the
-    counts are written to the shared folder once and read for sketches and verdicts.
+    failed: the base rules failed; good: they passed and no measure is over its group's limit. A
+    null or empty text fails. Null languages and sources are groups of their own. Repeated rows
+    get equal verdicts and count as often as they are there; an empty table gives an empty one.
+    Whatever names docs has, only the kept columns are carried. The counts are written to the
+    shared folder once and read for sketches and verdicts.
     """
     scratch = Scratch(docs.sparkSession)
-    scored = measured(docs, text)
-    scored = scratch.put(scored if keep_text else scored.drop(text))
-    limits = checked(scratch.put(thresholds(scored, lang, source)))
-    m = F.col("__m")
+    scored = scratch.put(measured(docs, F.col(text), lang=F.col(lang).cast("string"), source=F.col(source).cast("string"), **kept))
+    limits = checked(scratch.put(thresholds(scored, scratch)))
     over = F.lit(False)
-    for name, a, b in MEASURES:
-        over = over | (_thousandths(a, b) > F.col("limits")[name])
-    failed = base_failed(m)
+    for name, a, b, rare in MEASURES:
+        over = over | (_thousandths(a, b, rare) > F.col("limits")[name])
+    failed = base_failed(F.col("m"))
     return (
-        scored.join(limits, F.col(lang).cast("string").eqNullSafe(F.col("group_lang")) & F.col(source).cast("string").eqNullSafe(F.col("group_source")), "left")
-        .withColumn("__failed", failed).withColumn("__kept", ~failed & ~F.coalesce(over, F.lit(False)))
-        .drop("limits", "group_lang", "group_source")
+        scored.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+        .select(*kept, "m", failed.alias("failed"), (~failed & ~F.coalesce(over, F.lit(False))).alias("good"))
     )
 
 
 def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per row of docs: key, the counts, base_failed, kept."""
-    rows = judged(docs.select(F.col(key), F.col(text), F.col(lang), F.col(source)), text, lang, source)
-    counts = [F.col("__m")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return rows.select(key, *counts, F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    """One row per row of docs: key, the counts, base_failed, kept. Cases are defined as in judged(); the key may be null and of any type."""
+    counts = [F.col("m")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged(docs, text, lang, source, id=F.col(key)).select(F.col("id").alias(key), *counts, F.col("failed").alias("base_failed"), F.col("good").alias("kept"))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    return judged(docs, text, lang, source, keep_text=True).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts fail and go. Repeated rows stay or go together. An empty table gives an
+    empty one. Very long texts are judged whole.
+    """
+    rows = judged(docs, text, lang, source, row=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return rows.filter("good").select("row.*")

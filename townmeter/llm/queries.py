@@ -78,12 +78,12 @@ def _quality_cells(value: str) -> str:
 
 def quality_sql(docs: str = "documents") -> str:
     """A WITH list that ends in `quality`: docs with counts, base_failed and kept."""
-    values = " union all ".join(f"select lang, source, '{k}' as measure, {k} as v from measured where not base_failed" for k, _, _ in quality.MEASURES)
-    least = " ".join(f"when '{k}' then {v}" for k, v in quality.LEAST_SPREAD.items())
-    pick = lambda k: f"case when g.docs >= {quality.MIN_DOCS} then g.{k} when l.docs >= {quality.MIN_DOCS} then l.{k} else o.{k} end"
-    over = " or ".join(f"coalesce(m.{k} > t.{k}, false)" for k, _, _ in quality.MEASURES)
-    ratios = ", ".join(f"case when {b} > 0 then 1000 * {a} // {b} else 0 end as {k}" for k, a, b in quality.MEASURES)
-    sums = ", ".join(f"max(q75 + {quality.FENCE} * greatest(q75 - q25, case measure {least} end)) filter (where measure = '{k}') as {k}" for k, _, _ in quality.MEASURES)
+    names = [k for k, *_ in quality.MEASURES]
+    values = " union all ".join(f"select lang, source, '{k}' as measure, {k} as v from measured where not base_failed" for k in names)
+    over = " or ".join(f"coalesce(m.{k} > t.{k}, false)" for k in names)
+    ratios = ", ".join(f"case when {b} > 0 then 1000 * ({a}{f' - ceil(sqrt({a}::double))::bigint' * rare}) // {b} else 0 end as {k}" for k, a, b, rare in quality.MEASURES)
+    own = ", ".join(f"max(q90 + {quality.FENCE} * (q90 - q50) + {quality.LEAST}) filter (where measure = '{k}') as {k}" for k in names)
+    blend = lambda a, b: ", ".join(f"(({a}.docs * {a}.{k} + {quality.PRIOR} * {b}.{k}) // ({a}.docs + {quality.PRIOR}))::bigint as {k}" for k in names)
     return rf"""
 texts as (select row_number() over () as rid, *, {_WORDS.format(text='text')} as w from {docs}),
 windows as (select rid, pos, w[pos] || ' ' || w[pos + 1] || ' ' || w[pos + 2] as win
@@ -94,18 +94,18 @@ counted as (
   select t.rid, doc_id, text, lang, source, n_chars, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
          length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) as n_symbols,
          len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words
-  from (select *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from texts) t
+  from (select *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as ls from texts) t
   left join repeats r on r.rid = t.rid),
 measured as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, {ratios} from counted),
 vals as (select lang, source, measure, {_quality_cells('v')} as cell from ({values})),
 levels as (select 0 as level, lang, source, measure, cell from vals union all select 1, lang, null, measure, cell from vals union all select 2, null, null, measure, cell from vals),
 hist as (select level, lang, source, measure, cell, count(*) as n from levels group by all),
 running as (select *, sum(n) over (partition by level, lang, source, measure order by cell) as upto, sum(n) over (partition by level, lang, source, measure) as docs from hist),
-quartiles as (select level, lang, source, measure, min(cell) filter (where 100 * upto >= 25 * docs) as q25, min(cell) filter (where 100 * upto >= 75 * docs) as q75, max(docs) as docs
-              from running group by all),
-limits as (select level, lang, source, max(docs) as docs, {sums} from quartiles group by all),
-thresholds as (select g.lang, g.source, {', '.join(f'{pick(k)} as {k}' for k, _, _ in quality.MEASURES)}
-               from (from limits where level = 0) g join (from limits where level = 1) l on g.lang is not distinct from l.lang cross join (from limits where level = 2) o),
+cuts as (select level, lang, source, measure, min(cell) filter (where 100 * upto >= 50 * docs) as q50, min(cell) filter (where 100 * upto >= 90 * docs) as q90, max(docs) as docs
+         from running group by all),
+limits as (select level, lang, source, max(docs) as docs, {own} from cuts group by all),
+by_lang as (select l.lang, {blend('l', 'o')} from (from limits where level = 1) l cross join (from limits where level = 2) o),
+thresholds as (select g.lang, g.source, g.docs, {blend('g', 'l')} from (from limits where level = 0) g join by_lang l on g.lang is not distinct from l.lang),
 quality as (select m.*, not base_failed and not ({over}) as kept
             from measured m left join thresholds t on m.lang is not distinct from t.lang and m.source is not distinct from t.source)"""
 
