@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from townmeter.sources.shared import fresh_dir
+
 #: White space between words; everything else belongs to a word.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -21,20 +20,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of an executor."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, fresh_dir(spark, "scratch"), 0
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write df and return the written table."""
@@ -62,7 +52,7 @@ def checked(side: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts to so many rows, so that a Python worker's memory stays bounded."""
+    """Keep Arrow batches of whole texts to so many rows, so that a Python worker's memory stays bounded. Results are lazy, so the session keeps the setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townmeter.llm.common import Scratch, small_batches
+from townmeter.llm.common import Scratch, checked, small_batches, words
 from townmeter.llm.components import components
 
 #: Bands and rows of the sketch: two sets of similarity 0.8 share no band with probability 3e-6.
 BANDS, ROWS = 32, 5
-#: Documents of a cluster that a task compares with as many others at a time.
-BLOCK = 256
+#: Documents of a cluster, and shingles on average, that a task compares with as many others at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Words whose hashes a Python worker keeps.
 KEPT_WORDS = 300_000
 
@@ -108,19 +108,34 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def _similar(k: int, percent: int):
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each row of a list column."""
+    flat, ends = np.asarray(column.flatten()), np.cumsum(np.asarray(column.value_lengths()))
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+
+
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingle sets, 100 at a time, as signed numbers in order."""
+        hashes = _Hashes()
+        for batch in batches:
+            for a in range(0, len(batch), 100):
+                sets = [np.sort(shingle_set(t, k, hashes).view(np.int64)) for t in batch.column(1).slice(a, 100).to_pylist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 100), lists], ["id", "shingles"])
+
+    return run
+
+
+def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, kept = _Hashes(), None, None
         for batch in batches:
-            a, text_a, b, text_b = (batch.column(i).to_pylist() for i in range(4))
             linked = []
-            for i in range(len(a)):
-                if last != text_a[i]:
-                    last, kept = text_a[i], shingle_set(text_a[i], k, hashes)
-                other = shingle_set(text_b[i], k, hashes)
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                linked.append(100 * both >= percent * (len(kept) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(a, linked, strict=True) if y], pa.int64()), pa.array([x for x, y in zip(b, linked, strict=True) if y], pa.int64())], ["a", "b"])
+            for x, y in zip(_arrays(batch.column(1)), _arrays(batch.column(3)), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], ["a", "b"])
 
     return run
 
@@ -153,27 +168,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         signed.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    first = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep < last").drop("last")
-    met = scratch.put(banded.join(first, "bucket").select("bucket", "rep", "n", "lead"))
+    first = scratch.put(banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep < last").drop("last"))
+    met = scratch.put(banded.join(checked(first), "bucket").select("bucket", "rep", "n", "lead"))
 
     fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
     tried = scratch.put(met.filter(F.col("rep") != F.col("lead.rep")).filter(fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())
     members = met.select("rep").distinct()
-    texts = scratch.put(id_text.join(members.hint("shuffle_hash"), F.col("id") == F.col("rep"), "left_semi"))
-    links = scratch.put(_verified(tried, texts, k, percent))
+    sets = scratch.put(id_text.join(members.hint("shuffle_hash"), F.col("id") == F.col("rep"), "left_semi").mapInArrow(_shingles(k), "id long, shingles array<long>"))
+    links = scratch.put(_verified(tried, sets, percent))
     found = components(links, scratch)
 
     part = F.coalesce("component", "rep")
-    placed = met.select("bucket", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", part.alias("part"))
-    placed = scratch.put(_open(placed))
-    alone = _own_shingles(texts.join(placed.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi"), k)
-    alone = alone.join(texts.groupBy("id").count().filter("count > 1"), F.col("owner") == F.col("id"), "left_anti")  # a key with several texts isn't judged by one of them
+    placed = scratch.put(met.select("bucket", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", part.alias("part")))
+    still = scratch.put(_open(placed, scratch))
+    alone = _own_shingles(sets.join(still.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi"))
+    alone = alone.join(sets.groupBy("id").count().filter("count > 1"), F.col("owner") == F.col("id"), "left_anti")  # a key with several texts isn't judged by one of them
     # Of n shingles, those of the document alone are in no other's set: with too many, it is linked with none.
-    live = placed.join(alone, F.col("rep") == F.col("owner"), "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
-    live = scratch.put(_open(live.select("bucket", "rep", "part")))
-    more = scratch.put(_compared(live, texts, scratch, k, percent))
-    found = components(links.unionByName(more), scratch)
-    for used in (met, tried, texts, links, placed, live, more):  # what the result still reads stays
+    near = still.join(alone, F.col("rep") == F.col("owner"), "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
+    near = scratch.put(near.select("bucket", "rep", "n", "part"))
+    live = scratch.put(_open(near, scratch))
+    more = scratch.put(_compared(live, sets, scratch, percent))
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+    for used in (first, met, tried, sets, links, placed, still, near, live, more):  # what the result still reads stays
         scratch.drop(used)
     return (
         signed.select("id", "n", "digest").join(classes.select(F.col("digest").alias("of"), "rep"), F.col("digest") == F.col("of"), "left")
@@ -183,34 +199,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     )
 
 
-def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
+def _own_shingles(sets: DataFrame) -> DataFrame:
     """(owner, own): how many of a document's shingles no other of these documents has; without a row, none."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            for a in range(0, len(batch), 200):
-                sets = [shingle_set(t, k, hashes) for t in batch.column(1).slice(a, 200).to_pylist()]
-                ids = np.repeat(np.asarray(batch.column(0).slice(a, 200)), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
-
-    each = texts.select("id", "text").mapInArrow(explode, "id long, shingle long")
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
     single = each.groupBy("shingle").agg(F.min("id").alias("owner"), F.max("id").alias("other")).filter("owner = other")
     return single.groupBy("owner").agg(F.count("*").alias("own"))
 
 
-def _open(placed: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several parts."""
+def _open(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of buckets that hold several parts; placed is a written table. Rows are not dealt by bucket but where AQE can split a hot one."""
     several = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
-    return placed.join(several, "bucket", "left_semi")
+    return placed.join(checked(scratch.put(several)), "bucket", "left_semi")
 
 
-def _block_links(k: int, percent: int):
+def _block_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Links between documents of different parts, from counts of shared shingles."""
-        hashes = _Hashes()
         ids, parts = np.asarray(table["rep"]), np.asarray(table["part"])
-        sets = [shingle_set(t, k, hashes) for t in table["text"].to_pylist()]
+        sets = _arrays(table["shingles"].combine_chunks())
         sizes = np.array([len(s) for s in sets])
         values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row, shared = np.repeat(np.arange(len(sets)), sizes), counts[where] > 1
@@ -231,19 +237,21 @@ def _block_links(k: int, percent: int):
     return run
 
 
-def _compared(live: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+def _compared(live: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b) of the links between different parts within clusters of documents that buckets connect.
 
-    live: bucket, rep, part. A cluster's largest part is cut into blocks, and so is the rest; each
-    block of the rest meets every block in a task of its own.
+    live: bucket, rep, n, part. A cluster's largest part is cut into blocks, and so is the rest; each
+    block of the rest meets every block in a task of its own. Blocks are bounded in documents and
+    on average in shingles, of which the sorted hashes are sent.
     """
-    lead = live.groupBy("bucket").agg(F.min("rep").alias("a"))
+    lead = checked(scratch.put(live.groupBy("bucket").agg(F.min("rep").alias("a"))))
     clusters = components(live.join(lead, "bucket").select("a", F.col("rep").alias("b")), scratch)
-    docs = live.select("rep", "part").distinct().join(clusters, F.col("rep") == F.col("node"), "left").select("rep", "part", F.coalesce("component", "rep").alias("cluster"))
+    docs = live.groupBy("rep", "part").agg(F.max("n").alias("n")).join(clusters, F.col("rep") == F.col("node"), "left").select("rep", "part", "n", F.coalesce("component", "rep").alias("cluster"))
     docs = scratch.put(docs)
-    sizes = docs.groupBy("cluster", "part").agg(F.count("*").alias("n"))
-    plan = sizes.groupBy(F.col("cluster").alias("of")).agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).select(
-        "of", F.col("top.part").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("top_blocks")
+    sizes = docs.groupBy("cluster", "part").agg(F.struct(F.count("*").alias("docs"), F.sum("n").alias("shingles")).alias("s"))
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+    plan = sizes.groupBy(F.col("cluster").alias("of")).agg(F.max(F.struct("s", "part")).alias("top"), F.sum("s.docs").alias("docs"), F.sum("s.shingles").alias("shingles")).select(
+        "of", F.col("top.part").alias("largest"), blocks(F.col("docs") - F.col("top.s.docs"), F.col("shingles") - F.col("top.s.shingles")).alias("rest_blocks"), blocks(F.col("top.s.docs"), F.col("top.s.shingles")).alias("top_blocks")
     )
     spot = F.when(F.col("part") == F.col("largest"), F.col("rest_blocks") + F.pmod(F.xxhash64("rep"), F.col("top_blocks"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest_blocks"))).cast("int")
     dealt = docs.join(plan, F.col("cluster") == F.col("of")).filter("rest_blocks > 0").withColumn("block", spot)
@@ -252,24 +260,34 @@ def _compared(live: DataFrame, texts: DataFrame, scratch: Scratch, k: int, perce
     first = F.transform(i, lambda x: F.struct(x.alias("i"), F.col("block").alias("j")))
     j = F.filter(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("top_blocks") - 1), lambda x: (x > F.col("block")) & (F.col("block") < F.col("rest_blocks")))
     second = F.transform(j, lambda x: F.struct(F.col("block").alias("i"), x.alias("j")))
-    sent = dealt.join(texts, F.col("rep") == F.col("id")).select("cluster", "rep", "part", "text", F.explode(F.concat(first, second)).alias("t"))
-    return sent.select("cluster", "t.i", "t.j", "rep", "part", "text").groupBy("cluster", "i", "j").applyInArrow(_block_links(k, percent), "a long, b long").distinct()
+    sent = dealt.join(sets, F.col("rep") == F.col("id")).select("cluster", "rep", "part", "shingles", F.explode(F.concat(first, second)).alias("t"))
+    return sent.select("cluster", "t.i", "t.j", "rep", "part", "shingles").groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(other, "b").join(one, "a").select("a", "text_a", "b", "text_b")
-    return both.mapInArrow(_similar(k, percent), "a long, b long").distinct()
+    other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+    both = pairs.join(other, "b").join(one, "a").select("a", "set_a", "b", "set_b")
+    return both.mapInArrow(_similar(percent), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one row of each component, one with its smallest key. Rows without a key can't be named by a component and stay."""
+    """docs with the document of the smallest key of each component, with all columns, whatever their names.
+
+    Rows with one key are one document. Those of them with the same words, A-Z lower-cased, are
+    copies, of which the first by text and then by all columns stays; rows with other words stay,
+    as nothing else holds them. Null and empty texts have no copies under other keys. Rows
+    without a key can't be named by a component and stay. An empty table gives an empty one.
+    """
     scratch = Scratch(docs.sparkSession)
-    kept = scratch.put(near_duplicates(docs, key, text, **how).filter("kept").groupBy(F.col(key).alias("__kept_id")).agg(F.count("*").alias("__rows")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.join(kept.select("__kept_id").hint("shuffle_hash"), F.col(key) == F.col("__kept_id"), "left_semi")
-    if kept.filter("__rows > 1").limit(1).count():  # several rows with one key: one of them stays
-        out = out.dropDuplicates([key])
-    return out.unionByName(docs.filter(F.col(key).isNull())).select(*names)
+    kept = scratch.put(near_duplicates(docs, key, text, **how).filter("kept").groupBy(F.col(key).alias("id")).agg(F.count("*").alias("rows")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("t"))
+    keyed = lambda which: rows.join(kept.filter(which).select("id").hint("shuffle_hash"), F.col("key") == F.col("id"), "left_semi")
+    out = keyed("rows = 1").select("row").unionByName(rows.filter("key is null").select("row"))
+    if kept.filter("rows > 1").limit(1).count():
+        upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+        same = F.md5(F.array_join(words(F.translate("t", upper, lower)), " ").cast("binary"))
+        one = F.min_by("row", F.struct("t", F.to_json("row"))).alias("row")
+        out = out.unionByName(keyed("rows > 1").groupBy("key", same.alias("same")).agg(one).select("row"))
+    return out.select("row.*")
