@@ -263,24 +263,61 @@ def test_repeated_passages_are_cut(spark):
     assert spans.cut_repeats(df.limit(0)).count() == 0
 
 
+def pieces_by_hand(text):
+    """Sentences of a text as lists of words: a splitter of the tests' own, word by word."""
+    out, now = [], []
+    for line in text.split("\n"):
+        for w in split(line):
+            now.append(w)
+            if w[-1] in ".!?":
+                out, now = [*out, now], []
+        out, now = [*out, now], []
+    done = []
+    for s in filter(None, out):
+        h = [xxhash.xxh3_64_intdigest(w) for w in s]
+        starts = [0]
+        if len(s) > 10:
+            starts += [i for i in range(3, len(s) - 3) if h[i] == min(h[i - 3 : i + 4])]
+        done += [s[a:b] for a, b in zip(starts, [*starts[1:], len(s)])]
+    return done
+
+
 def brute_spans(docs):
-    seen, gone = {}, {}
+    """{document: words removed}: runs of two pieces, or one of 20 words, that stand earlier; regions under 20 words stay."""
+    seen, gone = set(), {}
     for k in sorted(docs):
-        text = docs[k].encode()
-        found = spans.sentences(text)
-        for i in range(len(found)):
-            j, n = i, 0
-            while j < len(found) and (n < spans.WORDS or j - i < spans.SENTENCES):
-                n += found[j][2]
+        p = pieces_by_hand(docs[k])
+        covered = [False] * len(p)
+        for i in range(len(p)):
+            for n in (1, 2):
+                if i + n <= len(p) and (n == 2 or len(p[i]) >= 20):
+                    run = tuple(map(tuple, p[i : i + n]))
+                    if run in seen:
+                        covered[i : i + n] = [True] * n
+                    seen.add(run)
+        i = 0
+        while i < len(p):
+            j = i
+            while j < len(p) and covered[j]:
                 j += 1
-            if n < spans.WORDS or j - i < spans.SENTENCES:
-                break
-            run = tuple(b" ".join(text[a:b].split()) for a, b, _ in found[i:j])
-            if run in seen:
-                gone.setdefault(k, set()).update(range(i, j))
-            else:
-                seen[run] = k
-    return {k: len(v) for k, v in gone.items()}
+            words = sum(map(len, p[i:j]))
+            if words >= 20:
+                gone[k] = gone.get(k, 0) + words
+            i = max(j, i + 1)
+    return gone
+
+
+def test_every_run_of_a_passage_is_found(spark):
+    """A passage of sentences with 20, 3, 3 and 3 words goes whole, in the middle of a text and at its end."""
+    rng = random.Random(3)
+    s = lambda n: " ".join(rng.choices(WORDS, k=n)) + "."
+    passage = " ".join([" ".join(f"p{i}" for i in range(20)) + ".", s(3), s(3), s(3)])
+    texts = [f"{s(9)} {passage} {s(9)}", f"{s(9)} {s(5)} {passage} {s(9)}", f"{s(8)} {passage}", f"{s(3)} {s(3)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.words_removed, r.text) for r in spans.cut_repeats(df).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {1: 29, 2: 29} and not set(passage.split()[:20]) & set(got[1][1].split())
+    long = spark.createDataFrame([(1, " ".join(f"v{i}." for i in range(50_000))), (2, " ".join(f"v{i}." for i in range(50_000)))], "doc_id long, text string")
+    assert [(r.doc_id, r.words_removed, r.text.strip()) for r in spans.cut_repeats(long).collect()] == [(2, 50_000, "")]
 
 
 def test_spans_equal_brute_force(spark):
@@ -288,7 +325,7 @@ def test_spans_equal_brute_force(spark):
     pool = [" ".join(rng.choices(WORDS, k=rng.randint(1, 40))) + rng.choice([". ", "! ", "\n", " "]) for _ in range(30)]
     texts = {i: "".join(rng.choices(pool, k=rng.randint(0, 12))) for i in range(80)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.n_removed for r in spans.cut_repeats(df).collect()} == brute_spans(texts)
+    assert {r.doc_id: r.words_removed for r in spans.cut_repeats(df).collect()} == brute_spans(texts)
 
 
 # --- licenses ---------------------------------------------------------------------------------
@@ -392,13 +429,35 @@ def test_long_runs_are_linear():
         pii.spans(t)
 
 
+def kinds(text):
+    return [k for k, _, _ in pii.added_spans(text)]
+
+
+def held(text):
+    return [text[a:b] for _, a, b in pii.added_spans(text)]
+
+
 def test_checksums_and_context():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
-    kinds = lambda t: [k for k, _, _ in pii.added_spans(t)]
-    assert kinds("x GB82 WEST 1234 5698 7654 32 y") == ["iban"] and kinds("x GB83 WEST 1234 5698 7654 32 y") == []
+    assert kinds("x GB82 WEST 1234 5698 7654 32 y") == ["iban"]
+    # A failed checksum vetoes, whatever stands around.
+    assert kinds("bank account GB83 WEST 1234 5698 7654 32") == [] and kinds("IBAN: GB82 WEST 1234 5698 7654") == [] and kinds("IBAN XX82 1234 5678 9012 3456") == []
+    # The country's length ends the span.
+    assert held("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == held("IBAN: DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == ["DE89 3704 0044 0532 0130 00"]
+    assert held("(FR1420041010050500013M02606)") == ["FR1420041010050500013M02606"] and kinds("DE8937040044053201300012") == []
     assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == ["secret"] and kinds('hash "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == []
-    assert kinds("SSN 123-45-6789") == ["national_id"] and kinds("part 123-45-6789") == []
+    assert kinds('"04dbebab91ab85687d33eeaaf9ac699e1188f962" is my password') == ["secret"]
+
+
+def test_national_numbers():
+    assert held("SSN 123-45-6789") == held("123-45-6789 (social security)") == ["123-45-6789"] and kinds("part 123-45-6789") == []
+    assert kinds("SSN 000-45-6789") == kinds("SSN 666-45-6789") == kinds("SSN 123-00-6789") == kinds("SSN 912-45-6789") == []
+    assert held("mi 12345678Z aquí") == ["12345678Z"] and held("X1234567L") == ["X1234567L"] and kinds("DNI 12345678A") == []
+    assert held("1 85 05 78 006 084 91") == ["1 85 05 78 006 084 91"] and held("255081416802538") == ["255081416802538"] and held("2 69 05 2A 588 157 03 x") == []
+    assert kinds("INSEE 1 85 05 78 006 084 92") == []
+    assert held("Steuer-ID 86095742719") == ["86095742719"] and held("86 095 742 719 ist die Steuer-ID") == ["86 095 742 719"]
+    assert kinds("Steuer-ID 86095742718") == [] and kinds("order 86095742719") == []
 
 
 def test_reports_and_masks(spark, docs, empty):

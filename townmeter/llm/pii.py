@@ -14,18 +14,26 @@ from townmeter.llm.common import small_batches
 
 #: Kinds in the order of reports; the first four are the base, the others are added by the scores below.
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
-#: Score of a proposed span by kind, what a passed checksum or a context word nearby adds, and the score it needs.
-PRIOR = {"iban": 0.3, "national_id": 0.3, "secret": 0.4}
+#: Score of a proposed span, what a passed checksum or a context word nearby adds, and the score it needs. A failed checksum vetoes.
+PRIOR = {"iban": 0.3, "ssn": 0.3, "dni": 0.2, "insee": 0.3, "steuer": 0.0, "secret": 0.4}
 CHECKED, NEARBY, NEEDED = 0.5, 0.3, 0.6
-#: Code points before a span in which context words count.
+#: Code points before and after a span in which context words count.
 REACH = 40
 
-# Context words by kind.
+# Context words by kind, and lengths of account numbers by country.
 CONTEXT = {
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
-    "national_id": ("ssn", "social security", "national id", "tax id", "passport", "steuer", "sozialversicherung", "insee", "dni", "nif"),
+    "national_id": ("ssn", "social security", "national id", "tax id", "passport", "steuer", "sozialversicherung", "insee", "sécurité sociale", "dni", "nif", "nie"),
     "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access key"),
 }
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 # Possessive runs and look-behinds keep the work linear in the text; matches are the greedy leftmost ones.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,8 +42,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]){11,28}")
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_DNI = re.compile(r"(?<![A-Za-z0-9])[XYZ0-9][0-9]{7}-?[A-Z](?![A-Za-z0-9])")
+_INSEE = re.compile(r"(?<![A-Za-z0-9])[12] ?[0-9]{2} ?[0-9]{2} ?(?:[0-9]{2}|2[AB]) ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![A-Za-z0-9])")
+_STEUER = re.compile(r"(?<![A-Za-z0-9])[1-9][0-9](?: ?[0-9]{3}){3}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")
 
 
@@ -54,6 +65,27 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def dni(number: str) -> bool:
+    """Whether the letter of a Spanish number fits its digits, of which X, Y, Z stand for 0, 1, 2."""
+    digits = number[:-1].replace("-", "").translate(str.maketrans("XYZ", "012"))
+    return _DNI_LETTERS[int(digits) % 23] == number[-1]
+
+
+def insee(number: str) -> bool:
+    """Whether the last two digits of a French number are 97 minus the remainder of the others modulo 97; 2A and 2B in them count as 19 and 18."""
+    n = number.replace(" ", "").replace("2A", "19").replace("2B", "18")
+    return 97 - int(n[:-2]) % 97 == int(n[-2:])
+
+
+def steuer(number: str) -> bool:
+    """Whether the last digit of a German tax number is its check digit modulo 11 and 10."""
+    *digits, last = map(int, number.replace(" ", ""))
+    product = 10
+    for d in digits:
+        product = 2 * ((d + product) % 10 or 10) % 11
+    return (11 - product) % 10 == last
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -85,22 +117,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _near(text: str, start: int, kind: str) -> bool:
-    before = text[max(0, start - REACH) : start].lower()
-    return any(w in before for w in CONTEXT[kind])
+def _near(text: str, start: int, end: int, kind: str) -> bool:
+    around = text[max(0, start - REACH) : start].lower() + "\n" + text[end : end + REACH].lower()
+    return any(w in around for w in CONTEXT[kind])
+
+
+def _account(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers as long as their country's; the match may have gone further."""
+    for m in _IBAN.finditer(text):
+        left, end = IBAN_LENGTHS.get(m[1], 0), m.start()
+        while left and end < m.end():
+            left -= text[end] != " "
+            end += 1
+        if left == 0 and m[1] in IBAN_LENGTHS and not (text[end : end + 1].isalnum()):
+            yield m.start(), end
+
+
+#: (kind, prior, what proposes spans, what confirms them).
+PROPOSED = (
+    ("iban", "iban", _account, lambda s: mod97(s.replace(" ", ""))),
+    ("national_id", "ssn", lambda t: (m.span() for m in _SSN.finditer(t)), None),
+    ("national_id", "dni", lambda t: (m.span() for m in _DNI.finditer(t)), dni),
+    ("national_id", "insee", lambda t: (m.span() for m in _INSEE.finditer(t)), insee),
+    ("national_id", "steuer", lambda t: (m.span() for m in _STEUER.finditer(t)), steuer),
+    ("secret", "secret", lambda t: (m.span() for m in _SECRET.finditer(t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])), None),
+)
 
 
 def added_spans(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the other kinds whose score reaches NEEDED: the prior, plus the checksum's and the context's share."""
+    """Spans of the other kinds whose score reaches NEEDED: the prior, plus the checksum's and the context's share; a checksum that fails rules a span out."""
     out = []
-    for kind, pattern, check in (("iban", _IBAN, lambda s: mod97(s.replace(" ", ""))), ("national_id", _NATIONAL, None), ("secret", _SECRET, None)):
-        for m in pattern.finditer(text):
-            if kind == "secret" and not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
+    for kind, prior, propose, check in PROPOSED:
+        for a, b in propose(text):
+            if check and not check(text[a:b]):
                 continue
-            score = PRIOR[kind] + CHECKED * bool(check and check(m[0])) + NEARBY * _near(text, m.start(), kind)
-            if score >= NEEDED - 1e-9:
-                out.append((kind, *m.span()))
-    return out
+            if PRIOR[prior] + CHECKED * bool(check) + NEARBY * _near(text, a, b, kind) >= NEEDED - 1e-9:
+                out.append((kind, a, b))
+    return sorted(set(out), key=lambda x: (KINDS.index(x[0]), x[1:]))
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -152,7 +205,12 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def mask_pii(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with every span of personal data replaced by its kind; `length`, if there, becomes the new text's code points. Null texts stay null."""
+    """docs with every span of personal data replaced by its kind, with all columns, whatever their names.
+
+    `length`, if there, becomes the new text's code points. Null texts stay null, empty ones
+    empty, and texts without personal data as they are. Repeated rows give equal rows, an empty
+    table an empty one. Very long texts are searched whole, in linear time.
+    """
     small_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text)
 

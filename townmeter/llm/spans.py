@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from townmeter.llm.common import Scratch, small_batches
 
-#: A span is the shortest run of sentences from its start with so many sentences and words at least.
+#: Sentences of a run; words of a repeated region that is removed, or of a sentence that is a run alone.
 SENTENCES, WORDS = 2, 20
 #: Sentences of more words are cut before words whose hash is the least of NEAR words on both sides.
 LONGEST, NEAR = 10, 3
@@ -46,48 +47,61 @@ def sentences(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def runs(text: bytes) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of the span from each sentence; none where the text ends before it is long enough."""
+def runs(text: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(hash, first sentence, last sentence, words before it, words to its end) of every run of SENTENCES sentences, and of every sentence of WORDS words or more."""
     found = sentences(text)
-    if len(found) < SENTENCES:
-        return []
     marks = [xxhash.xxh3_64_digest(b" ".join(text[a:b].split())) for a, b, _ in found]
-    out, end, words = [], 0, 0
-    for i in range(len(found)):
-        while end < len(found) and (words < WORDS or end - i < SENTENCES):
-            words += found[end][2]
-            end += 1
-        if words < WORDS or end - i < SENTENCES:
-            break
-        out.append((xxhash.xxh3_64_intdigest(b"".join(marks[i:end])), i, end - 1))
-        words -= found[i][2]
-    return out
+    upto = list(itertools.accumulate((n for _, _, n in found), initial=0))
+    several = [(xxhash.xxh3_64_intdigest(b"".join(marks[i : i + SENTENCES])), i, i + SENTENCES - 1, upto[i], upto[i + SENTENCES]) for i in range(len(found) - SENTENCES + 1)]
+    return several + [(xxhash.xxh3_64_intdigest(marks[i]), i, i, upto[i], upto[i + 1]) for i, (_, _, n) in enumerate(found) if n >= WORDS]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple[int, ...]] = []
-        for doc, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            rows += [(h - (1 << 64) if h >> 63 else h, doc, tag, i, j) for h, i, j in runs(text or b"")]
-        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[k] for r in rows], pa.int32()) for k in (3, 4)]
-        yield pa.RecordBatch.from_arrays(columns, ["span", "id", "tag", "start", "stop"])
+        for at in range(0, len(batch), 100):
+            rows: list[tuple[int, ...]] = []
+            for doc, tag, text in zip(*(batch.column(i).slice(at, 100).to_pylist() for i in range(3)), strict=True):
+                rows += [(h - (1 << 64) if h >> 63 else h, doc, tag, *rest) for h, *rest in runs(text or b"")]
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[k] for r in rows], pa.int32()) for k in range(3, 7)]
+            yield pa.RecordBatch.from_arrays(columns, ["span", "id", "tag", "start", "stop", "before", "upto"])
+
+
+def regions(found: list[dict]) -> list[tuple[int, int, set[int]]]:
+    """(first sentence, last sentence, documents of first places) of the maximal regions that repeated spans cover, if they have WORDS words or more."""
+    out: list[dict] = []
+    for s in sorted(found, key=lambda s: (s["start"], s["stop"])):
+        if not out or s["start"] > out[-1]["stop"] + 1:
+            out.append(s | {"first": set()})
+        elif s["stop"] > out[-1]["stop"]:
+            out[-1] |= {"stop": s["stop"], "upto": s["upto"]}
+        out[-1]["first"].add(s["first_id"])
+    return [(r["start"], r["stop"], r["first"]) for r in out if r["upto"] - r["before"] >= WORDS]
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with regions, and the documents that hold the first places of their spans."""
+    for batch in batches:
+        rows: dict[str, list] = {"id": [], "tag": [], "regions": [], "first_doc_ids": []}
+        for doc, tag, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if held := regions(found):
+                for name, v in zip(rows, (doc, tag, [{"start": a, "stop": b} for a, b, _ in held], sorted(set().union(*(f for _, _, f in held)))), strict=True):
+                    rows[name].append(v)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["tag"], pa.int64()), pa.array(rows["regions"], kind), pa.array(rows["first_doc_ids"], pa.list_(pa.int64()))], list(rows))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the sentences that repeated spans cover."""
+    """Texts without their regions."""
     for batch in batches:
         out = {k: [] for k in ("n_sentences", "n_removed", "words_removed", "text")}
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found, gone = sentences(text), set()
-            for s in spans:
-                gone.update(range(s["start"], s["stop"] + 1))
-            left, at = [], 0
-            for i in sorted(gone):
-                left.append(text[at : found[i][0]])
-                at = found[i][1]
+        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            found, left, at = sentences(text), [], 0
+            for r in gone:
+                left.append(text[at : found[r["start"]][0]])
+                at = found[r["stop"]][1]
             out["n_sentences"].append(len(found))
-            out["n_removed"].append(len(gone))
-            out["words_removed"].append(sum(found[i][2] for i in gone))
+            out["n_removed"].append(sum(r["stop"] - r["start"] + 1 for r in gone))
+            out["words_removed"].append(sum(found[i][2] for r in gone for i in range(r["start"], r["stop"] + 1)))
             out["text"].append(b"".join([*left, text[at:]]).decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *[pa.array(out[k], pa.int64()) for k in list(out)[:3]], pa.array(out["text"], pa.string()), batch.column(3)],
@@ -95,38 +109,46 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, tag, start, stop, first_id) of each span that occurs earlier: in a smaller key, or before in the same document.
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, tag, text) of the rows with a key and a text; tag is the text's hash, so rows with one key and different texts are different documents."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).filter("id is not null and t is not null")
+    return rows.select("id", F.xxhash64("t").alias("tag"), F.col("t").cast("binary").alias("text"))
+
 
-    tag is the text's hash; rows with one key and different texts are different documents.
+def repeated_spans(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A written table of (id, tag, spans): the runs of each document that occur earlier, in a smaller key or before in the same document.
 
-    Every span of every text is hashed. A hash's first place is a minimum, summed up per task
-    before the shuffle, so that a passage in very many documents is one row per task; spans
-    are then joined with the first places of those hashes that occur more than once.
+    Every run of every text is hashed. A hash's first place is a minimum, summed up per task
+    before the shuffle, so that a passage in very many documents is one row per task; runs are
+    then joined with the first places of those hashes that occur more than once.
     """
     small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).cast("binary").alias("text"))
-    spans = scratch.put(texts.mapInArrow(_runs, "span long, id long, tag long, start int, stop int"))
+    spans = scratch.put(_texts(docs, key, text).mapInArrow(_runs, "span long, id long, tag long, start int, stop int, before int, upto int"))
     place = F.struct("id", "tag", "start")
     first = spans.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select(F.col("span").alias("of"), "first")
     first = scratch.put(first)  # as a table, so that the join below is between two exchanges, of which AQE splits a hot span's rows
-    return spans.join(first, F.col("span") == F.col("of")).filter(place > F.col("first")).select("id", "tag", "start", "stop", F.col("first.id").alias("first_id"))
+    again = spans.join(first, F.col("span") == F.col("of")).filter(place > F.col("first")).select("id", "tag", F.struct("start", "stop", "before", "upto", F.col("first.id").alias("first_id")).alias("s"))
+    out = scratch.put(again.groupBy("id", "tag").agg(F.collect_set("s").alias("spans")))
+    for used in (spans, first):
+        scratch.drop(used)
+    return out
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document that loses sentences: key, n_sentences, n_removed, words_removed, text, first_doc_ids.
 
-    text: what is left, in order; first_doc_ids: the documents that hold the first places of what
-    was removed, sorted. Documents that aren't in the result keep their texts as they are. White
-    space between words doesn't tell sentences apart. Keys are integers; rows with equal key and
-    text are one document and give equal rows, rows without a key or text take no part. An
-    empty table gives an empty one; other columns are ignored.
+    A sentence is removed if a run of SENTENCES sentences that covers it, or itself with WORDS
+    words, has occurred before, and the region of such sentences around it has WORDS words or
+    more. text: what is left, in order; first_doc_ids: the documents that hold the first places of
+    what was removed, sorted. Documents that aren't in the result keep their texts as they are.
+    White space between words doesn't tell sentences apart. Keys are integers; rows with equal key
+    and text are one document and give equal rows, rows without a key or text take no part. An
+    empty table gives an empty one; other columns are ignored. Very long texts are cut whole.
     """
     scratch = Scratch(docs.sparkSession)
-    repeats = repeated_spans(docs, key, text)
-    gone = scratch.put(repeats.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_doc_ids")))
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).cast("binary").alias("text"))
-    joined = texts.join(gone.hint("shuffle_hash"), ["id", "tag"]).select("id", "text", "spans", "first_doc_ids")
+    found = repeated_spans(docs, scratch, key, text)
+    gone = scratch.put(found.mapInArrow(_regions, "id long, tag long, regions array<struct<start:int,stop:int>>, first_doc_ids array<long>"))
+    scratch.drop(found)
+    joined = _texts(docs, key, text).join(gone.hint("shuffle_hash"), ["id", "tag"]).select("id", "text", "regions", "first_doc_ids")
     schema = "id long, n_sentences long, n_removed long, words_removed long, text string, first_doc_ids array<long>"
     return joined.mapInArrow(_cut, schema).withColumnRenamed("id", key)
