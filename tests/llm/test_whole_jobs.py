@@ -63,12 +63,34 @@ def test_a_text_of_one_word_is_cut_in_linear_pieces():
     assert len(spans.sentences(b"a " * 1000)) <= 1000 and spans.sentences(b" a b. ") == [(1, 5, 2)]
 
 
-def recall(spark, x, k=20, **how):
+def test_the_scan_finds_the_results_of_a_large_table(spark, monkeypatch):
+    """20,000 vectors, ten times the sample, are searched with a recall of 0.9; without the scan nothing is found."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((20_000, 32)) + rng.standard_normal((100, 32))[np.arange(20_000) % 100]
+    monkeypatch.setattr(neighbours, "SAMPLE", 2000)
+    assert recall(spark, x, every=50) >= 0.9
+    nothing = lambda blocks, query, rows, bound, k: np.zeros(0, np.int64)
+    monkeypatch.setattr(neighbours, "scan", nothing)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:500])], "vec_id long, embedding array<double>")
+    assert neighbours.search(df, every=20).count() == 0
+
+
+def test_lists_beyond_the_bound_are_passed_over_and_large_ones_split(spark, monkeypatch):
+    """Far clusters: results are exact though tasks hold 64 rows, and most lists lie beyond the bound."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 16)) + 20 * rng.standard_normal((5, 16))[np.arange(1500) % 5]
+    monkeypatch.setattr(neighbours, "ROWS", 64)
+    monkeypatch.setattr(neighbours, "QUERIES", 16)
+    assert recall(spark, x) >= 0.95
+    assert neighbours._packed(np.array([3, 4, 0, 9, 2, 2]), 4) == [(0, 0, 1), (1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 5, 1), (5, 5, 1)]
+
+
+def recall(spark, x, k=20, every=20, **how):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for r in neighbours.search(df, every=20, **how).collect():
+    for r in neighbours.search(df, every=every, **how).collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    assert sorted(got) == list(range(0, len(x), 20)) and all(len(set(v)) == k for v in got.values())
+    assert sorted(got) == list(range(0, len(x), every)) and all(len(set(v)) == k for v in got.values())
     hits = 0
     for q, found in got.items():
         score = x @ x[q]

@@ -21,7 +21,7 @@ PROBED, LEAST_PROBED = 0.6, 12
 BLOCK = 16
 #: The test's slack: larger abandons fewer vectors that belong to the result.
 SLACK = 2.1
-#: Rows of a list, and queries, that one task compares at a time.
+#: Vectors of lists, or of a part of a large list, and queries, that one task compares.
 ROWS, QUERIES = 8_192, 2_048
 
 
@@ -52,35 +52,55 @@ def _fit(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def scan(vectors: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, candidates): indices of the vectors that the adaptive scan does not abandon.
+def scan(blocks: list[np.ndarray], query: np.ndarray, rows: np.ndarray, bound: float, k: int) -> np.ndarray:
+    """Those of the rows that the adaptive scan does not abandon.
 
-    Both sides are rotated alike. Column block after column block, the squared distance over the
-    dimensions seen so far is a candidate's estimate; it is abandoned when the estimate is over
-    the bound of the k-th result by more than SLACK / sqrt(dimensions seen). Distances of those
-    that are left are exact and lower the bound for the next rows.
+    blocks: the rotated vectors in blocks of columns. Column block after column block, the squared
+    distance over the dimensions seen so far is a candidate's estimate; it is abandoned when the
+    estimate is over the bound of the k-th result by more than SLACK / sqrt(dimensions seen).
+    Distances of those that are left are exact and lower the bound for the next rows.
     """
-    width = vectors.shape[1]
-    blocks = [np.ascontiguousarray(vectors[:, a : a + BLOCK]) for a in range(0, width, BLOCK)]
-    for i, q in enumerate(queries):
-        bound, kept, held = bounds[i], [], np.zeros(0)
-        for at in range(0, len(vectors), 1024):
-            alive, partial, seen = np.arange(at, min(at + 1024, len(vectors))), 0.0, 0
-            for block, a in zip(blocks, range(0, width, BLOCK), strict=True):
-                piece = q[a : a + BLOCK]
-                diff = block[alive] - piece
-                partial = partial + np.einsum("ij,ij->i", diff, diff)
-                seen += len(piece)
-                stays = partial <= bound * (seen / width) * (1 + SLACK / np.sqrt(seen)) ** 2 if seen < width else partial <= bound * (1 + 1e-9) + 1e-12
-                alive, partial = alive[stays], partial[stays]
-                if not len(alive):
-                    break
-            if len(alive):
-                kept.append(alive)
-                held = np.concatenate([held, partial])
-                if len(held) > k:
-                    bound = min(bound, np.partition(held, k)[k])
-        yield i, np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    width, kept, held = len(query), [], np.zeros(0)
+    for at in range(0, len(rows), 1024):
+        alive, partial, seen = rows[at : at + 1024], 0.0, 0
+        for block in blocks:
+            piece = query[seen : seen + block.shape[1]]
+            diff = block[alive] - piece
+            partial = partial + np.einsum("ij,ij->i", diff, diff)
+            seen += len(piece)
+            stays = partial <= bound * (seen / width) * (1 + SLACK / np.sqrt(seen)) ** 2 if seen < width else partial <= bound * (1 + 1e-9) + 1e-12
+            alive, partial = alive[stays], partial[stays]
+            if not len(alive):
+                break
+        if len(alive):
+            kept.append(alive)
+            held = np.concatenate([held, partial])
+            if len(held) > k:
+                bound = min(bound, np.partition(held, k)[k])
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _best(base: np.ndarray, reps: np.ndarray, query: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, scores) of the k + 1 largest inner products; products are added from the first dimension on, whoever shares the task."""
+    rough = base[found] @ query
+    if len(found) > k + 1:
+        cut = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+        found = found[rough >= cut - 1e-9 * (1 + abs(cut))]
+    score = np.cumsum(base[found] * query, axis=1)[:, -1]
+    order = np.lexsort((reps[found], -score))[: k + 1]
+    return reps[found][order], score[order]
+
+
+def _packed(sizes: np.ndarray, rows: int) -> list[tuple[int, int, int]]:
+    """(list, first group, parts): lists that follow one another share a group of about so many rows, a larger list has several of its own."""
+    out, group, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > rows:
+            group, held = group + 1, 0
+        parts = max(1, -(-n // rows))
+        out.append((i, group, parts))
+        group, held = (group + parts, 0) if parts > 1 else (group, held + n)
+    return out
 
 
 def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", column: str = "embedding", probed: float = PROBED) -> DataFrame:
@@ -94,12 +114,14 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
     table gives an empty one; other columns are ignored.
 
     Centroids and first bounds come from a sample of SAMPLE vectors; every vector is put into its
-    list, lists are cut into parts of about ROWS rows, and each part is scanned for the queries
-    that probe the list: a share of the lists, and further ones until they hold k + 1 vectors.
-    All candidates come from these scans. First bounds are taken from those of the sample that lie
-    in the probed lists; queries that are left with too few candidates, as the test abandoned
-    some, scan every list without a bound. Part and query block meet in one task, so that no list
-    is too large.
+    list, and lists are packed into groups of about ROWS rows, a large list into several. A query
+    probes a share of the lists, nearest first, and further ones until they hold k + 1 vectors;
+    those whose every vector lies beyond the query's first bound, by distance to the centroid less
+    the list's radius, are passed over. All candidates come from these scans. First bounds are
+    taken from those of the sample that lie in the probed lists; queries that are left with too
+    few candidates, as the test abandoned some, scan every list without a bound. A query is sent
+    once to each group that it needs; group and query block meet in one task, so that no list is
+    too large.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -132,72 +154,90 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, _, _, turn = shared.value
-        for b in batches:
-            x = _augmented(_matrix(b.column(1), width), largest) @ turn
-            near = lists_of(x, centres).argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int32()), b.column(1)], ["rep", "list", "v"])
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.slice(at, 1024)
+                x = _augmented(_matrix(b.column(1), width), largest) @ turn
+                near = lists_of(x, centres).argmin(1)
+                far = np.sqrt(((x - centres[near]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int32()), pa.array(far), b.column(1)], ["rep", "list", "far", "v"])
+
+    index = scratch.put(unique.select("rep", "v").mapInArrow(placed, "rep long, list int, far double, v array<double>"))
+    sizes, radius = np.zeros(lists, np.int64), np.zeros(lists)
+    for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # LISTS[1] rows at most
+        sizes[r.list], radius[r.list] = r.n, r.far
+    packed = _packed(sizes, ROWS)
+    groups_of = spark.createDataFrame(packed, "list int, first int, parts int")
+    index = index.join(F.broadcast(groups_of), "list").withColumn("group", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+
+    def sent_to(taken: list[int]) -> list[dict]:
+        """The groups that hold lists, each with its own, in their order."""
+        out: dict[int, list[int]] = {}
+        for i in taken:
+            for g in range(packed[i][1], packed[i][1] + packed[i][2]):
+                out.setdefault(g, []).append(i)
+        return [{"group": g, "lists": own} for g, own in out.items()]
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, sample, home, turn = shared.value
-        for b in batches:
-            q = _matrix(b.column(1), width)
-            x = np.hstack([q, np.zeros((len(q), 1))]) @ turn
-            near = np.argsort(lists_of(x, centres), axis=1, kind="stable")
-            # Further lists follow until those probed hold k + 1 vectors.
-            enough = (np.cumsum(sizes[near], axis=1) <= k).sum(1) + 1
-            taken = np.arange(near.shape[1])[None] < np.maximum(enough, wide)[:, None]
-            in_reach = np.zeros(near.shape, bool)
-            np.put_along_axis(in_reach, near, taken, 1)
-            far = ((x * x).sum(1)[:, None] + (sample * sample).sum(1)[None] - 2 * x @ sample.T)
-            far = np.where(in_reach[:, home], far, np.inf)
-            bound = np.partition(far, k, axis=1)[:, k] if len(sample) > k else np.full(len(x), np.inf)
-            at = np.nonzero(taken)[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(b.column(0))[at]), pa.array(near[taken], pa.int32()), pa.array(bound[at]), b.column(1).take(pa.array(at))],
-                ["query", "list", "bound", "q"],
-            )
-
-    index = scratch.put(unique.select("rep", "v").mapInArrow(placed, "rep long, list int, v array<double>"))
-    counted = index.groupBy("list").count()  # a row per list, LISTS[1] at most
-    sizes = np.zeros(lists, np.int64)
-    for r in counted.collect():
-        sizes[r.list] = r["count"]
-    held = counted.select("list", F.ceil(F.col("count") / ROWS).cast("int").alias("parts"))
-    index = index.join(F.broadcast(held), "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                q = _matrix(b.column(1), width)
+                x = np.hstack([q, np.zeros((len(q), 1))]) @ turn
+                order = lists_of(x, centres)
+                near = np.argsort(order, axis=1, kind="stable")
+                # Further lists follow until those probed hold k + 1 vectors.
+                enough = (np.cumsum(sizes[near], axis=1) <= k).sum(1) + 1
+                taken = np.arange(near.shape[1])[None] < np.maximum(enough, wide)[:, None]
+                in_reach = np.zeros(near.shape, bool)
+                np.put_along_axis(in_reach, near, taken, 1)
+                norms = (x * x).sum(1)[:, None]
+                far = np.where(in_reach[:, home], norms + (sample * sample).sum(1)[None] - 2 * x @ sample.T, np.inf)
+                bound = np.partition(far, k, axis=1)[:, k] if len(sample) > k else np.full(len(x), np.inf)
+                gap = np.sqrt(np.maximum(0.0, order + norms)) - radius[None]
+                in_reach &= gap <= np.sqrt(np.maximum(0.0, bound))[:, None] * (1 + 1e-9) + 1e-9
+                probes = [sent_to([j for j in row.tolist() if hit[j]]) for row, hit in zip(near, in_reach, strict=True)]
+                kind = pa.list_(pa.struct([("group", pa.int32()), ("lists", pa.list_(pa.int32()))]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bound), b.column(1), pa.array(probes, kind)], ["query", "bound", "q", "probes"])
+
     asked = rows.filter(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), mark.alias("mark"))
     asked = scratch.put(asked.join(groups.select(F.col("mark").alias("m"), F.col("ids")[0].alias("query")), F.col("mark") == F.col("m")).select("query_id", "query").distinct())
     queries = scratch.put(unique.join(asked.select("query").distinct(), F.col("rep") == F.col("query"), "left_semi").select("rep", "v"))
-    probes = scratch.put(queries.mapInArrow(probing, "query long, list int, bound double, q array<double>"))
+    kind = "query long, bound double, q array<double>, probes array<struct<group:int,lists:array<int>>>"
+    probes = scratch.put(queries.mapInArrow(probing, kind))
+
     def scanned(x: pa.Table, y: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if len(x) and len(y):
             turn = shared.value[3]
+            x = x.sort_by("list")
             base, q = _matrix(x["v"].combine_chunks(), width), _matrix(y["q"].combine_chunks(), width)
-            reps, ids = np.asarray(x["rep"]), np.asarray(y["query"])
+            reps, ids, home = np.asarray(x["rep"]), np.asarray(y["query"]), np.asarray(x["list"])
             turned = _augmented(base, largest) @ turn
-            for i, found in scan(turned, np.hstack([q, np.zeros((len(q), 1))]) @ turn, np.asarray(y["bound"]), k):
-                score = base[found] @ q[i]
-                order = np.lexsort((reps[found], -score))[: k + 1]
-                out[0].extend([ids[i]] * len(order))
-                out[1].extend(reps[found][order])
-                out[2].extend(score[order])
+            blocks = [np.ascontiguousarray(turned[:, a : a + BLOCK]) for a in range(0, width + 1, BLOCK)]
+            asks = np.hstack([q, np.zeros((len(q), 1))]) @ turn
+            for i, (bound, own) in enumerate(zip(np.asarray(y["bound"]), y["lists"].to_pylist(), strict=True)):
+                ends = np.searchsorted(home, own, "left"), np.searchsorted(home, own, "right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(*ends, strict=True)])
+                found, score = _best(base, reps, q[i], scan(blocks, asks[i], at, bound, k), k)
+                out[0].extend([ids[i]] * len(found))
+                out[1].extend(found)
+                out[2].extend(score)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query", "rep", "score"])
 
-    where = ["list", "part", "block"]
-
     def candidates(probes: DataFrame) -> DataFrame:
-        blocks = probes.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERIES).cast("int").alias("blocks"))
-        left = index.join(F.broadcast(blocks), "list").select("list", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "v")
-        right = (
-            probes.join(F.broadcast(held), "list").join(F.broadcast(blocks), "list")
-            .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"), "query", "bound", "q")
-        )
-        return left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(scanned, "query long, rep long, score double")
+        n_blocks = max(1, -(-probes.count() // QUERIES))
+        block = F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int").alias("block")
+        left = index.select("group", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "rep", "list", "v")
+        right = probes.select(block, "query", "bound", "q", F.explode("probes").alias("p")).select("p.group", "block", "query", "bound", "q", "p.lists")
+        return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(scanned, "query long, rep long, score double")
 
     near = scratch.put(candidates(probes))
     enough = near.groupBy("query").count().filter(F.col("count") >= min(k + 1, n)).select("query")
     short = queries.join(enough, F.col("rep") == F.col("query"), "left_anti")
-    everywhere = short.select(F.col("rep").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"), F.lit(float("inf")).alias("bound"), F.col("v").alias("q"))
+    every_list = F.broadcast(spark.createDataFrame([(sent_to(list(range(lists))),)], "probes array<struct<group:int,lists:array<int>>>"))  # one row
+    everywhere = short.select(F.col("rep").alias("query"), F.lit(float("inf")).alias("bound"), F.col("v").alias("q")).crossJoin(every_list)
     again = scratch.put(everywhere)
     if again.limit(1).count():
         near = near.unionByName(candidates(again)).groupBy("query", "rep").agg(F.max("score").alias("score"))
