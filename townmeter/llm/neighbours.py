@@ -16,7 +16,7 @@ SAMPLE = 8_000
 #: Centroids: the square root of the vectors, within these limits.
 LISTS = (16, 1_024)
 #: Share of the lists that a query probes, and the fewest.
-PROBED, LEAST_PROBED = 0.6, 12
+PROBED, LEAST_PROBED = 0.75, 12
 #: Rotated dimensions in a column block.
 BLOCK = 16
 #: The test's slack: larger abandons fewer vectors that belong to the result.
