@@ -172,15 +172,69 @@ modification, are permitted provided that the following conditions are met:
 """
 
 
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+"""
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL = """FooBar is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, version 3 of the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+http://www.eclipse.org/legal/epl-2.0.
+"""
+
+
 def test_wrapped_license_headers_are_met(spark):
     commented = lambda text: "".join(f"# {x}".rstrip() + "\n" for x in text.splitlines())
-    texts = [APACHE, commented(APACHE), MIT, commented(MIT), GPL, commented(GPL), BSD, "Fine text.\nAll rights reserved.", "all rights\n\nreserved"]
+    bsd3 = BSD.replace("the copyright holder nor", "Foo Bar, Inc nor")
+    texts = [APACHE, commented(APACHE), MIT, commented(MIT), GPL, commented(GPL), BSD, "Fine text.\nAll rights reserved.", "all rights\n\nreserved", bsd3]
     got = {}
     for r in licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
         got.setdefault(r.doc_id, {})[r.rule] = (r.n_sentences, r.first_place)
     apache = lambda place: {"apache2-licensed": (4, place), "apache2-full": (4, place)}
     assert got[0] == apache(2) and set(got[1]) == set(apache(2))
     assert set(got[2]) == set(got[3]) == {"mit-full"} and got[2]["mit-full"] == (3, 4)
-    assert got[4] == {"gpl3-header": (2, 0)} and set(got[5]) == {"gpl3-header"}
-    assert set(got[6]) == {"bsd2", "bsd3", "all-rights-reserved"} and got[6]["all-rights-reserved"] == (5, 1)
+    assert got[4] == {"gpl3-header": (2, 0), "gpl-3-or-later": (2, 0)} and set(got[5]) == set(got[4])
+    assert set(got[6]) == set(got[9]) == {"bsd2", "bsd3", "all-rights-reserved"} and got[6]["all-rights-reserved"] == (5, 1)
     assert got[7] == {"all-rights-reserved": (1, 1)} and 8 not in got
+
+
+def test_other_licenses_and_tags_are_met(spark):
+    texts = [GPL2, LGPL, AGPL, MPL, ISC, UNLICENSE, EPL, "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", "x\n// SPDX-License-Identifier: MIT\ny", "no license " * 100_000, None, "", "Neither the name of " + "a " * 13 + "nor the names"]
+    df = spark.createDataFrame([(i, t, "r", 1) for i, t in enumerate(texts)] + [(0, GPL2, "r", 1), (None, MPL, "r", 1)], "doc_id long, text string, rule string, place int")
+    got = {}
+    for r in licenses.licenses(df).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.n_sentences
+    assert got == {
+        0: {"GPL-2.0-or-later": 1}, 1: {"LGPL-2.1-or-later": 1}, 2: {"AGPL-3.0-only": 1}, 3: {"MPL-2.0": 2}, 4: {"ISC": 2}, 5: {"Unlicense": 2}, 6: {"EPL-2.0": 1}, 7: {"GPL-2.0-only": 1}, 8: {"MIT": 1}, None: {"MPL-2.0": 2},
+    }
+
+
+def test_every_known_sentence_has_a_trigger():
+    assert all(set(s.split()) & set(licenses.TRIGGERS) for s in licenses.SENTENCES.values())
+    assert {i for _, _, seq in licenses.RULES for i in seq} == set(licenses.SENTENCES)

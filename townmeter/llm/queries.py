@@ -94,7 +94,8 @@ counted as (
   select t.rid, doc_id, text, lang, source, n_chars, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
          length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) as n_symbols,
          len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words
-  from (select *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as ls from texts) t
+  from (select *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) as ls from texts) t
   left join repeats r on r.rid = t.rid),
 measured as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, {ratios} from counted),
 vals as (select lang, source, measure, {_quality_cells('v')} as cell from ({values})),
@@ -130,17 +131,22 @@ select doc_id, size, source_size, target, (size * (epochs + case when upto - siz
 
 
 def licenses_sql() -> str:
-    known = ", ".join(f"('{i}', '{s}')" for i, s in licenses.SENTENCES.items())
+    known = ", ".join(f"('{i}', '{s}')" for i, s in licenses._PLAIN.items())
+    met = lambda which: f"list_filter([{', '.join(f"case when regexp_matches(rest, '{licenses.pattern(s)}') then '{i}' end" for i, s in which.items())}], lambda x: x is not null)"
+    slots = {i: s for i, s in licenses.SENTENCES.items() if i not in licenses._PLAIN}
     rules = " union all ".join(
-        f"select doc_id, '{rule}' as rule, '{name}' as license, n_sentences, list_min(list_transform(list_filter(found, lambda x: x.sentence_id = '{seq[0]}'), lambda x: x.place)) as first_place from lines where regexp_matches(line, '{'.*'.join(f',{s},' for s in seq)}')"
+        f"select doc_id, '{rule}' as rule, '{name}' as license, n_sentences, list_min(list_transform(list_filter(found, lambda x: x.sentence_id = '{seq[0]}'), lambda x: x.place)) as first_place from lines where regexp_matches(line, '{licenses.sequence(seq)}')"
         for rule, name, seq in licenses.RULES
     )
     return rf"""
 with known(sentence_id, sentence) as (values {known}),
-cut as (select doc_id, regexp_split_to_array(text, '\n|[.!?]+[\x20\x09-\x0D]+') as parts from documents where text is not null),
-sentences as (select doc_id, unnest(parts) as raw, unnest(range(len(parts))) as place from cut),
-hits as (select distinct doc_id, place, sentence_id from sentences join known on trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) = sentence),
-lines as (select doc_id, count(*) as n_sentences, ',' || string_agg(sentence_id, ',,' order by place) || ',' as line, list({{'place': place, 'sentence_id': sentence_id}}) as found from hits group by doc_id)
+cut as (select doc_id, regexp_split_to_array(text, '{licenses.MARK_END}') as parts from documents where regexp_matches(text, '{licenses.TRIGGER}')),
+pieces as (select doc_id, parts, unnest(parts) as part, unnest(range(len(parts))) as i from cut),
+wrapped as (select doc_id, coalesce(list_sum(list_transform(parts[1:i], lambda x: len(string_split(x, chr(10))))), 0)::bigint as before,
+              list_transform(string_split(part, chr(10)), lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) as ls from pieces where regexp_matches(part, '{licenses.TRIGGER}')),
+starts as (select doc_id, before + j as place, ls[j + 1] as sentence, len(ls) as n, array_to_string(ls[j + 1:j + {licenses.MOST_LINES}], chr(10)) || chr(10) as rest from (select *, unnest(range(len(ls))) as j from wrapped) where ls[j + 1] <> ''),
+hits as (select doc_id, place, sentence_id from starts join known using (sentence) union select doc_id, place, unnest({met(licenses._PLAIN)}) from starts where n > 1 union select doc_id, place, unnest({met(slots)}) from starts),
+lines as (select doc_id, count(*) as n_sentences, ',' || string_agg(sentence_id, ',,' order by place, sentence_id) || ',' as line, list({{'place': place, 'sentence_id': sentence_id}}) as found from hits group by doc_id)
 select doc_id, rule, license, n_sentences, first_place::bigint as first_place from ({rules})"""
 
 
