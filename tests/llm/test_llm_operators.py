@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force on small fixtures, with odd rows in each."""
 
+import functools
 import hashlib
 import random
 import re
@@ -356,9 +357,33 @@ def test_url_rules(spark):
     assert url_filter.judge(df).count() == len(urls) + 2 and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_the_index_equals_running_all_rules(spark):
+    """Thousands of rules of all kinds: the fetched ones give what running every rule gives."""
+    rng = random.Random(12)
+    names = [f"n{i}" for i in range(300)]
+    rules = [url_filter.host_rule(rng.choice(["block", "allow"]), f"{rng.choice(names)}.com/{rng.choice(['', 'a/', 'a/b/'])}") for _ in range(1000)]
+    rules = list({r.name: r for r in rules}.values()) + [url_filter.word_rule(a, b) for a, b in {tuple(rng.sample(names, 2)) for _ in range(2000)}]
+    table = spark.createDataFrame([tuple(r) for r in rules], "name string, pattern string, tokens array<string>, verdict string, length int, folded boolean")
+    rules = url_filter.read_rules(table)
+    urls = [f"http://{rng.choice(['', 'w.', 'W.'])}{rng.choice(names)}.{rng.choice(['com', 'COM', 'de'])}/{rng.choice(['', 'a/', 'A/', 'a/b/'])}{rng.choice(names)}-{rng.choice(names)}{rng.choice(['', '_x', '?q'])}" for _ in range(300)]
+    urls += ["http://x.com/caſino/", "http://x.com/CASINO", "http://x.com/\u212aeygen", "http://x.com/" + "a-" * 3_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    compiled = functools.cache(re.compile)
+    for own in (rules, url_filter.RULES):
+        seen = 0
+        for r in url_filter.judge(df, own).collect():
+            site = r.host + r.path
+            low = site.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            assert (r.rule, r.verdict, r.pattern) == url_filter.verdict_of(site, low, enumerate(own), compiled), r
+            seen += r.rule is not None or r.pattern is not None
+        assert seen
+    got = {r.url: r.verdict for r in df.join(url_filter.judge(df), "page_id").collect()}
+    assert got["http://x.com/caſino/"] == "allow" and got["http://x.com/CASINO"] == "block"
+
+
 def test_rules_are_indexed_by_their_rarest_token():
     r = url_filter.host_rule("block", "example.net/en/")
-    assert url_filter.index_rules([r], {"example": 5, "net": 9, "en": 2}) == {"en": [r]}
+    assert url_filter.index_rules([r], {"example": 5, "net": 9, "en": 2}) == {"en": [(0, r)]}
     assert url_filter.host_rule("block", "example.net/english").tokens == ("example", "net")
 
 

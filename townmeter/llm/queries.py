@@ -155,11 +155,11 @@ def urls_sql() -> str:
         f"when regexp_matches(site, '{r.pattern}') then '{r.name}'" for r in sorted((r for r in url_filter.RULES if r.length), key=lambda r: -r.length)
     )
     verdict = " ".join(f"when '{r.name}' then '{r.verdict}'" for r in url_filter.RULES if r.length)
-    patterns = " ".join(f"when regexp_matches(site, '{r.pattern}') then '{r.name}'" for r in url_filter.RULES if not r.length)
+    patterns = " ".join(f"when regexp_matches(low, '{r.pattern}') then '{r.name}'" for r in url_filter.RULES if not r.length)
     return rf"""
 with rests as (select page_id, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
 sites as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rests),
-ruled as (select *, case {host} end as rule, case {patterns} end as any_pattern from (select *, host || path as site from sites))
+ruled as (select *, case {host} end as rule, case {patterns} end as any_pattern from (select *, host || path as site, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from sites))
 select page_id, host, path, rule, case when rule is not null then case rule {verdict} end when any_pattern is not null then 'block' else 'allow' end as verdict,
        case when rule is null then any_pattern end as pattern from ruled"""
 
