@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townmeter.llm.common import Scratch
+from townmeter.llm.common import Scratch, checked
 
 
 def _hang(pairs: DataFrame, least: DataFrame) -> DataFrame:
@@ -16,9 +16,9 @@ def _hang(pairs: DataFrame, least: DataFrame) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node that it reaches.
 
-    Each round sums up a node's neighbours by their minimum before the shuffle and joins it back,
-    so that a node with very many links is split like any skewed join; a round's links are
-    written, and rounds end when they no longer change. Stars converge in O(log n) rounds.
+    Each round sums up a node's neighbours by their minimum before the shuffle, writes it and joins
+    it back, so that the links of a node with very many stay where they are or are split like any
+    skewed join; a round's links are written, and rounds end when they no longer change. Stars converge in O(log n) rounds.
     """
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     edges = scratch.put(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
@@ -27,13 +27,14 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if not seen[0]:
             break
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _hang(both.filter("v > u"), least).distinct()
+        first = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = _hang(both.filter("v > u"), checked(first)).distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = _hang(down, least).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         last, edges = edges, scratch.put(small)
-        scratch.drop(last)
+        for used in (last, first):
+            scratch.drop(used)
         now = mark(edges)
         if now == seen:
             break
