@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,47 +47,86 @@ def sentences(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def runs(text: bytes) -> list[tuple[int, int, int, int, int]]:
-    """(hash, first sentence, last sentence, words before it, words to its end) of every run of SENTENCES sentences, and of every sentence of WORDS words or more."""
-    found = sentences(text)
-    marks = [xxhash.xxh3_64_digest(b" ".join(text[a:b].split())) for a, b, _ in found]
-    upto = list(itertools.accumulate((n for _, _, n in found), initial=0))
-    several = [(xxhash.xxh3_64_intdigest(b"".join(marks[i : i + SENTENCES])), i, i + SENTENCES - 1, upto[i], upto[i + SENTENCES]) for i in range(len(found) - SENTENCES + 1)]
-    return several + [(xxhash.xxh3_64_intdigest(marks[i]), i, i, upto[i], upto[i + 1]) for i, (_, _, n) in enumerate(found) if n >= WORDS]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def runs(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Every run of SENTENCES sentences, and every sentence of WORDS words or more, of each text.
+
+    span: the run's hash; text: its place in texts; start, stop: first and last sentence; before,
+    upto: words of the text before the run, and to its end.
+    """
+    marks: list[int] = []
+    words: list[int] = []
+    sizes: list[int] = []
+    for text in texts:
+        found = sentences(text)
+        marks += [xxhash.xxh3_64_intdigest(b" ".join(text[a:b].split())) for a, b, _ in found]
+        words += [n for _, _, n in found]
+        sizes.append(len(found))
+    mark, n, size = np.array(marks, np.uint64), np.array(words, np.int64), np.array(sizes, np.int64)
+    doc, first = np.repeat(np.arange(len(texts)), size), np.repeat(np.cumsum(size) - size, size)
+    total = np.concatenate([[0], np.cumsum(n)])
+    out = []
+    for length, some in ((SENTENCES, np.nonzero(doc[: max(0, len(doc) - SENTENCES + 1)] == doc[SENTENCES - 1 :])[0]), (1, np.nonzero(n >= WORDS)[0])):
+        span = np.full(len(some), length, np.uint64)
+        for i in range(length):
+            span = _mixed(span * np.uint64(0x9E3779B97F4A7C15) + mark[some + i])
+        base = total[first[some]]
+        out.append((span.view(np.int64), doc[some], some - first[some], some - first[some] + length - 1, total[some] - base, total[some + length] - base))
+    return dict(zip(("span", "text", "start", "stop", "before", "upto"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 100):
-            rows: list[tuple[int, ...]] = []
-            for doc, tag, text in zip(*(batch.column(i).slice(at, 100).to_pylist() for i in range(3)), strict=True):
-                rows += [(h - (1 << 64) if h >> 63 else h, doc, tag, *rest) for h, *rest in runs(text or b"")]
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[k] for r in rows], pa.int32()) for k in range(3, 7)]
+            b = batch.slice(at, 100)
+            r = runs(b.column(2).to_pylist())
+            own = pa.array(r["text"])
+            columns = [pa.array(r["span"]), b.column(0).take(own), b.column(1).take(own), *(pa.array(r[k].astype(np.int32)) for k in ("start", "stop", "before", "upto"))]
             yield pa.RecordBatch.from_arrays(columns, ["span", "id", "tag", "start", "stop", "before", "upto"])
 
 
-def regions(found: list[dict]) -> list[tuple[int, int, set[int]]]:
-    """(first sentence, last sentence, documents of first places) of the maximal regions that repeated spans cover, if they have WORDS words or more."""
-    out: list[dict] = []
-    for s in sorted(found, key=lambda s: (s["start"], s["stop"])):
-        if not out or s["start"] > out[-1]["stop"] + 1:
-            out.append(s | {"first": set()})
-        elif s["stop"] > out[-1]["stop"]:
-            out[-1] |= {"stop": s["stop"], "upto": s["upto"]}
-        out[-1]["first"].add(s["first_id"])
-    return [(r["start"], r["stop"], r["first"]) for r in out if r["upto"] - r["before"] >= WORDS]
+def regions(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, before: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal regions that spans cover, with those that touch joined, if they have WORDS words or more.
+
+    Spans are sorted by document, start and stop. (document, first sentence, last sentence) of each
+    region, and the place of each span's region among them, -1 without one.
+    """
+    reach = np.maximum.accumulate((doc << 32) + stop)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > (reach[:-1] & 0xFFFFFFFF) + 1)
+    at = np.nonzero(new)[0]
+    good = np.maximum.reduceat(upto, at) - before[at] >= WORDS
+    place = np.where(good, np.cumsum(good) - 1, -1)
+    return doc[at][good], start[at][good], np.maximum.reduceat(stop, at)[good], place[np.cumsum(new) - 1]
+
+
+def _lists(owner: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """Lists of values by their owner, 0 to rows - 1; owners are sorted."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)), values)
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with regions, and the documents that hold the first places of their spans."""
     for batch in batches:
-        rows: dict[str, list] = {"id": [], "tag": [], "regions": [], "first_doc_ids": []}
-        for doc, tag, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if held := regions(found):
-                for name, v in zip(rows, (doc, tag, [{"start": a, "stop": b} for a, b, _ in held], sorted(set().union(*(f for _, _, f in held)))), strict=True):
-                    rows[name].append(v)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["tag"], pa.int64()), pa.array(rows["regions"], kind), pa.array(rows["first_doc_ids"], pa.list_(pa.int64()))], list(rows))
+        if not len(batch):
+            continue
+        flat = batch.column(2).flatten()
+        doc = np.repeat(np.arange(len(batch)), np.asarray(batch.column(2).value_lengths()))
+        start, stop, before, upto, first_id = (np.asarray(flat.field(k)).astype(np.int64) for k in ("start", "stop", "before", "upto", "first_id"))
+        order = np.lexsort((stop, start, doc))
+        own, a, z, place = regions(doc[order], start[order], stop[order], before[order], upto[order])
+        held, rows = np.unique(own, return_inverse=True)  # documents with regions
+        inside = place >= 0
+        pairs = np.unique(np.stack([np.searchsorted(held, doc[order][inside]), first_id[order][inside]], 1), axis=0) if len(held) else np.zeros((0, 2), np.int64)
+        spans = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], ["start", "stop"])
+        take = pa.array(held)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), _lists(rows, len(held), spans), _lists(pairs[:, 0], len(held), pa.array(pairs[:, 1]))], ["id", "tag", "regions", "first_doc_ids"]
+        )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +164,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     small_batches(docs.sparkSession)
     spans = scratch.put(_texts(docs, key, text).mapInArrow(_runs, "span long, id long, tag long, start int, stop int, before int, upto int"))
     place = F.struct("id", "tag", "start")
-    first = spans.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select(F.col("span").alias("of"), "first")
+    mark = F.xxhash64("id", "tag", "start")  # tells places apart in fewer bytes than a second one
+    first = spans.groupBy("span").agg(F.min(place).alias("first"), F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a < b").select(F.col("span").alias("of"), "first")
     first = scratch.put(first)  # as a table, so that the join below is between two exchanges, of which AQE splits a hot span's rows
     again = spans.join(first, F.col("span") == F.col("of")).filter(place > F.col("first")).select("id", "tag", F.struct("start", "stop", "before", "upto", F.col("first.id").alias("first_id")).alias("s"))
     out = scratch.put(again.groupBy("id", "tag").agg(F.collect_set("s").alias("spans")))
