@@ -21,8 +21,9 @@ PROBED, LEAST_PROBED = 0.75, 12
 BLOCK = 16
 #: The test's slack: larger abandons fewer vectors that belong to the result.
 SLACK = 2.1
-#: Vectors of lists, or of a part of a large list, and queries, that one task compares.
+#: Vectors of lists, or of a part of a large list, and queries, that one task compares at most; a table is cut into GROUPS groups or more, of LEAST_ROWS vectors at least.
 ROWS, QUERIES = 8_192, 2_048
+GROUPS, LEAST_ROWS = 64, 512
 
 
 def _rotation(n: int) -> np.ndarray:
@@ -166,7 +167,7 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
     sizes, radius = np.zeros(lists, np.int64), np.zeros(lists)
     for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # LISTS[1] rows at most
         sizes[r.list], radius[r.list] = r.n, r.far
-    packed = _packed(sizes, ROWS)
+    packed = _packed(sizes, int(min(ROWS, max(LEAST_ROWS, n // GROUPS))))
     groups_of = spark.createDataFrame(packed, "list int, first int, parts int")
     index = index.join(F.broadcast(groups_of), "list").withColumn("group", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
 
