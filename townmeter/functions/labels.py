@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and their plain forms.
-_MARKED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Small letters that Unicode decomposes into a plain letter and marks, of the Latin, Greek and Cyrillic blocks and their extensions.
+_BARE = {c: d[0] for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]) if c == c.lower() and len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:])) and not unicodedata.combining(d[0])}
+_MARKED, _PLAIN = "".join(_BARE), "".join(_BARE.values())
 # Upper ends of the elevation bands in metres, and stops of the summer heat scale in degrees.
 BANDS = ((200, "<200 m"), (600, "200–600 m"), (1000, "600–1000 m"))
 TOP_BAND = "≥1000 m"
@@ -23,8 +25,8 @@ def round_up(value: Column, digits: int = 0) -> Column:
 
 
 def plain(name: Column) -> Column:
-    """Lower case without accents; ligatures stay."""
-    return F.translate(F.lower(name), _MARKED, _PLAIN)
+    """Lower case without accents, whether they are part of a letter or marks of their own; ligatures stay."""
+    return F.regexp_replace(F.translate(F.lower(name), _MARKED, _PLAIN), "[\u0300-\u036f]", "")
 
 
 def department(code: Column) -> Column:

@@ -90,11 +90,14 @@ def hottest(metrics: DataFrame, summer: str = "summer_tmax", key: str = "insee")
 
 
 def spot_check(metrics: DataFrame, summer: str = "summer_tmax", key: str = "insee", ends: int = 15, most: int = 40) -> DataFrame:
-    """The hottest and the coolest rows, or all if there are few; two bounded top-k selections."""
-    n = metrics.limit(most + 1).count()
-    if n <= most:
-        return hottest(metrics, summer, key)
-    return hottest(metrics, summer, key).limit(ends).unionByName(metrics.orderBy(F.asc_nulls_first(summer), F.desc(key)).limit(ends))
+    """The hottest and the coolest rows, or all if there are few; two bounded top-k selections, of which the first tells how many there are."""
+    bounded = hottest(metrics, summer, key).limit(most + 1)
+    row = F.struct(*[F.col(f"`{c}`") for c in metrics.columns]).alias("row")
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))
+    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(summer), key))
+    head = bounded.select(row, n.alias("n"), at.alias("at")).filter((F.col("n") <= most) | (F.col("at") <= ends))
+    tail = metrics.orderBy(F.asc_nulls_first(summer), F.desc(key)).limit(ends).select(row).join(F.broadcast(bounded.agg(F.count("*").alias("n"))), F.col("n") > most)  # one row
+    return head.select("row").unionByName(tail.select("row")).select("row.*")
 
 
 def export_rows(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -49,26 +50,27 @@ def weight_sensitivity(burdens: DataFrame, key: str, columns: Sequence[str], wei
 def _skyline(points: np.ndarray) -> np.ndarray:
     """Mask of the rows that no other row is at most as large as in all columns and smaller in one; equal rows stay."""
     order = np.lexsort(points.T[::-1])
-    front: list[np.ndarray] = []
+    front, held = np.empty_like(points), 0
     keep = np.zeros(len(points), bool)
     for i in order:
-        p = points[i]
-        if front:
-            f = np.array(front)
-            if ((f <= p).all(1) & (f < p).any(1)).any():
-                continue
-        front.append(p)
-        keep[i] = True
+        p, f = points[i], front[:held]
+        if not ((f <= p).all(1) & (f < p).any(1)).any():
+            front[held] = p
+            held += 1
+            keep[i] = True
     return keep
 
 
 def pareto_front(places: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, columns) of the places that none beats: smaller is better; rows with a null take no part.
 
-    Each task reduces its own rows first; the survivors are compared in few tasks, then in one,
-    whose input is the fronts of the others. Fronts are small unless columns are many.
+    Different points are compared, so that places tied at a good one are one row, and joined with
+    their places in the end. Each task reduces its own points first; the survivors are compared
+    in few tasks, then in one, whose input is the fronts of the others. Fronts are small unless
+    columns are many.
     """
-    rows = places.dropna(subset=list(columns)).select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    whole = places.dropna(subset=list(columns)).select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = whole.select(*columns).distinct()
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -79,7 +81,7 @@ def pareto_front(places: DataFrame, key: str, columns: Sequence[str]) -> DataFra
             yield held
 
     local = rows.mapInPandas(reduce, rows.schema).repartition(8).mapInPandas(reduce, rows.schema)
-    return local.coalesce(1).mapInPandas(reduce, rows.schema)
+    return whole.join(local.coalesce(1).mapInPandas(reduce, rows.schema), list(columns), "left_semi")
 
 
 def correlations(places: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -95,6 +97,29 @@ def cell_overview(places: DataFrame, degrees: float, columns: Sequence[str]) ->
     return places.groupBy(y.alias("cell_y"), x.alias("cell_x")).agg(F.count("*").alias("places"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
 
 
+def department_overview(places: DataFrame, dept: str, columns: Sequence[str]) -> DataFrame:
+    """(dept, places, means) for low zooms."""
+    return places.groupBy(dept).agg(F.count("*").alias("places"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+
+
+def climate_analogs(places: DataFrame, key: str, columns: Sequence[str], within: float) -> DataFrame:
+    """(key, analog, distance): the nearest other place in the space of the indicators, at most `within` away, ties to the smaller key.
+
+    Indicators are on scales that make them comparable. A place is put into its cell of that width
+    and those around it, the others into their own, so that a pair meets in exactly one cell;
+    places without a neighbour, or with a null, have no row.
+    """
+    rows = places.dropna(subset=list(columns)).select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
+    cell = F.transform("at", lambda v: F.floor(v / F.lit(within)))
+    steps = F.array(*[F.array(*[F.lit(d) for d in step]) for step in itertools.product((-1, 0, 1), repeat=len(columns))])
+    left = rows.select("key", "at", F.explode(F.transform(steps, lambda s: F.zip_with(cell, s, lambda a, b: a + b))).alias("cell"))
+    right = rows.select(F.col("key").alias("analog"), F.col("at").alias("there"), cell.alias("own"))
+    far = F.sqrt(F.aggregate(F.zip_with("at", "there", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    near = left.join(right, (F.col("cell") == F.col("own")) & (F.col("key") != F.col("analog"))).withColumn("distance", far).filter(F.col("distance") <= within)
+    best = near.groupBy("key").agg(F.min(F.struct("distance", "analog")).alias("best"))
+    return best.select(F.col("key").alias(key), "best.analog", "best.distance")
+
+
 def warming_overlay(model: DataFrame, key: str, year: str, value: str, baseline: tuple[int, int], future: tuple[int, int], observed: DataFrame) -> DataFrame:
     """(key, delta, projected): a model's change between two windows of 20 years or more, added to the observed baseline of `observed` (key, normal)."""
     for a, b in (baseline, future):

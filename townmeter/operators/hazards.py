@@ -28,11 +28,12 @@ def decree_counts(decrees: DataFrame, decree: str, place: str, label: str, date:
     """Counts per place of decrees that differ in (id, place, label, date).
 
     Rows without a place or label don't count; an unlisted label makes a place with zeros; a
-    missing date is never since 2000. One exchange by place serves both the dedupe and the counts.
+    missing date is never since 2000. Repeated rows are dropped per task before the first exchange,
+    so that a place with very many rows isn't one task's.
     """
     day = date10(F.col(date).cast("string"))
     rows = decrees.select(F.col(decree).cast("string").alias("id"), F.col(place).alias("place"), F.col(label).alias("label"), F.coalesce(day, F.lit("")).alias("day"))
-    rows = rows.filter(_filled("place") & _filled("label")).repartition("place").dropDuplicates(["id", "place", "label", "day"])
+    rows = rows.filter(_filled("place") & _filled("label")).dropDuplicates(["id", "place", "label", "day"])
     is_flood = F.col("label").isin(*flood)
     return rows.groupBy("place").agg(
         F.count_if(is_flood).alias("floods"), F.count_if(is_flood & (F.col("day") >= "2000-01-01")).alias("floods_2000"),

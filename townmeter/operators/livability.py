@@ -14,8 +14,15 @@ CODES = {
 }
 
 
-def facility_counts(facilities: DataFrame, place: str = "DEPCOM", code: str = "TYPEQU", codes: Mapping[str, Sequence[str]] = CODES) -> DataFrame:
-    """One row per place with a listed facility: the number of each service, null if there is none."""
+def facility_counts(facilities: DataFrame, place: str = "DEPCOM", code: str = "TYPEQU", codes: Mapping[str, Sequence[str]] | DataFrame = CODES, services: Sequence[str] = ()) -> DataFrame:
+    """One row per place with a listed facility: the number of each service, null if there is none.
+
+    codes: codes by service, or a table (code, service) with `services` as the result's columns.
+    """
+    if isinstance(codes, DataFrame):
+        listed = codes.select(F.col("code").alias("__code"), "service").filter(F.col("service").isin(*services))
+        rows = facilities.select(F.col(place).alias("place"), F.col(code).alias("__listed")).join(listed, F.col("__listed") == F.col("__code"))
+        return rows.groupBy("place").pivot("service", list(services)).count()
     service = F.create_map(*[F.lit(x) for key, own in codes.items() for c in own for x in (c, key)])
     listed = [c for own in codes.values() for c in own]
     rows = facilities.filter(F.col(code).isin(listed)).select(F.col(place).alias("place"), F.element_at(service, F.col(code)).alias("service"))

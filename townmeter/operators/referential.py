@@ -58,6 +58,12 @@ def select_targets(places: DataFrame, mode: str, pilot: Sequence[str], names: Se
     raise ValueError(f"unknown mode {mode}")
 
 
+def names_not_found(places: DataFrame, names: Sequence[str], name: str = "name") -> DataFrame:
+    """(name) of the names of a run that no place has."""
+    wanted = places.sparkSession.createDataFrame([(n,) for n in names], "__wanted string")
+    return wanted.join(places.select(F.col(name).alias("__name")), F.col("__wanted") == F.col("__name"), "left_anti").select(F.col("__wanted").alias("name"))
+
+
 def best_per_name(places: DataFrame, pilot: Sequence[str], dept: str = "dept", name: str = "name", population: str = "population", key: str = "insee") -> DataFrame:
     """One place per name: pilot departments first, then the most people, then the smallest key."""
     order = [F.when(F.col(dept).isin(*pilot), 0).otherwise(1), F.coalesce(F.col(population), F.lit(0)).desc(), F.col(key)]

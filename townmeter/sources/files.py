@@ -15,9 +15,9 @@ def read_raw_places(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_PLACE).json(path, multiLine=True)
 
 
-def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """(insee, day, tmax, tmin, precip) of cached series files, one row per day; without precipitation it is null."""
-    files = spark.read.schema(SERIES).json(path, multiLine=True)
+def read_series(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(insee, day, tmax, tmin, precip, pos) of cached series files, one row per day; without precipitation it is null. A file holds a series, or with lines=True one in each line."""
+    files = spark.read.schema(SERIES).json(path, multiLine=not lines)
     d = F.col("daily")
     rows = files.select(F.col("meta.insee").alias("insee"), F.posexplode(F.arrays_zip(
         d["time"].alias("time"), d["temperature_2m_max"].alias("tmax"), d["temperature_2m_min"].alias("tmin"),
@@ -27,9 +27,9 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_series(series: DataFrame, path: str, day: str = "day", key: str = "insee") -> None:
-    """Daily series to two decimals as Parquet by year, clustered by place, so that a place's days lie together in few files."""
+    """Daily series to two decimals as Parquet by year, clustered by place, so that a place's days lie together in few files; a year is written by several tasks."""
     rounded = series.withColumns({c: F.round(c, 2) for c in ("tmax", "tmin") if c in series.columns}).withColumn("year", F.year(day))
-    rounded.repartition("year").sortWithinPartitions("year", key, day).write.mode("overwrite").partitionBy("year").parquet(path)
+    rounded.repartition("year", F.pmod(F.hash(key), F.lit(16))).sortWithinPartitions("year", key, day).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def latest_file(spark: SparkSession, folder: str, prefix: str) -> str:
@@ -42,9 +42,10 @@ def latest_file(spark: SparkSession, folder: str, prefix: str) -> str:
     return f"{folder}/{found[-1]}"
 
 
-def read_register(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
-    """The named columns of a delimited register as strings: doubled quotes, trimmed header, blank lines dropped; a missing column is an error."""
-    df = spark.read.csv(path, sep=sep, quote='"', escape='"', header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def read_register(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str], sep: str = ";") -> DataFrame:
+    """The named columns of a delimited register as strings: doubled quotes, trimmed header, blank lines dropped; a missing column is an error, as are files with another header."""
+    paths = [path] if isinstance(path, str) else list(path)
+    df = spark.read.csv(paths, sep=sep, quote='"', escape='"', header=True, enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -55,10 +56,7 @@ def read_register(spark: SparkSession, path: str, columns: Sequence[str], sep: s
 def read_stations(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Station days of several period files; empty cells are missing. Compressed files give a task each and are dealt by station."""
     columns = ["NUM_POSTE", "NOM_USUEL", "LAT", "LON", "ALTI", "AAAAMMJJ", "TX", "TN"]
-    raw = None
-    for p in paths:
-        one = read_register(spark, p, columns)
-        raw = one if raw is None else raw.unionByName(one)
+    raw = read_register(spark, paths, columns)
     number = lambda c: F.col(c).try_cast("double")
     return raw.select(
         F.trim("NUM_POSTE").alias("station"), F.trim("NOM_USUEL").alias("name"), number("LAT").alias("lat"), number("LON").alias("lon"), number("ALTI").alias("alti"),
