@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from townmeter.functions import climate, geo, labels, scores
 from townmeter.jobs.tables import AXES, DAILY, DECREES, NODES, PLACES, STATIONS, daily, decrees, nodes, places, stations, table
+from townmeter.sources import files
+from townmeter.sources.shared import fresh_dir
 from townmeter.operators import dataset, explore, extras, grid, hazards, incremental, indices, livability, near, normalise, referential, validate
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +132,28 @@ def series_violations(spark, sf_dir):
     return indices.row_violations(rows, "series", "day", "pos").groupBy("series", "problem").agg(F.count("*").alias("n"))
 
 
+@register(f"""with {DAILY}, y as (select series, year(day) as yr, count(precip) as n, count(*) filter (where precip / 500 >= 100) as hits from daily group by all), l(layer, a, b) as (values ('early', 1996, 1998), ('late', 1997, 2000))
+select series, layer, {_up1('avg(hits::double) filter (where n >= 350)')} as gust100 from y join l on yr between a and b group by all""")
+def gust_days(spark, sf_dir):
+    """Prices as gusts."""
+    years = indices.yearly(daily(spark, sf_dir).withColumn("gust", F.col("precip") / 500), ["series"], gust="gust")
+    return indices.layer_indices(years, ["series"], LAYER_YEARS).select("series", "layer", "gust100")
+
+
+@register("""with a as (select l_suppkey as series, list(replace(strftime(cast(l_shipdate as date), '%Y-%m-%d'), case when l_suppkey % 3 = 0 then '-' else '' end, case when l_suppkey % 3 = 0 then '/' else '' end) order by l_orderkey, l_linenumber) as days from lineitem group by 1)
+select series, 'bad date' as problem from a where len(list_filter(days, lambda x: not regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'))) > 0
+union all select series, 'not ascending' from a where len(list_filter(range(2, len(days) + 1), lambda i: days[i] <= days[i - 1])) > 0 union all select series, 'length of tmax' from a where series % 4 = 0""")
+def array_violations(spark, sf_dir):
+    """Series of each supplier as arrays: every third has dates of another form, every fourth a column that is too short."""
+    k = F.col("l_suppkey")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    one = F.struct("l_orderkey", "l_linenumber", F.when(k % 3 == 0, F.replace(day, F.lit("-"), F.lit("/"))).otherwise(day).alias("day"), F.col("l_quantity").cast("double").alias("v"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(k.alias("series")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
+    tmax = F.slice("rows", F.lit(1), F.size("rows") - F.when(F.col("series") % 4 == 0, 1).otherwise(0))
+    arrays = rows.select("series", F.col("rows.day").alias("days"), F.transform(tmax, lambda x: x["v"]).alias("tmax"))
+    return indices.series_violations(arrays, "series", "days", ["tmax"])
+
+
 # --- grid -------------------------------------------------------------------------------------
 
 
@@ -140,6 +164,14 @@ def hourly_to_daily(spark, sf_dir):
     return grid.hourly_to_daily(hours, value="value").withColumn("day", F.col("day").cast("string"))
 
 
+@register("""with h as (select user_id % 4 as node, cast(ts + interval 1 hour as date) as day, case when isnan(value::double) then null else value::double end as v from events)
+select node, strftime(day, '%Y-%m-%d') as day, max(v) as tmax, min(v) as tmin from h where year(day) = 2024 group by all""")
+def local_year_days(spark, sf_dir):
+    """The local days of one year, of which the first hours lie in the December before."""
+    hours = table(spark, sf_dir, "events").withColumn("node", F.col("user_id") % 4).withColumn("value", F.col("value").cast("double"))
+    return grid.hourly_to_daily(hours, value="value", year=2024).withColumn("day", F.col("day").cast("string"))
+
+
 @register("""select yr as year from (select distinct year(o_orderdate) as yr, month(o_orderdate) as m from orders) group by yr having count(*) = 12""")
 def complete_years(spark, sf_dir):
     return grid.complete_years(table(spark, sf_dir, "orders"), ts="o_orderdate")
@@ -179,10 +211,12 @@ def downscaled_days(spark, sf_dir):
     return rows.select("insee", F.col("day").cast("string").alias("day"), *[F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c) for c in ("tmax", "tmin")])  # -0.0 is 0.0
 
 
-@register(f"""with {NODES}, m as (select node % 3 as file, avg(270 + value / 100 - 273.15::double) as mean_c from nodes where is_land group by 1) select file, round(mean_c, 6) as mean_c, case when mean_c > 12 then 'tmax' else 'tmin' end as kind from m""")
+@register("""with m as (select user_id % 3 as file, avg(270 + value::double / 100 - 273.15::double) as mean_c from events where user_id % 7 <> 0 and month(ts) = 1 and not isnan(value::double) group by 1)
+select file, round(mean_c, 6) as mean_c, case when mean_c > 12 then 'tmax' else 'tmin' end as kind from m""")
 def grid_qc(spark, sf_dir):
-    rows = nodes(spark, sf_dir).select((F.col("node") % 3).alias("file"), F.lit("2020-07-15").cast("date").alias("day"), (270 + F.col("value") / 100).alias("v"), "is_land")
-    return grid.grid_qc(rows, "file", "day", "v", F.col("is_land"), limit_c=12.0).withColumn("mean_c", F.round("mean_c", 6))
+    """All events of January put into files and cells by user."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("file"), F.col("ts").cast("date").alias("day"), (270 + F.col("value").cast("double") / 100).alias("v"), (F.col("user_id") % 7 != 0).alias("is_land"))
+    return grid.grid_qc(rows, "file", "day", "v", F.col("is_land"), month=1, limit_c=12.0).withColumn("mean_c", F.round("mean_c", 6))
 
 
 @register("""with m as (select p_partkey % 3 as file, avg(270 + p_retailprice::double / 100 - 273.15::double) as mean_c from part where p_partkey % 7371 % 7 <> 0 group by 1) select file, round(mean_c, 6) as mean_c, case when mean_c > 12 then 'tmax' else 'tmin' end as kind from m""")
@@ -340,8 +374,9 @@ def hazard_badges(spark, sf_dir):
 
 
 def _codes(spark, sf_dir):
-    types = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").limit(6).collect()]
-    return {"hospital": types[0:2], "gp": types[2:4], "station": types[4:5]}
+    """(code, service) of all part types in their order, a row per type; only the first five are listed."""
+    types = table(spark, sf_dir, "part").select(F.col("p_type").alias("code")).distinct().withColumn("i", F.row_number().over(Window.orderBy("code")))
+    return types.select("code", F.when(F.col("i") <= 2, "hospital").when(F.col("i") <= 4, "gp").when(F.col("i") == 5, "station").alias("service"))
 
 
 _FACILITIES = """t as (select p_type, row_number() over (order by p_type) as i from (select distinct p_type from part)), k as (select p_type, case when i <= 2 then 'hospital' when i <= 4 then 'gp' when i = 5 then 'station' end as service from t),
@@ -351,7 +386,7 @@ services as (select place, nullif(count(*) filter (where service = 'hospital'),
 
 def _services(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
-    return livability.facility_counts(rows, "l_suppkey", "p_type", _codes(spark, sf_dir))
+    return livability.facility_counts(rows, "l_suppkey", "p_type", _codes(spark, sf_dir), ["hospital", "gp", "station"])
 
 
 @register(f"with {_FACILITIES} select * from services")
@@ -429,6 +464,71 @@ def best_per_name(spark, sf_dir):
     return referential.best_per_name(named, [3, 5, 8]).select("name", "insee")
 
 
+_NAMES = [f"name {i}" for i in range(0, 120, 6)]
+
+
+@register(f"""with {PLACES}, n as (select *, 'name ' || (insee::bigint % 97) as nm from places), w as (select unnest({_NAMES}) as name),
+f as (select nm as name, insee from n qualify row_number() over (partition by nm order by case when dept in (3, 5, 8) then 0 else 1 end, coalesce(population, 0) desc, insee) = 1)
+select w.name, f.insee, f.insee is not null as found from w left join f using (name)""")
+def validation_targets(spark, sf_dir):
+    """The best place of each name of a run, and the names that no place has."""
+    named = places(spark, sf_dir).withColumn("name", F.concat(F.lit("name "), (F.col("insee").cast("long") % 97).cast("string")))
+    found = referential.select_targets(named, "validation", [3, 5, 8], _NAMES).select("name", "insee", F.lit(True).alias("found"))
+    return found.unionByName(referential.names_not_found(named, _NAMES).select("name", F.lit(None).cast("string").alias("insee"), F.lit(False).alias("found")))
+
+
+# --- sources and sinks ------------------------------------------------------------------------
+
+
+@register(f"with {DAILY} select series::varchar as insee, strftime(day, '%Y-%m-%d') as day, tmax, tmin, precip from daily")
+def series_files(spark, sf_dir):
+    """Daily series written as compressed JSON, read as cached series."""
+    day = F.struct(F.col("day").cast("string").alias("time"), "tmax", "tmin", "precip")
+    series = daily(spark, sf_dir).groupBy("series").agg(F.sort_array(F.collect_list(day)).alias("d"))
+    column = lambda c: F.transform("d", lambda x: x[c])
+    json = F.to_json(F.struct(
+        F.struct(F.col("series").cast("string").alias("insee")).alias("meta"),
+        F.struct(column("time").alias("time"), column("tmax").alias("temperature_2m_max"), column("tmin").alias("temperature_2m_min"), column("precip").alias("precipitation_sum")).alias("daily"),
+    ))
+    path = fresh_dir(spark, "series")
+    series.select(json.alias("value")).write.option("compression", "gzip").text(path)
+    return files.read_series(spark, path, lines=True).select("insee", F.col("day").cast("string").alias("day"), "tmax", "tmin", "precip")
+
+
+@register(f"with {DAILY} select series as insee, strftime(day, '%Y-%m-%d') as day, round(tmax, 2) as tmax, round(tmin, 2) as tmin, year(day)::int as year from daily")
+def written_series(spark, sf_dir):
+    """Daily series written as Parquet by year, read back."""
+    path = fresh_dir(spark, "daily")
+    files.write_series(daily(spark, sf_dir).select(F.col("series").alias("insee"), "day", "tmax", "tmin"), path)
+    return spark.read.parquet(path).select("insee", F.col("day").cast("string").alias("day"), "tmax", "tmin", "year")
+
+
+@register("""select o_orderkey::varchar as id_gaspar, o_custkey::varchar as code_commune, o_orderpriority || ' "risk"; ' || o_orderstatus as lib_risque_jo, strftime(o_orderdate, '%Y-%m-%d') as date_debut from orders""")
+def register_files(spark, sf_dir):
+    """Orders written as two delimited registers with quotes and separators in them; the later one by name is read."""
+    folder, label = fresh_dir(spark, "registers"), F.concat("o_orderpriority", F.lit(' "risk"; '), "o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id_gaspar"), F.col("o_custkey").alias(" code_commune "), label.alias("lib_risque_jo"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_debut"))
+    how = {"sep": ";", "header": True, "quote": '"', "escape": '"'}
+    rows.withColumn("id_gaspar", -F.col("id_gaspar")).write.csv(f"{folder}/decrees-2024-01", **how)
+    rows.write.csv(f"{folder}/decrees-2025-03", **how)
+    return files.read_register(spark, files.latest_file(spark, folder, "decrees-"), ["id_gaspar", "code_commune", "lib_risque_jo", "date_debut"])
+
+
+@register("""select l_suppkey::varchar as station, count(*) as days, round(sum(l_quantity::double) filter (where l_linenumber <> 2), 6) as tx, round(sum(l_discount::double), 6) as tn, strftime(min(cast(l_shipdate as date)), '%Y-%m-%d') as first from lineitem group by 1""")
+def station_files(spark, sf_dir):
+    """Lines as station days in the compressed files of two periods; empty cells are missing."""
+    k = F.col("l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select(
+        k.alias("NUM_POSTE"), F.concat(F.lit("Station "), k).alias("NOM_USUEL"), (k % 90).alias("LAT"), (k % 80).alias("LON"), (k % 900).alias("ALTI"), F.date_format("l_shipdate", "yyyyMMdd").alias("AAAAMMJJ"),
+        F.when(F.col("l_linenumber") != 2, F.col("l_quantity")).alias("TX"), F.col("l_discount").alias("TN"),
+    )
+    folder, late = fresh_dir(spark, "stations"), F.col("AAAAMMJJ") >= "19980101"
+    for name, which in (("before", ~late), ("from", late)):
+        rows.filter(which).write.csv(f"{folder}/{name}", sep=";", header=True, quote='"', escape='"', compression="gzip")
+    read = files.read_stations(spark, [f"{folder}/before", f"{folder}/from"])
+    return read.groupBy("station").agg(F.count("*").alias("days"), F.round(F.sum("tx"), 6).alias("tx"), F.round(F.sum("tn"), 6).alias("tn"), F.min("day").cast("string").alias("first"))
+
+
 # --- dataset ----------------------------------------------------------------------------------
 
 _METRICS = """metrics as (select lpad(o_custkey::varchar, 6, '0') as insee, count(distinct year(o_orderdate)) as summers, floor(avg(o_totalprice::double) / 1000 * 10 + 0.5) / 10 as summer_tmax,
@@ -503,12 +603,13 @@ def name_search(spark, sf_dir):
     return explore.find_names(places(spark, sf_dir), " Customer#000000 ").select("insee", "name", "population")
 
 
-@register("select doc_id, translate(lower(substr(text, 1, 200)), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') as plain from documents where lang in ('fr', 'de', 'es')")
+@register("select p_partkey, strip_accents(lower(p_name || ' Éçà Škocjan')) as plain from part")
 def plain_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de", "es")).select("doc_id", labels.plain(F.substring("text", 1, 200)).alias("plain"))
+    """All part names, with accented words behind them."""
+    return table(spark, sf_dir, "part").select("p_partkey", labels.plain(F.concat("p_name", F.lit(" Éçà Škocjan"))).alias("plain"))
 
 
-@register("select doc_id, translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') as plain from documents")
+@register("select doc_id, strip_accents(lower(text)) as plain from documents")
 def plain_texts(spark, sf_dir):
     """Whole texts of all documents."""
     return table(spark, sf_dir, "documents").select("doc_id", labels.plain(F.col("text")).alias("plain"))
@@ -531,17 +632,20 @@ def permalinks(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", "origin", "km", "people")
 
 
-@register(f"""with {PLACES}, {_LINKS}, s as (select page_id, case page_id % 3 when 0 then 20.0::double else km / 3 end as km, people, origin from parsed where page_id % 8 < 7),
-first as (select insee as k, lat as la, lon as lo, summer_tmax as su from places order by summer_tmax desc nulls last, insee limit 1),
-o as (select page_id, km, people, coalesce(p.insee, k) as okey, coalesce(p.lat, la) as olat, coalesce(p.lon, lo) as olon, coalesce(p.summer_tmax, su) as osum from s left join places p on p.insee = s.origin cross join first),
-j as (select page_id, okey, insee, {_km('olat', 'olon', 'lat', 'lon')} as km, summer_tmax, summer_tmax - osum as delta from o join places on abs(lat - olat) < 2 and {_km('olat', 'olon', 'lat', 'lon')} <= o.km
+@register(f"""with {PLACES}, {STATIONS}, o as (select station_id as search_id, station_id::varchar as okey, lat as olat, lon as olon, (20 + station_id % 10)::double as osum, (25 + station_id * 7 % 476)::double as km,
+  case station_id % 4 when 0 then -1.0::double when 1 then 0.0::double when 2 then 1000.0::double else 5000.0::double end as people from stations),
+j as (select search_id, okey, insee, {_km('olat', 'olon', 'lat', 'lon')} as km, summer_tmax, summer_tmax - osum as delta from o join places on {_km('olat', 'olon', 'lat', 'lon')} <= o.km
   and case when people = -1 then hosp and station else coalesce(population, 0) >= people end),
-r as (select *, row_number() over (partition by page_id order by summer_tmax, insee) as rank from j)
-select page_id as search_id, okey as origin_key, rank::int as rank, insee, round(km, 6) as km, summer_tmax, round(delta, 6) as delta from r where rank <= 15""")
+r as (select *, row_number() over (partition by search_id order by summer_tmax, insee) as rank from j)
+select search_id, okey as origin_key, rank::int as rank, insee, round(km, 6) as km, summer_tmax, round(delta, 6) as delta from r where rank <= 15""")
 def coolest_in_radius(spark, sf_dir):
-    links = _links(spark, sf_dir).filter("page_id % 8 < 7").withColumn("km", F.when(F.col("page_id") % 3 == 0, 20.0).otherwise(F.col("km") / 3))
-    p = places(spark, sf_dir)
-    found = explore.coolest(explore.attach_origins(links.withColumnRenamed("page_id", "search_id"), p), p)
+    """The coolest places around every station, within 25 to 500 km."""
+    k = F.col("station_id")
+    people = F.when(k % 4 == 0, -1.0).when(k % 4 == 1, 0.0).when(k % 4 == 2, 1000.0).otherwise(5000.0)
+    searches = stations(spark, sf_dir).select(
+        k.alias("search_id"), k.cast("string").alias("origin_key"), F.col("lat").alias("origin_lat"), F.col("lon").alias("origin_lon"), (20 + k % 10).cast("double").alias("origin_summer"), (25 + k * 7 % 476).cast("double").alias("km"), people.alias("people")
+    )
+    found = explore.coolest(searches, places(spark, sf_dir))
     return found.select("search_id", "origin_key", "rank", "insee", F.round("km", 6).alias("km"), "summer_tmax", F.round("delta", 6).alias("delta"))
 
 
@@ -563,12 +667,20 @@ def cooler_places(spark: SparkSession, sf_dir: str, min_days: int = indices.MIN_
     series = indices.layer_indices(indices.yearly(daily(spark, sf_dir), ["series"]), ["series"], {"recent": (1996, 2000)}, min_days, min_summer=20)
     p = places(spark, sf_dir).drop("summer_tmax").withColumn("series", F.col("insee").cast("long") % 5).join(F.broadcast(series.select("series", "summer_tmax", "cdd18")), "series")  # a row per series
     ranks = normalise.rank_columns(p.select("insee", "population", "cdd18"), "insee", ["population", "cdd18"])
-    searches = p.filter("insee like '%00'").select(F.col("insee").alias("search_id"), F.col("insee").alias("origin"), F.lit(150.0).alias("km"), F.lit(0.0).alias("people"))
+    searches = p.select(F.col("insee").alias("search_id"), F.col("insee").alias("origin"), F.lit(150.0).alias("km"), F.lit(0.0).alias("people"))
     found = explore.coolest(explore.attach_origins(searches, p), p)
     return found.join(ranks, "insee").select("search_id", "rank", "insee", F.round("km", 3).alias("km"), "summer_tmax", F.round("delta", 3).alias("delta"), F.round("population_pct", 6).alias("population_pct"), F.round("cdd18_pct", 6).alias("cdd18_pct"))
 
 
-register()(cooler_places)
+register(f"""with {DAILY}, {PLACES},
+y as (select series, year(day) as yr, count(tmax + tmin) as n_mean, sum(greatest(0.0::double, (tmax + tmin) / 2 - 18.0::double)) filter (where tmax is not null and tmin is not null) as cdd,
+  count(tmax) filter (where month(day) between 6 and 8) as n_summer, avg(tmax) filter (where month(day) between 6 and 8) as summer from daily where year(day) between 1996 and 2000 group by all),
+g as (select series, {_up1('avg(summer) filter (where n_summer >= 20)')} as summer_tmax, {_up1(f'avg(cdd) filter (where n_mean >= {indices.MIN_DAYS})')} as cdd18 from y group by series),
+p as (select insee, lat, lon, population, g.summer_tmax, cdd18 from places join g on insee::bigint % 5 = g.series),
+ranks as (select insee, {_pct_sql('population', 'p')} as population_pct from p), cold as (select insee, {_pct_sql('cdd18', 'p')} as cdd18_pct from p where cdd18 is not null),
+j as (select o.insee as search_id, t.insee, {_km('o.lat', 'o.lon', 't.lat', 't.lon')} as km, t.summer_tmax, t.summer_tmax - o.summer_tmax as delta from p o join p t on {_km('o.lat', 'o.lon', 't.lat', 't.lon')} <= 150 and coalesce(t.population, 0) >= 0 and t.summer_tmax is not null),
+r as (select *, row_number() over (partition by search_id order by summer_tmax, insee) as rank from j)
+select search_id, rank::int as rank, insee, round(km, 3) as km, summer_tmax, round(delta, 3) as delta, round(population_pct, 6) as population_pct, round(cdd18_pct, 6) as cdd18_pct from r join ranks using (insee) left join cold using (insee) where rank <= 15""")(cooler_places)
 
 
 @register(f"with {PLACES} select insee, summer_tmax from ((select insee, summer_tmax from places order by summer_tmax desc nulls last, insee limit 15) union all (select insee, summer_tmax from places order by summer_tmax asc, insee desc limit 15))")
@@ -576,12 +688,13 @@ def spot_check(spark, sf_dir):
     return explore.spot_check(places(spark, sf_dir).select("insee", "summer_tmax"))
 
 
-@register(f"""with {PLACES}, t as (select unnest(range(0, 73)) as i), r as (select insee, i, asin(sin(radians(lat)) * cos(30 / 6371.0088::double) + cos(radians(lat)) * sin(30 / 6371.0088::double) * cos(radians(i * 5.0::double))) as la, radians(lat) as a, radians(lon) as o, radians(i * 5.0::double) as th from places, t where dept = 3)
-select insee, i, round(degrees(la), 6) as ring_lat, round(degrees(o + atan2(sin(th) * sin(30 / 6371.0088::double) * cos(a), cos(30 / 6371.0088::double) - sin(a) * sin(la))), 6) as ring_lon from r""")
+@register(f"""with {STATIONS}, t as (select unnest(range(0, 73)) as i), r as (select station_id, i, asin(sin(radians(lat)) * cos(30 / 6371.0088::double) + cos(radians(lat)) * sin(30 / 6371.0088::double) * cos(radians(i * 5.0::double))) as la, radians(lat) as a, radians(lon) as o, radians(i * 5.0::double) as th from stations, t)
+select station_id, i, round(degrees(la), 6) as ring_lat, round(degrees(o + atan2(sin(th) * sin(30 / 6371.0088::double) * cos(a), cos(30 / 6371.0088::double) - sin(a) * sin(la))), 6) as ring_lon from r""")
 def radius_rings(spark, sf_dir):
-    rows = places(spark, sf_dir).filter("dept = 3").select("insee", "lat", "lon", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(72).cast("long"))).alias("i"))
+    """Rings of every station."""
+    rows = stations(spark, sf_dir).select("station_id", "lat", "lon", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(72).cast("long"))).alias("i"))
     la, lo = geo.destination(F.col("lat"), F.col("lon"), F.lit(30.0), F.col("i") * 5.0)
-    return rows.select("insee", "i", F.round(la, 6).alias("ring_lat"), F.round(lo, 6).alias("ring_lon"))
+    return rows.select("station_id", "i", F.round(la, 6).alias("ring_lat"), F.round(lo, 6).alias("ring_lon"))
 
 
 @register(f"""with {PLACES}, t as (select unnest(range(0, 73)) as i), r as (select insee, i, asin(sin(radians(lat)) * cos(30 / 6371.0088::double) + cos(radians(lat)) * sin(30 / 6371.0088::double) * cos(radians(i * 5.0::double))) as la, radians(lat) as a, radians(lon) as o, radians(i * 5.0::double) as th from places, t)
@@ -593,12 +706,18 @@ def rings_of_all(spark, sf_dir):
     return rows.select("insee", "i", F.round(la, 6).alias("ring_lat"), F.round(lo, 6).alias("ring_lon"))
 
 
-@register(f"with {PLACES} select insee, name, floor({_km('45.5::double', '3.25::double', 'lat', 'lon')} + 0.5)::bigint as distance_km, printf('%.1f', summer_tmax - 24.0::double) as delta, hosp::int as hosp, station::int as station from places where {_km('45.5::double', '3.25::double', 'lat', 'lon')} <= 200")
+@register(f"""with {PLACES} select insee, name, dept, floor({_km('45.5::double', '3.25::double', 'lat', 'lon')} + 0.5)::bigint as distance_km, elevation_m, population, summer_tmax, printf('%.1f', summer_tmax - 24.0::double) as delta,
+  case when population % 9 <> 0 then elevation_m / 100 end as tropical_nights, elevation_m / 50 as days35, population / 10.0::double as cdd18, (population % 101)::double as heat_pct, (population % 97)::double as flood_pct, (population % 12)::int as floods,
+  case when population % 12 > 0 then '2001-02-03' end as last_flood, case when population % 4 = 0 then 'approved' end as plan, (population % 3 = 0)::int as wildfire, (population % 5 = 0)::int as clay, 0 as coastal, hosp::int as hosp, station::int as station
+  from places where {_km('45.5::double', '3.25::double', 'lat', 'lon')} <= 200""")
 def export_rows(spark, sf_dir):
-    none = {c: F.lit(None).cast("double") for c in ("tropical_nights", "days35", "cdd18", "heat_pct", "flood_pct")}
-    more = {"floods": F.lit(0), "last_flood": F.lit(None).cast("string"), "plan": F.lit(None).cast("string"), "wildfire": F.lit(False), "clay": F.lit(False), "coastal": F.lit(False)}
-    found = near.places_in_radius(places(spark, sf_dir), 45.5, 3.25, 200.0).withColumn("delta", F.col("summer_tmax") - 24.0).withColumns(none | more)
-    return explore.export_rows(found).select("insee", "name", "distance_km", "delta", "hosp", "station")
+    n = F.col("population")
+    more = {
+        "tropical_nights": F.when(n % 9 != 0, F.col("elevation_m") / 100), "days35": F.col("elevation_m") / 50, "cdd18": n / 10.0, "heat_pct": (n % 101).cast("double"), "flood_pct": (n % 97).cast("double"),
+        "floods": (n % 12).cast("int"), "last_flood": F.when(n % 12 > 0, "2001-02-03"), "plan": F.when(n % 4 == 0, "approved"), "wildfire": n % 3 == 0, "clay": n % 5 == 0, "coastal": F.lit(None).cast("boolean"),
+    }
+    found = near.places_in_radius(places(spark, sf_dir), 45.5, 3.25, 200.0).withColumn("delta", F.col("summer_tmax") - 24.0).withColumns(more)
+    return explore.export_rows(found)
 
 
 @register(f"with {PLACES} select insee, case when {_km('45.5::double', '3.25::double', 'lat', 'lon')} <= 150 then 1 else 0 end as in_radius, lon, lat, population as pop from places")
@@ -711,3 +830,27 @@ def correlations(spark, sf_dir):
 @register(f"with {PLACES} select floor(lat / 2.0::double)::bigint as cell_y, floor(lon / 2.0::double)::bigint as cell_x, count(*) as places, round(avg(summer_tmax), 6) as mean_summer_tmax from places group by 1, 2")
 def cell_overview(spark, sf_dir):
     return extras.cell_overview(places(spark, sf_dir), 2.0, ["summer_tmax"]).withColumn("mean_summer_tmax", F.round("mean_summer_tmax", 6))
+
+
+@register(f"with {PLACES} select dept, count(*) as places, round(avg(summer_tmax), 6) as mean_summer_tmax, round(avg(elevation_m), 6) as mean_elevation_m from places group by dept")
+def department_overview(spark, sf_dir):
+    rows = extras.department_overview(places(spark, sf_dir), "dept", ["summer_tmax", "elevation_m"])
+    return rows.select("dept", "places", *[F.round(c, 6).alias(c) for c in ("mean_summer_tmax", "mean_elevation_m")])
+
+
+@register(f"""with {PLACES}, j as (select a.insee, b.insee as analog, sqrt(pow(a.summer_tmax - b.summer_tmax, 2) + pow(a.elevation_m / 100 - b.elevation_m / 100, 2)) as distance from places a join places b on a.insee <> b.insee and abs(a.summer_tmax - b.summer_tmax) <= 0.6)
+select insee, analog, round(distance, 6) as distance from j where distance <= 0.5 qualify row_number() over (partition by insee order by distance, analog) = 1""")
+def climate_analogs(spark, sf_dir):
+    rows = places(spark, sf_dir).withColumn("height", F.col("elevation_m") / 100)
+    return extras.climate_analogs(rows, "insee", ["summer_tmax", "height"], 0.5).withColumn("distance", F.round("distance", 6))
+
+
+@register(f"""with {PLACES}, m as (select o_custkey % 25 as dept, 1980 + o_orderkey % 60 as yr, avg(o_totalprice::double) / 10000 as v from orders group by all),
+c as (select dept, avg(v) filter (where yr between 2010 and 2039) - avg(v) filter (where yr between 1980 and 2009) as delta from m group by dept), n as (select dept, avg(summer_tmax) as normal from places group by dept)
+select dept, round(delta, 6) as delta, round(normal + delta, 6) as projected from c join n using (dept)""")
+def warming_overlay(spark, sf_dir):
+    """Prices of two windows of 30 years as a model, laid over the departments' means."""
+    model = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 25).alias("dept"), (1980 + F.col("o_orderkey") % 60).alias("yr")).agg((F.avg(F.col("o_totalprice").cast("double")) / 10000).alias("v"))
+    normal = places(spark, sf_dir).groupBy("dept").agg(F.avg("summer_tmax").alias("normal"))
+    rows = extras.warming_overlay(model, "dept", "yr", "v", (1980, 2009), (2010, 2039), normal)
+    return rows.select("dept", F.round("delta", 6).alias("delta"), F.round("projected", 6).alias("projected"))
