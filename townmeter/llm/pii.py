@@ -212,12 +212,14 @@ def mask_pii(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
     table an empty one. Very long texts are searched whole, in linear time.
     """
     small_batches(docs.sparkSession)
-    schema, at = docs.schema, docs.columns.index(text)
+    rest = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(docs.columns, 1) if c != text])
+    packed = docs.select(rest.alias("row"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [None if t is None else masked(t, spans(t)[1]) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            new = [None if t is None else masked(t, spans(t)[1]) for t in batch.column(1).to_pylist()]
+            yield batch.set_column(1, batch.schema.field(1), pa.array(new, batch.schema.field(1).type))
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn(length, F.length(text).cast(schema[length].dataType)) if length in docs.columns else out
+    out = packed.mapInArrow(run, packed.schema)
+    value = {text: F.col("t")} | ({length: F.length("t").cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return out.select(*[value.get(c, F.col("row")[str(i)]).alias(c) for i, c in enumerate(docs.columns, 1)])
