@@ -11,8 +11,9 @@ from townmeter.llm.common import Scratch, checked, words
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Measures held against adaptive thresholds, in thousandths: (name, numerator, denominator, whether the numerator counts rare events).
 MEASURES = (("symbols", "n_symbols", "word_chars", False), ("dup_lines", "n_dup_lines", "n_lines", True), ("repeats", "n_repeat_words", "n_words", True), ("word_length", "word_chars", "n_words", False))
-#: A group's own threshold is q90 + FENCE * (q90 - q50) + LEAST; LEAST is about what rounding to thousandths and cells can hide.
-FENCE, LEAST = 5, 10
+#: A group's own threshold is q90 + fence * (q90 - q50) + LEAST. Counts of rare events have long tails and so a wider fence;
+#: LEAST is about what rounding to thousandths and cells can hide.
+FENCE, RARE_FENCE, LEAST = 5, 25, 10
 #: Weight, in documents, of the language's threshold in a group's, and of the overall one in a language's.
 PRIOR = 500
 
@@ -93,7 +94,7 @@ def thresholds(scored: DataFrame, scratch: Scratch) -> DataFrame:
     at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("docs"), F.col("cell")))
     limits = scratch.put(
         ranked.groupBy("level", "lang", "source", "measure").agg(at(50).alias("q50"), at(90).alias("q90"), F.max("docs").alias("docs"))
-        .withColumn("limit", F.col("q90") + FENCE * (F.col("q90") - F.col("q50")) + LEAST)
+        .withColumn("limit", F.col("q90") + F.when(F.col("measure").isin([k for k, _, _, rare in MEASURES if rare]), RARE_FENCE).otherwise(FENCE) * (F.col("q90") - F.col("q50")) + LEAST)
         .groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == k[0], F.col("limit"))).alias(k[0]) for k in MEASURES])
     )
     of = lambda k, name: limits.filter(F.col("level") == k).select(*[F.col(c).alias(f"{name}_{c}") for c in ("lang", "source", "docs", *[m[0] for m in MEASURES])])

@@ -82,7 +82,7 @@ def quality_sql(docs: str = "documents") -> str:
     values = " union all ".join(f"select lang, source, '{k}' as measure, {k} as v from measured where not base_failed" for k in names)
     over = " or ".join(f"coalesce(m.{k} > t.{k}, false)" for k in names)
     ratios = ", ".join(f"case when {b} > 0 then 1000 * ({a}{f' - ceil(sqrt({a}::double))::bigint' * rare}) // {b} else 0 end as {k}" for k, a, b, rare in quality.MEASURES)
-    own = ", ".join(f"max(q90 + {quality.FENCE} * (q90 - q50) + {quality.LEAST}) filter (where measure = '{k}') as {k}" for k in names)
+    own = ", ".join(f"max(q90 + {quality.RARE_FENCE if rare else quality.FENCE} * (q90 - q50) + {quality.LEAST}) filter (where measure = '{k}') as {k}" for k, _, _, rare in quality.MEASURES)
     blend = lambda a, b: ", ".join(f"(({a}.docs * {a}.{k} + {quality.PRIOR} * {b}.{k}) // ({a}.docs + {quality.PRIOR}))::bigint as {k}" for k in names)
     return rf"""
 texts as (select row_number() over () as rid, *, {_WORDS.format(text='text')} as w from {docs}),
