@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,6 +97,20 @@ def test_shard_weights_and_growth(spark):
         sharding.assign(ids, [1.0, 0.0])
 
 
+def test_sharding_of_hot_keys(spark, monkeypatch):
+    """A third of the rows equal, a third with one key and different texts, a third without a key: slots stay gapless, no row is lost."""
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    kinds = [(5, "same"), *[(6, f"text {i}") for i in range(100)], *[(None, None if i % 2 else "") for i in range(100)]]
+    rows = [kinds[0]] * 100 + kinds[1:]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign(docs, [1.0] * 4, grown=1.0).collect()
+    wanted = Counter((k, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for k, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == wanted
+    assert len({(r.doc_id, r.shard, r.grown_shard) for r in got}) == 3
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_sharding_of_nothing(empty):
     assert sharding.assign(empty, [1.0]).count() == 0
 

@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townmeter.llm.common import Scratch
+
 #: Parts of a shard that are numbered on their own, so that no task sorts a whole shard.
 PARTS = 256
+#: Copies of one row that a task makes of their count at a time.
+PIECE = 100_000
 
 
 def _unit(*keys: Column) -> Column:
@@ -38,32 +42,37 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: float | None = None
     """One row per row of docs: key, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text plus 8; a null text counts as empty. slot numbers the rows of a
-    shard from 0 without gaps, by a hash of the key. grown_shard: the shard after one more with
+    shard from 0 without gaps, by a hash of the row. grown_shard: the shard after one more with
     weight `grown` is added. Repeated rows share a shard and get slots of their own; an empty
     table gives an empty one; other columns are ignored, whatever their names.
 
-    The rows are dealt by (shard, part): the counts of the parts, at most shards x PARTS rows,
-    are read from the keys alone and give each part's first slot.
+    Equal rows are counted per task before the shuffle, so a key, or no key, with very many of
+    them is one row; different texts of one key are dealt to different parts. The sizes of the
+    parts, at most shards x PARTS rows, give each part's first slot. Counts become rows again in
+    pieces of PIECE rows, which are dealt anew.
     """
     if grown is not None and grown <= 0:
         raise ValueError("weights must be positive")
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    k, t = F.col(key), F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(text), F.lit(""))
+    each = docs.select(F.col(key).alias("k"), (F.octet_length(t).cast("long") + 8).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
+    k, mark = F.col("k"), lambda seed: F.xxhash64("k", "size", "text_crc32", F.lit(seed))
     best = F.array_min(_bids(k, weights))
-    place = [best["shard"].alias("shard"), F.pmod(F.xxhash64(k, F.lit(-1).cast("long")), F.lit(PARTS)).cast("int").alias("part")]
-    counts = docs.select(*place).groupBy("shard", "part").count()
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     more = F.lit(None).cast("int")
     if grown is not None:
         more = F.array_min(F.array(best, _bids(k, [grown], len(weights))[0]))["shard"]
-    rows = docs.select(
-        k.alias(key), (F.octet_length(t).cast("long") + 8).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
-        *place, more.alias("grown_shard"), F.xxhash64(k, F.lit(-2).cast("long")).alias("at"),
+    rows = Scratch(docs.sparkSession).put(
+        each.groupBy("k", "size", "text_crc32").agg(F.count("*").alias("n"))
+        .select("*", best["shard"].alias("shard"), F.pmod(mark(-1), F.lit(PARTS)).cast("int").alias("part"), more.alias("grown_shard"))
     )
-    number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("at", key, "text_crc32", "size"))
-    return (
-        rows.join(F.broadcast(first), ["shard", "part"])  # shards x PARTS rows at most
-        .select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + number - 1).alias("slot"), "grown_shard")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "part").agg(F.sum("n").alias("held"))
+    first = counts.select("shard", "part", F.coalesce(F.sum("held").over(before(Window.partitionBy("shard").orderBy("part"))), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("shard", "part").orderBy(mark(-2), "k", "size", "text_crc32"))), F.lit(0))
+    placed = rows.withColumn("inside", inside).join(F.broadcast(first), ["shard", "part"])  # shards x PARTS rows at most
+    pieces = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))).alias("at")).repartition("k", "size", "text_crc32", "at")
+    copies = F.explode(F.sequence(F.col("at"), F.least(F.col("at") + PIECE, F.col("n")) - 1)).alias("copy")
+    return pieces.select("*", copies).select(
+        k.alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("inside") + F.col("copy")).alias("slot"), "grown_shard"
     )
