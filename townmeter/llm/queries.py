@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townmeter.llm import bpe, licenses, mixing, near_duplicates, neighbours, pii, quality, sharding, spans, url_filter
+from townmeter.llm import bpe, licenses, mixing, near_duplicates, neighbours, pii, quality, sharding, spans, spelling, url_filter
 from townmeter.llm.common import table
 
 
@@ -65,8 +65,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the forms that they are variants of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_neighbours, op2_sharding, op3_quality, op4_mixing, op5_spans, op6_licenses, op7_urls, op8_bpe, op9_pii, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_neighbours, op2_sharding, op3_quality, op4_mixing, op5_spans, op6_licenses, op7_urls, op8_bpe, op9_pii, op10_near_duplicates, op11_spelling)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
