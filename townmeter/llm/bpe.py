@@ -170,11 +170,15 @@ def build_lexicon(frequent: list[str], bpe: Bpe) -> bytes:
     return compile_lexicon((raw, tuple(bpe.merge(raw))) for p in pieces if len(raw := p.encode()) <= LEXICON_BYTES)
 
 
-def _ship(spark: SparkSession, content: bytes, name: str) -> str:
+def ship(spark: SparkSession, content: bytes, name: str) -> str:
     """Send a file to all executors, present and future; its name holds its hash, so that it is the same file wherever it is found."""
     name = f"{name}-{hashlib.sha256(content).hexdigest()[:24]}"
     path = os.path.join(tempfile.gettempdir(), name)  # the same path each time, as Spark takes a name from one path only
-    if not os.path.exists(path):
+    held = None
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            held = f.read()
+    if held != content:
         with open(f"{path}.{os.getpid()}", "wb") as f:
             f.write(content)
         os.replace(f.name, path)
@@ -229,8 +233,8 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     small_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         content = f.read()
-    lexicon = _ship(spark, build_lexicon(frequent_words(docs, text, most), Bpe(content)), "lexicon")
-    vocabulary_file = _ship(spark, content.encode(), "vocabulary")
+    lexicon = ship(spark, build_lexicon(frequent_words(docs, text, most), Bpe(content)), "lexicon")
+    vocabulary_file = ship(spark, content.encode(), "vocabulary")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * give_ids
     return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_run(lexicon, vocabulary_file, give_ids), schema).withColumnRenamed("id", key)

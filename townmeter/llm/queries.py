@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from townmeter.llm import bpe, licenses, mixing, near_duplicates, neighbours, pii, quality, sharding, spans, spelling, url_filter
+from townmeter.llm import bpe, licenses, merkle, mixing, near_duplicates, neighbours, pii, quality, records, sharding, spans, spelling, url_filter
 from townmeter.llm.common import table
+from townmeter.sources.shared import fresh_dir
 
 
-def vocabulary() -> str:
-    """Path of the public byte-level vocabulary."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary, the byte-level one if none is named."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +72,21 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of documents, held against rows of which some are lower-cased."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": tampered}).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, read back from the record files that they were written to."""
+    path = fresh_dir(spark, "records")
+    records.write_records(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return records.read_records(spark, path, give_ids=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_neighbours, op2_sharding, op3_quality, op4_mixing, op5_spans, op6_licenses, op7_urls, op8_bpe, op9_pii, op10_near_duplicates, op11_spelling)}
+    return {f.__name__: f for f in (op1_neighbours, op2_sharding, op3_quality, op4_mixing, op5_spans, op6_licenses, op7_urls, op8_bpe, op9_pii, op10_near_duplicates, op11_spelling, op12_merkle, op13_records)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
