@@ -184,10 +184,78 @@ select page_id, host, path, rule, case when rule is not null then case rule {ver
        case when rule is null then any_pattern end as pattern from ruled"""
 
 
+#: A table of one row with the 256 steps of CRC-32, from its polynomial.
+_CRC_STEPS = "select list(step order by i) as steps from (select i, list_reduce(list_prepend(i, range(8)::bigint[]), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as step from (select unnest(range(256)) as i))"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes, where `steps` is in scope."""
+    hexed = f"hex(encode({text}))"
+    codes = f"list_transform(range(1, length({hexed}), 2), lambda i: ('0x' || substr({hexed}, i, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295::bigint)"
+
+
+def spelling_sql() -> str:
+    return rf"""
+with recursive crc as ({_CRC_STEPS}),
+runs as (select coalesce(doc_id::varchar, '') || ':' as k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents),
+hashed as (select run, {_crc32("k || run")} as h from runs cross join crc where length(run) >= {spelling.MIN_LENGTH}),
+typed as (select case when h % {spelling.ERROR_RATE} = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word from hashed),
+counted as (select word, count(*) as n from typed where length(word) >= {spelling.MIN_LENGTH} group by word having count(*) >= {spelling.MIN_COUNT}),
+holes as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from counted)),
+near as (select a.word, b.word as other, b.n from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+         union select a.word, b.word, b.n from holes a join counted b on a.rest = b.word union select b.word, a.word, a.n from holes a join counted b on a.rest = b.word),
+best as (select word, count(*) as n_near, max(n) as most, min(other) filter (where n = top) as other from (select *, max(n) over (partition by word) as top from near) group by word),
+formed as (select c.word, c.n, coalesce(n_near, 0) as n_near, case when most >= {spelling.RATIO} * c.n then other end as form, case when most >= {spelling.RATIO} * c.n then most end as form_n from counted c left join best using (word)),
+walk(word, last) as (select word, word from formed union all select w.word, f.form from walk w join formed f on f.word = w.last where f.form is not null),
+roots as (select w.word, w.last as root from walk w join formed f on f.word = w.last where f.form is null)
+select word, form, root, n, n_near, form_n from formed join roots using (word)"""
+
+
+#: Levels of the SQL's trees: 8 ** 9 leaves a language.
+_SQL_LEVELS = 9
+
+
+def _climb(name: str, leaves: str) -> str:
+    """A WITH list of the levels `{name}0` and so on above leaves (g, i, d), and of {name}_path: (g, i, path of siblings before and after by level) of each leaf."""
+    joined = "string_agg({0}, '' order by i)"
+    out = [f"{name}0 as (select g, i, d, count(*) over (partition by g) as m from ({leaves}))"]
+    for k in range(_SQL_LEVELS):
+        up = f"select g, i // 8 as i, case when max(m) > 1 then sha256({joined.format('d')}) else max(d) end as d, case when max(m) > 1 then (max(m) + 7) // 8 else 1 end as m from {name}{k} group by g, i // 8"
+        out.append(f"{name}{k + 1} as ({up})")
+        run = f"partition by g, i // 8 order by i rows between"
+        around = lambda a, b: f"coalesce(string_agg(d, '') over ({run} {a} and {b}), '')"
+        out.append(f"{name}s{k} as (select g, i, m, {around('unbounded preceding', '1 preceding')} as a, {around('1 following', 'unbounded following')} as b from {name}{k})")
+    steps = ", ".join(f"case when s{k}.m > 1 then {{'a': s{k}.a, 'b': s{k}.b}} end" for k in range(_SQL_LEVELS))
+    joins = " ".join(f"join {name}s{k} s{k} on s{k}.g is not distinct from s0.g and s{k}.i = s0.i // {8 ** k}" for k in range(1, _SQL_LEVELS))
+    out.append(f"{name}_path as (select s0.g, s0.i, list_filter([{steps}], lambda x: x is not null) as path from {name}s0 s0 {joins})")
+    return ",\n".join(out)
+
+
+def merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: f"sha256(concat({field('doc_id')}, {field('source')}, {field('lang')}, {field('n_chars')}, {field(text)}))"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+with crc as ({_CRC_STEPS}),
+leaves as (select doc_id, lang as g, {leaf('text')} as leaf, case when {_crc32("doc_id::varchar")} % 3 = 0 then {leaf(lowered)} else {leaf('text')} end as other from documents cross join crc),
+placed as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i from leaves),
+{_climb('l', 'select g, i, leaf as d from placed')},
+subroots as (select g, d as subroot, row_number() over (order by g nulls first) - 1 as j from l{_SQL_LEVELS}),
+{_climb('r', 'select 0 as g, j as i, subroot as d from subroots')},
+paths as (select p.doc_id, p.leaf, p.other, s.subroot, t.d as root, list_concat(lp.path, rp.path) as path
+          from placed p join l_path lp on lp.g is not distinct from p.g and lp.i = p.i join subroots s on s.g is not distinct from p.g join r_path rp on rp.i = s.j cross join r{_SQL_LEVELS} t),
+folded as (select *, sha256(array_to_string(list_transform(path, lambda x: x.a || x.b), '')) as proof_sha256,
+             list_reduce(list_prepend({{'a': other, 'b': ''}}, path), lambda d, x: {{'a': sha256(x.a || d.a || x.b), 'b': ''}}).a as folded_root from paths)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality": f"with {quality_sql()} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from quality",
         "op4_mixing": f"with {mixing_sql()}",
         "op6_licenses": licenses_sql(),
         "op7_urls": urls_sql(),
+        "op11_spelling": spelling_sql(),
+        "op12_merkle": merkle_sql(),
     }
