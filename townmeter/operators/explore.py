@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from townmeter.functions.labels import plain, round_up, signed
-from townmeter.operators.near import pairs_within
+from townmeter.operators.pyramid import coolest_within
+from townmeter.sources.scratch import Tables
 
 # Defaults and limits of a search, and zoom bands (name, from zoom, below zoom, fewest people).
 DEFAULT_ORIGIN, DEFAULT_KM, DEFAULT_PEOPLE = "34172", 150.0, 1000.0
@@ -60,28 +61,21 @@ def attach_origins(searches: DataFrame, places: DataFrame, key: str = "insee", s
     return found.select(*searches.columns, *[F.when(missing, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in known.columns])
 
 
-def coolest(searches: DataFrame, places: DataFrame, key: str = "insee", summer: str = "summer_tmax", search: str = "search_id", max_lat: float = 60.0, top: int = TOP) -> DataFrame:
+def coolest(searches: DataFrame, places: DataFrame, key: str = "insee", summer: str = "summer_tmax", search: str = "search_id", top: int = TOP) -> DataFrame:
     """The coolest places within each search's radius that pass its preset, with rank, distance and difference to the origin.
 
-    searches: search_id, origin_key, origin_lat, origin_lon, origin_summer, km, people; radii are
-    grouped into classes, whose cells fit them, so that a small radius does not meet the cells of
-    a large one. Ties go to the smaller key. Searches that ask the same are answered once.
+    searches: search_id, origin_key, origin_lat, origin_lon, origin_summer, km, people. Ties go to
+    the smaller key. Searches that ask the same are answered once, from a pyramid of cells with
+    their coolest places (`pyramid.coolest_within`), so no search meets all places of its circle.
     """
-    question = ["origin_key", "origin_lat", "origin_lon", "origin_summer", "km", "people"]
-    asked = searches.select(*question).distinct()
-    cand = places.select(F.col(key), F.col("lat"), F.col("lon"), F.col(summer), F.col("population"), F.col("hosp"), F.col("station"))
-    out = None
-    for low, high in ((0.0, LEAST_KM), (LEAST_KM, 100.0), (100.0, MOST_KM)):
-        own = asked.filter((F.col("km") > low) & (F.col("km") <= high)).withColumnRenamed("km", "reach")
-        pairs = pairs_within(own, cand, F.col("reach"), high, max_lat, ("origin_lat", "origin_lon"), ("lat", "lon"))
-        out = pairs if out is None else out.unionByName(pairs)
-    kept = out.filter(passes_preset(F.col("population"), F.col("hosp"), F.col("station"), F.col("people"))).filter(F.col(summer).isNotNull())
-    first = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(summer, key))).filter(F.col("rank") <= top)
-    answers = first(kept, *[c if c != "km" else "reach" for c in question]).select(*[F.col(c if c != "km" else "reach").alias(f"__{c}") for c in question], key, "km", summer)
-    same = [searches[c].eqNullSafe(F.col(f"__{c}")) for c in question]
-    met = searches.join(answers, same).select(searches[search], "origin_key", "origin_summer", key, answers["km"], summer)
-    ranked = first(met, search)
-    return ranked.select(search, "origin_key", "rank", key, "km", summer, (F.col(summer) - F.col("origin_summer")).alias("delta"))
+    tables = Tables(searches.sparkSession, "coolest")
+    question = {"la": "origin_lat", "lo": "origin_lon", "reach": "km", "people": "people"}
+    searches = tables.put(searches.select(search, "origin_key", "origin_lat", "origin_lon", "origin_summer", "km", "people"))
+    places = tables.put(places.select(key, "lat", "lon", summer, "population", "hosp", "station"))
+    asked = tables.put(searches.select(*[F.col(c).cast("double").alias(q) for q, c in question.items()]).distinct().withColumn("q", F.monotonically_increasing_id()))
+    answers = coolest_within(asked, places, tables, key, summer, top).withColumnsRenamed({"key": "__key", "km": "__km", "summer": "__summer"})
+    numbered = searches.join(asked, [searches[c].cast("double").eqNullSafe(asked[q]) for q, c in question.items()]).select(searches[search], "origin_key", "origin_summer", "q")
+    return numbered.join(answers, "q").select(search, "origin_key", "rank", F.col("__key").alias(key), F.col("__km").alias("km"), F.col("__summer").alias(summer), (F.col("__summer") - F.col("origin_summer")).alias("delta"))
 
 
 def hottest(metrics: DataFrame, summer: str = "summer_tmax", key: str = "insee") -> DataFrame:

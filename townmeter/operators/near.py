@@ -14,10 +14,13 @@ KM_PER_DEGREE = math.pi * EARTH_KM / 180
 
 
 def cell_size(km: float, max_lat: float) -> tuple[float, float]:
-    """Sides in degrees of cells that are km wide at least in both directions up to a latitude."""
+    """Sides in degrees of cells that no circle of km around a point up to a latitude leaves by more than one."""
     if not 0 <= max_lat < 89:
         raise ValueError("cells need latitudes under 89 degrees")
-    return 1.001 * km / KM_PER_DEGREE, 1.001 * km / (KM_PER_DEGREE * math.cos(math.radians(max_lat)))
+    reach = math.sin(min(km / EARTH_KM, math.pi / 2)) / math.cos(math.radians(max_lat))
+    if reach >= 1:
+        raise ValueError("circles must not reach the poles")
+    return 1.001 * km / KM_PER_DEGREE, 1.001 * math.degrees(math.asin(reach))
 
 
 def _cell(lat: Column, lon: Column, size: tuple[float, float]) -> list[Column]:
@@ -29,12 +32,14 @@ def pairs_within(left: DataFrame, right: DataFrame, km: float | Column, most_km:
 
     km may depend on the left row and is at most most_km. A left row is put into its cell and the
     8 around it, a right row into its own, so a pair meets in one cell exactly; the distance
-    decides. Points near the date line don't meet across it. Null coordinates join nothing.
+    decides. Points near the date line don't meet across it. Null coordinates join nothing. A left
+    row beyond max_lat, where cells would be too narrow, is an error.
     """
     size = cell_size(most_km, max_lat)
     (la, lo), (ra, ro) = left_at, right_at
     around = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    y, x = _cell(F.col(la), F.col(lo), size)
+    north = F.when(F.abs(F.col(la)) > max_lat, F.raise_error(F.lit(f"a latitude beyond {max_lat} degrees"))).otherwise(F.col(la))
+    y, x = _cell(north, F.col(lo), size)
     a = left.withColumn("__d", F.explode(around)).withColumn("__cell_y", y + F.col("__d.y")).withColumn("__cell_x", x + F.col("__d.x")).drop("__d")
     y, x = _cell(F.col(ra), F.col(ro), size)
     b = right.withColumn("__right_y", y).withColumn("__right_x", x)
