@@ -79,6 +79,19 @@ def _encoder(kept=[]):  # noqa: B006
     return kept[0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abstzEéÉßÿØ×÷ß'`,.;:!?-_1 \t\x0b\x1c\x85\xa0\u0301", max_size=25))
+def test_words_and_marks_equal_the_library(tokenizer, text):
+    assert list(_encoder().ids(text)) == ids_of(tokenizer, text)
+
+
+def test_probes_tell_the_vocabularies_apart():
+    assert _encoder().by_word and _encoder().simple
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        other = records._Encoder(f.read())
+    assert not other.by_word and not other.simple
+
+
 def test_few_kept_words(tokenizer, monkeypatch):
     monkeypatch.setattr(records, "KEPT_WORDS", 5)
     for text in ("a b c d e f g h i j", "k l m", "a k z", "", "a b c d e f g"):

@@ -32,11 +32,11 @@ KEPT_WORDS = 400_000
 PIECES = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+def bytes_to_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
 _NO_RANK = 1 << 30
@@ -47,7 +47,7 @@ class Bpe:
 
     def __init__(self, content: str):
         data = json.loads(content)
-        letters = _byte_letters()
+        letters = {c: b for b, c in enumerate(bytes_to_letters())}
         spell = lambda token: bytes(letters[c] for c in token)
         vocab = data["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", []) if t["content"]}

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
@@ -17,7 +19,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from townmeter.llm.bpe import ship
+from townmeter.llm.bpe import bytes_to_letters, ship
 from townmeter.llm.common import Scratch, small_batches
 
 # Fixed values of the file format. A record is its payload's length, the length's masked checksum, the payload, the payload's masked checksum;
@@ -33,8 +35,8 @@ WIDE, NO_KEY = 1, 2
 CHUNK = 2000
 #: Bytes of records that a task holds while it reads a chunk, or the longest record.
 READ_BYTES = 8 << 20
-#: Encoded words that a Python worker keeps, or those of one text.
-KEPT_WORDS = 300_000
+#: Encoded words that a Python worker keeps, twice at most.
+KEPT_WORDS = 500_000
 #: Open files of a task that reads in shuffled order.
 OPEN_FILES = 16
 
@@ -82,42 +84,76 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), re.sub("^/+", "/", local[1])) if local else pafs.FileSystem.from_uri(path)
 
 
-class _Encoder:
-    """Ids of texts by the tokenizers library. The vocabulary drops white space, so words between ASCII white space are encoded on their own and kept."""
+#: Words of Latin letters with ASCII marks behind them: a vocabulary's pieces part there, as contractions and special tokens have letters behind their marks.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_WORD = re.compile(r"[^ \t\n\r]+")
+#: White space by which str.split() parts words.
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+
+
+class _Encoder(dict):
+    """Words to the ids that the tokenizers library gives them, as bytes of 32 bits each; those of this and the last generation of KEPT_WORDS are kept.
+
+    A vocabulary may drop white space between words; then words are encoded on their own. If it
+    also lower-cases letters and spells bytes, as probes tell, its model is asked for words of Latin letters directly;
+    all other words go through the whole library.
+    """
 
     def __init__(self, content: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer, self.last = Tokenizer.from_str(content), {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = _drops_space(self.tokenizer)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        self.model, self.simple = self.tokenizer.model, False
+        kept = [c for c in _SPACES if self._ids(f"a{c}b") != self._ids("a") + self._ids("b")]
+        probes = ("a b", " a\tb ", "a\n\nb", "a \r\n b", "x's 't \n'll", "1 2", "- -", ". \u0301", "<|endoftext|> a", "\u3000 b")
+        self.by_word = not set(kept) & set(" \t\n\r") and all(self._ids(p) == b"".join(map(self._ids, _WORD.findall(p))) for p in probes)
+        self.kept_spaces = kept
+        letters = [chr(c) for c in range(0x41, 0x100) if _SIMPLE.fullmatch(chr(c))]
+        spell = bytes_to_letters()
+        self.letters = {ord(c): "".join(spell[b] for b in c.encode()) for c in map(str.lower, letters)}
+        words = [a + b for a in letters for b in ("", "e", "Ing", "ß,", "tion.", "s!?", "'", "<|", "-*")]
+        self.simple = sys.byteorder == "little" and array("I").itemsize == 4 and all(self._spelled(w) == self._ids(w) for w in words)
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _spelled(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters and marks behind them, from the model alone; None for other words."""
+        if word.isascii() and word.isalpha():
+            low = word.lower()
+        elif found := _SIMPLE.fullmatch(word):
+            letters, marks = found.groups()
+            if marks:
+                return self[letters] + self[marks]
+            low = letters.lower()
+        else:
+            return None
+        if low != word:
+            return self[low]
+        return array("I", [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.last.get(word)
+        if ids is None:
+            ids = self._spelled(word) if self.simple else None
+            if ids is None:
+                ids = self._ids(word)
+        if len(self) >= KEPT_WORDS:
+            self.last = dict(self)
+            self.clear()
+        if len(word) <= 100:
+            self[word] = ids
+        return ids
 
     def ids(self, text: str) -> np.ndarray:
         if not self.by_word:
-            return self._ids(text)
-        words = _WORD.findall(text)
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > KEPT_WORDS and self.known:
-            self.known = {}
-            new = list(dict.fromkeys(words))
-        self.known |= zip(new, (np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
-
-
-_WORD = re.compile(r"[^ \t\n\r]+")
-
-
-def _drops_space(tokenizer) -> bool:
-    """Whether white space gives no ids and parts words, as far as probes tell."""
-    encode = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
-    probes = ("a b", " a\tb ", "a\n\nb", "a \r\n b", "x's 't \n'll", "1 2", "- -", ". ́", "<|endoftext|> a", "　 b")
-    return all(encode(p) == [i for w in _WORD.findall(p) for i in encode(w)] for p in probes)
+            return np.frombuffer(self._ids(text), "<u4")
+        words = _WORD.findall(text) if any(c in text for c in self.kept_spaces) else text.split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 _ENCODERS: dict[str, _Encoder] = {}
