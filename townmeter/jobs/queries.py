@@ -11,7 +11,7 @@ from townmeter.functions import climate, geo, labels, scores
 from townmeter.jobs.tables import AXES, DAILY, DECREES, NODES, PLACES, STATIONS, daily, decrees, nodes, places, stations, table
 from townmeter.sources import files
 from townmeter.sources.shared import fresh_dir
-from townmeter.operators import dataset, explore, extras, grid, hazards, incremental, indices, livability, near, normalise, referential, validate
+from townmeter.operators import analogs, dataset, explore, extras, grid, hazards, incremental, indices, livability, near, normalise, referential, validate
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -838,11 +838,40 @@ def department_overview(spark, sf_dir):
     return rows.select("dept", "places", *[F.round(c, 6).alias(c) for c in ("mean_summer_tmax", "mean_elevation_m")])
 
 
-@register(f"""with {PLACES}, j as (select a.insee, b.insee as analog, sqrt(pow(a.summer_tmax - b.summer_tmax, 2) + pow(a.elevation_m / 100 - b.elevation_m / 100, 2)) as distance from places a join places b on a.insee <> b.insee and abs(a.summer_tmax - b.summer_tmax) <= 0.6)
-select insee, analog, round(distance, 6) as distance from j where distance <= 0.5 qualify row_number() over (partition by insee order by distance, analog) = 1""")
+@register(f"""with {PLACES}, a as (select insee, (summer_tmax + 2.7::double + (dept % 5)::double / 10) as t, elevation_m as h from places), s as (select stddev_pop(summer_tmax) as st, stddev_pop(elevation_m) as sh from places),
+j as (select a.insee, b.insee as analog, round(sqrt(pow((a.t - b.summer_tmax) / st, 2) + pow((a.h - b.elevation_m) / sh, 2)), 9) as distance from a join places b on a.insee <> b.insee cross join s)
+select insee, analog, round(distance, 6) as distance from j qualify row_number() over (partition by insee order by distance, analog) = 1""")
 def climate_analogs(spark, sf_dir):
-    rows = places(spark, sf_dir).withColumn("height", F.col("elevation_m") / 100)
-    return extras.climate_analogs(rows, "insee", ["summer_tmax", "height"], 0.5).withColumn("distance", F.round("distance", 6))
+    """Where today's climate is nearest to each place's under 2.7 degrees and more."""
+    now = places(spark, sf_dir).select("insee", "summer_tmax", "elevation_m", "dept")
+    warm = now.withColumn("summer_tmax", F.col("summer_tmax") + 2.7 + (F.col("dept") % 5).cast("double") / 10)
+    return analogs.climate_analogs(warm, now, "insee", ["summer_tmax", "elevation_m"]).withColumn("distance", F.round("distance", 6))
+
+
+_MODELS = """yearly as (select o_custkey % 4 as model, o_custkey % 25 as place, 1991 + o_orderkey % 100 as yr, o_totalprice::double / 1000000 + (o_custkey % 4) * 0.02::double * (o_orderkey % 100) + (o_custkey % 25) * 0.001::double * (o_orderkey % 100) as v from orders),
+base as (select model, avg(v) as base, count(*) as n from (select model, yr, avg(v) as v from yearly where yr between 1991 and 2020 group by all) group by model),
+moving as (select model, yr, avg(v) over w as mean, count(*) over w as held from (select model, yr, avg(v) as v from yearly group by all) window w as (partition by model order by yr range between current row and 19 following)),
+levels(level) as (values (2.0::double), (2.7::double), (4.0::double)),
+crossings as (select model, level, min(yr) as first_year from moving join base using (model) join levels on mean - base >= level where held = 20 and n >= 20 group by all)"""
+
+
+def _models(spark, sf_dir):
+    """Four models over 25 places and a hundred years, of which one doesn't warm."""
+    c, y = F.col("o_custkey"), F.col("o_orderkey") % 100
+    value = F.col("o_totalprice").cast("double") / 1000000 + c % 4 * F.lit(0.02) * y + c % 25 * F.lit(0.001) * y
+    return table(spark, sf_dir, "orders").select((c % 4).alias("model"), (c % 25).alias("place"), (1991 + y).alias("yr"), value.alias("v"))
+
+
+@register(f"with {_MODELS} select model, level, first_year, first_year + 19 as last_year, round(mean - base, 6) as warming from crossings join moving on moving.model = crossings.model and yr = first_year join base on base.model = crossings.model".replace("select model, level, first_year, first_year + 19", "select crossings.model, level, first_year, first_year + 19"))
+def warming_crossings(spark, sf_dir):
+    return extras.warming_crossings(_models(spark, sf_dir), "model", "yr", "v").withColumn("warming", F.round("warming", 6))
+
+
+@register(f"""with {_MODELS}, m as (select c.model, c.level, y.place, avg(v) filter (where yr between first_year and first_year + 19) - avg(v) filter (where yr between 1991 and 2020) as delta from yearly y join crossings c using (model) group by all)
+select place, level, count(*) as models, round(avg(delta), 6) as delta, round(min(delta), 6) as least, round(max(delta), 6) as most from m where delta is not null group by all""")
+def warming_levels(spark, sf_dir):
+    rows = extras.warming_levels(_models(spark, sf_dir), "model", "place", "yr", "v")
+    return rows.select("place", "level", "models", *[F.round(c, 6).alias(c) for c in ("delta", "least", "most")])
 
 
 @register(f"""with {PLACES}, m as (select o_custkey % 25 as dept, 1980 + o_orderkey % 60 as yr, avg(o_totalprice::double) / 10000 as v from orders group by all),

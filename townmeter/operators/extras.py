@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -102,24 +101,6 @@ def department_overview(places: DataFrame, dept: str, columns: Sequence[str]) ->
     return places.groupBy(dept).agg(F.count("*").alias("places"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
 
 
-def climate_analogs(places: DataFrame, key: str, columns: Sequence[str], within: float) -> DataFrame:
-    """(key, analog, distance): the nearest other place in the space of the indicators, at most `within` away, ties to the smaller key.
-
-    Indicators are on scales that make them comparable. A place is put into its cell of that width
-    and those around it, the others into their own, so that a pair meets in exactly one cell;
-    places without a neighbour, or with a null, have no row.
-    """
-    rows = places.dropna(subset=list(columns)).select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
-    cell = F.transform("at", lambda v: F.floor(v / F.lit(within)))
-    steps = F.array(*[F.array(*[F.lit(d) for d in step]) for step in itertools.product((-1, 0, 1), repeat=len(columns))])
-    left = rows.select("key", "at", F.explode(F.transform(steps, lambda s: F.zip_with(cell, s, lambda a, b: a + b))).alias("cell"))
-    right = rows.select(F.col("key").alias("analog"), F.col("at").alias("there"), cell.alias("own"))
-    far = F.sqrt(F.aggregate(F.zip_with("at", "there", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    near = left.join(right, (F.col("cell") == F.col("own")) & (F.col("key") != F.col("analog"))).withColumn("distance", far).filter(F.col("distance") <= within)
-    best = near.groupBy("key").agg(F.min(F.struct("distance", "analog")).alias("best"))
-    return best.select(F.col("key").alias(key), "best.analog", "best.distance")
-
-
 def warming_overlay(model: DataFrame, key: str, year: str, value: str, baseline: tuple[int, int], future: tuple[int, int], observed: DataFrame) -> DataFrame:
     """(key, delta, projected): a model's change between two windows of 20 years or more, added to the observed baseline of `observed` (key, normal)."""
     for a, b in (baseline, future):
@@ -128,3 +109,43 @@ def warming_overlay(model: DataFrame, key: str, year: str, value: str, baseline:
     in_ = lambda w: F.avg(F.when(F.col(year).between(*w), F.col(value)))
     change = model.groupBy(key).agg((in_(future) - in_(baseline)).alias("delta"))
     return change.join(observed, key).select(key, "delta", (F.col("normal") + F.col("delta")).alias("projected"))
+
+
+def warming_crossings(yearly: DataFrame, model: str, year: str, value: str, levels: Sequence[float] = (2.0, 2.7, 4.0), baseline: tuple[int, int] = (1991, 2020), span: int = 20) -> DataFrame:
+    """(model, level, first_year, last_year, warming): the first window of `span` years whose mean lies a level over the model's own baseline.
+
+    A model's years are the means over its places. Windows have a value in each of their years;
+    a model without a baseline of `span` years, or one that never gets so warm, has no row.
+    """
+    if span < 20 or baseline[1] - baseline[0] + 1 < 20:
+        raise ValueError("windows hold 20 years at least")
+    means = yearly.groupBy(model, year).agg(F.avg(value).alias("v")).filter("v is not null")
+    ahead = Window.partitionBy(model).orderBy(year).rangeBetween(0, span - 1)
+    in_base = F.when(F.col(year).between(*baseline), F.col("v"))
+    whole = Window.partitionBy(model)
+    moving = means.select(model, year, F.avg("v").over(ahead).alias("mean"), F.count("v").over(ahead).alias("held"), F.avg(in_base).over(whole).alias("base"), F.count(in_base).over(whole).alias("base_years"))
+    warm = moving.filter((F.col("held") == span) & (F.col("base_years") >= 20)).select(model, year, (F.col("mean") - F.col("base")).alias("warming"))
+    reached = warm.select("*", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in levels]), lambda x: F.col("warming") >= x)).alias("level"))
+    first = reached.groupBy(model, "level").agg(F.min(F.struct(year, "warming")).alias("first"))
+    return first.select(model, "level", F.col("first")[year].alias("first_year"), (F.col("first")[year] + span - 1).alias("last_year"), F.col("first.warming").alias("warming"))
+
+
+def warming_levels(yearly: DataFrame, model: str, place: str, year: str, value: str, levels: Sequence[float] = (2.0, 2.7, 4.0), baseline: tuple[int, int] = (1991, 2020), span: int = 20) -> DataFrame:
+    """(place, level, models, delta, least, most): the places' changes at each warming level, as the mean, least and most of the models that reach it.
+
+    A model's change at a place is its mean over the window in which the model first reaches the
+    level (`warming_crossings`) less its mean over the baseline there. Levels that no model reaches
+    have no row, nor have places without a value in the window or the baseline.
+
+    A model's windows are one array, so the yearly rows are read once more, stay as many, and go
+    to one aggregation by model and place.
+    """
+    crossed = warming_crossings(yearly, model, year, value, levels, baseline, span).groupBy(F.col(model).alias("__m")).agg(F.collect_list(F.struct("level", "first_year", "last_year")).alias("windows"))
+    rows = yearly.join(crossed, F.col(model) == F.col("__m"))
+    window_of = lambda level: F.try_element_at(F.filter("windows", lambda w: w["level"] == level), F.lit(1))
+    windows = [window_of(float(x)) for x in levels]
+    means = [F.avg(F.when(F.col(year).between(w["first_year"], w["last_year"]), F.col(value))).alias(f"m{i}") for i, w in enumerate(windows)]
+    by_model = rows.groupBy(model, place).agg(F.avg(F.when(F.col(year).between(*baseline), F.col(value))).alias("base"), *means)
+    deltas = F.array(*[F.struct(F.lit(float(x)).alias("level"), (F.col(f"m{i}") - F.col("base")).alias("delta")) for i, x in enumerate(levels)])
+    spread = by_model.select(place, F.explode(deltas).alias("d")).filter("d.delta is not null")
+    return spread.groupBy(place, F.col("d.level").alias("level")).agg(F.count("*").alias("models"), F.avg("d.delta").alias("delta"), F.min("d.delta").alias("least"), F.max("d.delta").alias("most"))
