@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from townmeter.operators.normalise import positions, with_positions
+from townmeter.sources.scratch import Tables
+
 
 def bootstrap_bands(yearly: DataFrame, key: str, year: str, value: str, replicates: int = 200, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(key, mean, low, high): an interval of the mean over years that are drawn with replacement.
@@ -31,17 +34,16 @@ def bootstrap_bands(yearly: DataFrame, key: str, year: str, value: str, replicat
 def weight_sensitivity(burdens: DataFrame, key: str, columns: Sequence[str], weights: Sequence[float], shift: float = 0.2) -> DataFrame:
     """(key, rank, best, worst, flips): a place's rank with the given weights, and over weights with one of them shifted either way.
 
-    Each set of weights ranks all places by equal scores counted first, so no task sorts places;
-    places that miss a burden have no rank.
+    Places that miss a burden have no rank. Scores of all sets of weights are ranked together, by
+    one exchange by range of their different values (`normalise.positions`), so no task sorts the places.
     """
     sets = [list(weights)] + [[w * (1 + s * (j == i)) for j, w in enumerate(weights)] for i in range(len(weights)) for s in (-shift, shift)]
-    whole = burdens.dropna(subset=list(columns))
+    tables = Tables(burdens.sparkSession, "sensitivity")
+    whole = tables.put(burdens.dropna(subset=list(columns)).select(key, *columns))
     score = lambda ws: F.round(sum((F.col(c).cast("double") * F.lit(w / sum(ws)) for c, w in zip(columns, ws, strict=True)), F.lit(0.0)), 6)
     rows = whole.select(key, F.posexplode(F.array(*[score(ws) for ws in sets])).alias("variant", "score"))
-    counts = rows.groupBy("variant", "score").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("variant").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("variant", "score", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("rank"))
-    return rows.join(ranks, ["variant", "score"]).groupBy(key).agg(
+    ranked = with_positions(rows, positions(rows, tables, "variant", "score"), "variant", "score").withColumn("rank", F.col("below") + 1)
+    return ranked.groupBy(key).agg(
         F.max(F.when(F.col("variant") == 0, F.col("rank"))).alias("rank"), F.min("rank").alias("best"), F.max("rank").alias("worst")
     ).withColumn("flips", F.col("best") != F.col("worst"))
 
