@@ -33,7 +33,7 @@ def test_ranks_equal_brute_force(spark, monkeypatch, few, hot):
     monkeypatch.setattr(normalise, "BROADCAST_ROWS", few)
     monkeypatch.setattr(normalise, "HOT", hot)
     rows = population(random.Random(few + hot), 500)
-    df = spark.createDataFrame(rows, "i long, indicator string, value double")
+    df = spark.createDataFrame(rows, "i long, indicator string, value double").select("*", *[F.lit(1).alias(c) for c in ("g", "v", "n", "ties", "below")])
     got = {r.i: r.pct for r in normalise.percentile_ranks(df).collect()}
     assert got == {i: p if p is None else pytest.approx(p) for i, p in ranks(rows).items()}
 

@@ -207,7 +207,7 @@ def downscaled_days(spark, sf_dir):
     at = F.date_add(F.lit("2020-07-01").cast("date"), F.col("k"))
     daily_grid = days.select("node", at.alias("day"), (250 + (F.col("value") + F.col("k") * 7) / 50).alias("tmax"), (245 + (F.col("value") + F.col("k") * 7) / 60).alias("tmin"))
     weights = _weights(spark, sf_dir)
-    rows = grid.downscale(daily_grid, weights, grid.place_elevations(weights, places(spark, sf_dir), "insee", "elevation_m"), "insee")
+    rows = grid.downscale(daily_grid, weights, grid.place_elevations(weights, places(spark, sf_dir), "insee", "elevation_m"), "insee", n_lon=AXES.n_lon)
     return rows.select("insee", F.col("day").cast("string").alias("day"), *[F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c) for c in ("tmax", "tmin")])  # -0.0 is 0.0
 
 
@@ -529,6 +529,36 @@ def station_files(spark, sf_dir):
     return read.groupBy("station").agg(F.count("*").alias("days"), F.round(F.sum("tx"), 6).alias("tx"), F.round(F.sum("tn"), 6).alias("tn"), F.min("day").cast("string").alias("first"))
 
 
+@register(f"with {_RAW} select insee, name, dept, epci, population, lat, lon, coord_source from raw where coord_source is not null")
+def referential_files(spark, sf_dir):
+    """Geo records written as JSON arrays, one of each department, and ingested from them."""
+    raw, path = _raw_places(spark, sf_dir), fresh_dir(spark, "referential")
+    record = F.struct(*[F.col(c) for c in raw.columns])
+    arrays = raw.groupBy(F.col("codeDepartement").alias("part")).agg(F.to_json(F.collect_list(record)).alias("value"))  # a department is a file
+    arrays.write.partitionBy("part").text(path)
+    return referential.ingest(files.read_raw_places(spark, path)).select("insee", "name", "dept", "epci", "population", "lat", "lon", "coord_source")
+
+
+@register("select o_custkey::varchar as place, true as coastal from orders group by o_custkey having bool_or(o_orderstatus = 'F' and o_orderpriority = '2-HIGH')")
+def coastal_register(spark, sf_dir):
+    """Orders written as a comma-separated list of retreating coasts, with quotes in it; places with an active row."""
+    path = fresh_dir(spark, "coast")
+    active = F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "2-HIGH"), F.element_at(F.array(F.lit("True"), F.lit("TRUE"), F.lit("true")), (F.col("o_orderkey") % 3 + 1).cast("int"))).otherwise("False")
+    table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("code_commune"), active.alias("is_currently_active"), F.concat(F.lit('shore, "'), "o_orderpriority", F.lit('"')).alias("note")).write.csv(path, sep=",", header=True, quote='"', escape='"')
+    rows = files.read_register(spark, path, ["code_commune", "is_currently_active"], sep=",")
+    return hazards.presence(rows, "code_commune", coastal=F.lower("is_currently_active") == "true")
+
+
+@register("select o_orderkey, year(o_orderdate)::int as year, case when year(o_orderdate) >= 1997 then o_totalprice::double else 0.0::double end as price from orders")
+def resumed_write(spark, sf_dir):
+    """A run over all years, and a later one that writes only the years that are not done."""
+    path, rows = fresh_dir(spark, "resumed"), table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.year("o_orderdate").alias("year"))
+    incremental.write_pending(rows.withColumn("price", F.lit(0.0)), path, "year")
+    done = spark.createDataFrame([(y,) for y in range(1980, 1997)], "year int")
+    incremental.write_pending(incremental.pending(rows, done, ["year"]).select(*rows.columns), path, "year")
+    return spark.read.parquet(path).select("o_orderkey", "year", "price")
+
+
 # --- dataset ----------------------------------------------------------------------------------
 
 _METRICS = """metrics as (select lpad(o_custkey::varchar, 6, '0') as insee, count(distinct year(o_orderdate)) as summers, floor(avg(o_totalprice::double) / 1000 * 10 + 0.5) / 10 as summer_tmax,
@@ -603,6 +633,17 @@ def name_search(spark, sf_dir):
     return explore.find_names(places(spark, sf_dir), " Customer#000000 ").select("insee", "name", "population")
 
 
+@register(f"""with {PLACES}, s as (select s_suppkey as search_id, case when s_suppkey % 10 = 0 then 'c' else translate(substr(name, 1, (10 + s_suppkey % 9)::int), 'uO', 'úo') end as query from supplier join places on insee::bigint = s_suppkey)
+select search_id, row_number() over (partition by search_id order by coalesce(population, 0) desc, insee)::int as rank, insee, name, population from s join places on starts_with(lower(strip_accents(name)), lower(strip_accents(query))) and length(query) >= 2
+qualify row_number() over (partition by search_id order by coalesce(population, 0) desc, insee) <= 8""")
+def name_searches(spark, sf_dir):
+    """A table of name searches: beginnings of 10 to 18 letters of other names, with accents, and single letters, which find nothing."""
+    k, p = F.col("s_suppkey"), places(spark, sf_dir)
+    query = F.when(k % 10 == 0, "c").otherwise(F.concat(F.lit(" "), F.translate(F.col("name").substr(F.lit(1), (10 + k % 9).cast("int")), "uO", "úo"), F.lit(" ")))
+    searches = table(spark, sf_dir, "supplier").join(p.select("name", F.col("insee").cast("long").alias("i")), k == F.col("i")).select(k.alias("search_id"), query.alias("query"))
+    return explore.search_names(searches, p)
+
+
 @register("select p_partkey, strip_accents(lower(p_name || ' Éçà Škocjan')) as plain from part")
 def plain_names(spark, sf_dir):
     """All part names, with accented words behind them."""
@@ -720,6 +761,19 @@ def export_rows(spark, sf_dir):
     return explore.export_rows(found)
 
 
+_SQL["written_export"] = _SQL["export_rows"]
+
+
+def written_export(spark, sf_dir):
+    """The export written as CSV and read back with its types."""
+    rows, path = export_rows(spark, sf_dir), fresh_dir(spark, "export")
+    explore.write_export(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True, quote='"', escape='"', enforceSchema=False)
+
+
+_QUERIES["written_export"] = written_export
+
+
 @register(f"with {PLACES} select insee, case when {_km('45.5::double', '3.25::double', 'lat', 'lon')} <= 150 then 1 else 0 end as in_radius, lon, lat, population as pop from places")
 def point_features(spark, sf_dir):
     inside = geo.haversine_km(F.lit(45.5), F.lit(3.25), F.col("lat"), F.col("lon")) <= 150
@@ -790,6 +844,16 @@ def release_gates(spark, sf_dir):
     return validate.release_gates(_biases(spark, sf_dir), p, ["summer_tmax", "population"], 3.0, 0.02).withColumn("value", F.round("value", 9))
 
 
+@register(f"""with {STATIONS}, {PLACES}, {_AGG}, {_match_sql(25)}, e as (select case when m.alti < 200 then '<200 m' when m.alti < 600 then '200–600 m' when m.alti < 1000 then '600–1000 m' else '≥1000 m' end as band, case when m.alti < 200 then 0 when m.alti < 600 then 1 when m.alti < 1000 then 2 else 3 end as band_order,
+  abs(m.summer_tmax * 6 - a.tropical / (a.nights / 365.25::double)) as err from matched m join agg a using (station_id) where summer_days >= 5)
+select 'hot days ' || band as gate, band_order::int as band_order, count(*) as stations, round(avg(err), 6) as value, 25.0::double as most, avg(err) <= 25 as passed from e where err is not null group by band, band_order""")
+def terrain_gates(spark, sf_dir):
+    """Warm nights a year of stations against a count made of the model's summers, by terrain class."""
+    observed = validate.station_indices(_aggregates(spark, sf_dir), least=5).select("station_id", "tropical_per_year")
+    rows = _matches(spark, sf_dir, 25.0).join(observed, "station_id").withColumn("model_days", F.col("summer_tmax") * 6)
+    return validate.terrain_gates(rows, "model_days", "tropical_per_year", 25.0).withColumn("value", F.round("value", 6))
+
+
 # --- incremental ------------------------------------------------------------------------------
 
 
@@ -832,6 +896,13 @@ def cell_overview(spark, sf_dir):
     return extras.cell_overview(places(spark, sf_dir), 2.0, ["summer_tmax"]).withColumn("mean_summer_tmax", F.round("mean_summer_tmax", 6))
 
 
+@register(f"""with {PLACES}, z as (select unnest(range(6))::int as level) select level, floor(lat / (0.25::double * pow(2, level)))::bigint as cell_y, floor(lon / (0.25::double * pow(2, level)))::bigint as cell_x, count(*) as places, round(avg(summer_tmax), 6) as mean_summer_tmax, round(avg(population::double), 6) as mean_population
+from places, z group by 1, 2, 3""")
+def overview_pyramid(spark, sf_dir):
+    rows = extras.overview_pyramid(places(spark, sf_dir), 0.25, 6, ["summer_tmax", "population"])
+    return rows.select("level", "cell_y", "cell_x", "places", *[F.round(c, 6).alias(c) for c in ("mean_summer_tmax", "mean_population")])
+
+
 @register(f"with {PLACES} select dept, count(*) as places, round(avg(summer_tmax), 6) as mean_summer_tmax, round(avg(elevation_m), 6) as mean_elevation_m from places group by dept")
 def department_overview(spark, sf_dir):
     rows = extras.department_overview(places(spark, sf_dir), "dept", ["summer_tmax", "elevation_m"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,32 @@ def find_names(places: DataFrame, query: str, name: str = "name", people: str =
     return found.orderBy(F.coalesce(F.col(people), F.lit(0)).desc(), key).limit(NAMES)
 
 
+def prefix_index(places: DataFrame, lengths: Sequence[int], name: str = "name", people: str = "population", key: str = "insee") -> DataFrame:
+    """(prefix, place): the NAMES most populous places under each prefix of their plain names, of the lengths given; what a table of name searches is joined with.
+
+    A prefix's rows are cut to NAMES in each task before the exchange, so a prefix of very many names is no large group.
+    """
+    rows = places.select(plain(F.col(name)).alias("p"), F.struct((-F.coalesce(F.col(people), F.lit(0))).alias("less"), F.col(key).alias("key"), F.col(name).alias("name"), F.col(people).alias("people")).alias("place"))
+    cut = F.filter(F.array(*[F.lit(int(n)) for n in lengths]), lambda n: n <= F.length("p"))
+    spread = rows.select(F.explode(F.transform(cut, lambda n: F.col("p").substr(F.lit(1), n))).alias("prefix"), "place")
+    return spread.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("place.less", "place.key"))).filter(F.col("rank") <= NAMES)
+
+
+def search_names(searches: DataFrame, places: DataFrame, search: str = "search_id", query: str = "query", name: str = "name", people: str = "population", key: str = "insee") -> DataFrame:
+    """(search, rank, key, name, people): the answers of `find_names` for a table of searches; those under two letters, or null, find none.
+
+    Names are read once, into an index of prefixes as long as those that are asked for, of which
+    there are few; equal queries share its entries.
+    """
+    trimmed = F.trim(F.col(query))
+    asked = Tables(searches.sparkSession, "names").put(searches.filter(F.length(trimmed) >= 2).select(F.col(search).alias("__search"), plain(trimmed).alias("prefix")))
+    lengths = [r.n for r in asked.select(F.length("prefix").alias("n")).distinct().collect()]
+    if not lengths:
+        lengths = [2]
+    found = asked.join(prefix_index(places, lengths, name, people, key), "prefix")
+    return found.select(F.col("__search").alias(search), "rank", F.col("place.key").alias(key), F.col("place.name").alias(name), F.col("place.people").alias(people))
+
+
 def _number(url: Column, name: str) -> Column:
     raw = F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
     v = F.when(F.trim(raw) != "", raw).try_cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,22 +14,44 @@ from townmeter.operators.normalise import positions, with_positions
 from townmeter.sources.scratch import Tables
 
 
+def _draws(years: Sequence, replicates: int) -> np.ndarray:
+    """How often each replicate (row) draws each year (column): as many draws as there are years, by a hash of replicate and slot."""
+    times = np.zeros((replicates, len(years)))
+    for rep in range(replicates):
+        for slot in range(len(years)):
+            times[rep, int(hashlib.md5(f"{rep}:{slot}".encode()).hexdigest()[:8], 16) % len(years)] += 1
+    return times
+
+
 def bootstrap_bands(yearly: DataFrame, key: str, year: str, value: str, replicates: int = 200, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(key, mean, low, high): an interval of the mean over years that are drawn with replacement.
 
     A replicate draws as many years as there are, by a hash of replicate and slot; all places
-    share its draw, as anomalies go together across space. How often each year is drawn is a
-    small table; it meets the yearly values by year, and means are taken over the years a place has.
+    share its draw, as anomalies go together across space. Means are taken over the years a place
+    has; a replicate that draws none of them is left out, and a place without a value has no interval.
+
+    The draws of all replicates are one small matrix of replicates by years. A place's years
+    become one row, and a product with the matrix gives its replicates' means, so the exchange has
+    a row per place and task, however many replicates there are.
     """
-    years = yearly.select(F.col(year).alias("__y")).distinct()
-    ordered = years.withColumn("at", F.row_number().over(Window.orderBy("__y")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))  # one row per year
-    slots = ordered.select("n", F.col("at").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    mark = F.substring(F.md5(F.concat_ws(":", "rep", "slot").cast("binary")), 1, 8)
-    draws = slots.select("rep", F.pmod(F.conv(mark, 16, 10).cast("long"), F.col("n")).alias("at")).groupBy("rep", "at").agg(F.count("*").alias("times"))
-    drawn = draws.join(ordered.select("at", "__y"), "at").select("rep", "__y", "times")
-    means = yearly.filter(F.col(value).isNotNull()).join(drawn, F.col(year) == F.col("__y")).groupBy(key, "rep").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
-    bands = means.groupBy(key).agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
-    return yearly.groupBy(key).agg(F.avg(value).alias("mean")).join(bands, key)
+    years = sorted(r[0] for r in yearly.select(year).distinct().collect())  # a row per year
+    times, place = _draws(years, replicates), {y: i for i, y in enumerate(years)}
+    known = yearly.filter(F.col(value).isNotNull()).groupBy(key).agg(F.avg(value).alias("mean"), F.collect_list(F.struct(F.col(year).alias("y"), F.col(value).cast("double").alias("v"))).alias("own"))
+
+    @F.pandas_udf("low double, high double")
+    def interval(own: pd.Series) -> pd.DataFrame:
+        ends = []
+        for rows in own:
+            at, v = [place[r["y"]] for r in rows], np.array([r["v"] for r in rows])
+            drawn = times[:, at]
+            held = drawn.sum(1)
+            means = (drawn @ v)[held > 0] / held[held > 0]
+            ends.append(np.quantile(means, [low, high]) if len(means) else (None, None))
+        return pd.DataFrame(ends, columns=["low", "high"])
+
+    once = interval.asNondeterministic()  # else the filter would run it again
+    bands = known.select(key, "mean", once("own").alias("b")).select(key, "mean", "b.low", "b.high")
+    return bands.filter("low is not null")
 
 
 def weight_sensitivity(burdens: DataFrame, key: str, columns: Sequence[str], weights: Sequence[float], shift: float = 0.2) -> DataFrame:
@@ -42,7 +65,7 @@ def weight_sensitivity(burdens: DataFrame, key: str, columns: Sequence[str], wei
     whole = tables.put(burdens.dropna(subset=list(columns)).select(key, *columns))
     score = lambda ws: F.round(sum((F.col(c).cast("double") * F.lit(w / sum(ws)) for c, w in zip(columns, ws, strict=True)), F.lit(0.0)), 6)
     rows = whole.select(key, F.posexplode(F.array(*[score(ws) for ws in sets])).alias("variant", "score"))
-    ranked = with_positions(rows, positions(rows, tables, "variant", "score"), "variant", "score").withColumn("rank", F.col("below") + 1)
+    ranked = with_positions(rows, positions(rows, tables, "variant", "score"), "variant", "score").withColumn("rank", F.col("__below") + 1)
     return ranked.groupBy(key).agg(
         F.max(F.when(F.col("variant") == 0, F.col("rank"))).alias("rank"), F.min("rank").alias("best"), F.max("rank").alias("worst")
     ).withColumn("flips", F.col("best") != F.col("worst"))
@@ -98,6 +121,25 @@ def cell_overview(places: DataFrame, degrees: float, columns: Sequence[str]) ->
     return places.groupBy(y.alias("cell_y"), x.alias("cell_x")).agg(F.count("*").alias("places"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
 
 
+def overview_pyramid(places: DataFrame, degrees: float, levels: int, columns: Sequence[str]) -> DataFrame:
+    """(level, cell_y, cell_x, places, means) at every zoom: cells of `degrees` at level 0, twice as wide at each level above; a mean is over the places with a value, null without one.
+
+    The places are read once, into sums and counts of the finest cells that have any; each level
+    is the sum of the four cells below, so what grows with the places is the first aggregation alone.
+    """
+    y, x = F.floor(F.col("lat") / F.lit(degrees)).cast("long"), F.floor(F.col("lon") / F.lit(degrees)).cast("long")
+    parts = lambda c, like: [F.sum(c).cast("double").alias(f"sum_{like}"), F.count(c).alias(f"n_{like}")]
+    tables = Tables(places.sparkSession, "overview")
+    whole = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    level = tables.put(whole.groupBy(y.alias("cell_y"), x.alias("cell_x")).agg(F.count("*").alias("places"), *[p for c in columns for p in parts(c, c)]).withColumn("level", F.lit(0)))
+    every = level
+    half = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
+    for k in range(1, levels):
+        level = tables.put(level.groupBy(half("cell_y"), half("cell_x")).agg(F.sum("places").alias("places"), *[F.sum(f"{w}_{c}").alias(f"{w}_{c}") for c in columns for w in ("sum", "n")]).withColumn("level", F.lit(k)))
+        every = every.unionByName(level)
+    return every.select("level", "cell_y", "cell_x", "places", *[F.when(F.col(f"n_{c}") > 0, F.col(f"sum_{c}") / F.col(f"n_{c}")).alias(f"mean_{c}") for c in columns])
+
+
 def department_overview(places: DataFrame, dept: str, columns: Sequence[str]) -> DataFrame:
     """(dept, places, means) for low zooms."""
     return places.groupBy(dept).agg(F.count("*").alias("places"), *[F.avg(c).alias(f"mean_{c}") for c in columns])

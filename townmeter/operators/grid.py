@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from townmeter.functions.climate import LAPSE_TMAX, LAPSE_TMIN, celsius, grid_fraction, grid_index, lapse_adjust, nan_to_null, nearest_index
 
 
+#: Nodes of a block's side.
+BLOCK = 32
+
+
 class Axes(NamedTuple):
     """First node, step and number of nodes of a grid's axes; steps may be negative."""
 
@@ -68,18 +72,35 @@ def place_elevations(weights: DataFrame, places: DataFrame, key: str, elev: str)
     return grid.join(places.select(key, elev), key).select(key, "grid_m", own.alias("place_m"), (own - F.col("grid_m")).alias("difference_m"), "coastal")
 
 
-def downscale(daily: DataFrame, weights: DataFrame, elevations: DataFrame, key: str, node: str = "node", day: str = "day") -> DataFrame:
+def downscale(daily: DataFrame, weights: DataFrame, elevations: DataFrame, key: str, node: str = "node", day: str = "day", n_lon: int | None = None) -> DataFrame:
     """(key, day, tmax, tmin) in degrees Celsius at places, from daily grid values in Kelvin.
 
     Weighted mean of the land corners, as single precision, moved by the lapse of the height
-    difference, to two decimals. A day on which a corner in use has no value is null. The daily
-    grid is dealt by day before corners multiply its rows, and sums need no further exchange.
+    difference, to two decimals. A day on which a corner in use has no value is null.
+
+    n_lon: nodes of a grid row. With it the grid is cut into blocks of BLOCK by BLOCK nodes, which
+    have the first row and column of their neighbours as a halo, as a place's corners may lie
+    there; (day, block) is what is dealt, so a run over one day, or a very large grid, has many tasks. Without
+    it, days are dealt. Either way corners multiply rows after the exchange, and sums need no further one.
     """
     mean = lambda c: F.when(F.count(c) == F.count("*"), F.sum(F.col("w") * c))
     at = weights.filter(F.col("w") > 0).select(key, F.col("node").alias("__node"), "w")
     hot, cold = nan_to_null(F.col("tmax").cast("double")), nan_to_null(F.col("tmin").cast("double"))
-    rows = daily.select(F.col(node).alias("__at"), day, hot.alias("hot"), cold.alias("cold")).repartition(day).join(at, F.col("__at") == F.col("__node"))
-    sums = rows.groupBy(day, key).agg(mean(F.col("hot")).alias("hot"), mean(F.col("cold")).alias("cold"))
+    rows = daily.select(F.col(node).alias("__at"), day, hot.alias("hot"), cold.alias("cold"))
+    if n_lon is None:
+        rows, at = rows.select("*", F.lit(0).cast("long").alias("__block")), at.select("*", F.lit(0).cast("long").alias("__own"))
+    else:
+        i, j = F.call_function("div", F.col("__node"), F.lit(n_lon)), F.col("__node") % n_lon
+        block = lambda i, j: (F.floor(i / BLOCK) * (n_lon // BLOCK + 1) + F.floor(j / BLOCK)).cast("long")
+        # A place's corners are within one node of each other, so that the least ones' block has them all.
+        own = at.groupBy(key).agg(block(F.min(i), F.min(j)).alias("__own"))
+        at = at.join(own, key)
+        i, j = F.call_function("div", F.col("__at"), F.lit(n_lon)), F.col("__at") % n_lon
+        around = F.array_distinct(F.array(*[block(F.greatest(i - a, F.lit(0)), F.greatest(j - b, F.lit(0))) for a in (0, 1) for b in (0, 1)]))
+        rows = rows.select("*", F.explode(around).alias("__block"))
+    dealt = rows.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), day, "__block")
+    met = dealt.join(at, (F.col("__at") == F.col("__node")) & (F.col("__block") == F.col("__own")))
+    sums = met.groupBy(day, "__block", key).agg(mean(F.col("hot")).alias("hot"), mean(F.col("cold")).alias("cold"))
     single = lambda c: celsius(F.col(c)).cast("float").cast("double")
     return sums.join(elevations.select(key, "difference_m"), key).select(
         key, day, F.round(lapse_adjust(single("hot"), F.col("difference_m"), LAPSE_TMAX), 2).alias("tmax"), F.round(lapse_adjust(single("cold"), F.col("difference_m"), LAPSE_TMIN), 2).alias("tmin")

@@ -89,24 +89,67 @@ def gate_layer(rows: DataFrame, layer: str, columns: Sequence[str], least: int =
     return rows.withColumns({c: F.when(good, F.col(c)) for c in columns})
 
 
-def _islands(rows: DataFrame, keys: Sequence[str], value: str, threshold: float, day: str, calendar: bool) -> DataFrame:
-    """(keys, run length) of each run of hits. Runs are adjacent rows, or adjacent calendar days."""
-    own = Window.partitionBy(*keys).orderBy(day)
-    place = F.datediff(day, F.lit("1970-01-01")) if calendar else F.row_number().over(own)
-    hits = rows.withColumn("__place", place).filter(F.col(value) >= threshold)
-    return hits.withColumn("__run", F.col("__place") - F.row_number().over(own)).groupBy(*keys, "__run").agg(F.count("*").alias("run"))
+#: Bits of a word; six words hold the days of a year.
+WORD, WORDS = 64, 6
+
+
+def spell_summaries(series: DataFrame, keys: Sequence[str], value: str, threshold: float, day: str = "day", calendar: bool = False) -> DataFrame:
+    """One row per series and year: keys, year, valid, days, lead, trail, longest, whole; what merging years needs to know of a year's runs.
+
+    valid: days with a value; days: rows of the year, or calendar days; lead, trail: length of the
+    run that the year begins and ends with; longest: its longest run; whole: every day is a hit.
+
+    Days become bits of a year's words, which are or-ed in each task before the exchange; so days
+    are not shuffled, and the exchange has a row per series, year and task. Two rows of one day are one.
+    """
+    place = F.dayofyear(day) - 1
+    bit = lambda on, i: F.bit_or(F.when(on & (F.call_function("div", place, F.lit(WORD)) == i), F.call_function("shiftleft", F.lit(1).cast("long"), place % WORD)))
+    there, hit = F.lit(True), F.coalesce(F.col(value) >= threshold, F.lit(False))
+    words = [F.coalesce(bit(on, i), F.lit(0).cast("long")).alias(f"{n}{i}") for n, on in (("there", there), ("hit", hit)) for i in range(WORDS)]
+    years = series.groupBy(*keys, F.year(day).alias("year")).agg(F.count(value).alias("valid"), *words)
+    last_day = F.dayofyear(F.make_date("year", F.lit(12), F.lit(31)))
+    is_set = lambda n, i: F.call_function("shiftright", F.array(*[F.col(f"{n}{k}") for k in range(WORDS)])[F.call_function("div", i, F.lit(WORD)).cast("int")], (i % WORD).cast("int")).bitwiseAND(F.lit(1)) == 1
+    days = F.sequence(F.lit(0), last_day - 1)
+    if not calendar:
+        days = F.filter(days, lambda i: is_set("there", i))
+    hits = F.transform(days, lambda i: is_set("hit", i))
+    n = lambda k: F.lit(k).cast("long")
+    # A fold over the year's days: run so far, longest, the run from the year's start, whether that still goes on.
+    start = F.struct(n(0).alias("run"), n(0).alias("longest"), n(0).alias("lead"), F.lit(True).alias("whole"))
+
+    def step(a: Column, h: Column) -> Column:
+        run = F.when(h, a["run"] + 1).otherwise(n(0))
+        return F.struct(run.alias("run"), F.greatest(a["longest"], run).alias("longest"), F.when(a["whole"] & h, a["lead"] + 1).otherwise(a["lead"]).alias("lead"), (a["whole"] & h).alias("whole"))
+
+    folded = years.select(*keys, "year", "valid", F.size(days).cast("long").alias("days"), F.aggregate(hits, start, step).alias("f"))
+    return folded.select(*keys, "year", "valid", "days", F.col("f.lead").alias("lead"), F.col("f.run").alias("trail"), F.col("f.longest").alias("longest"), F.col("f.whole").alias("whole"))
+
+
+def merge_spells(summaries: DataFrame, keys: Sequence[str], min_days: int = MIN_DAYS, calendar: bool = False) -> DataFrame:
+    """keys, longest, mean_longest, years of summaries of `spell_summaries`, whose years may have been made at different times, each once.
+
+    Years are merged in their order: a run goes on over a year's end if one year ends and the next one begins
+    with hits; with calendar=True only if no year between them is missing.
+    """
+    year = F.sort_array(F.collect_list(F.struct("year", "lead", "trail", "longest", "whole")))
+    n = lambda k: F.lit(k).cast("long")
+    start = F.struct(n(0).alias("run"), n(0).alias("longest"), F.lit(None).cast("int").alias("year"))
+
+    def step(a: Column, y: Column) -> Column:
+        before = F.when(a["year"] + 1 == y["year"], a["run"]).otherwise(n(0)) if calendar else a["run"]
+        run = F.when(y["whole"], before + y["lead"]).otherwise(y["trail"])
+        return F.struct(run.alias("run"), F.greatest(a["longest"], y["longest"], before + y["lead"]).alias("longest"), y["year"].alias("year"))
+
+    full = F.col("valid") >= min_days
+    merged = summaries.groupBy(*keys).agg(year.alias("all_years"), F.avg(F.when(full, F.col("longest").cast("double"))).alias("mean_longest"), F.count_if(full).alias("years"))
+    return merged.filter("years > 0").select(*keys, F.aggregate("all_years", start, step)["longest"].alias("longest"), "mean_longest", "years")
 
 
 def longest_spells(series: DataFrame, keys: Sequence[str], value: str, threshold: float, day: str = "day", min_days: int = MIN_DAYS, calendar: bool = False) -> DataFrame:
     """Longest run of days at or over a threshold: over everything, and the mean of each full year's longest.
 
     The mean takes years with min_days valid values, a year without a hit as 0, and runs are cut at
-    the year's end; the absolute one crosses years and takes all of them, but is null without a
-    full year. A null value breaks a run. One exchange by the series serves every step.
+    the year's end; the absolute one crosses years and takes all of them; a series without a full
+    year has no row. A null value breaks a run; a missing row does so with calendar=True alone.
     """
-    rows = series.select(*keys, day, value, F.year(day).alias("__year")).repartition(*keys)
-    per_year = _islands(rows, [*keys, "__year"], value, threshold, day, calendar).groupBy(*keys, "__year").agg(F.max("run").alias("longest"))
-    valid = rows.groupBy(*keys, "__year").agg(F.count(value).alias("valid")).filter(F.col("valid") >= min_days)
-    means = valid.join(per_year, [*keys, "__year"], "left").groupBy(*keys).agg(F.avg(F.coalesce("longest", F.lit(0)).cast("double")).alias("mean_longest"), F.count("*").alias("years"))
-    absolute = _islands(rows, keys, value, threshold, day, calendar).groupBy(*keys).agg(F.max("run").alias("longest"))
-    return means.join(absolute, list(keys), "left").select(*keys, F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), "mean_longest", "years")
+    return merge_spells(spell_summaries(series, keys, value, threshold, day, calendar), keys, min_days, calendar)

@@ -38,7 +38,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def positions(long: DataFrame, tables: Tables, group: str, value: str) -> DataFrame:
-    """A written table (group, value, ties, below, n) of a population's different values: rows with the value, rows of the group under it, rows of the group.
+    """A written table (__g, __v, __ties, __below, __n) of a population's different values: group, value, rows with the value, rows of the group under it, rows of the group.
 
     Null values take no part; a null group is one. Equal values are counted before anything is
     sorted. All groups together are then dealt by ranges of (group, value), once; a task adds
@@ -59,26 +59,27 @@ def positions(long: DataFrame, tables: Tables, group: str, value: str) -> DataFr
         F.col("part").alias("s_part"), F.col("g").alias("s_g"), F.coalesce(F.sum("held").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("held").over(own).alias("n")
     ))
     here = (F.col("part") == F.col("s_part")) & F.col("g").eqNullSafe(F.col("s_g"))
-    return tables.put(run.join(checked(starts), here).select("g", "v", "ties", (F.col("start") + F.col("before")).alias("below"), "n"))
+    return tables.put(run.join(checked(starts), here).select(
+        F.col("g").alias("__g"), F.col("v").alias("__v"), F.col("ties").alias("__ties"), (F.col("start") + F.col("before")).alias("__below"), F.col("n").alias("__n")
+    ))
 
 
 def with_positions(long: DataFrame, found: DataFrame, group: str, value: str) -> DataFrame:
-    """long with ties, below and n of `positions`, null where the value is null.
+    """long with __ties, __below and __n of `positions`, null where the value is null.
 
     One join: with all values if they are few; else values that very many rows share are joined
     as a small table first, so that they aren't dealt by their value.
     """
-    meets = lambda side: F.col(group).eqNullSafe(side["g"]) & (F.col(value) == side["v"])
+    meets = lambda side: F.col(group).eqNullSafe(side["__g"]) & (F.col(value) == side["__v"])
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return long.join(F.broadcast(found), meets(found), "left").drop("g", "v")
+        return long.join(F.broadcast(found), meets(found), "left").drop("__g", "__v")
     # Fewer than HOT values of each group.
-    hot = found.filter(F.col("ties") * HOT > F.col("n"))
-    names = long.columns
+    hot = found.filter(F.col("__ties") * HOT > F.col("__n"))
     split = long.join(F.broadcast(hot), meets(hot), "left")
-    done = split.filter(F.col("ties").isNotNull() | F.col(value).isNull()).drop("g", "v")
-    rest = split.filter(F.col("ties").isNull() & F.col(value).isNotNull()).select(*names)
-    cold = found.filter(F.col("ties") * HOT <= F.col("n"))
-    return done.unionByName(rest.join(cold, meets(cold), "left").drop("g", "v"))
+    done = split.filter(F.col("__ties").isNotNull() | F.col(value).isNull()).drop("__g", "__v")
+    rest = split.filter(F.col("__ties").isNull() & F.col(value).isNotNull()).select(*long.columns)
+    cold = found.filter(F.col("__ties") * HOT <= F.col("__n"))
+    return done.unionByName(rest.join(cold, meets(cold), "left").drop("__g", "__v"))
 
 
 def percent(below: Column, ties: Column, n: Column) -> Column:
@@ -93,7 +94,7 @@ def percentile_ranks(long: DataFrame, group: str = "indicator", value: str = "va
     by range for all groups (`positions`).
     """
     found = positions(long, Tables(long.sparkSession, "ranks"), group, value)
-    return with_positions(long, found, group, value).select(*long.columns, percent(F.col("below"), F.col("ties"), F.col("n")).alias("pct"))
+    return with_positions(long, found, group, value).select(*long.columns, percent(F.col("__below"), F.col("__ties"), F.col("__n")).alias("pct"))
 
 
 def rank_columns(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -125,8 +126,8 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], group: Sequence[st
     spark = df.sparkSession
     tables = Tables(spark, "quantiles")
     name = F.to_json(F.struct(*[F.col(c) for c in group]), {"ignoreNullFields": "false"}) if group else F.lit("")
-    rows = tables.put(df.select(name.alias("g"), *group, F.col(value).cast("double").alias("v")))
-    keyed = tables.put(rows.filter("v is not null").select("g", "v", order_bits(F.col("v")).alias("bits")))
+    rows = tables.put(df.select(name.alias("__g"), *group, F.col(value).cast("double").alias("__v")))
+    keyed = tables.put(rows.filter("__v is not null").select(F.col("__g").alias("g"), F.col("__v").alias("v"), order_bits(F.col("__v")).alias("bits")))
     sizes = keyed.groupBy("g").agg(F.count("*").alias("n"))
     ends = F.array(*[F.struct(F.lit(i).alias("i"), (p * (F.col("n") - 1)).alias("pos")) for i, p in enumerate(map(float, at))])
     wanted = tables.put(sizes.select("g", F.explode(ends).alias("e")).select("g", "e.i", "e.pos", F.explode(F.array_distinct(F.array(F.floor("e.pos"), F.ceil("e.pos")))).alias("rank")))
@@ -145,9 +146,9 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], group: Sequence[st
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
     share = F.max("pos") - F.floor(F.max("pos"))
     between = wanted.join(targets.select("g", "rank", "v"), ["g", "rank"]).groupBy("g", "i").agg(F.when(F.count("*") == 1, low).otherwise((1 - share) * low + share * high).alias("q"))
-    wide = between.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(at))])
-    groups = rows.groupBy("g", *group).agg(F.lit(1).alias("one")) if group else spark.range(1).select(F.lit("").alias("g"))
-    return groups.join(wide, "g", "left").select(*group, *[f"q{i}" for i in range(len(at))])
+    wide = between.groupBy(F.col("g").alias("__g")).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(at))])
+    groups = rows.groupBy("__g", *group).agg(F.lit(1).alias("__one")) if group else spark.range(1).select(F.lit("").alias("__g"))
+    return groups.join(wide, "__g", "left").select(*group, *[f"q{i}" for i in range(len(at))])
 
 
 def winsorise(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, into: str = "winsorised") -> DataFrame:

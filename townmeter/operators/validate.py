@@ -72,3 +72,10 @@ def release_gates(biases: DataFrame, dataset: DataFrame, indicators: list[str],
     one = biases.agg(F.percentile(F.abs(F.col("bias")), F.lit(0.5)).alias("value")).select(F.lit("median bias").alias("gate"), "value", F.lit(float(most_bias)).alias("most"))
     two = dataset.agg((F.count_if(missing) / F.count("*")).alias("value")).select(F.lit("missing indicators").alias("gate"), "value", F.lit(float(most_missing)).alias("most"))
     return one.unionByName(two).withColumn("passed", F.col("value") <= F.col("most"))
+
+
+def terrain_gates(matched: DataFrame, model: str, observed: str, most: float) -> DataFrame:
+    """(gate, band_order, stations, value, most, passed): per terrain class, by the station's height, the mean absolute error of the hot days a year; stations that miss a count take no part."""
+    error = F.abs(F.col(model).cast("double") - F.col(observed).cast("double"))
+    classes = matched.filter(error.isNotNull()).groupBy(elevation_band(F.col("alti")).alias("band"), elevation_order(F.col("alti")).alias("band_order")).agg(F.count("*").alias("stations"), F.avg(error).alias("value"))
+    return classes.select(F.concat(F.lit("hot days "), "band").alias("gate"), "band_order", "stations", "value", F.lit(float(most)).alias("most"), (F.col("value") <= most).alias("passed"))
