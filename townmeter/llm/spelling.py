@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations, groupby
 from operator import ne
@@ -90,26 +90,33 @@ def near_pairs(bucket: list[tuple[str, bool, int]], crossing: bool) -> Iterator[
     all words so far, such as those of the bucket's own grams, only lowers the bound. Pairs of
     two shorter words belong to another length. crossing: only pairs of different blocks.
     """
-    postings: dict[tuple[str, int], list[int]] = defaultdict(list)
+    postings: dict[tuple[str, int], list[int]] = {}
     held: list[int] = []
     for i in sorted(range(len(bucket)), key=lambda i: bucket[i][1]):
         word, longer, block = bucket[i]
-        own = [(g, p) for p, g in enumerate(grams(word))]
+        own = list(zip(grams(word), range(len(word))))
         if longer and held:
-            lists = [found for key in own if (found := postings[key])]
-            some = [found for found in lists if len(found) < len(held)]
-            bound = overlap_bound(len(word)) - (len(lists) - len(some))
-            if bound <= 0:
-                candidates = held
-            elif len(some) < bound:
-                candidates = []
-            else:
-                candidates = [held[k] for k, same in groupby(heapq.merge(*some)) if sum(1 for _ in same) >= bound]
-            for j in candidates:
-                if not (crossing and block == bucket[j][2]) and one_edit(word, bucket[j][0]):
-                    yield i, j
+            lists = [found for key in own if (found := postings.get(key))]
+            bound, n = overlap_bound(len(word)), len(held)
+            if len(lists) >= bound:
+                some = [found for found in lists if len(found) < n]
+                bound -= len(lists) - len(some)
+                if bound <= 0:
+                    candidates = held
+                elif bound == 1 and len(some) == 1:
+                    candidates = [held[k] for k in some[0]]
+                else:
+                    candidates = [held[k] for k, times in Counter(heapq.merge(*some)).items() if times >= bound]
+                for j in candidates:
+                    other, _, other_block = bucket[j]
+                    if not (crossing and block == other_block) and one_edit(word, other):
+                        yield i, j
+        at = len(held)
         for key in own if longer else {(g, p + s) for g, p in own for s in (0, 1)}:
-            postings[key].append(len(held))
+            if found := postings.get(key):
+                found.append(at)
+            else:
+                postings[key] = [at]
         held.append(i)
 
 
@@ -143,7 +150,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for (_, x, y), rows in groupby(_rows(batches), key=lambda r: r[:3]):
         members = [(word, longer, block, n) for _, _, _, longer, block, word, n in rows]
-        if len(members) > 1:
+        if len(members) > 1 and any(m[1] for m in members):
             for i, j in near_pairs([m[:3] for m in members], x != y):
                 for a, b in ((members[i], members[j]), (members[j], members[i])):
                     for column, value in zip(out, (a[0], b[0], b[3])):
