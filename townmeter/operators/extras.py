@@ -14,6 +14,10 @@ from townmeter.operators.normalise import positions, with_positions
 from townmeter.sources.scratch import Tables
 
 
+#: Cells of the grid in which points are compared.
+CELLS = 1024
+
+
 def _draws(years: Sequence, replicates: int) -> np.ndarray:
     """How often each replicate (row) draws each year (column): as many draws as there are years, by a hash of replicate and slot."""
     times = np.zeros((replicates, len(years)))
@@ -85,27 +89,68 @@ def _skyline(points: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _beaten(cells: np.ndarray) -> np.ndarray:
+    """Mask of the cells that another one lies under in every column: each of its points is beaten by any point there."""
+    return np.array([(cells < c).all(1).any() for c in cells])
+
+
+def _rivals(cells: np.ndarray, codes: Sequence[int]) -> list[tuple[int, int]]:
+    """(a, b) of different cells where a lies nowhere over b, so that points of a may beat points of b."""
+    return [(codes[i], codes[j]) for j, c in enumerate(cells) for i in np.flatnonzero((cells <= c).all(1)) if i != j]
+
+
 def pareto_front(places: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, columns) of the places that none beats: smaller is better; rows with a null take no part.
 
     Different points are compared, so that places tied at a good one are one row, and joined with
-    their places in the end. Each task reduces its own points first; the survivors are compared
-    in few tasks, then in one, whose input is the fronts of the others. Fronts are small unless
-    columns are many.
+    their places in the end. The indicators' extent is a grid of CELLS cells at most. A cell that
+    another lies under in every column goes before any of its points is compared. In each other
+    cell, tasks reduce their own points first, then what is left of the cell. Last, each pair of
+    cells of which one may beat points of the other is a group, so that no task meets more than two
+    cells' fronts; points that some pair beats go.
     """
-    whole = places.dropna(subset=list(columns)).select(key, *[F.col(c).cast("double").alias(c) for c in columns])
-    rows = whole.select(*columns).distinct()
+    names, n = list(columns), len(columns)
+    tables = Tables(places.sparkSession, "pareto")
+    spark = places.sparkSession
+    whole = tables.put(places.dropna(subset=names).select(key, *[F.col(c).cast("double").alias(c) for c in names]))
+    ends = whole.agg(*[f(c).alias(f"{w}{i}") for i, c in enumerate(names) for w, f in (("low", F.min), ("high", F.max))]).first()
+    if ends.low0 is None:
+        return whole
+    side = max(2, int(CELLS ** (1 / n) + 1e-9))
+    at = lambda c, low, high: F.least(F.floor((F.col(c) - low) / (high - low) * side), F.lit(side - 1)) if high > low else F.lit(0)
+    code = sum((at(c, ends[f"low{i}"], ends[f"high{i}"]).cast("long") * side**i for i, c in enumerate(names)), F.lit(0).cast("long"))
+    points = tables.put(whole.select(*names).distinct().withColumn("__cell", code))
+    codes = sorted(r[0] for r in points.select("__cell").distinct().collect())  # at most CELLS
+    cells = np.array([[c // side**i % side for i in range(n)] for c in codes])
+    alive = ~_beaten(cells)
+    cells, codes = cells[alive], [c for c, ok in zip(codes, alive) if ok]
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: dict[int, pd.DataFrame] = {}
         for f in frames:
-            both = f if held is None else pd.concat([held, f], ignore_index=True)
-            held = both[_skyline(both[list(columns)].to_numpy())]
-        if held is not None:
-            yield held
-
-    local = rows.mapInPandas(reduce, rows.schema).repartition(8).mapInPandas(reduce, rows.schema)
-    return whole.join(local.coalesce(1).mapInPandas(reduce, rows.schema), list(columns), "left_semi")
+            for cell, own in f.groupby("__cell"):
+                both = pd.concat([held[cell], own], ignore_index=True) if cell in held else own
+                held[cell] = both[_skyline(both[names].to_numpy())]
+        yield from held.values()
+
+    left = points.join(F.broadcast(spark.createDataFrame([(c,) for c in codes], "__cell long")), "__cell")
+    local = left.mapInPandas(reduce, left.schema)
+    fronts = tables.put(local.groupBy("__cell").applyInPandas(lambda f: f[_skyline(f[names].to_numpy())], left.schema))
+    pairs = _rivals(cells, codes)
+    if not pairs:
+        return whole.join(fronts.drop("__cell"), names, "left_semi").select(key, *names)
+    rivals = F.broadcast(spark.createDataFrame(pairs, "__a long, __b long"))  # at most the square of CELLS
+
+    def beaten(f: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = f[f["__ours"]][names], f[~f["__ours"]][names].to_numpy()
+        gone = [bool(((theirs <= p).all(1) & (theirs < p).any(1)).any()) for p in ours.to_numpy()]
+        return ours[gone]
+
+    sides = fronts.join(rivals, F.col("__cell") == F.col("__b")).withColumn("__ours", F.lit(True)).unionByName(fronts.join(rivals, F.col("__cell") == F.col("__a")).withColumn("__ours", F.lit(False)))
+    schema = ", ".join(f"`{c}` double" for c in names)
+    dropped = sides.groupBy("__a", "__b").applyInPandas(beaten, schema).distinct()
+    front = fronts.drop("__cell").join(dropped, names, "left_anti")
+    return whole.join(front, names, "left_semi").select(key, *names)
 
 
 def correlations(places: DataFrame, columns: Sequence[str]) -> DataFrame:
