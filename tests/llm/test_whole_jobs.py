@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from townmeter.llm import licenses, neighbours, spans
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -238,3 +240,22 @@ def test_other_licenses_and_tags_are_met(spark):
 def test_every_known_sentence_has_a_trigger():
     assert all(set(s.split()) & set(licenses.TRIGGERS) for s in licenses.SENTENCES.values())
     assert {i for _, _, seq in licenses.RULES for i in seq} == set(licenses.SENTENCES)
+
+
+def test_each_vector_is_sent_once_however_many_queries_there_are(spark):
+    index = spark.range(300).select((F.col("id") % 6).cast("int").alias("group"), F.col("id").alias("rep"), F.array(F.lit(1.0)).alias("v"), F.col("id").cast("int").alias("list"))
+    probe = lambda g: F.struct(F.lit(g).alias("group"), F.array(F.lit(g)).alias("lists"))
+    probes = spark.range(50_000).select(F.col("id").alias("query"), F.lit(1.0).alias("bound"), F.array(F.lit(1.0)).alias("q"), F.array(probe(1), probe(4)).alias("probes"))
+    sent = {r.asks: (r.n, r.groups) for r in neighbours.dealt(index, probes).groupBy("asks").agg(F.count("*").alias("n"), F.collect_set("group").alias("groups")).collect()}
+    assert (sent[0][0], sorted(sent[0][1])) == (100, [1, 4]) and sent[1][0] == 100_000
+
+
+def test_equal_scores_go_to_the_smaller_key(spark):
+    rows = [(i, [float(i % 3), 1.0, 0.0]) for i in range(1, 90)] + [(200 + i, [float(i % 3), 1.0, float(i)]) for i in range(30)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=25).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, v in rows:
+        if q % 20 == 0:
+            far = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:25]
+            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(far)]

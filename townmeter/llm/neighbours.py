@@ -21,7 +21,7 @@ PROBED, LEAST_PROBED = 0.75, 12
 BLOCK = 16
 #: The test's slack: larger abandons fewer vectors that belong to the result.
 SLACK = 2.1
-#: Vectors of lists, or of a part of a large list, and queries, that one task compares at most; a table is cut into GROUPS groups or more, of LEAST_ROWS vectors at least.
+#: Vectors of lists, or of a part of a large list, that a group has at most, and queries that a task takes in at a time; a table is cut into GROUPS groups or more, of LEAST_ROWS vectors at least.
 ROWS, QUERIES = 8_192, 2_048
 GROUPS, LEAST_ROWS = 64, 512
 
@@ -104,6 +104,14 @@ def _packed(sizes: np.ndarray, rows: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def dealt(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """(group, asks, id, v, list, bound, lists): each vector of the groups that are probed once, asks 0, and each query once for each group that it probes, asks 1."""
+    asked = probes.select(F.explode("probes").alias("p"), "query", "q", "bound").select(F.col("p.group").alias("group"), F.lit(1).alias("asks"), F.col("query").alias("id"), F.col("q").alias("v"), F.lit(None).cast("int").alias("list"), "bound", "p.lists")
+    needed = F.broadcast(asked.select("group").distinct())  # as many as there are groups
+    own = index.join(needed, "group", "left_semi").select("group", F.lit(0).alias("asks"), F.col("rep").alias("id"), "v", "list", F.lit(None).cast("double").alias("bound"), F.lit(None).cast("array<int>").alias("lists"))
+    return own.unionByName(asked)
+
+
 def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", column: str = "embedding", probed: float = PROBED) -> DataFrame:
     """The k nearest rows to each row whose key is divisible by `every`: query_id, rank, key, score.
 
@@ -121,8 +129,8 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
     the list's radius, are passed over. All candidates come from these scans. First bounds are
     taken from those of the sample that lie in the probed lists; queries that are left with too
     few candidates, as the test abandoned some, scan every list without a bound. A query is sent
-    once to each group that it needs; group and query block meet in one task, so that no list is
-    too large.
+    once to each group that it needs. A task holds the vectors of a group, of which each is sent
+    once, and scans queries against them as they come, however many there are.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -208,31 +216,46 @@ def search(vectors: DataFrame, every: int, k: int = 20, key: str = "vec_id", col
     kind = "query long, bound double, q array<double>, probes array<struct<group:int,lists:array<int>>>"
     probes = scratch.put(queries.mapInArrow(probing, kind))
 
-    def scanned(x: pa.Table, y: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if len(x) and len(y):
-            turn = shared.value[3]
-            x = x.sort_by("list")
-            base, q = _matrix(x["v"].combine_chunks(), width), _matrix(y["q"].combine_chunks(), width)
-            reps, ids, home = np.asarray(x["rep"]), np.asarray(y["query"]), np.asarray(x["list"])
-            turned = _augmented(base, largest) @ turn
-            blocks = [np.ascontiguousarray(turned[:, a : a + BLOCK]) for a in range(0, width + 1, BLOCK)]
-            asks = np.hstack([q, np.zeros((len(q), 1))]) @ turn
-            for i, (bound, own) in enumerate(zip(np.asarray(y["bound"]), y["lists"].to_pylist(), strict=True)):
-                ends = np.searchsorted(home, own, "left"), np.searchsorted(home, own, "right")
-                at = np.concatenate([np.arange(a, b) for a, b in zip(*ends, strict=True)])
-                found, score = _best(base, reps, q[i], scan(blocks, asks[i], at, bound, k), k)
-                out[0].extend([ids[i]] * len(found))
-                out[1].extend(found)
-                out[2].extend(score)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query", "rep", "score"])
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each group's vectors come first and stay; its queries are scanned against them as they come."""
+        turn, held, parts, ready = shared.value[3], None, [], None
+        for batch in batches:
+            group, asks = np.asarray(batch["group"]), np.asarray(batch["asks"])
+            cuts = [0, *(np.flatnonzero(np.diff(group.astype(np.int64) * 2 + asks)) + 1).tolist(), len(group)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if group[a] != held:
+                    held, parts, ready = group[a], [], None
+                piece = batch.slice(a, b - a)
+                if not asks[a]:
+                    parts.append(piece)
+                    continue
+                if not parts:
+                    continue
+                if ready is None:
+                    x = pa.Table.from_batches(parts).sort_by("list")
+                    base = _matrix(x["v"].combine_chunks(), width)
+                    turned = _augmented(base, largest) @ turn
+                    ready = base, np.asarray(x["id"]), np.asarray(x["list"]), [np.ascontiguousarray(turned[:, c : c + BLOCK]) for c in range(0, width + 1, BLOCK)]
+                base, reps, home, blocks = ready
+                for first in range(0, len(piece), QUERIES):
+                    some = piece.slice(first, QUERIES)
+                    out: tuple[list, list, list] = ([], [], [])
+                    ids, q = np.asarray(some["id"]), _matrix(some["v"], width)
+                    turned_q = np.hstack([q, np.zeros((len(q), 1))]) @ turn
+                    for i, (bound, own) in enumerate(zip(np.asarray(some["bound"]), some["lists"].to_pylist(), strict=True)):
+                        ends = np.searchsorted(home, own, "left"), np.searchsorted(home, own, "right")
+                        at = np.concatenate([np.arange(c, d) for c, d in zip(*ends, strict=True)])
+                        found, score = _best(base, reps, q[i], scan(blocks, turned_q[i], at, bound, k), k)
+                        out[0].extend([ids[i]] * len(found))
+                        out[1].extend(found)
+                        out[2].extend(score)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query", "rep", "score"])
 
     def candidates(probes: DataFrame) -> DataFrame:
-        n_blocks = max(1, -(-probes.count() // QUERIES))
-        block = F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int").alias("block")
-        left = index.select("group", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "rep", "list", "v")
-        right = probes.select(block, "query", "bound", "q", F.explode("probes").alias("p")).select("p.group", "block", "query", "bound", "q", "p.lists")
-        return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(scanned, "query long, rep long, score double")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return dealt(index, probes).repartition(tasks, "group").sortWithinPartitions("group", "asks").mapInArrow(scanned, "query long, rep long, score double")
 
     near = scratch.put(candidates(probes))
     enough = near.groupBy("query").count().filter(F.col("count") >= min(k + 1, n)).select("query")
