@@ -95,9 +95,8 @@ def climate_analogs(projected: DataFrame, present: DataFrame, key: str, columns:
         met = met.unionByName(more)
     best = met.groupBy("q").agg(F.min("bound").alias("last"))
     met = met.join(best, "q").filter(F.col("near") <= F.col("last") + SLACK).drop("near", "bound", "last")
-    leaf_boxes = boxes.filter(F.col("held") <= LEAF).select("level", "cell") if DEPTH else boxes
-    deepest = boxes.filter((F.col("level") == DEPTH) & (F.col("held") > LEAF)).select("level", "cell")
-    there = placed.select("level", "cell", F.col("at").alias("there"), "first", "second").join(leaf_boxes.unionByName(deepest), ["level", "cell"], "left_semi")
+    undivided = boxes.filter((F.col("held") <= LEAF) | (F.col("level") == DEPTH)).select("level", "cell")
+    there = placed.select("level", "cell", F.col("at").alias("there"), "first", "second").join(undivided, ["level", "cell"], "left_semi")
     analog = F.when(F.col("first") != F.col("key"), F.col("first")).otherwise(F.col("second"))
     found = met.join(there, ["level", "cell"]).select("q", "key", analog.alias("analog"), F.round(F.sqrt(_square(F.col("at"), F.col("there"))), DECIMALS).alias("distance")).filter("analog is not null")
     return found.groupBy("q").agg(F.first("key").alias("key"), F.min(F.struct("distance", "analog")).alias("best")).select(F.col("key").alias(key), "best.analog", "best.distance")
