@@ -567,6 +567,43 @@ def test_chains_and_blocks_of_near_copies(spark, monkeypatch):
     assert got == want and 1 < len({c for _, c in want.values()}) < 120
 
 
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_rarest_shingles_lose_no_link(spark, percent):
+    """Sets of all sizes around common cores: similar sets of different parts keep a shingle in common."""
+    rng = random.Random(percent)
+    sets = {}
+    for i in range(150):
+        core = 1000 * rng.randint(0, 2)
+        n = rng.choice([1, 4, 9, 20, 40])
+        kept = rng.sample(range(core, core + n), max(1, n - rng.randint(0, n // 4)))
+        sets[i] = set(kept) | {rng.randint(5000, 5040) for _ in range(rng.randint(0, n // 5))}
+    part = {i: rng.choice([i, 0, 1]) for i in sets}
+    left = spark.createDataFrame([(0, i, len(x), part[i]) for i, x in sets.items()], "bucket long, rep long, n long, part long")
+    rows = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, shingles array<long>")
+    met = {}
+    for r in near_duplicates._met_in_prefix(left, rows, Scratch(spark), percent).collect():
+        assert r.bucket in sets[r.rep] and (r.n, r.part) == (len(sets[r.rep]), part[r.rep])
+        met.setdefault(r.rep, set()).add(r.bucket)
+    linked = 0
+    for a, b in ((a, b) for a in sets for b in sets if a < b and part[a] != part[b]):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            linked += 1
+            assert met[a] & met[b]
+    assert linked > 20
+
+
+def test_a_cluster_below_the_bound_is_not_compared(spark, monkeypatch):
+    """Documents that share 100 of 118 words, similarity 0.73, meet in many buckets and in no comparison."""
+    rng = random.Random(73)
+    base = rng.choices(WORDS, k=100)
+    texts = [" ".join([*base, *(f"own{i}x{j}" for j in range(18))]) for i in range(300)]
+    sent = []
+    monkeypatch.setattr(near_duplicates, "_compared", lambda live, *rest, plain=near_duplicates._compared: sent.append(live.count()) or plain(live, *rest))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sent == [0] and all(r.kept for r in got)
+
+
 def test_texts_of_one_key_are_one_document(spark):
     a, b = prose(60).split(" "), prose(60).split(" ")
     near = lambda w: " ".join([*w[:-1], "end"])

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from townmeter.llm.common import Scratch, checked, small_batches, words
@@ -154,8 +154,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     2. Classes that share a band key meet in a bucket. Each member is verified against the
        bucket's first one: as many pairs as members, however large the bucket.
     3. Buckets whose members are then one component are done. Of the others, documents whose own
-       shingles, which no other of them has, exclude a link are done too. Those left are
-       clustered through their buckets and compared within clusters, block by block, on full
+       shingles, which no other of them has, exclude a link are done too. Those left must share a
+       shingle of their rarest ones with another component (`_met_in_prefix`); those that do are
+       clustered through these shingles and compared within clusters, block by block, on full
        sets, but for the members of a cluster's largest component among themselves; only links
        leave a task.
     """
@@ -186,10 +187,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # Of n shingles, those of the document alone are in no other's set: with too many, it is linked with none.
     near = still.join(alone, F.col("rep") == F.col("owner"), "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
     near = scratch.put(near.select("bucket", "rep", "n", "part"))
-    live = scratch.put(_open(near, scratch))
+    left = scratch.put(_open(near, scratch))
+    live = _met_in_prefix(left, sets, scratch, percent)
     more = scratch.put(_compared(live, sets, scratch, percent))
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
-    for used in (first, met, tried, sets, links, placed, still, near, live, more):  # what the result still reads stays
+    for used in (first, met, tried, sets, links, placed, still, near, left, live, more):  # what the result still reads stays
         scratch.drop(used)
     return (
         signed.select("id", "n", "digest").join(classes.select(F.col("digest").alias("of"), "rep"), F.col("digest") == F.col("of"), "left")
@@ -212,6 +214,33 @@ def _open(placed: DataFrame, scratch: Scratch) -> DataFrame:
     return placed.join(checked(scratch.put(several)), "bucket", "left_semi")
 
 
+def _met_in_prefix(left: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(bucket, rep, n, part) of the documents that share one of their rarest shingles with another part; the bucket is that shingle.
+
+    A set of n shingles that is similar enough to one of at least its size shares at least
+    2 * percent * n / (100 + percent) of them, and percent * n / 100 with any set. In an order of all
+    shingles, here the rarest first, the smaller set's first ones beyond that number and the
+    larger set's first ones beyond its own have a shingle in common, so no link is lost. What
+    all documents share is not among the few first ones, unless they are linked by it. A
+    shingle's parts are summed up as their least and largest, so its documents don't meet in pairs.
+    """
+    texts = sets.join(left.groupBy("rep").agg(F.min("part").alias("part")), F.col("id") == F.col("rep")).select("rep", "part", "shingles")
+    # A key may have several texts, each a set of its own.
+    each = texts.select("rep", "part", F.xxhash64("shingles").alias("of"), F.size("shingles").alias("n"), F.explode("shingles").alias("bucket")).distinct()
+    each = scratch.put(each)
+    often = scratch.put(each.groupBy("bucket").agg(F.count("*").alias("often"), F.min("part").alias("p"), F.max("part").alias("q")))
+    at = F.row_number().over(Window.partitionBy("rep", "of").orderBy("often", "bucket")) - 1
+    first = each.join(often, "bucket").withColumn("at", at).filter(100 * F.col("at") <= (100 - percent) * F.col("n")).filter("p < q")
+    first = scratch.put(first.select("bucket", "rep", "part", "n", ((100 + percent) * F.col("at") <= (100 - percent) * F.col("n")).alias("short")))
+    short = F.when(F.col("short"), F.col("part"))
+    parts = first.groupBy("bucket").agg(F.min(short).alias("p"), F.max(short).alias("q"), F.min("part").alias("any_p"), F.max("part").alias("any_q")).filter("p is not null and any_p < any_q")
+    other = ((F.col("p") != F.col("part")) | (F.col("q") != F.col("part"))) | (F.col("short") & ((F.col("any_p") != F.col("part")) | (F.col("any_q") != F.col("part"))))
+    live = scratch.put(first.join(checked(scratch.put(parts)), "bucket").filter(other).select("bucket", "rep", F.col("n").cast("long").alias("n"), "part"))
+    for used in (each, often, first):
+        scratch.drop(used)
+    return live
+
+
 def _block_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Links between documents of different parts, from counts of shared shingles."""
