@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ from townmeter.llm.common import small_batches
 #: Kinds in the order of reports; the first four are the base, the others are added by the scores below.
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
 #: Score of a proposed span, what a passed checksum or a context word nearby adds, and the score it needs. A failed checksum vetoes.
-PRIOR = {"iban": 0.3, "ssn": 0.3, "dni": 0.2, "insee": 0.3, "steuer": 0.0, "secret": 0.4}
+PRIOR = {"iban": 0.3, "small_iban": 0.0, "ssn": 0.3, "dni": 0.2, "insee": 0.3, "steuer": 0.0, "secret": 0.4, "assigned": 0.4, "prefixed": 0.6, "jwt": 0.3}
 CHECKED, NEARBY, NEEDED = 0.5, 0.3, 0.6
 #: Code points before and after a span in which context words count.
 REACH = 40
@@ -24,8 +26,13 @@ REACH = 40
 CONTEXT = {
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "national_id": ("ssn", "social security", "national id", "tax id", "passport", "steuer", "sozialversicherung", "insee", "sécurité sociale", "dni", "nif", "nie"),
-    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access key"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access key", "access_key", "accesskey", "secretkey", "accesstoken", "authtoken"),
 }
+# What secrets of well-known services begin with, and the shape of what follows.
+PREFIXES = (
+    "(?:AKIA|ASIA)[A-Z2-7]{16}", "gh[opsru]_[A-Za-z0-9]{36,}+", "github_pat_[A-Za-z0-9_]{22,}+", "glpat-[A-Za-z0-9_-]{20,}+", "AIza[A-Za-z0-9_-]{35}",
+    "[prs]k_(?:live|test)_[A-Za-z0-9]{16,}+", "xox[abprs]-[A-Za-z0-9-]{10,}+", "npm_[A-Za-z0-9]{36}", "pypi-[A-Za-z0-9_-]{50,}+",
+)
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
     "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
@@ -47,7 +54,13 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 _DNI = re.compile(r"(?<![A-Za-z0-9])[XYZ0-9][0-9]{7}-?[A-Z](?![A-Za-z0-9])")
 _INSEE = re.compile(r"(?<![A-Za-z0-9])[12] ?[0-9]{2} ?[0-9]{2} ?(?:[0-9]{2}|2[AB]) ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![A-Za-z0-9])")
 _STEUER = re.compile(r"(?<![A-Za-z0-9])[1-9][0-9](?: ?[0-9]{3}){3}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")
+_SMALL_IBAN = re.compile(r"(?<![A-Za-z0-9])([a-z]{2})[0-9]{2}(?: ?[a-z0-9]){11,28}")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+")
+_PREFIXED = re.compile(rf"(?<![A-Za-z0-9_-])(?:{'|'.join(PREFIXES)})(?![A-Za-z0-9_-])")
+_ASSIGNED = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9_!@#$%^&*+=~/-]{8,}+)(?![.(\[])")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
+#: Context words stand alone, in any case, in the singular or with an s; an underscore parts words.
+_AROUND = {k: re.compile(rf"(?i)(?<![^\W_])(?:{'|'.join(map(re.escape, words))})s?(?![^\W_])") for k, words in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -86,6 +99,15 @@ def steuer(number: str) -> bool:
     return (11 - product) % 10 == last
 
 
+def jwt(token: str) -> bool:
+    """Whether the first part of a web token is a JSON object that names an algorithm."""
+    head = token.split(".")[0]
+    try:
+        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, TypeError, RecursionError):
+        return False
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -118,42 +140,63 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _near(text: str, start: int, end: int, kind: str) -> bool:
-    around = text[max(0, start - REACH) : start].lower() + "\n" + text[end : end + REACH].lower()
-    return any(w in around for w in CONTEXT[kind])
+    """Whether a context word lies whole within REACH code points before or after the span."""
+    if _AROUND[kind].search(text, max(0, start - REACH), start):
+        return True
+    after = _AROUND[kind].search(text, end, end + REACH + 1)
+    return after is not None and after.end() <= end + REACH
 
 
-def _account(text: str) -> Iterator[tuple[int, int]]:
+def _account(written: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
     """Account numbers as long as their country's; the match may have gone further."""
-    for m in _IBAN.finditer(text):
-        left, end = IBAN_LENGTHS.get(m[1], 0), m.start()
+    for m in written.finditer(text):
+        country = m[1].upper()
+        left, end = IBAN_LENGTHS.get(country, 0), m.start()
         while left and end < m.end():
             left -= text[end] != " "
             end += 1
-        if left == 0 and m[1] in IBAN_LENGTHS and not (text[end : end + 1].isalnum()):
+        if left == 0 and country in IBAN_LENGTHS and not (text[end : end + 1].isalnum()):
             yield m.start(), end
 
 
+def _mixed(found: str) -> bool:
+    return bool(re.search("[0-9]", found) and re.search("[A-Za-z]", found))
+
+
 #: (kind, prior, what proposes spans, what confirms them).
 PROPOSED = (
-    ("iban", "iban", _account, lambda s: mod97(s.replace(" ", ""))),
+    ("iban", "iban", lambda t: _account(_IBAN, t), lambda s: mod97(s.replace(" ", ""))),
+    ("iban", "small_iban", lambda t: _account(_SMALL_IBAN, t), lambda s: mod97(s.replace(" ", ""))),
     ("national_id", "ssn", lambda t: (m.span() for m in _SSN.finditer(t)), None),
     ("national_id", "dni", lambda t: (m.span() for m in _DNI.finditer(t)), dni),
     ("national_id", "insee", lambda t: (m.span() for m in _INSEE.finditer(t)), insee),
     ("national_id", "steuer", lambda t: (m.span() for m in _STEUER.finditer(t)), steuer),
-    ("secret", "secret", lambda t: (m.span() for m in _SECRET.finditer(t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])), None),
+    ("secret", "secret", lambda t: (m.span() for m in _SECRET.finditer(t) if _mixed(m[0])), None),
+    ("secret", "assigned", lambda t: (m.span(1) for m in _ASSIGNED.finditer(t) if _mixed(m[1])), None),
+    ("secret", "prefixed", lambda t: (m.span() for m in _PREFIXED.finditer(t)), None),
+    ("secret", "jwt", lambda t: (m.span() for m in _JWT.finditer(t)), jwt),
 )
 
 
 def added_spans(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the other kinds whose score reaches NEEDED: the prior, plus the checksum's and the context's share; a checksum that fails rules a span out."""
-    out = []
+    """Spans of the other kinds whose score reaches NEEDED: the prior, plus the checksum's and the context's share; a checksum that fails rules a span out.
+
+    Overlapping spans of one kind become one. All but some prefixed secrets hold a digit.
+    """
+    found = set()
     for kind, prior, propose, check in PROPOSED:
         for a, b in propose(text):
             if check and not check(text[a:b]):
                 continue
             if PRIOR[prior] + CHECKED * bool(check) + NEARBY * _near(text, a, b, kind) >= NEEDED - 1e-9:
-                out.append((kind, a, b))
-    return sorted(set(out), key=lambda x: (KINDS.index(x[0]), x[1:]))
+                found.add((KINDS.index(kind), a, b))
+    out: list[tuple[str, int, int]] = []
+    for k, a, b in sorted(found):
+        if out and out[-1][0] == KINDS[k] and a < out[-1][2]:
+            out[-1] = (KINDS[k], out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((KINDS[k], a, b))
+    return out
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
