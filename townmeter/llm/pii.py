@@ -181,7 +181,7 @@ PROPOSED = (
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the other kinds whose score reaches NEEDED: the prior, plus the checksum's and the context's share; a checksum that fails rules a span out.
 
-    Overlapping spans of one kind become one. All but some prefixed secrets hold a digit.
+    Overlapping spans of one kind become one. All but some prefixed secrets and web tokens hold a digit.
     """
     found = set()
     for kind, prior, propose, check in PROPOSED:
