@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townmeter.functions.geo import EARTH_KM, haversine_km, in_bbox
+from townmeter.sources.scratch import Tables
 
 #: Half a great circle on this Earth, per degree.
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
+#: Points that a point's cell holds on average, itself included, where a search for the nearest begins, and halvings of its radius at most.
+HELD, HALVINGS = 3, 14
 
 
 def cell_size(km: float, max_lat: float) -> tuple[float, float]:
@@ -23,40 +27,75 @@ def cell_size(km: float, max_lat: float) -> tuple[float, float]:
     return 1.001 * km / KM_PER_DEGREE, 1.001 * math.degrees(math.asin(reach))
 
 
-def _cell(lat: Column, lon: Column, size: tuple[float, float]) -> list[Column]:
-    return [F.floor(lat / F.lit(size[0])).alias("cell_y"), F.floor(lon / F.lit(size[1])).alias("cell_x")]
+def _cells(lat: Column, lon: Column, size: tuple[float, float], height: Column | None = None, metres: float = 0.0) -> dict[str, Column]:
+    cells = {"y": F.floor(lat / F.lit(size[0])), "x": F.floor(lon / F.lit(size[1]))}
+    return cells if height is None else cells | {"z": F.floor(height / F.lit(float(metres or 1)))}
 
 
-def pairs_within(left: DataFrame, right: DataFrame, km: float | Column, most_km: float, max_lat: float, left_at: tuple[str, str] = ("lat", "lon"), right_at: tuple[str, str] = ("lat", "lon"), into: str = "km") -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, km: float | Column, most_km: float, max_lat: float, left_at: tuple[str, str] = ("lat", "lon"), right_at: tuple[str, str] = ("lat", "lon"), into: str = "km", band: tuple[str, str, float] | None = None) -> DataFrame:
     """All pairs whose distance is at most km, inclusive, with the distance; columns of both sides must differ in name.
 
     km may depend on the left row and is at most most_km. A left row is put into its cell and the
     8 around it, a right row into its own, so a pair meets in one cell exactly; the distance
-    decides. Points near the date line don't meet across it. Null coordinates join nothing. A left
-    row beyond max_lat, where cells would be too narrow, is an error.
+    decides. band names a column of each side that may differ by so much at most; cells are then
+    as high as that, and a left row is in 27. Points near the date line don't meet across it. Null
+    coordinates join nothing. A left row beyond max_lat, where cells would be too narrow, is an
+    error. Pairs are made in spark.sql.shuffle.partitions tasks, however few bytes the sides have.
     """
-    size = cell_size(most_km, max_lat)
+    size, tasks = cell_size(most_km, max_lat), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (la, lo), (ra, ro) = left_at, right_at
-    around = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
+    lh, rh, metres = band or (None, None, 0.0)
+    step = (-1, 0, 1)
+    around = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(z).alias("z")) for y in step for x in step for z in (step if band else (0,))])
     north = F.when(F.abs(F.col(la)) > max_lat, F.raise_error(F.lit(f"a latitude beyond {max_lat} degrees"))).otherwise(F.col(la))
-    y, x = _cell(north, F.col(lo), size)
-    a = left.withColumn("__d", F.explode(around)).withColumn("__cell_y", y + F.col("__d.y")).withColumn("__cell_x", x + F.col("__d.x")).drop("__d")
-    y, x = _cell(F.col(ra), F.col(ro), size)
-    b = right.withColumn("__right_y", y).withColumn("__right_x", x)
-    joined = a.join(b, (F.col("__cell_y") == F.col("__right_y")) & (F.col("__cell_x") == F.col("__right_x")))
+    mine = _cells(north, F.col(lo), size, F.col(lh) if band else None, metres)
+    a = left.withColumn("__d", F.explode(around)).withColumns({f"__cell_{c}": v + F.col(f"__d.{c}") for c, v in mine.items()}).drop("__d").repartition(tasks, *[f"__cell_{c}" for c in mine])
+    b = right.withColumns({f"__right_{c}": v for c, v in _cells(F.col(ra), F.col(ro), size, F.col(rh) if band else None, metres).items()})
+    joined = a.join(b, [F.col(f"__cell_{c}") == F.col(f"__right_{c}") for c in mine])
     reach = km if isinstance(km, Column) else F.lit(float(km))
     box = in_bbox(F.col(ra), F.col(ro), F.col(la), F.col(lo), reach, pad=0.01)
-    return joined.filter(box).withColumn(into, haversine_km(F.col(la), F.col(lo), F.col(ra), F.col(ro))).filter(F.col(into) <= reach).drop("__cell_y", "__cell_x", "__right_y", "__right_x")
-
-
-def nearest_within(left: DataFrame, right: DataFrame, left_key: str, right_key: str, km: float, max_lat: float, condition: Column | None = None, **names) -> DataFrame:
-    """Each left row's nearest right row within km that meets the condition, ties to the smaller right key; left rows without one are left out."""
-    into = names.get("into", "km")
-    pairs = pairs_within(left, right, km, km, max_lat, **names)
-    if condition is not None:
-        pairs = pairs.filter(condition)
-    rest = [c for c in pairs.columns if c not in (left_key, into, right_key)]
-    best = pairs.groupBy(left_key).agg(F.min(F.struct(into, right_key, *rest)).alias("best"))
+    if band:
+        box = box & (F.abs(F.col(rh) - F.col(lh)) <= metres)
+    found = joined.filter(box).withColumn(into, haversine_km(F.col(la), F.col(lo), F.col(ra), F.col(ro))).filter(F.col(into) <= reach)
+    return found.drop(*[f"__{side}_{c}" for side in ("cell", "right") for c in mine])
+
+
+def _halvings(points: DataFrame, at: list[str], km: float, max_lat: float, metres: float) -> int:
+    """How often km is halved until a point of points shares its cell with few others on average."""
+    for level in range(HALVINGS):
+        cells = _cells(F.col(at[0]), F.col(at[1]), cell_size(km / 2**level, max_lat), F.col(at[2]) if at[2:] else None, metres)
+        held = points.groupBy(*cells.values()).agg(F.count("*").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("held")).first().held
+        if (held or 0) <= HELD:
+            return level
+    return HALVINGS
+
+
+def nearest_within(left: DataFrame, right: DataFrame, left_key: str, right_key: str, km: float, max_lat: float, band: tuple[str, str, float] | None = None, left_at: tuple[str, str] = ("lat", "lon"), right_at: tuple[str, str] = ("lat", "lon"), into: str = "km") -> DataFrame:
+    """Each left key's nearest right row within km, and within the band of `pairs_within`, ties to the smaller right key; left rows without one are left out.
+
+    Right rows of one point (and height) are one point with the smallest key, left rows of one
+    point are searched for once. The search begins with a radius at which points have few
+    neighbours and doubles it for rows that found none, up to km: what is found within a radius is
+    the nearest. So a row meets a few points in a round, however dense these lie. The rounds run
+    when this is called.
+    """
+    tables = Tables(left.sparkSession, "nearest")
+    mine, theirs = [*left_at, *(band or ())[:1]], [*right_at, *(band or ())[1:2]]
+    others = [c for c in right.columns if c != right_key]
+    rows = right.dropna(subset=theirs).groupBy(*theirs).agg(F.min(F.struct(right_key, *[c for c in others if c not in theirs])).alias("__row"))
+    points = tables.put(rows.select(*theirs, "__row.*"))
+    waiting, found = tables.put(left.select(*mine).dropna().distinct()), []
+    for level in range(_halvings(points, theirs, km, max_lat, band[2] if band else 0.0), -1, -1):
+        pairs = pairs_within(waiting, points, km / 2**level, km / 2**level, max_lat, left_at, right_at, into, band)
+        best = tables.put(pairs.groupBy(*mine).agg(F.min(F.struct(into, right_key, *others)).alias("__best")))
+        found.append(best)
+        if level:
+            waiting = tables.put(waiting.join(best, mine, "left_anti"))
+            if not waiting.limit(1).count():
+                break
+    answers = functools.reduce(DataFrame.unionByName, found)
+    rest = [c for c in left.columns if c != left_key]
+    best = left.join(answers, mine).groupBy(left_key).agg(F.min(F.struct(F.col(f"__best.{into}").alias(into), F.col(f"__best.{right_key}").alias(right_key), *rest, *[F.col(f"__best.{c}").alias(c) for c in others])).alias("best"))
     return best.select(left_key, "best.*")
 
 

@@ -39,8 +39,7 @@ def match_stations(stations: DataFrame, places: DataFrame, station: str, place:
 
     stations: lat, lon, alti; places: place_lat, place_lon, place_m.
     """
-    close = F.abs(F.col("place_m") - F.col("alti")) <= metres
-    return nearest_within(stations, places.filter("place_m is not null"), station, place, km, max_lat, close, left_at=("lat", "lon"), right_at=("place_lat", "place_lon"))
+    return nearest_within(stations, places, station, place, km, max_lat, ("alti", "place_m", metres), left_at=("lat", "lon"), right_at=("place_lat", "place_lon"))
 
 
 def bias_rows(matched: DataFrame, station: str, model: str, observed: str = "summer_mean") -> DataFrame:
