@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_whole_jobs import km
+from townmeter.jobs import queries as own
 from townmeter.operators import near, validate
 
 
@@ -33,3 +34,28 @@ def test_nearest_meets_few_pairs_however_dense(spark, monkeypatch, spread):
     want = brute_nearest([s for s in stations if s[1] is not None], places, 25.0, 150.0)
     assert got == want and {600, 605} <= set(want) and 601 in want and 603 not in want
     assert sum(made) < 30 * len(stations)
+
+
+def copied(spark, path, times):
+    """A folder with the tables of stations and places repeated with keys that give the same points."""
+    for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("lineitem", "l_suppkey")):
+        rows = spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+        rows.crossJoin(spark.range(times).withColumnRenamed("id", "__i")).withColumn(k, (F.col(k) + F.col("__i") * 7200).cast(rows.schema[k].dataType)).drop("__i").write.parquet(f"{path}/{t}.parquet")
+    return str(path)
+
+
+def test_stations_are_summed_without_sorting_their_days(spark):
+    rows = [(1, "2020-07-02", 30.0, 21.0, "b", 45.0), (1, "2020-07-01", 32.0, None, "a", 44.0), (1, "2020-01-01", 1.0, 0.0, "b", 45.0), (2, None, 9.0, 25.0, "d", 1.0), (2, "2020-08-01", None, 19.0, "c", 2.0), (3, "2020-08-01", None, None, None, None)]
+    df = validate.station_aggregates(spark.createDataFrame(rows, "station int, day string, tx double, tn double, name string, lat double").withColumn("day", F.to_date("day")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("SortAggregate") < plan.index("HashAggregate")
+    assert sorted(map(tuple, df.collect())) == [(1, 62.0, 2, 1, 2, "b", 45.0), (2, None, 0, 1, 2, "d", 1.0), (3, None, 0, 0, 0, None, None)]
+
+
+@pytest.mark.parametrize("name", ["band_stats"])
+def test_copies_of_stations_and_places_make_no_pairs(spark, tmp_path, monkeypatch, name):
+    plain, made = near.pairs_within, {}
+    for times in (1, 5):
+        monkeypatch.setattr(near, "pairs_within", lambda *a, **b: (made.__setitem__(times, made.get(times, 0) + (df := plain(*a, **b)).count()), df)[1])
+        own.queries()[name](spark, copied(spark, tmp_path / str(times), times)).collect()
+    assert 0 < made[5] == made[1]

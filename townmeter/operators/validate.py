@@ -18,12 +18,14 @@ def station_aggregates(rows: DataFrame, station: str = "station", day: str = "da
         rows = rows.filter(F.col(day).between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
     summer = F.month(day).between(6, 8)
     about = [c for c in ("name", "lat", "lon", "alti") if c in rows.columns]
-    meta = F.min(F.struct(day, *about))
-    out = rows.groupBy(station).agg(
+    counts = ("summer_sum", "summer_days", "tropical", "nights")
+    # One row per station and place first, by counters only, so that no task sorts rows of days for the first one's place.
+    each = rows.groupBy(station, *about).agg(
         F.sum(F.when(summer, F.col(tx))).alias("summer_sum"), F.count(F.when(summer, F.col(tx))).alias("summer_days"),
-        F.count_if(F.col(tn) >= 20).alias("tropical"), F.count(tn).alias("nights"), meta.alias("__m"),
+        F.count_if(F.col(tn) >= 20).alias("tropical"), F.count(tn).alias("nights"), F.when(F.count_if(F.col(day).isNull()) == 0, F.min(day)).alias("__first"),
     )
-    return out.select(station, "summer_sum", "summer_days", "tropical", "nights", *[F.col(f"__m.{c}").alias(c) for c in about])
+    out = each.groupBy(station).agg(*[F.sum(c).alias(c) for c in counts], F.min(F.struct("__first", *about)).alias("__m"))
+    return out.select(station, *counts, *[F.col(f"__m.{c}").alias(c) for c in about])
 
 
 def station_indices(aggregates: DataFrame, least: int = MIN_SUMMER_DAYS) -> DataFrame:
