@@ -52,7 +52,7 @@ def test_stations_are_summed_without_sorting_their_days(spark):
     assert sorted(map(tuple, df.collect())) == [(1, 62.0, 2, 1, 2, "b", 45.0), (2, None, 0, 1, 2, "d", 1.0), (3, None, 0, 0, 0, None, None)]
 
 
-@pytest.mark.parametrize("name", ["band_stats", "release_gates", "station_report"])
+@pytest.mark.parametrize("name", ["band_stats", "release_gates", "station_report", "terrain_gates"])
 def test_copies_of_stations_and_places_make_no_pairs(spark, tmp_path, monkeypatch, name):
     plain, made = near.pairs_within, {}
     for times in (1, 5):
