@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_whole_jobs import km
 from townmeter.jobs import queries as own
-from townmeter.operators import near, validate
+from townmeter.operators import explore, near, validate
 
 
 def brute_nearest(stations, places, reach, metres):
@@ -59,3 +59,28 @@ def test_copies_of_stations_and_places_make_no_pairs(spark, tmp_path, monkeypatc
         monkeypatch.setattr(near, "pairs_within", lambda *a, **b: (made.__setitem__(times, made.get(times, 0) + (df := plain(*a, **b)).count()), df)[1])
         own.queries()[name](spark, copied(spark, tmp_path / str(times), times)).collect()
     assert 0 < made[5] == made[1]
+
+
+def rows_made(df, node):
+    """Rows that the nodes of a name put out while df was collected, without adaptive execution."""
+    def walk(plan):
+        own_rows = plan.metrics().get("numOutputRows").get().value() if plan.nodeName().startswith(node) else 0
+        return own_rows + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_names_are_cut_before_their_prefixes_are_made(spark):
+    places = spark.range(3000).select(F.format_string("%04d", "id").alias("insee"), F.when(F.col("id") % 3 == 0, "Évreux").when(F.col("id") % 3 == 1, "Evry").otherwise("Évreux-Nord").alias("name"), (F.col("id") * 7 % 1000).alias("population"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = explore.prefix_index(places, [2, 4, 6])
+        got = {(r.prefix, r["rank"]): r.place.key for r in df.collect()}
+        assert rows_made(df, "Generate") == 8 * (3 + 2)  # "evreux" and "evry"
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    rows = [(-r.population, r.insee, r.name.replace("É", "E").lower()) for r in places.collect()]
+    want = {}
+    for n in (2, 4, 6):
+        for prefix in {x[2][:n] for x in rows if len(x[2]) >= n}:
+            want |= {(prefix, i + 1): x[1] for i, x in enumerate(sorted(x for x in rows if x[2].startswith(prefix))[:8])}
+    assert got == want

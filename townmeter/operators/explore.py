@@ -41,12 +41,17 @@ def find_names(places: DataFrame, query: str, name: str = "name", people: str =
 def prefix_index(places: DataFrame, lengths: Sequence[int], name: str = "name", people: str = "population", key: str = "insee") -> DataFrame:
     """(prefix, place): the NAMES most populous places under each prefix of their plain names, of the lengths given; what a table of name searches is joined with.
 
-    A prefix's rows are cut to NAMES in each task before the exchange, so a prefix of very many names is no large group.
+    Places are dealt out by key and cut to NAMES per name before names are cut into prefixes, and
+    a prefix's rows are cut to NAMES in each task before the exchange, so neither a name nor a
+    prefix of very many places is a large group, and no task holds the prefixes of a whole file.
     """
-    rows = places.select(plain(F.col(name)).alias("p"), F.struct((-F.coalesce(F.col(people), F.lit(0))).alias("less"), F.col(key).alias("key"), F.col(name).alias("name"), F.col(people).alias("people")).alias("place"))
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("place.less", "place.key"))).filter(F.col("rank") <= NAMES)
+    place = F.struct((-F.coalesce(F.col(people), F.lit(0))).alias("less"), F.col(key).alias("key"), F.col(name).alias("name"), F.col(people).alias("people"))
+    rows = places.repartition(tasks, key).select(F.substring(plain(F.col(name)), 1, max(lengths)).alias("p"), place.alias("place")).filter(F.length("p") >= min(lengths))
+    few = best(rows, "p").drop("rank").repartition(tasks, "place.key")
     cut = F.filter(F.array(*[F.lit(int(n)) for n in lengths]), lambda n: n <= F.length("p"))
-    spread = rows.select(F.explode(F.transform(cut, lambda n: F.col("p").substr(F.lit(1), n))).alias("prefix"), "place")
-    return spread.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("place.less", "place.key"))).filter(F.col("rank") <= NAMES)
+    return best(few.select(F.explode(F.transform(cut, lambda n: F.col("p").substr(F.lit(1), n))).alias("prefix"), "place"), "prefix")
 
 
 def search_names(searches: DataFrame, places: DataFrame, search: str = "search_id", query: str = "query", name: str = "name", people: str = "population", key: str = "insee") -> DataFrame:
