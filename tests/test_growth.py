@@ -84,3 +84,12 @@ def test_names_are_cut_before_their_prefixes_are_made(spark):
         for prefix in {x[2][:n] for x in rows if len(x[2]) >= n}:
             want |= {(prefix, i + 1): x[1] for i, x in enumerate(sorted(x for x in rows if x[2].startswith(prefix))[:8])}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["rings_of_all", "radius_rings"])
+def test_rings_of_one_file_are_made_in_many_tasks(spark, sf_dir, name):
+    df = own.queries()[name](spark, sf_dir)
+    source = "customer" if name == "rings_of_all" else "supplier"
+    assert spark.read.parquet(f"{sf_dir}/{source}.parquet").rdd.getNumPartitions() == 1
+    held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 1 and sum(held) == 73 * spark.read.parquet(f"{sf_dir}/{source}.parquet").count()

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townmeter.functions.geo import EARTH_KM, haversine_km, in_bbox
+from townmeter.functions.geo import EARTH_KM, destination, haversine_km, in_bbox
 from townmeter.sources.scratch import Tables
 
 #: Half a great circle on this Earth, per degree.
@@ -104,3 +104,15 @@ def places_in_radius(places: DataFrame, lat: float, lon: float, km: float, at: t
     la, lo = F.col(at[0]), F.col(at[1])
     box = in_bbox(la, lo, F.lit(float(lat)), F.lit(float(lon)), F.lit(float(km)), pad=0.01)
     return places.filter(box).withColumn("km", haversine_km(F.lit(float(lat)), F.lit(float(lon)), la, lo)).filter(F.col("km") <= km)
+
+
+def rings(points: DataFrame, key: str, km: float, corners: int = 72, at: tuple[str, str] = ("lat", "lon")) -> DataFrame:
+    """(key, i, ring_lat, ring_lon): a ring of km around each point, from north through east, its first corner repeated at the end.
+
+    Points are dealt out by key before they become corners, of which a small file makes very many.
+    """
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.select(key, *at).repartition(tasks, key)
+    rows = dealt.select(key, *at, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(corners).cast("long"))).alias("i"))
+    lat, lon = destination(F.col(at[0]), F.col(at[1]), F.lit(float(km)), F.col("i") * F.lit(360.0 / corners))
+    return rows.select(key, "i", lat.alias("ring_lat"), lon.alias("ring_lon"))
