@@ -36,6 +36,28 @@ def test_nearest_meets_few_pairs_however_dense(spark, monkeypatch, spread):
     assert sum(made) < 30 * len(stations)
 
 
+def test_rows_of_one_file_are_not_sorted_in_one_task(spark, monkeypatch):
+    """Places of few points and stations of one task: what is grouped by a least row is dealt out before."""
+    held, plain = {}, type(spark.range(0)).groupBy
+    stations = spark.range(400).coalesce(1).select(F.col("id").alias("s"), (F.col("id") % 3 * 0.01 + 45).alias("lat"), F.lit(5.0).alias("lon"), F.lit(100.0).alias("alti"))
+    places = spark.range(1200).coalesce(1).select(F.format_string("%04d", "id").alias("p"), (F.col("id") % 2 * 0.01 + 45).alias("place_lat"), F.lit(5.0).alias("place_lon"), F.lit(100.0).alias("place_m"))
+
+    def grouped(df, *cols):
+        if all(isinstance(c, str) for c in cols) and cols in (("s",), ("place_lat", "place_lon", "place_m")):
+            held[cols] = [r["count"] for r in plain(df, F.spark_partition_id()).count().collect()]
+        return plain(df, *cols)
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    monkeypatch.setattr(type(stations), "groupBy", grouped)
+    try:
+        got = {r.s: r.p for r in validate.match_stations(stations, places, "s", "p", km=25.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {i: "0000" if i % 3 == 0 else "0001" for i in range(400)}
+    assert {k: sum(v) for k, v in held.items()} == {("s",): 400, ("place_lat", "place_lon", "place_m"): 1200}
+    assert all(max(v) < sum(v) / 2 for v in held.values())
+
+
 def copied(spark, path, times):
     """A folder with the tables of stations and places repeated with keys that give the same points."""
     for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("lineitem", "l_suppkey")):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townmeter.functions.geo import EARTH_KM, destination, haversine_km, in_bbox
-from townmeter.sources.scratch import Tables
+from townmeter.sources.scratch import Tables, checked
 
 #: Half a great circle on this Earth, per degree.
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
@@ -76,13 +76,14 @@ def nearest_within(left: DataFrame, right: DataFrame, left_key: str, right_key:
     Right rows of one point (and height) are one point with the smallest key, left rows of one
     point are searched for once. The search begins with a radius at which points have few
     neighbours and doubles it for rows that found none, up to km: what is found within a radius is
-    the nearest. So a row meets a few points in a round, however dense these lie. The rounds run
-    when this is called.
+    the nearest. So a row meets a few points in a round, however dense these lie. Rows are dealt
+    out by key before a least row is taken, which sorts them, as a small file holds very many. The
+    rounds run when this is called.
     """
     tables = Tables(left.sparkSession, "nearest")
     mine, theirs = [*left_at, *(band or ())[:1]], [*right_at, *(band or ())[1:2]]
     others = [c for c in right.columns if c != right_key]
-    rows = right.dropna(subset=theirs).groupBy(*theirs).agg(F.min(F.struct(right_key, *[c for c in others if c not in theirs])).alias("__row"))
+    rows = right.dropna(subset=theirs).repartition(right_key).groupBy(*theirs).agg(F.min(F.struct(right_key, *[c for c in others if c not in theirs])).alias("__row"))
     points = tables.put(rows.select(*theirs, "__row.*"))
     waiting, found = tables.put(left.select(*mine).dropna().distinct()), []
     for level in range(_halvings(points, theirs, km, max_lat, band[2] if band else 0.0), -1, -1):
@@ -93,9 +94,9 @@ def nearest_within(left: DataFrame, right: DataFrame, left_key: str, right_key:
             waiting = tables.put(waiting.join(best, mine, "left_anti"))
             if not waiting.limit(1).count():
                 break
-    answers = functools.reduce(DataFrame.unionByName, found)
+    answers = checked(functools.reduce(DataFrame.unionByName, found))
     rest = [c for c in left.columns if c != left_key]
-    best = left.join(answers, mine).groupBy(left_key).agg(F.min(F.struct(F.col(f"__best.{into}").alias(into), F.col(f"__best.{right_key}").alias(right_key), *rest, *[F.col(f"__best.{c}").alias(c) for c in others])).alias("best"))
+    best = left.join(answers, mine).repartition(left_key).groupBy(left_key).agg(F.min(F.struct(F.col(f"__best.{into}").alias(into), F.col(f"__best.{right_key}").alias(right_key), *rest, *[F.col(f"__best.{c}").alias(c) for c in others])).alias("best"))
     return best.select(left_key, "best.*")
 
 
