@@ -84,7 +84,7 @@ def test_copies_of_stations_and_places_make_no_pairs(spark, tmp_path, monkeypatc
     assert 0 < made[5] == made[1]
 
 
-@pytest.mark.parametrize("name", ["station_report"])
+@pytest.mark.parametrize("name", ["station_report", "terrain_gates"])
 def test_days_are_summed_before_they_leave_their_task(spark, monkeypatch, name):
     """The exchange holds a station once a task, not its days, whether or not stations are few enough to be broadcast."""
     path, kept = "/root/testdata/sf0.01", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
