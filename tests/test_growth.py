@@ -75,6 +75,15 @@ def test_stations_are_summed_without_sorting_their_days(spark):
     assert sorted(map(tuple, df.collect())) == [(1, 62.0, 2, 1, 2, "b", 45.0), (2, None, 0, 1, 2, "d", 1.0), (3, None, 0, 0, 0, None, None)]
 
 
+def test_stations_without_a_place_are_held_once_a_task(spark):
+    rows = [(1, "2020-07-02", 30.0, 21.0), (1, "2020-07-01", 32.0, None), (1, "2020-01-01", 1.0, 20.0), (2, None, 9.0, 25.0), (2, "2020-08-01", None, 19.0), (3, "2020-08-01", None, None), (None, "2020-07-01", 5.0, 6.0)]
+    df = validate.station_aggregates(spark.createDataFrame(rows, "station int, day string, tx double, tn double").withColumn("day", F.to_date("day")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan
+    assert df.columns == ["station", "summer_sum", "summer_days", "tropical", "nights"]
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, 62.0, 2, 2, 2), (2, None, 0, 1, 2), (3, None, 0, 0, 0), (None, 5.0, 1, 0, 1)]
+
+
 @pytest.mark.parametrize("name", ["band_stats", "release_gates", "station_report", "terrain_gates"])
 def test_copies_of_stations_and_places_make_no_pairs(spark, tmp_path, monkeypatch, name):
     plain, made = near.pairs_within, {}

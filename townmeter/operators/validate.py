@@ -24,6 +24,8 @@ def station_aggregates(rows: DataFrame, station: str = "station", day: str = "da
         F.sum(F.when(summer, F.col(tx))).alias("summer_sum"), F.count(F.when(summer, F.col(tx))).alias("summer_days"),
         F.count_if(F.col(tn) >= 20).alias("tropical"), F.count(tn).alias("nights"), F.when(F.count_if(F.col(day).isNull()) == 0, F.min(day)).alias("__first"),
     )
+    if not about:  # a row a station already: grouped again, each task would hold its stations in two more tables
+        return each.select(station, *counts)
     out = each.groupBy(station).agg(*[F.sum(c).alias(c) for c in counts], F.min(F.struct("__first", *about)).alias("__m"))
     return out.select(station, *counts, *[F.col(f"__m.{c}").alias(c) for c in about])
 
